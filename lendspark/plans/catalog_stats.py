@@ -1 +1,339 @@
-"""Registered association / test / evaluation queries (filled in below)."""
+"""Registered association, hypothesis-test and evaluation queries.
+
+Statistics are oracle-checked; p-values (which need special functions DuckDB
+lacks) are in separate rows-only queries and covered by unit tests.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lendspark.operators import assoc, evaluate as ev, hypothesis as hyp
+from lendspark.operators.profile import numeric_columns
+from lendspark.plans.catalog import (ENRICHED_WITH, enriched, r4, r6, register)
+from lendspark.sources import roles
+from lendspark.sources.roles import APPLICATION_SQL, SCORES_SQL, with_sql
+
+ENRICHED_NUMERIC = ["SK_ID_CURR", "AMT_CREDIT", "AMT_INCOME_TOTAL", "AMT_ANNUITY", "DAYS_BIRTH",
+                    "DAYS_EMPLOYED", "CNT_FAM_MEMBERS", "bureau_loan_count", "bureau_active_loans",
+                    "bureau_total_credit_sum", "bureau_mean_days_credit", "cc_utilization_mean",
+                    "cc_drawings_total", "cc_months_with_balance", "install_payment_ratio_mean",
+                    "install_days_late_mean", "install_late_count"]
+CATEGORICAL = ["NAME_CONTRACT_TYPE", "NAME_INCOME_TYPE", "ORGANIZATION_TYPE"]
+
+
+def _long_sql(table: str, cols, label: str = "TARGET") -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS cname, CAST({c} AS DOUBLE) AS value, {label} AS y FROM {table} "
+        f"WHERE {c} IS NOT NULL AND {label} IS NOT NULL" for c in cols)
+
+
+# ---------------------------------------------------------------------------
+# F1-F4 correlations
+# ---------------------------------------------------------------------------
+
+@register("correlation_pearson", ENRICHED_WITH + ", c AS (" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS coluna, corr({c}, TARGET) AS r FROM enriched" for c in ENRICHED_NUMERIC) + """)
+SELECT coluna, round_even(r, 6) AS correlacao FROM c WHERE r IS NOT NULL AND NOT isnan(r)
+ORDER BY correlacao, coluna""")
+def q_correlation_pearson(spark, sf_dir):
+    e = enriched(spark, sf_dir)
+    assert sorted(numeric_columns(e, exclude=["TARGET"])) == sorted(ENRICHED_NUMERIC)
+    c = assoc.correlation_with_target(e, "pearson")
+    return c.select("coluna", r6("correlacao").alias("correlacao"))
+
+
+@register("correlation_pearson_top3", ENRICHED_WITH + ", c AS (" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS coluna, corr({c}, TARGET) AS r FROM enriched" for c in ENRICHED_NUMERIC) + """),
+v AS (SELECT * FROM c WHERE r IS NOT NULL AND NOT isnan(r)),
+lo AS (SELECT coluna, r FROM v ORDER BY r, coluna LIMIT 3),
+hi AS (SELECT coluna, r FROM v ORDER BY r DESC, coluna DESC LIMIT 3)
+SELECT coluna, round_even(r, 6) AS correlacao FROM lo
+UNION ALL SELECT coluna, round_even(r, 6) AS correlacao FROM hi""")
+def q_correlation_pearson_top3(spark, sf_dir):
+    c = assoc.correlation_with_target(enriched(spark, sf_dir), "pearson", top_n=3)
+    return c.select("coluna", r6("correlacao").alias("correlacao"))
+
+
+_RANK_SQL = """
+, lv AS ({long}),
+rk AS (
+  SELECT cname, y,
+         rank() OVER (PARTITION BY cname ORDER BY value)
+           + (count(*) OVER (PARTITION BY cname, value) - 1) / 2.0 AS rx,
+         rank() OVER (PARTITION BY cname ORDER BY y)
+           + (count(*) OVER (PARTITION BY cname, y) - 1) / 2.0 AS ry
+  FROM lv)
+SELECT cname AS coluna, round_even(corr(rx, ry), 6) AS correlacao FROM rk
+GROUP BY cname HAVING corr(rx, ry) IS NOT NULL AND NOT isnan(corr(rx, ry))"""
+
+
+@register("correlation_spearman", ENRICHED_WITH + _RANK_SQL.format(long=_long_sql("enriched", ENRICHED_NUMERIC)))
+def q_correlation_spearman(spark, sf_dir):
+    c = assoc.correlation_with_target(enriched(spark, sf_dir), "spearman")
+    return c.select("coluna", r6("correlacao").alias("correlacao"))
+
+
+_KENDALL_SQL = """
+, lv AS ({long}),
+cnt AS (SELECT cname, value, count(*) FILTER (WHERE y = 0) AS c0,
+               count(*) FILTER (WHERE y = 1) AS c1, count(*) AS n
+        FROM lv GROUP BY cname, value),
+cum AS (SELECT *, coalesce(sum(c0) OVER w, 0) AS b0, coalesce(sum(c1) OVER w, 0) AS b1 FROM cnt
+        WINDOW w AS (PARTITION BY cname ORDER BY value
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+agg AS (SELECT cname, sum(c1 * b0 - c0 * b1) AS cd, sum(n * (n - 1) / 2.0) AS tx,
+               sum(c0) AS n0, sum(c1) AS n1 FROM cum GROUP BY cname),
+t AS (SELECT cname, cd / sqrt(((n0 + n1) * (n0 + n1 - 1) / 2.0 - tx) * n0 * n1) AS tau FROM agg)
+SELECT cname AS coluna, round_even(tau, 6) AS correlacao FROM t
+WHERE tau IS NOT NULL AND NOT isnan(tau)"""
+
+
+@register("correlation_kendall", ENRICHED_WITH + _KENDALL_SQL.format(long=_long_sql("enriched", ENRICHED_NUMERIC)))
+def q_correlation_kendall(spark, sf_dir):
+    c = assoc.correlation_with_target(enriched(spark, sf_dir), "kendall")
+    return c.select("coluna", r6("correlacao").alias("correlacao"))
+
+
+_MATRIX_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register("correlation_matrix_lineitem", "\nUNION ALL\n".join(
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, round_even(corr({a}, {b}), 6) AS corr FROM lineitem"
+    for i, a in enumerate(_MATRIX_COLS) for b in _MATRIX_COLS[:i]))
+def q_correlation_matrix_lineitem(spark, sf_dir):
+    m = assoc.correlation_matrix(roles.table(spark, sf_dir, "lineitem"), _MATRIX_COLS)
+    return m.select("col_a", "col_b", r6("corr").alias("corr"))
+
+
+@register("correlation_matrix_auto_orders", """
+SELECT 'o_totalprice' AS col_a, 'o_custkey' AS col_b, round_even(corr(o_totalprice, o_custkey), 6) AS corr FROM orders
+UNION ALL SELECT 'o_custkey', 'o_orderkey', round_even(corr(o_custkey, o_orderkey), 6) FROM orders
+UNION ALL SELECT 'o_totalprice', 'o_orderkey', round_even(corr(o_totalprice, o_orderkey), 6) FROM orders""")
+def q_correlation_matrix_auto_orders(spark, sf_dir):
+    o = roles.table(spark, sf_dir, "orders")
+    m = assoc.correlation_matrix(o)  # columns picked by null share (B8)
+    return m.select("col_a", "col_b", r6("corr").alias("corr"))
+
+
+@register("point_biserial")
+def q_point_biserial(spark, sf_dir):
+    pb = assoc.point_biserial(enriched(spark, sf_dir))
+    return pb.select("coluna", r6("correlacao").alias("correlacao"),
+                     r6("p_valor").alias("p_valor"), "significativo")
+
+
+def _chi2_sql(table_with: str, table: str, cols, label: str = "TARGET") -> str:
+    long = "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS cname, CAST({c} AS VARCHAR) AS value, {label} AS y FROM {table} "
+        f"WHERE {c} IS NOT NULL AND {label} IS NOT NULL" for c in cols)
+    return table_with + f"""
+, lv AS ({long}),
+cells AS (SELECT cname, value, y, count(*) AS obs FROM lv GROUP BY ALL),
+rt AS (SELECT cname, value, sum(obs) AS rt FROM cells GROUP BY ALL),
+ct AS (SELECT cname, y, sum(obs) AS ct FROM cells GROUP BY ALL),
+dims AS (SELECT cname, sum(obs) AS n, count(DISTINCT value) AS r, count(DISTINCT y) AS c
+         FROM cells GROUP BY cname),
+full_t AS (
+  SELECT rt.cname, rt.rt * ct.ct * 1.0 / dims.n AS e, coalesce(cells.obs, 0) * 1.0 AS o,
+         (dims.r - 1) * (dims.c - 1) AS dof, dims.n, least(dims.r, dims.c) - 1 AS k
+  FROM rt JOIN ct USING (cname) JOIN dims USING (cname)
+  LEFT JOIN cells ON cells.cname = rt.cname AND cells.value = rt.value AND cells.y = ct.y),
+adj AS (
+  SELECT *, CASE WHEN dof = 1 THEN o + sign(e - o) * least(0.5, abs(e - o)) ELSE o END AS a FROM full_t)
+"""
+
+
+@register("cramers_v_application", _chi2_sql(with_sql(APPLICATION_SQL), "application", CATEGORICAL) + """
+, chi AS (SELECT cname, CASE WHEN max(dof) = 0 THEN 0.0 ELSE sum((a - e) * (a - e) / e) END AS chi2,
+                 max(n) AS n, max(k) AS k FROM adj GROUP BY cname)
+SELECT cname AS coluna,
+       round_even(CASE WHEN k > 0 THEN sqrt(chi2 / (n * k)) ELSE 0.0 END, 4) AS cramer_v
+FROM chi ORDER BY cramer_v, coluna""")
+def q_cramers_v_application(spark, sf_dir):
+    return assoc.cramers_v(roles.application(spark, sf_dir), columns=CATEGORICAL)
+
+
+@register("cramers_v_toxic_vs_quality", _chi2_sql("WITH l AS (SELECT * FROM labels)", "l", ["toxic"], "quality") + """
+, chi AS (SELECT cname, CASE WHEN max(dof) = 0 THEN 0.0 ELSE sum((a - e) * (a - e) / e) END AS chi2,
+                 max(n) AS n, max(k) AS k FROM adj GROUP BY cname)
+SELECT cname AS coluna,
+       round_even(CASE WHEN k > 0 THEN sqrt(chi2 / (n * k)) ELSE 0.0 END, 4) AS cramer_v FROM chi""")
+def q_cramers_v_toxic_vs_quality(spark, sf_dir):
+    return assoc.cramers_v(roles.table(spark, sf_dir, "labels"), target="quality", columns=["toxic"])
+
+
+# ---------------------------------------------------------------------------
+# G1-G4 statistics (oracle) and full records (rows-only)
+# ---------------------------------------------------------------------------
+
+@register("chi2_statistic_application", _chi2_sql(with_sql(APPLICATION_SQL), "application", CATEGORICAL) + """
+SELECT cname AS variavel,
+       round_even(CASE WHEN max(dof) = 0 THEN 0.0 ELSE sum((a - e) * (a - e) / e) END, 4) AS estatistica,
+       CAST(max(dof) AS BIGINT) AS dof
+FROM adj GROUP BY cname""")
+def q_chi2_statistic_application(spark, sf_dir):
+    chi = assoc.chi2_by_column(roles.application(spark, sf_dir), CATEGORICAL)
+    return chi.select(F.col("coluna").alias("variavel"), r4("chi2").alias("estatistica"),
+                      F.col("dof").cast("long").alias("dof"))
+
+
+@register("chi2_statistic_yates_labels", _chi2_sql("WITH l AS (SELECT * FROM labels)", "l", ["toxic"], "quality") + """
+SELECT cname AS variavel,
+       round_even(CASE WHEN max(dof) = 0 THEN 0.0 ELSE sum((a - e) * (a - e) / e) END, 4) AS estatistica,
+       CAST(max(dof) AS BIGINT) AS dof
+FROM adj GROUP BY cname""")
+def q_chi2_statistic_yates_labels(spark, sf_dir):
+    chi = assoc.chi2_by_column(roles.table(spark, sf_dir, "labels"), ["toxic"], target="quality")
+    return chi.select(F.col("coluna").alias("variavel"), r4("chi2").alias("estatistica"),
+                      F.col("dof").cast("long").alias("dof"))
+
+
+_MWU_COLS = ["AMT_CREDIT", "AMT_INCOME_TOTAL", "DAYS_BIRTH", "bureau_total_credit_sum",
+             "install_days_late_mean"]
+
+_SEP_SQL = """
+, lv AS ({long}),
+rk AS (SELECT cname, value, y,
+              rank() OVER (PARTITION BY cname ORDER BY value)
+                + (count(*) OVER (PARTITION BY cname, value) - 1) / 2.0 AS r
+       FROM lv),
+u AS (SELECT cname, sum(r) FILTER (WHERE y = 0) AS r0, count(*) FILTER (WHERE y = 0) AS n0,
+             count(*) FILTER (WHERE y = 1) AS n1 FROM rk GROUP BY cname),
+cnt AS (SELECT cname, value, count(*) FILTER (WHERE y = 0) AS c0, count(*) FILTER (WHERE y = 1) AS c1
+        FROM lv GROUP BY cname, value),
+cum AS (SELECT cname, sum(c0) OVER w AS a0, sum(c1) OVER w AS a1 FROM cnt
+        WINDOW w AS (PARTITION BY cname ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ks AS (SELECT cum.cname, max(abs(a1 * 1.0 / u.n1 - a0 * 1.0 / u.n0)) AS d
+       FROM cum JOIN u USING (cname) GROUP BY cum.cname)"""
+
+
+@register("mann_whitney_u", ENRICHED_WITH + _SEP_SQL.format(long=_long_sql("enriched", _MWU_COLS)) + """
+SELECT cname AS variavel, round_even(r0 - n0 * (n0 + 1) / 2.0, 4) AS estatistica, n0, n1
+FROM u WHERE n0 > 0 AND n1 > 0""")
+def q_mann_whitney_u(spark, sf_dir):
+    sep = hyp._separation(enriched(spark, sf_dir), _MWU_COLS, "TARGET")
+    return sep.where((F.col("n0") > 0) & (F.col("n1") > 0)).select(
+        F.col("column").alias("variavel"), r4("u0").alias("estatistica"), "n0", "n1")
+
+
+@register("ks_two_sample_statistic", ENRICHED_WITH + _SEP_SQL.format(long=_long_sql("enriched", _MWU_COLS)) + """
+SELECT cname AS variavel, round_even(d, 6) AS estatistica FROM ks""")
+def q_ks_two_sample_statistic(spark, sf_dir):
+    sep = hyp._separation(enriched(spark, sf_dir), _MWU_COLS, "TARGET")
+    return sep.select(F.col("column").alias("variavel"), r6("ks").alias("estatistica"))
+
+
+@register("hypothesis_battery")
+def q_hypothesis_battery(spark, sf_dir):
+    e = enriched(spark, sf_dir)
+    return hyp.test_battery(e)
+
+
+@register("hypothesis_records_rendered")
+def q_hypothesis_records_rendered(spark, sf_dir):
+    e = enriched(spark, sf_dir)
+    recs = (hyp.mann_whitney_tests(e, _MWU_COLS)
+            .unionByName(hyp.ks_tests(e, _MWU_COLS))
+            .unionByName(hyp.chi2_tests(e, CATEGORICAL)))
+    return hyp.render(recs)
+
+
+@register("significance_summary")
+def q_significance_summary(spark, sf_dir):
+    return hyp.significance_summary(hyp.test_battery(enriched(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------------------
+# K1-K4 evaluation on the deterministic score
+# ---------------------------------------------------------------------------
+
+_EVAL_SQL = """
+, rk AS (SELECT {g} TARGET AS y, score,
+           rank() OVER (PARTITION BY {g} 1 ORDER BY score)
+             + (count(*) OVER (PARTITION BY {g} score) - 1) / 2.0 AS r
+         FROM scores WHERE TARGET IS NOT NULL AND score IS NOT NULL),
+u AS (SELECT {g} sum(r) FILTER (WHERE y = 1) AS r1, count(*) FILTER (WHERE y = 0) AS n0,
+             count(*) FILTER (WHERE y = 1) AS n1 FROM rk GROUP BY ALL),
+cnt AS (SELECT {g} score, count(*) FILTER (WHERE y = 0) AS c0, count(*) FILTER (WHERE y = 1) AS c1
+        FROM rk GROUP BY ALL),
+cum AS (SELECT {g} sum(c0) OVER w AS a0, sum(c1) OVER w AS a1 FROM cnt
+        WINDOW w AS (PARTITION BY {g} 1 ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ks AS (SELECT {gs} max(abs(a1 * 1.0 / n1 - a0 * 1.0 / n0)) AS ks FROM cum {join_u} {group}),
+conf AS (SELECT {g}
+           sum(CASE WHEN score >= 0.5 AND y = 1 THEN 1 ELSE 0 END) AS tp,
+           sum(CASE WHEN score >= 0.5 AND y = 0 THEN 1 ELSE 0 END) AS fp,
+           sum(CASE WHEN score < 0.5 AND y = 1 THEN 1 ELSE 0 END) AS fn,
+           avg(-(y * ln(least(greatest(score, 2.220446049250313e-16), 1 - 2.220446049250313e-16))
+                 + (1 - y) * ln(1 - least(greatest(score, 2.220446049250313e-16), 1 - 2.220446049250313e-16)))) AS log_loss
+         FROM rk GROUP BY ALL),
+m AS (SELECT {gs} (r1 - n1 * (n1 + 1) / 2.0) / (n0 * n1) AS auc, ks,
+        CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp * 1.0 / (tp + fp) END AS precision,
+        CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp * 1.0 / (tp + fn) END AS recall,
+        CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END AS f1, log_loss
+      FROM u {join_ks} {join_conf})
+"""
+
+
+def _eval_sql(group: str | None) -> str:
+    if group:
+        g = f"{group},"
+        return _EVAL_SQL.format(g=g, gs=f"cum.{group},", join_u=f"JOIN u USING ({group})",
+                                group=f"GROUP BY cum.{group}",
+                                join_ks=f"JOIN ks USING ({group})", join_conf=f"JOIN conf USING ({group})").replace(
+            f"SELECT cum.{group}, (r1", f"SELECT {group}, (r1")
+    return _EVAL_SQL.format(g="", gs="", join_u=", u", group="", join_ks=", ks", join_conf=", conf")
+
+
+_EVAL_COLS = """round_even(auc, 6) AS auc_roc, round_even(2 * auc - 1, 6) AS gini, round_even(ks, 6) AS ks_stat,
+       round_even(f1, 6) AS f1, round_even(precision, 6) AS precision, round_even(recall, 6) AS recall,
+       round_even(log_loss, 6) AS log_loss"""
+
+
+def _eval_select(df):
+    return [r6(c).alias(c) for c in ev.METRICS]
+
+
+@register("evaluate_scores", with_sql(SCORES_SQL) + _eval_sql(None).lstrip().replace("\n, rk AS", ", rk AS", 1)
+          + f"SELECT {_EVAL_COLS} FROM m")
+def q_evaluate_scores(spark, sf_dir):
+    m = ev.evaluate(roles.scores(spark, sf_dir), label="TARGET", score="score")
+    return m.select(*_eval_select(m))
+
+
+@register("compare_models_by_segment", with_sql(SCORES_SQL) + _eval_sql("segment")
+          + f"SELECT segment AS model, {_EVAL_COLS} FROM m")
+def q_compare_models_by_segment(spark, sf_dir):
+    s = roles.scores(spark, sf_dir).withColumnRenamed("segment", "model")
+    m = ev.compare_models(s, "model", label="TARGET", score="score")
+    return m.select("model", *_eval_select(m))
+
+
+@register("fold_metric_aggregation", with_sql(SCORES_SQL) + _eval_sql("segment") + """
+SELECT round_even(avg(auc), 6) AS auc_roc_mean, round_even(stddev_pop(auc), 6) AS auc_roc_std,
+       round_even(avg(ks), 6) AS ks_stat_mean, round_even(stddev_pop(ks), 6) AS ks_stat_std,
+       round_even(avg(log_loss), 6) AS log_loss_mean, round_even(stddev_pop(log_loss), 6) AS log_loss_std,
+       count(*) AS n_folds FROM m""")
+def q_fold_metric_aggregation(spark, sf_dir):
+    per = ev.evaluate(roles.scores(spark, sf_dir), label="TARGET", score="score", groups=["segment"])
+    agg = ev.aggregate_folds(per, metrics=["auc_roc", "ks_stat", "log_loss"])
+    return agg.select(*[r6(c).alias(c) for c in
+                        ["auc_roc_mean", "auc_roc_std", "ks_stat_mean", "ks_stat_std",
+                         "log_loss_mean", "log_loss_std"]], "n_folds")
+
+
+@register("roc_points", with_sql(SCORES_SQL) + """
+, cnt AS (SELECT score, count(*) FILTER (WHERE TARGET = 0) AS c0, count(*) FILTER (WHERE TARGET = 1) AS c1
+          FROM scores WHERE TARGET IS NOT NULL AND score IS NOT NULL GROUP BY score),
+tot AS (SELECT sum(c0) AS t0, sum(c1) AS t1 FROM cnt),
+pts AS (SELECT score AS threshold,
+               (t0 - coalesce(sum(c0) OVER w, 0)) / t0 AS fpr,
+               (t1 - coalesce(sum(c1) OVER w, 0)) / t1 AS tpr
+        FROM cnt, tot WINDOW w AS (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        UNION ALL SELECT 'inf'::DOUBLE, 0.0, 0.0),
+best AS (SELECT threshold AS bt FROM pts ORDER BY abs(tpr - fpr) DESC, threshold DESC LIMIT 1)
+SELECT threshold, round_even(fpr, 6) AS fpr, round_even(tpr, 6) AS tpr, threshold = bt AS is_ks_point
+FROM pts, best""")
+def q_roc_points(spark, sf_dir):
+    r = ev.roc_points(roles.scores(spark, sf_dir), label="TARGET", score="score")
+    return r.select("threshold", r6("fpr").alias("fpr"), r6("tpr").alias("tpr"), "is_ks_point")
