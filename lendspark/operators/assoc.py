@@ -14,6 +14,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from lendspark.functions import tails
 from lendspark.functions.nulls import round_half_even
@@ -128,7 +129,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None,
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _t_p_udf(r: pd.Series, n: pd.Series) -> pd.Series:
     out = []
     for rv, nv in zip(r, n):
@@ -157,7 +158,7 @@ def point_biserial(df: DataFrame, target: str = TARGET, columns: Sequence[str] |
              .orderBy("correlacao", "coluna"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _chi2_p_udf(stat: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([float("nan") if pd.isna(s) else tails.chi2_sf(float(s), int(d))
                       for s, d in zip(stat, dof)], dtype="float64")

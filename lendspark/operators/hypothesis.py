@@ -17,6 +17,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from lendspark.functions import tails
 from lendspark.functions.nulls import round_half_even
@@ -46,13 +47,13 @@ KS_NO = ("'%s' não apresenta diferença distribucional significativa "
 RECORD_FORMAT = "[%s] %s\n  Estatística = %.4f | p-valor = %.4e\n  %s (alpha=%s) → %s"
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _mwu_p_udf(u0: pd.Series, n0: pd.Series, n1: pd.Series, ties: pd.Series) -> pd.Series:
     return pd.Series([tails.mann_whitney_p(float(u), int(a), int(b), float(t))
                       for u, a, b, t in zip(u0, n0, n1, ties)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ks_p_udf(d: pd.Series, n0: pd.Series, n1: pd.Series) -> pd.Series:
     return pd.Series([tails.ks_2samp_p(float(x), int(a), int(b)) for x, a, b in zip(d, n0, n1)],
                      dtype="float64")
