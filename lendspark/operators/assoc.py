@@ -19,6 +19,7 @@ from pyspark.sql.types import DoubleType
 from lendspark.functions import tails
 from lendspark.functions.nulls import round_half_even
 from lendspark.operators.ordered import ordered_counts
+from lendspark.session import ship_package
 from lendspark.operators.profile import TARGET, _q, _wide_to_long, long_values, numeric_columns
 
 
@@ -147,6 +148,7 @@ def point_biserial(df: DataFrame, target: str = TARGET, columns: Sequence[str] |
                    alpha: float = 0.05) -> DataFrame:
     """``coluna, correlacao, p_valor, significativo`` for numeric columns
     with more than 2 distinct values (over complete pairs), ascending r."""
+    ship_package(df.sparkSession)
     cols = list(columns) if columns else numeric_columns(df, exclude=[target])
     pear = _pearson_long(df, cols, target)
     lv = long_values(df.where(_q(target).isNotNull()), cols)

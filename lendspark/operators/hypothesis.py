@@ -24,6 +24,7 @@ from lendspark.functions.nulls import round_half_even
 from lendspark.operators.assoc import _chi2_p_udf, chi2_by_column
 from lendspark.operators.ordered import class_separation, exact_quantiles
 from lendspark.operators.profile import TARGET, _q, long_values, numeric_columns, string_columns
+from lendspark.session import ship_package
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's for the same results)
@@ -61,6 +62,7 @@ def _ks_p_udf(d: pd.Series, n0: pd.Series, n1: pd.Series) -> pd.Series:
 
 def _record(df: DataFrame, name: str, stat: Column, p: Column, alpha: float,
             yes: Column, no: Column) -> DataFrame:
+    ship_package(df.sparkSession)
     rej = p < F.lit(alpha)
     return df.select(
         F.lit(name).alias("nome_teste"), F.col("coluna").alias("variavel"),

@@ -469,4 +469,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load_all() -> None:
     """Import the modules that register further queries."""
-    from lendspark.plans import catalog_stats  # noqa: F401
+    from lendspark.plans import catalog_ml, catalog_stats  # noqa: F401

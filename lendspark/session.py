@@ -69,3 +69,23 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``lendspark`` importable in executor Python workers (needed by
+    the pandas UDFs): zip the package once per SparkContext and add it with
+    ``addPyFile`` (what ``--py-files`` does at submit time)."""
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import shutil
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="lendspark-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out_dir, "lendspark"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="lendspark")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
