@@ -130,8 +130,14 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None,
     return out
 
 
-@F.pandas_udf(DoubleType())
-def _t_p_udf(r: pd.Series, n: pd.Series) -> pd.Series:
+def scalar_udf(spark, fn):
+    """Pandas UDF built at call time, after the package is shipped (a UDF
+    captures the executors' Python path when it is first applied)."""
+    ship_package(spark)
+    return F.pandas_udf(fn, DoubleType())
+
+
+def _t_p(r: pd.Series, n: pd.Series) -> pd.Series:
     out = []
     for rv, nv in zip(r, n):
         if rv is None or pd.isna(rv) or nv is None or nv < 3:
@@ -148,20 +154,19 @@ def point_biserial(df: DataFrame, target: str = TARGET, columns: Sequence[str] |
                    alpha: float = 0.05) -> DataFrame:
     """``coluna, correlacao, p_valor, significativo`` for numeric columns
     with more than 2 distinct values (over complete pairs), ascending r."""
-    ship_package(df.sparkSession)
+    t_p = scalar_udf(df.sparkSession, _t_p)
     cols = list(columns) if columns else numeric_columns(df, exclude=[target])
     pear = _pearson_long(df, cols, target)
     lv = long_values(df.where(_q(target).isNotNull()), cols)
     distinct = lv.groupBy("column").agg(F.count_distinct("value").alias("_nd"))
     j = pear.join(distinct, pear.coluna == distinct.column).where(F.col("_nd") > 2)
     return (j.select("coluna", F.col("corr").alias("correlacao"),
-                     _t_p_udf(F.col("corr"), F.col("n").cast("double")).alias("p_valor"))
+                     t_p(F.col("corr"), F.col("n").cast("double")).alias("p_valor"))
              .withColumn("significativo", F.col("p_valor") < F.lit(alpha))
              .orderBy("correlacao", "coluna"))
 
 
-@F.pandas_udf(DoubleType())
-def _chi2_p_udf(stat: pd.Series, dof: pd.Series) -> pd.Series:
+def _chi2_p(stat: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([float("nan") if pd.isna(s) else tails.chi2_sf(float(s), int(d))
                       for s, d in zip(stat, dof)], dtype="float64")
 
@@ -208,8 +213,3 @@ def cramers_v(df: DataFrame, target: str = TARGET, columns: Sequence[str] | None
     chi = chi2_by_column(df, cols, target)
     v = F.when(F.col("k") > 0, F.sqrt(F.col("chi2") / (F.col("n") * F.col("k")))).otherwise(F.lit(0.0))
     return chi.select("coluna", round_half_even(v, 4).alias("cramer_v")).orderBy("cramer_v", "coluna")
-
-
-def p_value_columns() -> dict[str, Column]:
-    """Expose the p-value UDFs for other operators."""
-    return {"t": _t_p_udf, "chi2": _chi2_p_udf}

@@ -21,7 +21,7 @@ from pyspark.sql.types import DoubleType
 
 from lendspark.functions import tails
 from lendspark.functions.nulls import round_half_even
-from lendspark.operators.assoc import _chi2_p_udf, chi2_by_column
+from lendspark.operators.assoc import _chi2_p, chi2_by_column, scalar_udf
 from lendspark.operators.ordered import class_separation, exact_quantiles
 from lendspark.operators.profile import TARGET, _q, long_values, numeric_columns, string_columns
 from lendspark.session import ship_package
@@ -48,21 +48,18 @@ KS_NO = ("'%s' não apresenta diferença distribucional significativa "
 RECORD_FORMAT = "[%s] %s\n  Estatística = %.4f | p-valor = %.4e\n  %s (alpha=%s) → %s"
 
 
-@F.pandas_udf(DoubleType())
-def _mwu_p_udf(u0: pd.Series, n0: pd.Series, n1: pd.Series, ties: pd.Series) -> pd.Series:
+def _mwu_p(u0: pd.Series, n0: pd.Series, n1: pd.Series, ties: pd.Series) -> pd.Series:
     return pd.Series([tails.mann_whitney_p(float(u), int(a), int(b), float(t))
                       for u, a, b, t in zip(u0, n0, n1, ties)], dtype="float64")
 
 
-@F.pandas_udf(DoubleType())
-def _ks_p_udf(d: pd.Series, n0: pd.Series, n1: pd.Series) -> pd.Series:
+def _ks_p(d: pd.Series, n0: pd.Series, n1: pd.Series) -> pd.Series:
     return pd.Series([tails.ks_2samp_p(float(x), int(a), int(b)) for x, a, b in zip(d, n0, n1)],
                      dtype="float64")
 
 
 def _record(df: DataFrame, name: str, stat: Column, p: Column, alpha: float,
             yes: Column, no: Column) -> DataFrame:
-    ship_package(df.sparkSession)
     rej = p < F.lit(alpha)
     return df.select(
         F.lit(name).alias("nome_teste"), F.col("coluna").alias("variavel"),
@@ -79,7 +76,7 @@ def chi2_tests(df: DataFrame, columns: Sequence[str], target: str = TARGET,
                alpha: float = ALPHA) -> DataFrame:
     """G1 over many categorical columns in one job."""
     chi = chi2_by_column(df, columns, target).withColumn(
-        "_p", _chi2_p_udf(F.col("chi2"), F.col("dof")))
+        "_p", scalar_udf(df.sparkSession, _chi2_p)(F.col("chi2"), F.col("dof")))
     a = _alpha_text(alpha)
     return _record(chi, TEST_CHI2, F.col("chi2"), F.col("_p"), alpha,
                    F.format_string(CHI2_YES, F.col("coluna"), F.col("_p"), a),
@@ -101,7 +98,7 @@ def mann_whitney_tests(df: DataFrame, columns: Sequence[str], target: str = TARG
     sided, normal approximation with tie and continuity correction). Columns
     where one class is empty are skipped (the reference's test raises)."""
     sep = _separation(df, columns, target).where((F.col("n0") > 0) & (F.col("n1") > 0))
-    sep = sep.withColumn("_p", _mwu_p_udf("u0", "n0", "n1", "tie_term"))
+    sep = sep.withColumn("_p", scalar_udf(df.sparkSession, _mwu_p)("u0", "n0", "n1", "tie_term"))
     if with_medians:
         lv = long_values(df.where(_q(target).isNotNull()), columns, keep=[target])
         med = exact_quantiles(lv, "value", [0.5], groups=["column", target], names=["m"])
@@ -130,7 +127,7 @@ def ks_tests(df: DataFrame, columns: Sequence[str], target: str = TARGET,
     """Two-sample KS D = max |F0 - F1| per column; asymptotic p."""
     sep = (_separation(df, columns, target).where((F.col("n0") > 0) & (F.col("n1") > 0))
            .withColumnRenamed("column", "coluna"))
-    sep = sep.withColumn("_p", _ks_p_udf("ks", "n0", "n1"))
+    sep = sep.withColumn("_p", scalar_udf(df.sparkSession, _ks_p)("ks", "n0", "n1"))
     a = _alpha_text(alpha)
     return _record(sep, TEST_KS, F.col("ks"), F.col("_p"), alpha,
                    F.format_string(KS_YES, F.col("coluna"), F.col("ks"), F.col("_p"), a),

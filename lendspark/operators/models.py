@@ -110,7 +110,7 @@ def with_probability(df: DataFrame, prob_col: str = "probability", out: str = "s
 
 def cross_validate(df: DataFrame, preprocessor: Pipeline, model_name: str = "logistic_regression",
                    label: str = "TARGET", id_col: str = "SK_ID_CURR", k: int = 5,
-                   seed: int = RANDOM_STATE, parallelism: int = 2, model_kwargs: dict | None = None,
+                   seed: int = RANDOM_STATE, parallelism: int | None = None, model_kwargs: dict | None = None,
                    runs_path: str | None = None, checkpoint: bool = True) -> tuple[DataFrame, DataFrame]:
     """Stratified k-fold CV. Per fold the full pipeline (preprocessing +
     classifier, class weights from the fold's training rows) is fitted on the
@@ -129,7 +129,7 @@ def cross_validate(df: DataFrame, preprocessor: Pipeline, model_name: str = "log
             F.col("fold"), F.col(label).alias("label"), "score")
 
     try:
-        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        with ThreadPoolExecutor(max_workers=max(1, parallelism or k)) as pool:
             scored = list(pool.map(run_fold, range(k)))
     except Exception as exc:  # noqa: BLE001 - wrap any training failure
         raise ModelTrainingError(f"Error training model '{model_name}': {exc}") from exc

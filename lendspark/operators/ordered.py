@@ -38,49 +38,55 @@ def _bucket_count(spark, n_buckets: int | None) -> int:
     return max(8, min(1024, 2 * parts))
 
 
-def _bucket_expr(df: DataFrame, value: str, groups: Sequence[str], n_buckets: int,
-                 accuracy: int) -> tuple[DataFrame | None, Column]:
-    """Return (boundary table or None, bucket column). Bucket = number of
-    boundaries below value: monotone in value, equal values share a bucket.
-    The table is returned only when there are too many groups for literals;
-    the caller then joins it."""
+def group_bounds(df: DataFrame, value: str, groups: Sequence[str], n_buckets: int,
+                 accuracy: int | None = None, extra_aggs: dict[str, Column] | None = None):
+    """One pass per group: approximate quantile boundaries of ``value`` (for
+    bucketing only, so a coarse ``accuracy`` suffices) plus any extra
+    aggregates. Returns (rows, table): ``rows`` are collected when there are at
+    most MAX_LITERAL_GROUPS groups (else None and the caller joins ``table``)."""
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    v = F.col(value)
-    bounds = df.groupBy(*groups).agg(
-        F.percentile_approx(v, probs, accuracy).alias("_bounds"))
-    rows = bounds.limit(MAX_LITERAL_GROUPS + 1).collect()
-    if len(rows) <= MAX_LITERAL_GROUPS:
-        def arr_lit(vals):
-            vals = sorted(set(x for x in (vals or []) if x is not None))
-            if not vals:
-                return F.array().cast("array<double>")
-            return F.array(*[F.lit(float(x)) for x in vals])
-        if not groups:
-            arr = arr_lit(rows[0]["_bounds"] if rows else [])
-        else:
-            pairs = []
-            for r in rows:
-                key = F.struct(*[F.lit(r[g]).alias(g) for g in groups])
-                pairs += [key, arr_lit(r["_bounds"])]
-            if not pairs:
-                return None, F.lit(0)
-            arr = F.element_at(F.create_map(*pairs), F.struct(*[F.col(g) for g in groups]))
-        bucket = F.size(F.filter(arr, lambda b: b < v.cast("double")))
-        return None, bucket
-    # Too many groups for literals: join the boundary table (shuffle join).
-    bucket = F.size(F.filter(F.col("_bounds"), lambda b: b < v.cast("double")))
-    return bounds, bucket
+    acc = accuracy or max(256, 8 * n_buckets)
+    aggs = [F.percentile_approx(F.col(value), probs, acc).alias("_bounds")]
+    aggs += [c.alias(k) for k, c in (extra_aggs or {}).items()]
+    table = df.groupBy(*groups).agg(*aggs)
+    rows = table.limit(MAX_LITERAL_GROUPS + 1).collect()
+    return (rows if len(rows) <= MAX_LITERAL_GROUPS else None), table
+
+
+def _bucket_expr(value: str, groups: Sequence[str], rows) -> Column:
+    """Bucket = number of boundaries below value: monotone in value, equal
+    values share a bucket. Boundaries are literals (#groups x #buckets)."""
+    v = F.col(value).cast("double")
+
+    def arr_lit(vals):
+        vals = sorted(set(float(x) for x in (vals or []) if x is not None))
+        if not vals:
+            return F.array().cast("array<double>")
+        return F.array(*[F.lit(x) for x in vals])
+    if not groups:
+        arr = arr_lit(rows[0]["_bounds"] if rows else [])
+    else:
+        pairs = []
+        for r in rows:
+            pairs += [F.struct(*[F.lit(r[g]).alias(g) for g in groups]), arr_lit(r["_bounds"])]
+        if not pairs:
+            return F.lit(0)
+        arr = F.element_at(F.create_map(*pairs), F.struct(*[F.col(g) for g in groups]))
+    return F.size(F.filter(arr, lambda b: b < v))
 
 
 def ordered_counts(df: DataFrame, value: str | Column, label: str | Column | None = None,
                    groups: Sequence[str] = (), n_buckets: int | None = None,
-                   accuracy: int = 10_000, value_name: str = "value") -> DataFrame:
+                   accuracy: int | None = None, value_name: str = "value",
+                   bounds=None) -> DataFrame:
     """One row per (groups, distinct value) with
 
     ``n`` rows at the value, ``before_n`` rows with a strictly smaller value,
     ``total_n`` rows in the group; with a 0/1 ``label`` also ``c0, c1``,
     ``before0, before1``, ``total0, total1``. Rows with a null value (or a null
-    label) are dropped, as the reference drops null pairs.
+    label) are dropped, as the reference drops null pairs. ``bounds`` takes
+    the output of :func:`group_bounds` when the caller already computed it
+    (so its pass can also carry other aggregates).
     """
     spark = df.sparkSession
     nb = _bucket_count(spark, n_buckets)
@@ -100,12 +106,14 @@ def ordered_counts(df: DataFrame, value: str | Column, label: str | Column | Non
         names += ["c0", "c1"]
     collapsed = base.groupBy(*groups, value_name).agg(*counts)
 
-    bounds, bucket = _bucket_expr(base, value_name, groups, nb, accuracy)
-    if bounds is not None:  # join path for very many groups
-        collapsed = collapsed.join(bounds, groups)
-    bucketed = collapsed.withColumn("_b", bucket)
-    if "_bounds" in bucketed.columns:
-        bucketed = bucketed.drop("_bounds")
+    rows, table = bounds if bounds is not None else group_bounds(base, value_name, groups, nb, accuracy)
+    if rows is not None:
+        bucketed = collapsed.withColumn("_b", _bucket_expr(value_name, groups, rows))
+    else:  # very many groups: join the boundary table (shuffle join)
+        bucketed = (collapsed.join(table.select(*groups, "_bounds"), groups)
+                    .withColumn("_b", F.size(F.filter(F.col("_bounds"),
+                                                      lambda b: b < F.col(value_name).cast("double"))))
+                    .drop("_bounds"))
 
     w_in = (Window.partitionBy(*groups, "_b").orderBy(value_name)
             .rowsBetween(Window.unboundedPreceding, -1))
@@ -132,10 +140,10 @@ def ordered_counts(df: DataFrame, value: str | Column, label: str | Column | Non
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                     groups: Sequence[str] = (), names: Sequence[str] | None = None,
-                    n_buckets: int | None = None) -> DataFrame:
+                    n_buckets: int | None = None, bounds=None) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas / numpy default),
     one row per group. Distributed: no group's values pass through one task."""
-    oc = ordered_counts(df, value, groups=groups, n_buckets=n_buckets, value_name="_v")
+    oc = ordered_counts(df, value, groups=groups, n_buckets=n_buckets, value_name="_v", bounds=bounds)
     cum = F.col("before_n") + F.col("n")
     aggs = []
     names = list(names) if names else [f"q{p}" for p in probs]

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from lendspark.functions.nulls import round_half_even
 from lendspark.functions.scalar import right_closed_bin
-from lendspark.operators.ordered import exact_quantiles, ordered_counts
+from lendspark.operators.ordered import _bucket_count, exact_quantiles, group_bounds, ordered_counts
 
 TARGET = "TARGET"
 AGG_CHUNK = 100  # expressions per aggregate, below codegen limits
@@ -75,38 +75,54 @@ def _wide_to_long(df: DataFrame, columns: Sequence[str], per_col) -> DataFrame:
     return out
 
 
+def _long_pass(df: DataFrame, cols: Sequence[str], aggs: dict[str, Column]):
+    """One ``groupBy(column)`` pass over the unpivoted numeric columns (nulls
+    kept, so row counts are right) computing bucket bounds for the ordered
+    counts plus ``aggs``. The aggregate has a fixed number of expressions
+    whatever the column count. Returns (long values without nulls, bounds,
+    per-column statistics as a small DataFrame)."""
+    spark = df.sparkSession
+    lv_all = (df.select(*[_q(c).cast("double").alias(c) for c in cols])
+                .unpivot([], list(cols), "column", "value"))
+    rows, table = group_bounds(lv_all, "value", ["column"], _bucket_count(spark, None), extra_aggs=aggs)
+    if rows is None:
+        stats = table.drop("_bounds")
+    else:  # one row per column
+        schema = T.StructType([f for f in table.schema.fields if f.name != "_bounds"])
+        stats = spark.createDataFrame([tuple(r[f.name] for f in schema.fields) for r in rows], schema)
+    return lv_all.where(F.col("value").isNotNull()), (rows, table), stats
+
+
 def numeric_profile(df: DataFrame, target: str = TARGET, decimals: int = 4) -> DataFrame:
     """``coluna, media, mediana, desvio_padrao, minimo, maximo, skewness,
-    kurtosis, pct_nulos, n_unicos`` per numeric column except the label."""
+    kurtosis, pct_nulos, n_unicos`` per numeric column except the label.
+    Two passes: moments + bucket bounds, then exact medians / distinct counts."""
     cols = numeric_columns(df, exclude=[target])
     if not cols:
         raise ValueError("No numeric columns to profile.")
-
-    def per_col(c):
-        x = _q(c).cast("double")
-        return {"_n": F.count(x).cast("double"), "media": F.avg(x),
-                "desvio_padrao": F.stddev_samp(x), "minimo": F.min(x), "maximo": F.max(x),
-                "_g1": F.skewness(x), "_g2": F.kurtosis(x), "_var": F.var_pop(x),
-                "_nulls": F.count_if(x.isNull()), "_rows": F.count(F.lit(1))}
-
-    moments = _wide_to_long(df, cols, per_col)
-    oc = ordered_counts(long_values(df, cols), "value", groups=["column"], value_name="_v")
+    x = F.col("value")
+    lv, bounds, moments = _long_pass(df, cols, {
+        "_n": F.count(x).cast("double"), "_rows": F.count(F.lit(1)), "media": F.avg(x),
+        "desvio_padrao": F.stddev_samp(x), "minimo": F.min(x), "maximo": F.max(x),
+        "_g1": F.skewness(x), "_g2": F.kurtosis(x), "_var": F.var_pop(x)})
+    oc = ordered_counts(lv, "value", groups=["column"], value_name="_v", bounds=bounds)
     h = (F.col("total_n") - 1) * 0.5
     med = oc.groupBy("column").agg(
         F.count(F.lit(1)).alias("n_unicos"),
         ((F.min(F.when(F.col("before_n") + F.col("n") >= F.floor(h) + 1, F.col("_v")))
           + F.min(F.when(F.col("before_n") + F.col("n") >= F.ceil(h) + 1, F.col("_v")))) / 2
          ).alias("mediana"))
-    j = moments.join(med, moments.coluna == med.column, "left")
+    j = moments.join(med, "column", "left")
     n, var = F.col("_n"), F.col("_var")
     r = lambda c: round_half_even(c, decimals)
     return j.select(
-        "coluna", r(F.col("media")).alias("media"), r(F.col("mediana")).alias("mediana"),
+        F.col("column").alias("coluna"), r(F.col("media")).alias("media"),
+        r(F.col("mediana")).alias("mediana"),
         r(F.col("desvio_padrao")).alias("desvio_padrao"), r(F.col("minimo")).alias("minimo"),
         r(F.col("maximo")).alias("maximo"),
         r(_sample_skew(F.col("_g1"), n, var)).alias("skewness"),
         r(_sample_kurt(F.col("_g2"), n, var)).alias("kurtosis"),
-        round_half_even(F.col("_nulls") / F.col("_rows") * 100, 2).alias("pct_nulos"),
+        round_half_even((F.col("_rows") - F.col("_n")) / F.col("_rows") * 100, 2).alias("pct_nulos"),
         F.coalesce(F.col("n_unicos"), F.lit(0)).cast("long").alias("n_unicos"))
 
 
@@ -162,20 +178,17 @@ def columns_below_null_share(df: DataFrame, max_share: float = 0.5) -> list[str]
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """E5: count, mean, std, min, exact quartiles, max, one row per column."""
+    """E5: count, mean, std, min, exact quartiles, max, one row per column
+    (two passes, like :func:`numeric_profile`)."""
     cols = list(columns) if columns else numeric_columns(df)
-
-    def per_col(c):
-        x = _q(c).cast("double")
-        return {"count": F.count(x), "mean": F.avg(x), "std": F.stddev_samp(x),
-                "min": F.min(x), "max": F.max(x)}
-
-    base = _wide_to_long(df, cols, per_col)
-    q = exact_quantiles(long_values(df, cols), "value", [0.25, 0.5, 0.75],
-                        groups=["column"], names=["q25", "q50", "q75"])
-    j = base.join(q, base.coluna == q.column, "left")
-    return j.select(F.col("coluna").alias("column"), "count", "mean", "std", "min",
-                    "q25", "q50", "q75", "max")
+    x = F.col("value")
+    lv, bounds, base = _long_pass(df, cols, {
+        "count": F.count(x), "mean": F.avg(x), "std": F.stddev_samp(x),
+        "min": F.min(x), "max": F.max(x)})
+    q = exact_quantiles(lv, "value", [0.25, 0.5, 0.75], groups=["column"],
+                        names=["q25", "q50", "q75"], bounds=bounds)
+    j = base.join(q, "column", "left")
+    return j.select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def duplicate_count(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -100,7 +100,9 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> dict:
         return me
 
     node(np.arange(len(x)), 0)
-    return {"feature": feat, "threshold": thr, "left": left, "right": right, "size": size}
+    # adj: expected remaining path length below each leaf, c(size)
+    return {"feature": feat, "threshold": thr, "left": left, "right": right, "size": size,
+            "adj": [_c(v) for v in size]}
 
 
 def _path_lengths(x: np.ndarray, tree: dict) -> np.ndarray:
@@ -109,7 +111,7 @@ def _path_lengths(x: np.ndarray, tree: dict) -> np.ndarray:
     thr = np.asarray(tree["threshold"])
     left = np.asarray(tree["left"])
     right = np.asarray(tree["right"])
-    size = np.asarray(tree["size"])
+    adj = np.asarray(tree["adj"]) if "adj" in tree else np.array([_c(v) for v in tree["size"]])
     node = np.zeros(len(x), dtype=np.int64)
     depth = np.zeros(len(x))
     active = feat[node] >= 0
@@ -120,7 +122,7 @@ def _path_lengths(x: np.ndarray, tree: dict) -> np.ndarray:
         node[rows] = np.where(go_left, left[nd], right[nd])
         depth[rows] += 1
         active = feat[node] >= 0
-    return depth + np.array([_c(s) for s in size[node]])
+    return depth + adj[node]
 
 
 class IsolationForestModel:
@@ -159,20 +161,23 @@ class IsolationForestModel:
 
         return src.mapInPandas(run, schema)
 
-    def predict(self, df: DataFrame, features_col: str = "features", out: str = "anomalia") -> DataFrame:
+    def predict(self, df: DataFrame, features_col: str = "features", out: str = "anomalia",
+                scored: DataFrame | None = None) -> DataFrame:
         """1 = normal, -1 = anomaly (score above the fitted threshold)."""
-        s = self.score(df, features_col)
+        s = scored if scored is not None else self.score(df, features_col)
         return s.withColumn(out, F.when(F.col("anomaly_score") > F.lit(self.threshold), F.lit(-1))
                             .otherwise(F.lit(1)).cast("int"))
 
 
 def fit_isolation_forest(df: DataFrame, features_col: str = "features", n_trees: int = N_TREES,
                          max_samples: int = MAX_SAMPLES, contamination: float = CONTAMINATION,
-                         seed: int = RANDOM_STATE, id_col: str | None = None) -> IsolationForestModel:
+                         seed: int = RANDOM_STATE, id_col: str | None = None,
+                         with_threshold: bool = True) -> IsolationForestModel:
     """Grow ``n_trees`` trees on independent sub-samples of size
     ~``max_samples`` (each row joins tree t when a seeded hash falls under
-    max_samples / n; no row expansion before the filter), then set the
-    threshold at the (1 - contamination) quantile of the training scores."""
+    max_samples / n; no row expansion before the filter), then (unless
+    ``with_threshold`` is False) set the threshold at the (1 - contamination)
+    quantile of the training scores."""
     ship_package(df.sparkSession)
     n = df.count()
     psi = min(max_samples, n)
@@ -196,15 +201,29 @@ def fit_isolation_forest(df: DataFrame, features_col: str = "features", n_trees:
     trees = [json.loads(r["tree"]) for r in rows]
     n_features = len(df.select(features_col).first()[0])
     model = IsolationForestModel(trees, n_features, psi, None)
-    scores = model.score(df.select(features_col), features_col)
-    thr = exact_quantiles(scores, "anomaly_score", [1.0 - contamination], names=["t"]).first()["t"]
-    model.threshold = float(thr)
+    if with_threshold:
+        fit_threshold(model, model.score(df.select(features_col), features_col), contamination)
     return model
 
 
+def fit_threshold(model: IsolationForestModel, scored: DataFrame,
+                  contamination: float = CONTAMINATION) -> float:
+    """(1 - contamination) quantile of the training scores, exact and
+    distributed."""
+    thr = exact_quantiles(scored, "anomaly_score", [1.0 - contamination], names=["t"]).first()["t"]
+    model.threshold = float(thr)
+    return model.threshold
+
+
 def detect_anomalies(df: DataFrame, features_col: str = "features",
                      contamination: float = CONTAMINATION, seed: int = RANDOM_STATE,
                      id_col: str | None = None) -> DataFrame:
-    """L18 as one call: fit on ``df`` and flag its rows (1 normal, -1 anomaly)."""
-    model = fit_isolation_forest(df, features_col, contamination=contamination, seed=seed, id_col=id_col)
-    return model.predict(df, features_col)
+    """L18 as one call: fit on ``df`` and flag its rows (1 normal, -1 anomaly).
+    Rows are scored once; the scored frame is persisted (memory and disk,
+    recomputable from lineage) for the threshold job and the output."""
+    from pyspark import StorageLevel
+    model = fit_isolation_forest(df, features_col, contamination=contamination, seed=seed,
+                                 id_col=id_col, with_threshold=False)
+    scored = model.score(df, features_col).persist(StorageLevel.MEMORY_AND_DISK)
+    fit_threshold(model, scored, contamination)
+    return model.predict(df, features_col, scored=scored)

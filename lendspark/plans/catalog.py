@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lendspark.functions.nulls import round_half_even, stable_round_sql
 from lendspark.operators import features as feat
 from lendspark.operators import profile as prof
+from lendspark.session import cut_lineage
 from lendspark.sources import roles
 from lendspark.sources.roles import (APPLICATION_SQL, BUREAU_SQL, CREDIT_CARD_SQL,
                                      INSTALLMENTS_SQL, SCORES_SQL, with_sql)
@@ -48,13 +49,16 @@ def r6(c):
     return round_half_even(c, 6)
 
 
-def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applications joined with all three history aggregates."""
-    return feat.enrich_with_history(
+def enriched(spark: SparkSession, sf_dir: str, materialize: bool = False) -> DataFrame:
+    """Applications joined with all three history aggregates. Queries that
+    pass over it several times materialize it once (reliable checkpoint in
+    the shared folder) instead of recomputing the joins per pass."""
+    e = feat.enrich_with_history(
         roles.application(spark, sf_dir),
         bureau=roles.bureau(spark, sf_dir),
         credit_card=roles.credit_card(spark, sf_dir),
         installments=roles.installments(spark, sf_dir))
+    return cut_lineage(e) if materialize else e
 
 
 _AGG_SQL = """
@@ -285,7 +289,7 @@ FROM enriched""")
 
 @register("numeric_profile", _profile_sql(_PROFILE_COLS))
 def q_numeric_profile(spark, sf_dir):
-    e = enriched(spark, sf_dir).select("TARGET", *_PROFILE_COLS)
+    e = enriched(spark, sf_dir, materialize=True).select("TARGET", *_PROFILE_COLS)
     return prof.numeric_profile(e)
 
 

@@ -132,7 +132,7 @@ def q_validation_errors(spark, sf_dir):
 def q_cross_validation_logistic(spark, sf_dir):
     app = roles.application(spark, sf_dir)
     _, summary = mdl.cross_validate(app, prep.build_preprocessor(NUM, CAT), "logistic_regression",
-                                    k=5, parallelism=2)
+                                    k=5)
     return summary
 
 

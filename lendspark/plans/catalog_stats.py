@@ -37,7 +37,7 @@ def _long_sql(table: str, cols, label: str = "TARGET") -> str:
 SELECT coluna, round_even(r, 6) AS correlacao FROM c WHERE r IS NOT NULL AND NOT isnan(r)
 ORDER BY correlacao, coluna""")
 def q_correlation_pearson(spark, sf_dir):
-    e = enriched(spark, sf_dir)
+    e = enriched(spark, sf_dir, materialize=True)
     assert sorted(numeric_columns(e, exclude=["TARGET"])) == sorted(ENRICHED_NUMERIC)
     c = assoc.correlation_with_target(e, "pearson")
     return c.select("coluna", r6("correlacao").alias("correlacao"))
@@ -51,7 +51,7 @@ hi AS (SELECT coluna, r FROM v ORDER BY r DESC, coluna DESC LIMIT 3)
 SELECT coluna, round_even(r, 6) AS correlacao FROM lo
 UNION ALL SELECT coluna, round_even(r, 6) AS correlacao FROM hi""")
 def q_correlation_pearson_top3(spark, sf_dir):
-    c = assoc.correlation_with_target(enriched(spark, sf_dir), "pearson", top_n=3)
+    c = assoc.correlation_with_target(enriched(spark, sf_dir, materialize=True), "pearson", top_n=3)
     return c.select("coluna", r6("correlacao").alias("correlacao"))
 
 
@@ -70,7 +70,7 @@ GROUP BY cname HAVING corr(rx, ry) IS NOT NULL AND NOT isnan(corr(rx, ry))"""
 
 @register("correlation_spearman", ENRICHED_WITH + _RANK_SQL.format(long=_long_sql("enriched", ENRICHED_NUMERIC)))
 def q_correlation_spearman(spark, sf_dir):
-    c = assoc.correlation_with_target(enriched(spark, sf_dir), "spearman")
+    c = assoc.correlation_with_target(enriched(spark, sf_dir, materialize=True), "spearman")
     return c.select("coluna", r6("correlacao").alias("correlacao"))
 
 
@@ -91,7 +91,7 @@ WHERE tau IS NOT NULL AND NOT isnan(tau)"""
 
 @register("correlation_kendall", ENRICHED_WITH + _KENDALL_SQL.format(long=_long_sql("enriched", ENRICHED_NUMERIC)))
 def q_correlation_kendall(spark, sf_dir):
-    c = assoc.correlation_with_target(enriched(spark, sf_dir), "kendall")
+    c = assoc.correlation_with_target(enriched(spark, sf_dir, materialize=True), "kendall")
     return c.select("coluna", r6("correlacao").alias("correlacao"))
 
 
@@ -118,7 +118,7 @@ def q_correlation_matrix_auto_orders(spark, sf_dir):
 
 @register("point_biserial")
 def q_point_biserial(spark, sf_dir):
-    pb = assoc.point_biserial(enriched(spark, sf_dir))
+    pb = assoc.point_biserial(enriched(spark, sf_dir, materialize=True))
     return pb.select("coluna", r6("correlacao").alias("correlacao"),
                      r6("p_valor").alias("p_valor"), "significativo")
 
@@ -212,7 +212,7 @@ ks AS (SELECT cum.cname, max(abs(a1 * 1.0 / u.n1 - a0 * 1.0 / u.n0)) AS d
 SELECT cname AS variavel, round_even(r0 - n0 * (n0 + 1) / 2.0, 4) AS estatistica, n0, n1
 FROM u WHERE n0 > 0 AND n1 > 0""")
 def q_mann_whitney_u(spark, sf_dir):
-    sep = hyp._separation(enriched(spark, sf_dir), _MWU_COLS, "TARGET")
+    sep = hyp._separation(enriched(spark, sf_dir, materialize=True), _MWU_COLS, "TARGET")
     return sep.where((F.col("n0") > 0) & (F.col("n1") > 0)).select(
         F.col("column").alias("variavel"), r4("u0").alias("estatistica"), "n0", "n1")
 
@@ -220,19 +220,19 @@ def q_mann_whitney_u(spark, sf_dir):
 @register("ks_two_sample_statistic", ENRICHED_WITH + _SEP_SQL.format(long=_long_sql("enriched", _MWU_COLS)) + """
 SELECT cname AS variavel, round_even(d, 6) AS estatistica FROM ks""")
 def q_ks_two_sample_statistic(spark, sf_dir):
-    sep = hyp._separation(enriched(spark, sf_dir), _MWU_COLS, "TARGET")
+    sep = hyp._separation(enriched(spark, sf_dir, materialize=True), _MWU_COLS, "TARGET")
     return sep.select(F.col("column").alias("variavel"), r6("ks").alias("estatistica"))
 
 
 @register("hypothesis_battery")
 def q_hypothesis_battery(spark, sf_dir):
-    e = enriched(spark, sf_dir)
+    e = enriched(spark, sf_dir, materialize=True)
     return hyp.test_battery(e)
 
 
 @register("hypothesis_records_rendered")
 def q_hypothesis_records_rendered(spark, sf_dir):
-    e = enriched(spark, sf_dir)
+    e = enriched(spark, sf_dir, materialize=True)
     recs = (hyp.mann_whitney_tests(e, _MWU_COLS)
             .unionByName(hyp.ks_tests(e, _MWU_COLS))
             .unionByName(hyp.chi2_tests(e, CATEGORICAL)))
@@ -241,7 +241,7 @@ def q_hypothesis_records_rendered(spark, sf_dir):
 
 @register("significance_summary")
 def q_significance_summary(spark, sf_dir):
-    return hyp.significance_summary(hyp.test_battery(enriched(spark, sf_dir)))
+    return hyp.significance_summary(hyp.test_battery(enriched(spark, sf_dir, materialize=True)))
 
 
 # ---------------------------------------------------------------------------
