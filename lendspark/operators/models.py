@@ -184,7 +184,7 @@ def random_search(df: DataFrame, preprocessor: Pipeline, param_space: dict,
     folded = cut_lineage(folded)
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps,
                         evaluator=BinaryClassificationEvaluator(labelCol=label, numBins=0),
-                        foldCol="fold", parallelism=parallelism, seed=seed)
+                        foldCol="fold", numFolds=k, parallelism=parallelism, seed=seed)
     cvm = cv.fit(folded)
     best = max(range(len(draws)), key=lambda i: cvm.avgMetrics[i])
     return draws[best], float(cvm.avgMetrics[best]), cvm.bestModel
