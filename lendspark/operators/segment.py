@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lendspark.operators.ordered import exact_quantiles
-from lendspark.session import ship_package
+from lendspark.session import ship_package, spread
 
 N_CLUSTERS = 5
 RANDOM_STATE = 42
@@ -102,26 +102,29 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> dict:
     node(np.arange(len(x)), 0)
     # adj: expected remaining path length below each leaf, c(size)
     return {"feature": feat, "threshold": thr, "left": left, "right": right, "size": size,
-            "adj": [_c(v) for v in size]}
+            "adj": [_c(v) for v in size], "depth": limit}
 
 
 def _path_lengths(x: np.ndarray, tree: dict) -> np.ndarray:
-    """Path length of every row in one tree (vectorised over rows)."""
+    """Path length of every row in one tree: fixed-depth vector steps over
+    all rows (leaves point to themselves), then the leaf's size correction."""
     feat = np.asarray(tree["feature"])
     thr = np.asarray(tree["threshold"])
     left = np.asarray(tree["left"])
     right = np.asarray(tree["right"])
     adj = np.asarray(tree["adj"]) if "adj" in tree else np.array([_c(v) for v in tree["size"]])
+    inner = feat >= 0
+    f_safe = np.where(inner, feat, 0)
+    rows = np.arange(len(x))
     node = np.zeros(len(x), dtype=np.int64)
     depth = np.zeros(len(x))
-    active = feat[node] >= 0
-    while active.any():
-        rows = np.flatnonzero(active)
-        nd = node[rows]
-        go_left = x[rows, feat[nd]] < thr[nd]
-        node[rows] = np.where(go_left, left[nd], right[nd])
-        depth[rows] += 1
-        active = feat[node] >= 0
+    for _ in range(int(tree.get("depth", 64))):
+        live = inner[node]
+        if not live.any():
+            break
+        go_left = x[rows, f_safe[node]] < thr[node]
+        node = np.where(live, np.where(go_left, left[node], right[node]), node)
+        depth += live
     return depth + adj[node]
 
 
@@ -140,23 +143,23 @@ class IsolationForestModel:
         cpsi = _c(self.sample_size)
         keep = [f for f in df.schema.fields if not isinstance(f.dataType, VectorUDT)]
         names = [f.name for f in keep]
-        src = df.select(*[F.col(f"`{c}`") for c in names], vector_to_array(features_col).alias("_x"))
+        # one double column per feature: columnar Arrow batches, no per-row arrays
+        arr = vector_to_array(features_col)
+        xcols = [f"_x{i}" for i in range(self.n_features)]
+        src = spread(df.select(*[F.col(f"`{c}`") for c in names],
+                               *[arr[i].alias(c) for i, c in enumerate(xcols)]))
         schema = T.StructType(keep + [T.StructField(out, T.DoubleType())])
 
         def run(batches):
             trees = json.loads(b_trees.value)
             for pdf in batches:
                 res = pdf[names].copy()
-                if len(pdf) == 0:
-                    res[out] = pd.Series(dtype="float64")
-                    yield res
-                    continue
-                x = np.vstack([np.asarray(v, dtype=float) for v in pdf["_x"]])
+                x = pdf[xcols].to_numpy(dtype=float)
                 h = np.zeros(len(pdf))
                 for t in trees:
                     h += _path_lengths(x, t)
                 h /= max(len(trees), 1)
-                res[out] = np.power(2.0, -h / cpsi) if cpsi > 0 else 0.5
+                res[out] = np.power(2.0, -h / cpsi) if cpsi > 0 else np.full(len(pdf), 0.5)
                 yield res
 
         return src.mapInPandas(run, schema)
@@ -183,11 +186,19 @@ def fit_isolation_forest(df: DataFrame, features_col: str = "features", n_trees:
     psi = min(max_samples, n)
     p = psi / max(n, 1)
     key = F.col(id_col) if id_col else F.monotonically_increasing_id()
-    # uniform in [0, 1) per (row, tree): hash of (key, tree, seed)
-    u = lambda t: (F.pmod(F.xxhash64(key, t, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30)))
-    trees_of_row = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: u(t) < F.lit(p))
-    sampled = (df.select(vector_to_array(features_col).alias("_x"), trees_of_row.alias("_trees"))
-                 .select("_x", F.explode("_trees").alias("tree_id")))
+    if n >= n_trees * psi:
+        # Large input: one hash per row picks one of n // psi disjoint random
+        # chunks of ~psi rows; chunk t (< n_trees) trains tree t.
+        chunks = n // psi
+        tree_id = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(chunks)).cast("int")
+        sampled = (df.select(vector_to_array(features_col).alias("_x"), tree_id.alias("tree_id"))
+                     .where(F.col("tree_id") < n_trees))
+    else:
+        # Small input: row joins tree t when its (row, tree) hash is under psi / n.
+        u = lambda t: (F.pmod(F.xxhash64(key, t, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30)))
+        trees_of_row = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: u(t) < F.lit(p))
+        sampled = (df.select(vector_to_array(features_col).alias("_x"), trees_of_row.alias("_trees"))
+                     .select("_x", F.explode("_trees").alias("tree_id")))
     limit = int(math.ceil(math.log2(max(psi, 2))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:

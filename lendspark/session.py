@@ -90,3 +90,13 @@ def ship_package(spark: SparkSession) -> None:
                                   root_dir=os.path.dirname(pkg_dir), base_dir="lendspark")
     sc.addPyFile(archive)
     _SHIPPED.add(key)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin repartition before a CPU-heavy Python stage when the input
+    has fewer partitions than the cluster has cores (a few large input files);
+    inputs that are already split are left alone."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
