@@ -99,15 +99,22 @@ def class_medians_of(df: DataFrame, column: str, target: str = TARGET) -> DataFr
 
 
 def violin_stats(df: DataFrame, columns: Sequence[str], target: str = TARGET, grid: int = 100) -> DataFrame:
-    """M5: density (M2) plus quartiles (M3) for several amount columns, long by column."""
+    """M5: per amount column and class, the density curve (M2) with the
+    class quartiles (M3) alongside: ``column, TARGET, x, density, q1, median, q3``."""
+    from lendspark.operators.profile import long_values
     parts = []
     for c in columns:
-        d = density_by_class(df, c, target, trim_percentile=None, grid=grid).withColumn("column", F.lit(c))
-        parts.append(d)
-    out = parts[0]
+        parts.append(density_by_class(df, c, target, trim_percentile=None, grid=grid)
+                     .withColumn("column", F.lit(c)))
+    dens = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        dens = dens.unionByName(p)
+    # all columns' quartiles in one distributed job (groups = column x class)
+    lv = long_values(df.where(_q(target).isNotNull()), columns, keep=[target])
+    q = exact_quantiles(lv, "value", [0.25, 0.5, 0.75], groups=["column", target],
+                        names=["q1", "median", "q3"])
+    # q: one row per (column, class)
+    return dens.join(F.broadcast(q), ["column", target], "left")
 
 
 def category_rates(df: DataFrame, column: str, target: str = TARGET, min_samples: int = 0) -> DataFrame:

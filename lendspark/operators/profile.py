@@ -93,6 +93,23 @@ def _long_pass(df: DataFrame, cols: Sequence[str], aggs: dict[str, Column]):
     return lv_all.where(F.col("value").isNotNull()), (rows, table), stats
 
 
+def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True,
+                    rsd: float = 0.01) -> DataFrame:
+    """Non-null distinct values per column. Exact: one shuffle of the
+    unpivoted ``(column, value)`` pairs (partial aggregation map-side).
+    ``exact=False`` uses HyperLogLog++ (``approx_count_distinct``, relative
+    error ``rsd``), no shuffle of values at all."""
+    cols = list(columns) if columns else df.columns
+    if not exact:
+        def per_col(c):
+            return {"n_unicos": F.approx_count_distinct(_q(c), rsd)}
+        return _wide_to_long(df, cols, per_col)
+    lv = (df.select(*[_q(c).cast("string").alias(c) for c in cols])
+            .unpivot([], cols, "coluna", "value").where(F.col("value").isNotNull()))
+    return (lv.distinct().groupBy("coluna")
+              .agg(F.count(F.lit(1)).alias("n_unicos")))
+
+
 def numeric_profile(df: DataFrame, target: str = TARGET, decimals: int = 4) -> DataFrame:
     """``coluna, media, mediana, desvio_padrao, minimo, maximo, skewness,
     kurtosis, pct_nulos, n_unicos`` per numeric column except the label.

@@ -461,6 +461,35 @@ def q_upper_trim_p99_totalprice(spark, sf_dir):
     return prof.upper_trim(o, "o_totalprice", 99.0)
 
 
+@register("distinct_counts_lineitem", "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS coluna, count(DISTINCT {c}) AS n_unicos FROM lineitem"
+    for c in ["l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate", "l_quantity"]))
+def q_distinct_counts_lineitem(spark, sf_dir):
+    li = roles.table(spark, sf_dir, "lineitem")
+    return prof.distinct_counts(li, ["l_orderkey", "l_partkey", "l_suppkey", "l_returnflag",
+                                     "l_shipdate", "l_quantity"])
+
+
+@register("sql_report_application", with_sql(APPLICATION_SQL) + """
+SELECT NAME_INCOME_TYPE AS segment, count(*) AS n,
+       round_even(CAST(avg(AMT_CREDIT) AS DOUBLE), 2) AS avg_credit,
+       round_even(CAST(stddev_samp(AMT_CREDIT) AS DOUBLE), 2) AS std_credit,
+       round_even(CAST(avg(TARGET) * 100 AS DOUBLE), 2) AS default_pct
+FROM application GROUP BY NAME_INCOME_TYPE""")
+def q_sql_report_application(spark, sf_dir):
+    """A SQL report over a registered view (Catalyst plans the
+    SQL text exactly like the DataFrame API)."""
+    from lendspark.sources.io import sql_scan
+    roles.application(spark, sf_dir).createOrReplaceTempView("application_view")
+    rep = sql_scan(spark, """
+        SELECT NAME_INCOME_TYPE AS segment, COUNT(*) AS n,
+               AVG(AMT_CREDIT) AS avg_credit, STDDEV(AMT_CREDIT) AS std_credit,
+               AVG(TARGET) * 100 AS default_pct
+        FROM application_view GROUP BY NAME_INCOME_TYPE""")
+    return rep.select("segment", "n", r2("avg_credit").alias("avg_credit"),
+                      r2("std_credit").alias("std_credit"), r2("default_pct").alias("default_pct"))
+
+
 def queries() -> dict[str, Query]:
     _load_all()
     return dict(QUERIES)

@@ -178,3 +178,34 @@ def test_evaluate_metrics(spark):
     assert m.log_loss == pytest.approx(ll)
     pts = ev.roc_points(df).collect()
     assert len(pts) == 7 and sum(p.is_ks_point for p in pts) == 1
+
+
+def test_distinct_counts_exact_and_approx(spark):
+    df = spark.createDataFrame([(i % 7, None if i % 5 == 0 else f"s{i % 3}") for i in range(100)],
+                               "a int, b string")
+    ex = {r.coluna: r.n_unicos for r in prof.distinct_counts(df).collect()}
+    ap = {r.coluna: r.n_unicos for r in prof.distinct_counts(df, exact=False).collect()}
+    assert ex == {"a": 7, "b": 3} and ap == ex
+
+
+def test_chart_data(spark):
+    from lendspark.operators import charts
+    rng = np.random.default_rng(5)
+    rows = [(float(v), int(t)) for v, t in zip(rng.normal(10, 2, 400), rng.integers(0, 2, 400))]
+    df = spark.createDataFrame(rows, "x double, TARGET int")
+    dens = charts.density_by_class(df, "x", trim_percentile=None, grid=400).toPandas()
+    for t, g in dens.groupby("TARGET"):
+        area = np.trapezoid(g.density, g.x)
+        assert 0.9 < area <= 1.01          # mass inside [min, max] of the data
+    h = charts.histogram(df, "x", bins=10).collect()
+    assert sum(r["count"] for r in h) == 400 and max(r.bin for r in h) == 10
+    counts, _ = np.histogram([r[0] for r in rows], bins=10)
+    assert [r["count"] for r in sorted(h, key=lambda r: r.bin)] == [c for c in counts if c > 0]
+    box = charts.box_stats(df, "x").collect()
+    x0 = np.array([v for v, t in rows if t == 0])
+    q1, q3 = np.quantile(x0, [0.25, 0.75])
+    b0 = [b for b in box if b.TARGET == 0][0]
+    assert b0.q1 == pytest.approx(q1) and b0.q3 == pytest.approx(q3)
+    assert b0.whisker_low == pytest.approx(x0[x0 >= q1 - 1.5 * (q3 - q1)].min())
+    bal = charts.class_balance(df).collect()
+    assert sum(r.pct for r in bal) == pytest.approx(100.0)
