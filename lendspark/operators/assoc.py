@@ -188,7 +188,8 @@ def chi2_by_column(df: DataFrame, columns: Sequence[str], target: str = TARGET,
     dims = cells.groupBy("column").agg(
         F.sum("obs").alias("N"), F.count_distinct("value").alias("r"),
         F.count_distinct("_y").alias("c"))
-    full = (rt.join(ct, "column").join(dims, "column")
+    # ct: #columns x #classes rows, dims: one row per column (bounded, broadcast)
+    full = (rt.join(F.broadcast(ct), "column").join(F.broadcast(dims), "column")
               .join(cells, ["column", "value", "_y"], "left")
               .withColumn("obs", F.coalesce("obs", F.lit(0)).cast("double")))
     exp = F.col("rt") * F.col("ct") / F.col("N")

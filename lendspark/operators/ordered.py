@@ -26,6 +26,7 @@ from lendspark.functions.nulls import col_of
 
 DEFAULT_BUCKETS = 64
 MAX_LITERAL_GROUPS = 4096
+MAX_LITERALS = 100_000
 
 
 def _bucket_count(spark, n_buckets: int | None) -> int:
@@ -107,10 +108,16 @@ def ordered_counts(df: DataFrame, value: str | Column, label: str | Column | Non
     collapsed = base.groupBy(*groups, value_name).agg(*counts)
 
     rows, table = bounds if bounds is not None else group_bounds(base, value_name, groups, nb, accuracy)
-    if rows is not None:
+    if rows is not None and len(rows) * nb <= MAX_LITERALS:
         bucketed = collapsed.withColumn("_b", _bucket_expr(value_name, groups, rows))
-    else:  # very many groups: join the boundary table (shuffle join)
-        bucketed = (collapsed.join(table.select(*groups, "_bounds"), groups)
+    else:
+        if rows is not None:  # collected, <= MAX_LITERAL_GROUPS rows: broadcast it
+            bt = F.broadcast(spark.createDataFrame(
+                [tuple(r[g] for g in groups) + (r["_bounds"],) for r in rows],
+                table.select(*groups, "_bounds").schema))
+        else:  # very many groups: shuffle join with the boundary table
+            bt = table.select(*groups, "_bounds")
+        bucketed = (collapsed.join(bt, groups)
                     .withColumn("_b", F.size(F.filter(F.col("_bounds"),
                                                       lambda b: b < F.col(value_name).cast("double"))))
                     .drop("_bounds"))
@@ -186,10 +193,12 @@ def class_separation(df: DataFrame, score: str | Column, label: str | Column,
 
 
 def hashed_row_numbers(df: DataFrame, groups: Sequence[str], order_key: Column,
-                       out: str = "_rn", bits: int = 8) -> DataFrame:
+                       out: str = "_rn", bits: int = 16) -> DataFrame:
     """0-based row number within ``groups`` in the order of a 64-bit hash key,
     without a global window: the top ``bits`` of the (uniform) hash split each
-    group into 2^bits ordered buckets; offsets come from a tiny bucket table."""
+    group into 2^bits ordered buckets (a group of 10^12 rows gives ~1.5x10^7
+    rows per window partition); offsets come from a bucket table of at most
+    groups x 2^bits rows."""
     shift = 64 - bits
     keyed = df.withColumn("_k", order_key).withColumn("_hb", F.shiftright(F.col("_k"), shift))
     w = Window.partitionBy(*groups, "_hb").orderBy("_k")
