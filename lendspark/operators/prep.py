@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark import keyword_only
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lendspark.operators.features import AnomalyHandler, DomainFeatureBuilder
 from lendspark.operators.ordered import exact_quantiles, hashed_row_numbers
-from lendspark.operators.profile import _q, long_values
+from lendspark.operators.profile import _long_pass, _q, long_values
 
 RANDOM_STATE = 42
 
@@ -59,17 +60,35 @@ class NumericImputerScaler(Estimator, HasInputCols, HasOutputCols,
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _fit(self, df: DataFrame) -> NumericImputerScalerModel:
+        """Two passes: (1) per column non-null count, mean and population
+        variance, together with the bucket bounds of (2) the exact medians.
+        The imputed column's mean / variance then follow exactly from the
+        parallel-variance combination (Chan, Golub & LeVeque) of the non-null
+        values with n_null copies of the median, without a third pass."""
         cols = self.getInputCols()
         outs = self.getOutputCols() if self.isSet(self.outputCols) else cols
-        med_rows = exact_quantiles(long_values(df, cols), "value", [0.5], groups=["column"],
-                                   names=["m"]).collect()  # one row per column
+        x = F.col("value")
+        lv, bounds, stats = _long_pass(df, cols, {
+            "_n": F.count(x), "_rows": F.count(F.lit(1)), "_mean": F.avg(x), "_var": F.var_pop(x)})
+        med_rows = exact_quantiles(lv, "value", [0.5], groups=["column"], names=["m"],
+                                   bounds=bounds).collect()          # one row per column
         med = {r["column"]: r["m"] for r in med_rows}
-        medians = [float(med[c]) if med.get(c) is not None else 0.0 for c in cols]
-        filled = [F.coalesce(_q(c).cast("double"), F.lit(m)) for c, m in zip(cols, medians)]
-        row = df.agg(*[F.avg(x).alias(f"a{i}") for i, x in enumerate(filled)],
-                     *[F.stddev_pop(x).alias(f"s{i}") for i, x in enumerate(filled)]).first()
-        means = [float(row[f"a{i}"] or 0.0) for i in range(len(cols))]
-        scales = [float(row[f"s{i}"]) if row[f"s{i}"] else 1.0 for i in range(len(cols))]
+        st = {r["column"]: r for r in stats.collect()}              # one row per column
+        medians, means, scales = [], [], []
+        for c in cols:
+            m = float(med[c]) if med.get(c) is not None else 0.0
+            r = st.get(c)
+            n_a = float(r["_n"]) if r else 0.0
+            total = float(r["_rows"]) if r else 0.0
+            n_b = total - n_a
+            mean_a = float(r["_mean"]) if r and r["_mean"] is not None else m
+            m2_a = float(r["_var"]) * n_a if r and r["_var"] is not None else 0.0
+            mean = (n_a * mean_a + n_b * m) / total if total else 0.0
+            m2 = m2_a + (m - mean_a) ** 2 * n_a * n_b / total if total else 0.0
+            std = math.sqrt(max(m2 / total, 0.0)) if total else 0.0
+            medians.append(m)
+            means.append(mean)
+            scales.append(std if std > 0 else 1.0)
         return NumericImputerScalerModel(inputCols=cols, outputCols=outs, medians=medians,
                                          means=means, scales=scales)
 

@@ -92,11 +92,16 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(key)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin repartition before a CPU-heavy Python stage when the input
-    has fewer partitions than the cluster has cores (a few large input files);
-    inputs that are already split are left alone."""
+def spread(df: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """Round-robin repartition when the input has fewer partitions than the
+    cluster has cores (a few large unsplittable files); inputs that are
+    already split are left alone. Use on scans or narrow plans: counting the
+    partitions of a plan with shuffles would run its stages."""
     target = df.sparkSession.sparkContext.defaultParallelism
+    if min_bytes:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if size < min_bytes:
+            return df
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
