@@ -93,11 +93,13 @@ def _separation(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame
 
 
 def mann_whitney_tests(df: DataFrame, columns: Sequence[str], target: str = TARGET,
-                       alpha: float = ALPHA, with_medians: bool = True) -> DataFrame:
+                       alpha: float = ALPHA, with_medians: bool = True,
+                       min_distinct: int = 0) -> DataFrame:
     """G2 over many continuous columns in one job. U is that of class 0 (two
     sided, normal approximation with tie and continuity correction). Columns
     where one class is empty are skipped (the reference's test raises)."""
-    sep = _separation(df, columns, target).where((F.col("n0") > 0) & (F.col("n1") > 0))
+    sep = _separation(df, columns, target).where(
+        (F.col("n0") > 0) & (F.col("n1") > 0) & (F.col("n_distinct") > min_distinct))
     sep = sep.withColumn("_p", scalar_udf(df.sparkSession, _mwu_p)("u0", "n0", "n1", "tie_term"))
     if with_medians:
         lv = long_values(df.where(_q(target).isNotNull()), columns, keep=[target])
@@ -163,13 +165,18 @@ def test_battery(df: DataFrame, continuous: Sequence[str] | None = None,
     ones; ``variavel, teste, estatistica, p_valor, rejeita_h0`` by ascending p.
     Without lists: continuous = numeric columns with > 2 distinct values,
     categorical = string columns (ids are tested too unless excluded)."""
+    min_distinct = 0
     if continuous is None:
-        continuous = continuous_candidates(df, target)
+        # every numeric column; the ordered counts give each column's distinct
+        # count for free, so "> 2 distinct values" is applied to the result
+        continuous = numeric_columns(df, exclude=[target])
+        min_distinct = 2
     if categorical is None:
         categorical = string_columns(df, exclude=[target])
     parts = []
     if continuous:
-        parts.append(mann_whitney_tests(df, continuous, target, alpha, with_medians=False))
+        parts.append(mann_whitney_tests(df, continuous, target, alpha, with_medians=False,
+                                        min_distinct=min_distinct))
     if categorical:
         parts.append(chi2_tests(df, categorical, target, alpha))
     if not parts:

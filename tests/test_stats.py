@@ -209,3 +209,10 @@ def test_chart_data(spark):
     assert b0.whisker_low == pytest.approx(x0[x0 >= q1 - 1.5 * (q3 - q1)].min())
     bal = charts.class_balance(df).collect()
     assert sum(r.pct for r in bal) == pytest.approx(100.0)
+
+
+def test_battery_skips_two_valued_numeric(spark):
+    rows = [(float(i % 2), float(i), i % 3 == 0 and 1 or 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "flag double, x double, TARGET int")
+    names = {r.variavel for r in hyp.test_battery(df).collect()}
+    assert names == {"x"}
