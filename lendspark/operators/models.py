@@ -34,6 +34,7 @@ from lendspark.session import cut_lineage
 AVAILABLE_MODELS = ["logistic_regression", "random_forest", "lightgbm", "xgboost"]
 N_ESTIMATORS_RF = 200
 MAX_ITER_LR = 1000
+TOL_LR = 1e-4  # the classifier library's default stopping tolerance (Spark's is 1e-6)
 MLP_LAYERS = (256, 128, 64)
 MLP_POS_WEIGHT = 11
 MLP_EPOCHS = 50
@@ -59,7 +60,7 @@ def get_model(name: str, features_col: str = "features", label_col: str = "TARGE
         raise ValueError(f"Model '{name}' not available. Valid options: {AVAILABLE_MODELS}")
     common = dict(featuresCol=features_col, labelCol=label_col)
     if name == "logistic_regression":
-        params = dict(common, maxIter=MAX_ITER_LR)
+        params = dict(common, maxIter=MAX_ITER_LR, tol=TOL_LR)
         if weight_col:
             params["weightCol"] = weight_col
         params.update(kwargs)
@@ -191,12 +192,16 @@ def random_search(df: DataFrame, preprocessor: Pipeline, param_space: dict,
 
 
 def fit_final(df: DataFrame, preprocessor: Pipeline, model_name: str = "logistic_regression",
-              label: str = "TARGET", model_kwargs: dict | None = None) -> PipelineModel:
-    """Refit on all rows (class weights from all rows)."""
+              label: str = "TARGET", model_kwargs: dict | None = None,
+              checkpoint: bool = True) -> PipelineModel:
+    """Refit on all rows (class weights from all rows). Every stage's
+    fit is a pass over the input, so it is materialized once first."""
     est = get_model(model_name, label_col=label, **(model_kwargs or {}))
+    train = add_balanced_weights(df, label)
+    if checkpoint:
+        train = cut_lineage(train)
     try:
-        return Pipeline(stages=list(preprocessor.getStages()) + [est]).fit(
-            add_balanced_weights(df, label))
+        return Pipeline(stages=list(preprocessor.getStages()) + [est]).fit(train)
     except Exception as exc:  # noqa: BLE001
         raise ModelTrainingError(f"Error training model '{model_name}': {exc}") from exc
 
@@ -227,12 +232,15 @@ def budgeted_search(df: DataFrame, preprocessor: Pipeline, spaces: dict[str, dic
 
 
 def mlp_classifier(n_features: int, label: str = "TARGET", features_col: str = "features",
-                   seed: int = RANDOM_STATE, max_iter: int = MLP_EPOCHS) -> MultilayerPerceptronClassifier:
-    """Layers [d, 256, 128, 64, 2], block size 1024 (Spark's L-BFGS /
-    gradient descent replace Adam; batch-norm and dropout are not available)."""
+                   seed: int = RANDOM_STATE, max_iter: int = MLP_EPOCHS,
+                   hidden: Sequence[int] = MLP_LAYERS,
+                   block_size: int = MLP_BATCH) -> MultilayerPerceptronClassifier:
+    """Layers [d, *hidden, 2] (default 256-128-64), block size 1024
+    (Spark's L-BFGS / gradient descent replace Adam; batch-norm and dropout
+    are not available)."""
     return MultilayerPerceptronClassifier(
-        featuresCol=features_col, labelCol=label, layers=[n_features, *MLP_LAYERS, 2],
-        blockSize=MLP_BATCH, maxIter=max_iter, stepSize=MLP_LR, seed=seed)
+        featuresCol=features_col, labelCol=label, layers=[n_features, *hidden, 2],
+        blockSize=block_size, maxIter=max_iter, stepSize=MLP_LR, seed=seed)
 
 
 def replicate_positives(df: DataFrame, label: str, times: int = MLP_POS_WEIGHT) -> DataFrame:
@@ -243,12 +251,16 @@ def replicate_positives(df: DataFrame, label: str, times: int = MLP_POS_WEIGHT)
 
 
 def fit_mlp(df: DataFrame, preprocessor: Pipeline, label: str = "TARGET",
-            max_iter: int = MLP_EPOCHS, seed: int = RANDOM_STATE):
-    """Fit preprocessing, then the MLP on positively-replicated rows.
-    Returns (PipelineModel, loss history)."""
+            max_iter: int = MLP_EPOCHS, seed: int = RANDOM_STATE,
+            hidden: Sequence[int] = MLP_LAYERS, block_size: int = MLP_BATCH,
+            pos_weight: int = MLP_POS_WEIGHT):
+    """Fit preprocessing, then the MLP on positively-replicated rows
+    (``pos_weight`` copies of each positive). Returns (PipelineModel, loss
+    history)."""
     prep = preprocessor.fit(df)
     n_features = len(prep.transform(df.limit(1)).first()["features"])
-    mlp = mlp_classifier(n_features, label, max_iter=max_iter, seed=seed)
-    mm = mlp.fit(replicate_positives(prep.transform(df), label))
+    mlp = mlp_classifier(n_features, label, max_iter=max_iter, seed=seed,
+                         hidden=hidden, block_size=block_size)
+    mm = mlp.fit(replicate_positives(prep.transform(df), label, times=max(1, int(pos_weight))))
     history = list(mm.summary().objectiveHistory) if hasattr(mm, "summary") else []
     return PipelineModel(stages=list(prep.stages) + [mm]), history

@@ -7,17 +7,20 @@ validation errors, chart tables) carry DuckDB oracle SQL; model-dependent ones
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 
 from pyspark.sql import functions as F
 
 from lendspark.operators import charts, models as mdl, prep, scoring, segment as seg
+from lendspark.operators import evaluate as ev
 from lendspark.operators import profile as prof
 from lendspark.plans.catalog import enriched, r4, r6, register
 from lendspark.sources import roles
 from lendspark.sources.roles import APPLICATION_SQL, with_sql
-from lendspark.session import ensure_checkpoint_dir
+from lendspark.session import cut_lineage, ensure_checkpoint_dir, shared_path
+from lendspark.sources import io
 
 NUM = ["AMT_CREDIT", "AMT_INCOME_TOTAL", "AMT_ANNUITY", "DAYS_BIRTH", "DAYS_EMPLOYED",
        "CNT_FAM_MEMBERS", "CREDIT_INCOME_RATIO", "ANNUITY_INCOME_RATIO", "CREDIT_TERM_MONTHS",
@@ -270,3 +273,152 @@ def q_chart_top_null_columns(spark, sf_dir):
             .select("n_lines", F.when(F.col("DAYS_EMPLOYED") == 365243, F.lit(None))
                     .otherwise(F.col("DAYS_EMPLOYED")).cast("double").alias("DAYS_EMPLOYED_CLEAN")))
     return charts.top_null_columns(x, 40)
+
+
+# ---------------------------------------------------------------------------
+# Model comparison, search, MLP, persistence and runs (K3, L7-L11, L13, L15,
+# L16, A12, A13, N4). The notebook starts these from the processed table
+# (preprocessing fitted once, a pass-through pipeline in the searches); so do
+# these queries. Model outputs are rows-only.
+# ---------------------------------------------------------------------------
+
+# Fixed values (the notebook's settings for these runs)
+SEARCH_FOLDS = 3
+SEARCH_C_RANGE = (1e-3, 10.0)          # C ~ loguniform(1e-3, 10)
+NOTEBOOK_MLP_HIDDEN = (128, 64, 32)
+NOTEBOOK_MLP_EPOCHS = 10
+NOTEBOOK_MLP_BATCH = 512
+NOTEBOOK_SEARCH_BUDGET_S = 60
+
+
+def _processed(spark, sf_dir):
+    """Application rows through the fitted preprocessing pipeline (id, label,
+    features vector), materialized once in the shared folder."""
+    app = cut_lineage(roles.application(spark, sf_dir))
+    pm = prep.build_preprocessor(NUM, CAT).fit(app)
+    return cut_lineage(pm.transform(app).select("SK_ID_CURR", "TARGET", "features"))
+
+
+def _holdout(spark, sf_dir):
+    """B14 80/20 stratified split of the processed rows: (train, test)."""
+    split = cut_lineage(prep.stratified_split(_processed(spark, sf_dir), "TARGET", "SK_ID_CURR", 0.2))
+    return split.where(F.col("split") == "train"), split.where(F.col("split") == "test")
+
+
+def _class_ratio(df) -> float:
+    """n_neg / n_pos rounded to 2 (the notebook's ``scale_pos_weight``)."""
+    return round(mdl.positive_weight(df, "TARGET"), 2)
+
+
+def _compare_models(spark, sf_dir):
+    train, test = _holdout(spark, sf_dir)
+    spw = _class_ratio(train)
+    scored = []
+    for name in mdl.AVAILABLE_MODELS:
+        tr = mdl.add_balanced_weights(train, "TARGET",
+                                      scale_pos_weight=spw if name == "xgboost" else None)
+        m = mdl.get_model(name).fit(tr)
+        scored.append(mdl.with_probability(m.transform(test))
+                      .select(F.lit(name).alias("model"), F.col("TARGET").alias("label"), "score"))
+    allp = scored[0]
+    for s in scored[1:]:
+        allp = allp.unionByName(s)
+    # every model's scores evaluated in one job, grouped by model
+    return ev.evaluate(allp, "label", "score", groups=["model"])
+
+
+@register("model_comparison_holdout")
+def q_model_comparison_holdout(spark, sf_dir):
+    """K3: the four classifiers (L8-L10, balanced weights L11; xgboost with
+    scale_pos_weight) fitted on 80 %, K1 metrics on the held-out 20 %."""
+    return _compare_models(spark, sf_dir).orderBy(F.col("auc_roc").desc(), "model")
+
+
+@register("experiment_runs")
+def q_experiment_runs(spark, sf_dir):
+    """One run per compared model appended to a runs table in the shared
+    folder, read back best-first on AUC."""
+    runs_path = shared_path(spark, f"runs-{uuid.uuid4().hex}")
+    for r in _compare_models(spark, sf_dir).collect():  # one row per model (4)
+        d = r.asDict()
+        io.log_run(spark, runs_path, "model_comparison", params={"model_name": d.pop("model")},
+                   metrics=d)
+    runs = io.search_runs(spark, runs_path, metric="auc_roc")
+    return runs.select("source", F.element_at("params", "model_name").alias("model_name"),
+                       "auc_roc", F.element_at("metrics", "ks_stat").alias("ks_stat"))
+
+
+@register("random_search_logistic")
+def q_random_search_logistic(spark, sf_dir):
+    """20 seeded draws of C ~ loguniform(1e-3, 10), 3 stratified folds,
+    exact AUC. Spark's L2 term is regParam * |w|^2 / 2 on the mean loss, so
+    C maps to regParam = 1 / (C * n_train)."""
+    data = _processed(spark, sf_dir)
+    n_train = data.count() * (SEARCH_FOLDS - 1) / SEARCH_FOLDS
+    lo, hi = 1.0 / (SEARCH_C_RANGE[1] * n_train), 1.0 / (SEARCH_C_RANGE[0] * n_train)
+    best, auc, _ = mdl.random_search(data, prep.passthrough(), {"regParam": ("loguniform", lo, hi)},
+                                     k=SEARCH_FOLDS, parallelism=4)
+    reg = float(best["regParam"])
+    return spark.createDataFrame(
+        [(1.0 / (reg * n_train), reg, auc, mdl.SEARCH_DRAWS, SEARCH_FOLDS)],
+        "best_C double, best_reg_param double, best_auc_mean double, n_draws int, cv_folds int")
+
+
+@register("budgeted_model_search")
+def q_budgeted_model_search(spark, sf_dir):
+    """Candidates of three model families tried round-robin for the
+    notebook's 60 s budget on an 80/20 split; best by validation AUC."""
+    spaces = {
+        "logistic_regression": {"regParam": ("loguniform", 1e-6, 1e-1)},
+        "lightgbm": {"maxIter": ("randint", 10, 60), "maxDepth": ("randint", 3, 8),
+                     "stepSize": ("loguniform", 0.01, 0.3)},
+        "random_forest": {"numTrees": [50, 100, 200], "maxDepth": ("randint", 3, 11)},
+    }
+    name, params, auc, _ = mdl.budgeted_search(_processed(spark, sf_dir), prep.passthrough(), spaces,
+                                               time_budget_s=NOTEBOOK_SEARCH_BUDGET_S)
+    return spark.createDataFrame([(name, json.dumps(params, sort_keys=True), float(auc))],
+                                 "best_estimator string, best_config string, val_auc_roc double")
+
+
+@register("mlp_holdout")
+def q_mlp_holdout(spark, sf_dir):
+    """L16 as the notebook runs it: hidden 128-64-32, 10 epochs, batch 512,
+    positives weighted n_neg / n_pos (rounded to whole copies); validation
+    AUC / KS on the held-out 20 % and the loss history's last value."""
+    train, test = _holdout(spark, sf_dir)
+    model, history = mdl.fit_mlp(train, prep.passthrough(), max_iter=NOTEBOOK_MLP_EPOCHS,
+                                 hidden=NOTEBOOK_MLP_HIDDEN, block_size=NOTEBOOK_MLP_BATCH,
+                                 pos_weight=round(_class_ratio(train)))
+    scored = mdl.with_probability(model.transform(test)).select(F.col("TARGET").alias("label"), "score")
+    m = ev.evaluate(scored, "label", "score")
+    return m.select(F.lit(len(history)).alias("n_iterations"),
+                    F.lit(float(history[-1]) if history else None).cast("double").alias("final_loss"),
+                    F.col("auc_roc").alias("val_auc_roc"), F.col("ks_stat").alias("val_ks_stat"))
+
+
+def _saved_model(spark, sf_dir):
+    app = roles.application(spark, sf_dir)
+    model = mdl.fit_final(app, prep.build_preprocessor(NUM, CAT))
+    path = shared_path(spark, f"model-{uuid.uuid4().hex}")
+    io.save_model(model, path)
+    return app, path
+
+
+@register("saved_model_scores")
+def q_saved_model_scores(spark, sf_dir):
+    """A12 + N1: fit, save to the shared folder, load back and score every
+    application with the loaded pipeline."""
+    app, path = _saved_model(spark, sf_dir)
+    preds, _ = scoring.score_applications(io.load_model(path), app, fields=_SCORING_FIELDS)
+    return preds
+
+
+@register("model_metadata")
+def q_model_metadata(spark, sf_dir):
+    """Metadata / availability of the saved model, and of a path that
+    holds none (reported unavailable, not a crash)."""
+    _, path = _saved_model(spark, sf_dir)
+    missing = shared_path(spark, f"model-{uuid.uuid4().hex}")
+    return (scoring.model_info(spark, path, NUM, CAT)
+            .unionByName(scoring.model_info(spark, missing, NUM, CAT))
+            .drop("model_path"))

@@ -37,7 +37,7 @@ def _long_sql(table: str, cols, label: str = "TARGET") -> str:
 SELECT coluna, round_even(r, 6) AS correlacao FROM c WHERE r IS NOT NULL AND NOT isnan(r)
 ORDER BY correlacao, coluna""")
 def q_correlation_pearson(spark, sf_dir):
-    e = enriched(spark, sf_dir, materialize=True)
+    e = enriched(spark, sf_dir)  # one aggregate pass: nothing to materialize
     assert sorted(numeric_columns(e, exclude=["TARGET"])) == sorted(ENRICHED_NUMERIC)
     c = assoc.correlation_with_target(e, "pearson")
     return c.select("coluna", r6("correlacao").alias("correlacao"))
@@ -51,7 +51,7 @@ hi AS (SELECT coluna, r FROM v ORDER BY r DESC, coluna DESC LIMIT 3)
 SELECT coluna, round_even(r, 6) AS correlacao FROM lo
 UNION ALL SELECT coluna, round_even(r, 6) AS correlacao FROM hi""")
 def q_correlation_pearson_top3(spark, sf_dir):
-    c = assoc.correlation_with_target(enriched(spark, sf_dir, materialize=True), "pearson", top_n=3)
+    c = assoc.correlation_with_target(enriched(spark, sf_dir), "pearson", top_n=3)
     return c.select("coluna", r6("correlacao").alias("correlacao"))
 
 
