@@ -56,7 +56,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", current)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(current)
-    ship_package(spark)
+    ship_package(spark, current)
     return current
 
 
@@ -75,20 +75,41 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 _SHIPPED: set[str] = set()
 
 
-def ship_package(spark: SparkSession) -> None:
+def ship_package(spark: SparkSession, base: str | None = None) -> None:
     """Make ``lendspark`` importable in executor Python workers (needed by
-    the pandas UDFs): zip the package once per SparkContext and add it with
-    ``addPyFile`` (what ``--py-files`` does at submit time)."""
+    the pandas UDFs): zip the package once per SparkContext, in memory,
+    write the archive into the shared checkpoint folder through the Hadoop
+    FileSystem API (no machine-local scratch) and add it with ``addPyFile``
+    (what ``--py-files`` does at submit time)."""
+    import io
+    import zipfile
     sc = spark.sparkContext
     key = sc.applicationId
     if key in _SHIPPED:
         return
-    import shutil
+    if base is None:
+        base = ensure_checkpoint_dir(spark)
+        if key in _SHIPPED:
+            return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    out_dir = tempfile.mkdtemp(prefix="lendspark-pyfiles-")
-    archive = shutil.make_archive(os.path.join(out_dir, "lendspark"), "zip",
-                                  root_dir=os.path.dirname(pkg_dir), base_dir="lendspark")
-    sc.addPyFile(archive)
+    root = os.path.dirname(pkg_dir)
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg_dir):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    target = f"{base.rstrip('/')}/pyfiles-{key}/lendspark.zip"
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(path, True)
+    try:
+        out.write(bytearray(buf.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(target)
     _SHIPPED.add(key)
 
 
