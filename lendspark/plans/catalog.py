@@ -293,6 +293,25 @@ def q_numeric_profile(spark, sf_dir):
     return prof.numeric_profile(e)
 
 
+_SKEW_TOP = 10  # the notebook's "top 10 most skewed features" report
+
+
+def _top_skew_sql(cols, k):
+    union = _profile_sql(cols)[len(ENRICHED_WITH):]
+    return ENRICHED_WITH + f""", prof AS ({union})
+SELECT coluna, media, mediana, desvio_padrao, skewness, pct_nulos FROM prof
+ORDER BY skewness DESC NULLS LAST, coluna LIMIT {k}"""
+
+
+@register("top_skewed_columns", _top_skew_sql(_PROFILE_COLS, _SKEW_TOP))
+def q_top_skewed_columns(spark, sf_dir):
+    """E1 profile, the k most right-skewed columns (a top-k report)."""
+    e = enriched(spark, sf_dir, materialize=True).select("TARGET", *_PROFILE_COLS)
+    return (prof.numeric_profile(e)
+            .orderBy(F.col("skewness").desc_nulls_last(), "coluna").limit(_SKEW_TOP)
+            .select("coluna", "media", "mediana", "desvio_padrao", "skewness", "pct_nulos"))
+
+
 def _null_profile_sql(cols):
     parts = [f"""
 SELECT '{c}' AS coluna, count(*) FILTER (WHERE {c} IS NULL) AS n_nulos,
