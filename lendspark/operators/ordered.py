@@ -73,7 +73,35 @@ def _bucket_expr(value: str, groups: Sequence[str], rows) -> Column:
         if not pairs:
             return F.lit(0)
         arr = F.element_at(F.create_map(*pairs), F.struct(*[F.col(g) for g in groups]))
-    return F.size(F.filter(arr, lambda b: b < v))
+    return _count_below(arr, v)
+
+
+def _count_below(arr: Column, v: Column) -> Column:
+    """Number of elements of ``arr`` strictly below ``v``: the first position
+    of ``v`` once it is sorted in with them, minus one. No lambda function
+    (a lambda's variable would keep one id across the self-joins below)."""
+    return (F.array_position(F.sort_array(F.concat(arr, F.array(v))), v) - 1).cast("int")
+
+
+def _with_buckets(collapsed: DataFrame, value_name: str, groups: Sequence[str], rows, table,
+                  nb: int) -> DataFrame:
+    """Add ``_b`` (value bucket within its group) from :func:`group_bounds`
+    output: literal boundaries when they are few, else a join with the
+    boundary table (broadcast when collected, i.e. at most
+    MAX_LITERAL_GROUPS rows; shuffled otherwise)."""
+    spark = collapsed.sparkSession
+    if rows is not None and len(rows) * nb <= MAX_LITERALS:
+        return collapsed.withColumn("_b", _bucket_expr(value_name, groups, rows))
+    if rows is not None:
+        bt = F.broadcast(spark.createDataFrame(
+            [tuple(r[g] for g in groups) + (r["_bounds"],) for r in rows],
+            table.select(*groups, "_bounds").schema))
+    else:
+        bt = table.select(*groups, "_bounds")
+    return (collapsed.join(bt, list(groups))
+            .withColumn("_b", _count_below(F.col("_bounds").cast("array<double>"),
+                                           F.col(value_name).cast("double")))
+            .drop("_bounds"))
 
 
 def ordered_counts(df: DataFrame, value: str | Column, label: str | Column | None = None,
@@ -108,19 +136,7 @@ def ordered_counts(df: DataFrame, value: str | Column, label: str | Column | Non
     collapsed = base.groupBy(*groups, value_name).agg(*counts)
 
     rows, table = bounds if bounds is not None else group_bounds(base, value_name, groups, nb, accuracy)
-    if rows is not None and len(rows) * nb <= MAX_LITERALS:
-        bucketed = collapsed.withColumn("_b", _bucket_expr(value_name, groups, rows))
-    else:
-        if rows is not None:  # collected, <= MAX_LITERAL_GROUPS rows: broadcast it
-            bt = F.broadcast(spark.createDataFrame(
-                [tuple(r[g] for g in groups) + (r["_bounds"],) for r in rows],
-                table.select(*groups, "_bounds").schema))
-        else:  # very many groups: shuffle join with the boundary table
-            bt = table.select(*groups, "_bounds")
-        bucketed = (collapsed.join(bt, groups)
-                    .withColumn("_b", F.size(F.filter(F.col("_bounds"),
-                                                      lambda b: b < F.col(value_name).cast("double"))))
-                    .drop("_bounds"))
+    bucketed = _with_buckets(collapsed, value_name, groups, rows, table, nb)
 
     w_in = (Window.partitionBy(*groups, "_b").orderBy(value_name)
             .rowsBetween(Window.unboundedPreceding, -1))
@@ -145,23 +161,71 @@ def ordered_counts(df: DataFrame, value: str | Column, label: str | Column | Non
         *[F.col(f"_tot_{k}").alias(f"total_{suffix[k]}") for k in names])
 
 
+def quantile_parts(df: DataFrame, value: str | Column, probs: Sequence[float],
+                   groups: Sequence[str] = (), n_buckets: int | None = None,
+                   bounds=None) -> DataFrame:
+    """Per group: ``_N`` non-null rows, ``_D`` distinct values and, for every
+    probability i, the values at 0-based positions floor(h) and ceil(h),
+    h = (N - 1) p (``_lo{i}``, ``_hi{i}``) with the fraction ``_fr{i}``.
+
+    Only the buckets holding a wanted rank are ordered: per-bucket totals
+    (a groups x buckets table) locate the bucket and the rank inside it, a
+    broadcast semi-join keeps that bucket's values (about 2 * len(probs) /
+    buckets of them) and a window inside it finds the value."""
+    spark = df.sparkSession
+    nb = _bucket_count(spark, n_buckets)
+    groups = list(groups)
+    base = (df.select(*[F.col(g) for g in groups], col_of(value).alias("_v"))
+              .where(F.col("_v").isNotNull()))
+    collapsed = base.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("n"))
+    rows, table = bounds if bounds is not None else group_bounds(base, "_v", groups, nb)
+    bucketed = _with_buckets(collapsed, "_v", groups, rows, table, nb)
+
+    totals = bucketed.groupBy(*groups, "_b").agg(F.sum("n").alias("_bn"),
+                                                 F.count(F.lit(1)).alias("_bd"))
+    w_off = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    w_all = Window.partitionBy(*groups)
+    off = totals.select(*groups, "_b", "_bn",
+                        F.coalesce(F.sum("_bn").over(w_off), F.lit(0)).alias("_off"),
+                        F.sum("_bn").over(w_all).alias("_N"), F.sum("_bd").over(w_all).alias("_D"))
+    n1 = F.col("_N") - 1
+    targets = []
+    for i, p in enumerate(probs):
+        h = n1 * F.lit(float(p))
+        for side, pos in ((0, F.floor(h)), (1, F.ceil(h))):
+            targets.append(F.struct(F.lit(i).alias("q"), F.lit(side).alias("side"),
+                                    (pos + 1).cast("long").alias("r"), (h - F.floor(h)).alias("fr")))
+    # one row per (group, wanted rank): at most groups x 2 x len(probs) rows
+    need = (off.select(*groups, "_b", "_bn", "_off", "_N", "_D", F.explode(F.array(*targets)).alias("t"))
+               .where((F.col("t.r") > F.col("_off")) & (F.col("t.r") <= F.col("_off") + F.col("_bn")))
+               .select(*groups, "_b", "_N", "_D", F.col("t.q").alias("q"), F.col("t.side").alias("side"),
+                       F.col("t.fr").alias("fr"), (F.col("t.r") - F.col("_off")).alias("_rin")))
+    small = rows is not None  # groups were collected: need is bounded, broadcast it
+    need_j = F.broadcast(need) if small else need
+    keys = need.select(*groups, "_b").distinct()
+    sel = bucketed.join(F.broadcast(keys) if small else keys, [*groups, "_b"], "left_semi")
+    w_in = Window.partitionBy(*groups, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    cum = sel.select(*groups, "_b", "_v", F.sum("n").over(w_in).alias("_cum"))
+    hit = cum.join(need_j, [*groups, "_b"]).where(F.col("_cum") >= F.col("_rin"))
+    picked = hit.groupBy(*groups, "q", "side").agg(
+        F.min("_v").alias("_x"), F.first("fr").alias("fr"),
+        F.first("_N").alias("_N"), F.first("_D").alias("_D"))
+    aggs = [F.first("_N").alias("_N"), F.first("_D").alias("_D")]
+    for i in range(len(probs)):
+        aggs += [F.max(F.when((F.col("q") == i) & (F.col("side") == 0), F.col("_x"))).alias(f"_lo{i}"),
+                 F.max(F.when((F.col("q") == i) & (F.col("side") == 1), F.col("_x"))).alias(f"_hi{i}"),
+                 F.max(F.when(F.col("q") == i, F.col("fr"))).alias(f"_fr{i}")]
+    return picked.groupBy(*groups).agg(*aggs)
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                     groups: Sequence[str] = (), names: Sequence[str] | None = None,
                     n_buckets: int | None = None, bounds=None) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas / numpy default),
     one row per group. Distributed: no group's values pass through one task."""
-    oc = ordered_counts(df, value, groups=groups, n_buckets=n_buckets, value_name="_v", bounds=bounds)
-    cum = F.col("before_n") + F.col("n")
-    aggs = []
+    g = quantile_parts(df, value, probs, groups=groups, n_buckets=n_buckets, bounds=bounds)
     names = list(names) if names else [f"q{p}" for p in probs]
-    for i, p in enumerate(probs):
-        h = (F.col("total_n") - 1) * F.lit(float(p))
-        lo = F.floor(h)
-        hi = F.ceil(h)
-        aggs += [F.min(F.when(cum >= lo + 1, F.col("_v"))).alias(f"_lo{i}"),
-                 F.min(F.when(cum >= hi + 1, F.col("_v"))).alias(f"_hi{i}"),
-                 F.first(h - lo, ignorenulls=True).alias(f"_fr{i}")]
-    g = oc.groupBy(*groups).agg(*aggs)
+    groups = list(groups)
     return g.select(*groups, *[
         (F.col(f"_lo{i}").cast("double")
          + F.col(f"_fr{i}") * (F.col(f"_hi{i}").cast("double") - F.col(f"_lo{i}").cast("double"))

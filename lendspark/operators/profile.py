@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from lendspark.functions.nulls import round_half_even
 from lendspark.functions.scalar import right_closed_bin
-from lendspark.operators.ordered import _bucket_count, exact_quantiles, group_bounds, ordered_counts
+from lendspark.operators.ordered import (_bucket_count, exact_quantiles, group_bounds, ordered_counts,
+                                        quantile_parts)
 
 TARGET = "TARGET"
 AGG_CHUNK = 100  # expressions per aggregate, below codegen limits
@@ -122,13 +123,9 @@ def numeric_profile(df: DataFrame, target: str = TARGET, decimals: int = 4) -> D
         "_n": F.count(x).cast("double"), "_rows": F.count(F.lit(1)), "media": F.avg(x),
         "desvio_padrao": F.stddev_samp(x), "minimo": F.min(x), "maximo": F.max(x),
         "_g1": F.skewness(x), "_g2": F.kurtosis(x), "_var": F.var_pop(x)})
-    oc = ordered_counts(lv, "value", groups=["column"], value_name="_v", bounds=bounds)
-    h = (F.col("total_n") - 1) * 0.5
-    med = oc.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n_unicos"),
-        ((F.min(F.when(F.col("before_n") + F.col("n") >= F.floor(h) + 1, F.col("_v")))
-          + F.min(F.when(F.col("before_n") + F.col("n") >= F.ceil(h) + 1, F.col("_v")))) / 2
-         ).alias("mediana"))
+    qp = quantile_parts(lv, "value", [0.5], groups=["column"], bounds=bounds)
+    med = qp.select("column", F.col("_D").alias("n_unicos"),
+                    ((F.col("_lo0") + F.col("_hi0")) / 2).alias("mediana"))
     j = moments.join(med, "column", "left")
     n, var = F.col("_n"), F.col("_var")
     r = lambda c: round_half_even(c, decimals)

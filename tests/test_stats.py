@@ -216,3 +216,26 @@ def test_battery_skips_two_valued_numeric(spark):
     df = spark.createDataFrame(rows, "flag double, x double, TARGET int")
     names = {r.variavel for r in hyp.test_battery(df).collect()}
     assert names == {"x"}
+
+
+@pytest.mark.parametrize("buckets", [1, 2, 7])
+def test_grouped_quantiles_with_hot_value_match_numpy(spark, buckets):
+    rng = np.random.default_rng(7)
+    rows = []
+    for g in ("a", "b", "c"):
+        vals = [float(x) for x in rng.integers(0, 50, 200)]
+        vals += [13.0] * 100                      # one value holds a third of the group
+        rows += [(g, v) for v in vals]
+    rows += [("d", 5.0)]                          # single-row group
+    df = spark.createDataFrame(rows + [("a", None)], "g string, v double").repartition(3)
+    from lendspark.operators.ordered import quantile_parts
+    probs = [0.0, 0.1, 0.5, 0.75, 1.0]
+    got = {r["g"]: r for r in exact_quantiles(df, "v", probs, groups=["g"], n_buckets=buckets,
+                                              names=["p0", "p10", "p50", "p75", "p100"]).collect()}
+    parts = {r["g"]: r for r in quantile_parts(df, "v", [0.5], groups=["g"], n_buckets=buckets).collect()}
+    for g in ("a", "b", "c", "d"):
+        vals = np.array([v for gg, v in rows if gg == g])
+        want = np.percentile(vals, [p * 100 for p in probs])
+        assert [got[g][n] for n in ("p0", "p10", "p50", "p75", "p100")] == pytest.approx(list(want))
+        assert parts[g]["_N"] == len(vals)
+        assert parts[g]["_D"] == len(set(vals.tolist()))
