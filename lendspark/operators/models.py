@@ -92,10 +92,13 @@ def add_balanced_weights(df: DataFrame, label: str, out: str = WEIGHT_COL,
     if scale_pos_weight is not None:
         return df.withColumn(out, F.when(F.col(label) == 1, F.lit(float(scale_pos_weight)))
                              .otherwise(F.lit(1.0)))
-    cc = class_counts(df, label)  # 1 row
-    w = F.when(F.col(label) == 1, F.col("_n") / (2.0 * F.col("_n1"))).otherwise(
-        F.col("_n") / (2.0 * F.col("_n0")))
-    return df.crossJoin(F.broadcast(cc)).withColumn(out, w).drop("_n", "_n0", "_n1")
+    # three numbers, computed once: every later pass over the weighted rows
+    # (each stage fit) then carries two literals instead of re-aggregating
+    r = class_counts(df, label).first()
+    n, n0, n1 = float(r["_n"]), float(r["_n0"]), float(r["_n1"])
+    w1 = F.lit(n / (2.0 * n1)) if n1 else F.lit(None).cast("double")
+    w0 = F.lit(n / (2.0 * n0)) if n0 else F.lit(None).cast("double")
+    return df.withColumn(out, F.when(F.col(label) == 1, w1).otherwise(w0))
 
 
 def positive_weight(df: DataFrame, label: str) -> float:
