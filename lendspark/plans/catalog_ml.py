@@ -422,3 +422,36 @@ def q_model_metadata(spark, sf_dir):
     return (scoring.model_info(spark, path, NUM, CAT)
             .unionByName(scoring.model_info(spark, missing, NUM, CAT))
             .drop("model_path"))
+
+
+# ---------------------------------------------------------------------------
+# CSV / Parquet sources and sinks through the named-table loader
+# ---------------------------------------------------------------------------
+
+@register("csv_loader_roundtrip", with_sql(APPLICATION_SQL, roles.BUREAU_SQL) + """
+, b AS (SELECT SK_ID_CURR, count(SK_ID_BUREAU) AS n FROM bureau GROUP BY SK_ID_CURR)
+SELECT a.NAME_CONTRACT_TYPE AS NAME_CONTRACT_TYPE, CAST(count(*) AS BIGINT) AS n_applications,
+       CAST(coalesce(sum(b.n), 0) AS BIGINT) AS n_bureau_loans,
+       round_even(avg(a.AMT_CREDIT), 4) AS mean_credit
+FROM application a LEFT JOIN b USING (SK_ID_CURR)
+GROUP BY a.NAME_CONTRACT_TYPE""")
+def q_csv_loader_roundtrip(spark, sf_dir):
+    """A7 sink, A1/A2 typed CSV load (explicit schema: one pass, no
+    inference), A5 pruned read, A6 Parquet scan: the application and bureau
+    roles are written as CSV into the shared folder, loaded by name, the
+    bureau count joined on (C1/D1), and the result staged through Parquet."""
+    base = shared_path(spark, f"raw-{uuid.uuid4().hex}")
+    app, bureau = roles.application(spark, sf_dir), roles.bureau(spark, sf_dir)
+    app.write.option("header", True).csv(f"{base}/application_train.csv")
+    bureau.write.option("header", True).csv(f"{base}/bureau.csv")
+    loader = io.CreditDataLoader(spark, base, schemas={"application_train.csv": app.schema,
+                                                       "bureau.csv": bureau.schema})
+    a = loader.load_application_train().select("SK_ID_CURR", "AMT_CREDIT", "NAME_CONTRACT_TYPE")
+    b = (loader.load_bureau().select("SK_ID_CURR", "SK_ID_BUREAU")
+         .groupBy("SK_ID_CURR").agg(F.count("SK_ID_BUREAU").alias("n")))
+    out = (a.join(b, "SK_ID_CURR", "left").groupBy("NAME_CONTRACT_TYPE")
+            .agg(F.count(F.lit(1)).alias("n_applications"),
+                 F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_bureau_loans"),
+                 r4(F.avg("AMT_CREDIT")).alias("mean_credit")))
+    staged = io.write_parquet(out, f"{base}/report.parquet")
+    return io.read_parquet(spark, staged)

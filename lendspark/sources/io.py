@@ -95,7 +95,8 @@ class CreditDataLoader:
     def _load_csv(self, filename: str) -> DataFrame:
         path = f"{self.data_dir}/{filename}"
         try:
-            ok = is_file(self.spark, path)
+            # a single file, or a folder of part files as Spark writes CSV
+            ok = path_exists(self.spark, path)
         except Exception as exc:  # noqa: BLE001 - any FS error is a load error
             raise DataLoadError(f"Error reading {filename}: {exc}") from exc
         if not ok:

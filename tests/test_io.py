@@ -84,3 +84,11 @@ def test_runs_table(spark, tmp_path):
 def test_model_unavailable(spark, tmp_path):
     with pytest.raises(io.ModelUnavailable):
         io.load_model(str(tmp_path / "nope"))
+
+
+def test_loader_reads_spark_written_csv_folder(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2.5, "a"), (2, None, "b")], "SK_ID_CURR long, AMT_CREDIT double, T string")
+    df.write.option("header", True).csv(str(tmp_path / "bureau.csv"))
+    loader = io.CreditDataLoader(spark, str(tmp_path), schemas={"bureau.csv": df.schema})
+    back = sorted(tuple(r) for r in loader.load_bureau().collect())
+    assert back == [(1, 2.5, "a"), (2, None, "b")]
