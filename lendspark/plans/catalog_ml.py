@@ -455,3 +455,41 @@ def q_csv_loader_roundtrip(spark, sf_dir):
                  r4(F.avg("AMT_CREDIT")).alias("mean_credit")))
     staged = io.write_parquet(out, f"{base}/report.parquet")
     return io.read_parquet(spark, staged)
+
+
+# ---------------------------------------------------------------------------
+# Table sink in a created schema, catalog columns, SQL scan
+# ---------------------------------------------------------------------------
+
+# Fixed values (the reference's schema and table names)
+FEATURES_DB = "credit_score"
+FEATURES_TABLE = "features"
+_APP_TYPES = [("SK_ID_CURR", "bigint"), ("TARGET", "int"), ("AMT_CREDIT", "double"),
+              ("AMT_INCOME_TOTAL", "double"), ("AMT_ANNUITY", "double"), ("DAYS_BIRTH", "bigint"),
+              ("DAYS_EMPLOYED", "bigint"), ("CNT_FAM_MEMBERS", "double"),
+              ("NAME_CONTRACT_TYPE", "string"), ("NAME_INCOME_TYPE", "string"),
+              ("ORGANIZATION_TYPE", "string")]
+
+
+@register("features_table_columns", with_sql(APPLICATION_SQL) + "\nUNION ALL\n".join(
+    f"SELECT {i + 1} AS ordinal_position, '{c}' AS column_name, '{t}' AS data_type, "
+    f"CAST(count({c}) AS BIGINT) AS n_non_null FROM application"
+    for i, (c, t) in enumerate(_APP_TYPES)))
+def q_features_table_columns(spark, sf_dir):
+    """A9 schema, A8 replace-table sink (external, files in the shared
+    folder), A11 columns in ordinal order from the catalog, A10 SQL scan
+    counting each column's values in the stored table."""
+    base = shared_path(spark, f"tables-{uuid.uuid4().hex}")
+    full = io.write_table(roles.application(spark, sf_dir), FEATURES_TABLE, FEATURES_DB,
+                          path=f"{base}/{FEATURES_TABLE}",
+                          database_location=f"{base}/{FEATURES_DB}.db")
+    cols = io.list_columns(spark, FEATURES_TABLE, FEATURES_DB)
+    names = [r["column_name"] for r in cols.select("column_name").collect()]  # one per column
+    counts = io.sql_scan(spark, "SELECT stack({n}, {pairs}) AS (column_name, n_non_null) FROM "
+                         "(SELECT {aggs} FROM {t})".format(
+                             n=len(names),
+                             pairs=", ".join(f"'{c}', c{i}" for i, c in enumerate(names)),
+                             aggs=", ".join(f"count(`{c}`) AS c{i}" for i, c in enumerate(names)),
+                             t=full))
+    return (cols.join(counts, "column_name")
+                .select("ordinal_position", "column_name", "data_type", "n_non_null"))

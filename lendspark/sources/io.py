@@ -136,19 +136,27 @@ class CreditDataLoader:
 # Table sinks, SQL scans, catalog
 # ---------------------------------------------------------------------------
 
-def ensure_database(spark: SparkSession, name: str) -> None:
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`")
+def ensure_database(spark: SparkSession, name: str, location: str | None = None) -> None:
+    """Create the database when missing (optionally at ``location``, e.g.
+    under the shared folder instead of the session's warehouse)."""
+    loc = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`{loc}")
 
 
 def write_table(df: DataFrame, name: str, database: str | None = None,
-                fmt: str = "parquet") -> str:
-    """Replace semantics: the table is rewritten on each run."""
+                fmt: str = "parquet", path: str | None = None,
+                database_location: str | None = None) -> str:
+    """Replace semantics, the table is rewritten on each run. With
+    ``path`` the table is external (its files live at ``path``)."""
     spark = df.sparkSession
     full = name
     if database:
-        ensure_database(spark, database)
+        ensure_database(spark, database, database_location)
         full = f"`{database}`.`{name}`"
-    df.write.mode("overwrite").format(fmt).saveAsTable(full)
+    w = df.write.mode("overwrite").format(fmt)
+    if path:
+        w = w.option("path", path)
+    w.saveAsTable(full)
     return full
 
 
