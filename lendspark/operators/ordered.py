@@ -27,6 +27,9 @@ from lendspark.functions.nulls import col_of
 DEFAULT_BUCKETS = 64
 MAX_LITERAL_GROUPS = 4096
 MAX_LITERALS = 100_000
+# Below this many values, exact quantiles order every distinct value (fewer
+# stages); above it, only the buckets holding the wanted ranks.
+SELECTIVE_MIN_ROWS = 50_000_000
 
 
 def _bucket_count(spark, n_buckets: int | None) -> int:
@@ -47,7 +50,8 @@ def group_bounds(df: DataFrame, value: str, groups: Sequence[str], n_buckets: in
     most MAX_LITERAL_GROUPS groups (else None and the caller joins ``table``)."""
     probs = [i / n_buckets for i in range(1, n_buckets)]
     acc = accuracy or max(256, 8 * n_buckets)
-    aggs = [F.percentile_approx(F.col(value), probs, acc).alias("_bounds")]
+    aggs = [F.percentile_approx(F.col(value), probs, acc).alias("_bounds"),
+            F.count(F.col(value)).alias("_cnt")]
     aggs += [c.alias(k) for k, c in (extra_aggs or {}).items()]
     table = df.groupBy(*groups).agg(*aggs)
     rows = table.limit(MAX_LITERAL_GROUPS + 1).collect()
@@ -161,9 +165,23 @@ def ordered_counts(df: DataFrame, value: str | Column, label: str | Column | Non
         *[F.col(f"_tot_{k}").alias(f"total_{suffix[k]}") for k in names])
 
 
+def _quantile_parts_full(base: DataFrame, probs: Sequence[float], groups: Sequence[str],
+                         n_buckets: int | None, bounds) -> DataFrame:
+    """:func:`quantile_parts` from the ordered counts of every distinct value."""
+    oc = ordered_counts(base, "_v", groups=groups, n_buckets=n_buckets, value_name="_v", bounds=bounds)
+    cum = F.col("before_n") + F.col("n")
+    aggs = [F.first("total_n").alias("_N"), F.count(F.lit(1)).alias("_D")]
+    for i, p in enumerate(probs):
+        h = (F.col("total_n") - 1) * F.lit(float(p))
+        aggs += [F.min(F.when(cum >= F.floor(h) + 1, F.col("_v"))).alias(f"_lo{i}"),
+                 F.min(F.when(cum >= F.ceil(h) + 1, F.col("_v"))).alias(f"_hi{i}"),
+                 F.first(h - F.floor(h), ignorenulls=True).alias(f"_fr{i}")]
+    return oc.groupBy(*groups).agg(*aggs)
+
+
 def quantile_parts(df: DataFrame, value: str | Column, probs: Sequence[float],
                    groups: Sequence[str] = (), n_buckets: int | None = None,
-                   bounds=None) -> DataFrame:
+                   bounds=None, selective: bool | None = None) -> DataFrame:
     """Per group: ``_N`` non-null rows, ``_D`` distinct values and, for every
     probability i, the values at 0-based positions floor(h) and ceil(h),
     h = (N - 1) p (``_lo{i}``, ``_hi{i}``) with the fraction ``_fr{i}``.
@@ -171,14 +189,20 @@ def quantile_parts(df: DataFrame, value: str | Column, probs: Sequence[float],
     Only the buckets holding a wanted rank are ordered: per-bucket totals
     (a groups x buckets table) locate the bucket and the rank inside it, a
     broadcast semi-join keeps that bucket's values (about 2 * len(probs) /
-    buckets of them) and a window inside it finds the value."""
+    buckets of them) and a window inside it finds the value. Inputs below
+    SELECTIVE_MIN_ROWS values (counted by the bounds pass) take the shorter
+    plan over the full ordered counts; ``selective`` forces either way."""
     spark = df.sparkSession
     nb = _bucket_count(spark, n_buckets)
     groups = list(groups)
     base = (df.select(*[F.col(g) for g in groups], col_of(value).alias("_v"))
               .where(F.col("_v").isNotNull()))
-    collapsed = base.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("n"))
     rows, table = bounds if bounds is not None else group_bounds(base, "_v", groups, nb)
+    if selective is None:
+        selective = rows is None or sum(int(r["_cnt"] or 0) for r in rows) > SELECTIVE_MIN_ROWS
+    if not selective:
+        return _quantile_parts_full(base, probs, groups, n_buckets, (rows, table))
+    collapsed = base.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("n"))
     bucketed = _with_buckets(collapsed, "_v", groups, rows, table, nb)
 
     totals = bucketed.groupBy(*groups, "_b").agg(F.sum("n").alias("_bn"),
@@ -220,10 +244,12 @@ def quantile_parts(df: DataFrame, value: str | Column, probs: Sequence[float],
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                     groups: Sequence[str] = (), names: Sequence[str] | None = None,
-                    n_buckets: int | None = None, bounds=None) -> DataFrame:
+                    n_buckets: int | None = None, bounds=None,
+                    selective: bool | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas / numpy default),
     one row per group. Distributed: no group's values pass through one task."""
-    g = quantile_parts(df, value, probs, groups=groups, n_buckets=n_buckets, bounds=bounds)
+    g = quantile_parts(df, value, probs, groups=groups, n_buckets=n_buckets, bounds=bounds,
+                       selective=selective)
     names = list(names) if names else [f"q{p}" for p in probs]
     groups = list(groups)
     return g.select(*groups, *[

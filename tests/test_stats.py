@@ -218,8 +218,9 @@ def test_battery_skips_two_valued_numeric(spark):
     assert names == {"x"}
 
 
+@pytest.mark.parametrize("selective", [True, False])
 @pytest.mark.parametrize("buckets", [1, 2, 7])
-def test_grouped_quantiles_with_hot_value_match_numpy(spark, buckets):
+def test_grouped_quantiles_with_hot_value_match_numpy(spark, buckets, selective):
     rng = np.random.default_rng(7)
     rows = []
     for g in ("a", "b", "c"):
@@ -231,8 +232,10 @@ def test_grouped_quantiles_with_hot_value_match_numpy(spark, buckets):
     from lendspark.operators.ordered import quantile_parts
     probs = [0.0, 0.1, 0.5, 0.75, 1.0]
     got = {r["g"]: r for r in exact_quantiles(df, "v", probs, groups=["g"], n_buckets=buckets,
-                                              names=["p0", "p10", "p50", "p75", "p100"]).collect()}
-    parts = {r["g"]: r for r in quantile_parts(df, "v", [0.5], groups=["g"], n_buckets=buckets).collect()}
+                                              names=["p0", "p10", "p50", "p75", "p100"],
+                                              selective=selective).collect()}
+    parts = {r["g"]: r for r in quantile_parts(df, "v", [0.5], groups=["g"], n_buckets=buckets,
+                                               selective=selective).collect()}
     for g in ("a", "b", "c", "d"):
         vals = np.array([v for gg, v in rows if gg == g])
         want = np.percentile(vals, [p * 100 for p in probs])
