@@ -8,13 +8,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendspark.llm import exact_topk, secret_scan, sharding, url_filter
+from lendspark.llm import exact_topk, packing, secret_scan, sharding, url_filter
 from lendspark.llm.common import read_table
 
 URL_RULES = [url_filter.site_rule("block", "net/"), url_filter.site_rule("allow", "example.net/en/"),
              url_filter.site_rule("block", "example.com/de/"), url_filter.site_rule("allow", "org/fr/")]
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer file of the packing query."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op3_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(read_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -32,7 +42,7 @@ def op8_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_verdicts, op5_exact_topk, op7_secret_spans,
+    return {f.__name__: f for f in (op2_packing, op3_url_verdicts, op5_exact_topk, op7_secret_spans,
                                     op8_balanced_shards)}
 
 
