@@ -5,16 +5,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendspark.llm import exact_topk, packing, secret_scan, sharding, url_filter
+from lendspark.llm import exact_topk, packing, secret_scan, sharding, toxicity, url_filter
 from lendspark.llm.common import read_table
 
 URL_RULES = [url_filter.site_rule("block", "net/"), url_filter.site_rule("allow", "example.net/en/"),
              url_filter.site_rule("block", "example.com/de/"), url_filter.site_rule("allow", "org/fr/")]
 
 
+def remainder(modulus: int) -> Column:
+    """crc32 of the id as text, modulo."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    labels = read_table(spark, sf_dir, "labels").where(remainder(4) != 2)
+    model = toxicity.train(docs.where(remainder(4) != 2), labels)
+    return (toxicity.classify(docs, model)
+            .select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score",
+                    (F.col("score") >= 0.3).cast("int").alias("predicted"), "toxic"))
+
+
 def tokenizer_path() -> str:
     """The public tokenizer file of the packing query."""
     import public_tokenizers
@@ -42,7 +56,7 @@ def op8_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_url_verdicts, op5_exact_topk, op7_secret_spans,
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_url_verdicts, op5_exact_topk, op7_secret_spans,
                                     op8_balanced_shards)}
 
 
