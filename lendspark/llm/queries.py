@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendspark.llm import exact_topk, packing, secret_scan, sharding, toxicity, url_filter
+from lendspark.llm import exact_topk, ngram_join, packing, secret_scan, sharding, toxicity, url_filter
 from lendspark.llm.common import read_table
 
 URL_RULES = [url_filter.site_rule("block", "net/"), url_filter.site_rule("allow", "example.net/en/"),
@@ -47,6 +47,10 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.shingle_join(read_table(spark, sf_dir, "documents"))
+
+
 def op7_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.span_digest(secret_scan.find_secrets(read_table(spark, sf_dir, "documents")))
 
@@ -56,7 +60,7 @@ def op8_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_url_verdicts, op5_exact_topk, op7_secret_spans,
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_url_verdicts, op5_exact_topk, op6_ngram_join, op7_secret_spans,
                                     op8_balanced_shards)}
 
 
