@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendspark.llm import exact_topk, ngram_join, packing, secret_scan, sharding, toxicity, url_filter
+from lendspark.llm import (decontaminate, exact_topk, ngram_join, packing, secret_scan, sharding, suffix_dedup,
+                           toxicity, url_filter)
 from lendspark.llm.common import read_table
 
 URL_RULES = [url_filter.site_rule("block", "net/"), url_filter.site_rule("allow", "example.net/en/"),
@@ -43,6 +44,11 @@ def op3_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"),
+                                    read_table(spark, sf_dir, "benchmark"))
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -59,9 +65,13 @@ def op8_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(read_table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_url_verdicts, op5_exact_topk, op6_ngram_join, op7_secret_spans,
-                                    op8_balanced_shards)}
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_url_verdicts, op4_benchmark_leaks, op5_exact_topk, op6_ngram_join, op7_secret_spans,
+                                    op8_balanced_shards, op9_suffix_dedup)}
 
 
 OP3_SQL = """
