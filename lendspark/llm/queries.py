@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendspark.llm import (decontaminate, exact_topk, ngram_join, packing, secret_scan, sharding, suffix_dedup,
+from lendspark.llm import (decontaminate, exact_topk, gru_lm, ngram_join, packing, secret_scan, sharding, suffix_dedup,
                            toxicity, url_filter)
 from lendspark.llm.common import read_table
 
@@ -69,9 +69,17 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return (gru_lm.score_documents(docs, remainder(5) != 1)
+            .select("doc_id", F.coalesce(remainder(5) == 1, F.lit(False)).alias("held_out"),
+                    "n_tokens", "n_known", "train_tokens", "base_score", "score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_url_verdicts, op4_benchmark_leaks, op5_exact_topk, op6_ngram_join, op7_secret_spans,
-                                    op8_balanced_shards, op9_suffix_dedup)}
+                                    op8_balanced_shards, op9_suffix_dedup,
+                                    op10_lm_scores)}
 
 
 OP3_SQL = """
