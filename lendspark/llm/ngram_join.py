@@ -24,6 +24,7 @@ its square, and no link between different components is lost.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -298,19 +299,9 @@ def _verify(percent: int):
     return check
 
 
-def shingle_join(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
-    """One row per input row: (id, n_shingles, component_id, n_links).
-
-    Words are runs without ASCII white space, A-Z lower-cased. Two documents link
-    when 100 * intersection >= ``percent`` * union of their shingle sets; the
-    component is the smallest id reachable. ``n_links`` counts the verified links
-    that built the component at the document's set (0: alone, or equal sets only).
-    A text without words, empty or null has no shingles and is linked with nothing.
-    A null id takes no part in links and has a null component. Repeated rows are
-    kept; they have equal sets, so one component. Whole texts of any length. Other
-    columns are not read. An empty table gives an empty result.
-    """
+def set_components(docs: DataFrame, words: int, percent: int, id_col: str,
+                   text_col: str) -> tuple[DataFrame, DataFrame, int]:
+    """(rows: id, n, key), (sets: key, component, links) and the key's seed."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
@@ -385,6 +376,23 @@ def shingle_join(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str
         links = (edges.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key")
                  .agg(F.count(F.lit(1)).alias("links")))
     named = staged(named.join(links, "key", "left"), "join-named")
+    return rows, named, seed
+
+
+def shingle_join(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id",
+                 text_col: str = "text") -> DataFrame:
+    """One row per input row: (id, n_shingles, component_id, n_links).
+
+    Words are runs without ASCII white space, A-Z lower-cased. Two documents link
+    when 100 * intersection >= ``percent`` * union of their shingle sets; the
+    component is the smallest id reachable. ``n_links`` counts the verified links
+    that built the component at the document's set (0: alone, or equal sets only).
+    A text without words, empty or null has no shingles and is linked with nothing.
+    A null id takes no part in links and has a null component. Repeated rows are
+    kept; they have equal sets, so one component. Whole texts of any length. Other
+    columns are not read. An empty table gives an empty result.
+    """
+    rows, named, _ = set_components(docs, words, percent, id_col, text_col)
     has = F.col("key").isNotNull() & F.col("id").isNotNull()
     return (rows.join(named, "key", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
@@ -393,6 +401,32 @@ def shingle_join(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str
                     .alias("n_links")))
 
 
+def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",
+                     text_col: str = "text") -> DataFrame:
+    """The documents without those linked, directly or through others, to one with
+    a smaller id; of repeated rows one stays. Columns are unchanged. Texts without
+    words and rows with a null id are linked with nothing and stay."""
+    rows, named, seed = set_components(docs, words, percent, id_col, text_col)
+    repeated = (rows.where("id IS NOT NULL AND key IS NOT NULL").groupBy("id", "key")
+                .agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count())
+
+    @F.pandas_udf("long")
+    def key_of(texts: pd.Series) -> pd.Series:
+        out = [None] * len(texts)
+        for i, s in ShingleSets(words)(pa.array(texts, pa.string())):
+            out[i] = set_key(s, seed)
+        return pd.Series(out, dtype="Int64")
+
+    key, comp = "set_key__join", "component__join"
+    lookup = named.select(F.col("key").alias(key), F.col("component").alias(comp))
+    kept = (docs.withColumn(key, key_of(F.col(text_col).cast("string"))).join(lookup, key, "left")
+            .where(F.col(comp).isNull() | F.col(id_col).isNull() | (F.col(comp) == F.col(id_col))))
+    if repeated:
+        one = F.col(id_col).isNotNull() & F.col(key).isNotNull()
+        kept = kept.where(one).dropDuplicates([id_col, key]).unionByName(kept.where(~one))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def _lazy(sent, words: int, seed: int, percent: int, parts: int):
     def run(batches):
         freq, level_of = sent.value
