@@ -11,14 +11,16 @@ their pieces are laid end to end and cut at a 64-token grid where a window ends.
 
 The driver sees the histogram only. A piece finds its place from its rank inside
 its length bin, a two-level prefix count (hash part, then inside the part).
-Tokenizing happens once; a piece carries the CRCs of its grid prefixes and
-suffixes, so a later cut needs no second look at the text.
+Tokenizing happens once; a piece carries the CRCs of its grid prefixes, from which
+that of any later part follows, so a cut needs no second look at the text.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import string
+import struct
 import zlib
 
 import numpy as np
@@ -33,12 +35,12 @@ UNIT = 16             # tokens; lengths are rounded up to it for planning
 GRID = 64             # tokens; where residual pieces may be cut
 GOOD_FILL = 0.97      # residual patterns below are dissolved and cut
 PART_ROWS = 50_000    # pieces ranked in one window
-CACHE_WORDS = 400_000  # words whose ids a worker keeps
+CACHE_WORDS = 500_000  # words whose ids a worker keeps
 
 # The text steps of the tokenizer file, under which ids of words
 # that ASCII white space separates do not depend on their neighbours.
 SPLIT_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-SPACES = " \t\n\x0b\x0c\r"
+SPACES = "[ \t\n\x0b\x0c\r]"
 
 
 class DocumentIds:
@@ -65,7 +67,7 @@ class DocumentIds:
 
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
-        return np.asarray(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _plain(self, text: str) -> bytes:
         return self._pack(self.tok.encode(text, add_special_tokens=False).ids)
@@ -91,13 +93,11 @@ class DocumentIds:
     def __call__(self, text: str) -> bytes:
         if not self.by_word:
             return self._plain(text)
-        if any(c in text for c in "\x1c\x1d\x1e\x1f\x85\xa0") or not text.isascii():
-            words = text.translate(_TO_SPACE).split(" ")
-            return b"".join([self.words[w] for w in words if w])
-        return b"".join(map(self.words.__getitem__, text.split()))
-
-
-_TO_SPACE = {ord(c): " " for c in SPACES}
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):     # no white space to the tokenizer
+            words = filter(None, re.split(SPACES, text))
+        else:
+            words = text.split()
+        return b"".join(map(self.words.__getitem__, words))
 
 
 class _Cache(dict):
@@ -114,21 +114,47 @@ class _Cache(dict):
         return value
 
 
-PIECES = ("start long, length long, ids_crc32 long, doc_tokens long, "
-          "heads array<long>, tails array<long>")
+def _square(m: list[int]) -> list[int]:
+    return [_times(m, x) for x in m]
+
+
+def _times(m: list[int], v: int) -> int:
+    out, i = 0, 0
+    while v:
+        if v & 1:
+            out ^= m[i]
+        v >>= 1
+        i += 1
+    return out
+
+
+def crc_of_tail(whole: int, head: int, tail_bytes: int) -> int:
+    """CRC-32 of B from those of AB and A: appending bytes is a linear map over
+    GF(2), so crc(AB) = shift(crc(A), len(B)) xor crc(B)."""
+    op = _square(_square(_square([0xEDB88320] + [1 << i for i in range(31)])))   # one byte
+    while tail_bytes:
+        if tail_bytes & 1:
+            head = _times(op, head)
+        tail_bytes >>= 1
+        if tail_bytes:
+            op = _square(op)
+    return whole ^ head
+
+
+PIECES = "start long, length long, ids_crc32 long, doc_tokens long, heads array<long>"
 
 
 def document_pieces(docs: DataFrame, tokenizer_json: str, window: int, end_id: int,
                     id_col: str, text_col: str) -> DataFrame:
     """One row per window-sized piece and remainder of every document, with the
-    CRCs of the remainder's grid prefixes and suffixes."""
+    CRCs of the remainder's grid prefixes."""
     sent = docs.sparkSession.sparkContext.broadcast(tokenizer_json)   # one vocabulary file
     end = np.asarray([end_id], "<u4").tobytes()
 
     def cut(batches):
         ids_of = DocumentIds(sent.value)
         for b in batches:
-            rows = [[] for _ in range(7)]
+            rows = [[] for _ in range(6)]
             for key, v in zip(b.column(0).to_pylist(), b.column(1)):
                 ids = ids_of(v.as_py() or "") + end
                 n = len(ids) // 4
@@ -140,13 +166,13 @@ def document_pieces(docs: DataFrame, tokenizer_json: str, window: int, end_id: i
                     for k in at:
                         head = zlib.crc32(piece[k - 4 * GRID:k], head)
                         heads.append(head)
-                    for col, x in zip(rows, (key, s, length, zlib.crc32(piece), n, heads,
-                                             [zlib.crc32(piece[k:]) for k in at])):
+                    head = zlib.crc32(piece[4 * GRID * len(heads):], head)
+                    for col, x in zip(rows, (key, s, length, head, n, heads)):
                         col.append(x)
-            types = [b.schema.types[0], *[pa.int64()] * 4, pa.list_(pa.int64()), pa.list_(pa.int64())]
+            types = [b.schema.types[0], *[pa.int64()] * 4, pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)],
                                              names=[id_col, "start", "length", "ids_crc32",
-                                                    "doc_tokens", "heads", "tails"])
+                                                    "doc_tokens", "heads"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return (docs.select(F.col(id_col), F.col(text_col).cast("string"))
@@ -292,11 +318,11 @@ def _placer(places: dict[str, np.ndarray], units: int, id_col: str):
             cut = np.where(whole_next, c["length"], cut)
             two = np.flatnonzero(cut < c["length"])
             grid = cut[two] // GRID - 1
-            heads, tails = b.column(b.schema.names.index("heads")), b.column(b.schema.names.index("tails"))
+            heads = b.column(b.schema.names.index("heads"))
             crc, rest = c["ids_crc32"].copy(), []
             for i, g in zip(two.tolist(), grid.tolist()):
                 crc[i] = heads[i].as_py()[g]
-                rest.append(tails[i].as_py()[g])
+                rest.append(crc_of_tail(int(c["ids_crc32"][i]), int(crc[i]), 4 * int(c["length"][i] - cut[i])))
             key = b.column(0)
             yield pa.RecordBatch.from_arrays(
                 [pa.concat_arrays([key, key.take(pa.array(two))]),
@@ -341,7 +367,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
     offsets = cells.select("u", "p", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("o"))
     inside = Window.partitionBy("u", "p").orderBy(id_col, "start", "ids_crc32")
     ranked = (keyed.withColumn("r", F.row_number().over(inside) - 1).join(offsets, ["u", "p"])
-              .select(id_col, "start", "length", "ids_crc32", "doc_tokens", "heads", "tails", "u",
+              .select(id_col, "start", "length", "ids_crc32", "doc_tokens", "heads", "u",
                       (F.col("o") + F.col("r")).cast("long").alias("rank")))
     kind = docs.schema[id_col].dataType.simpleString()
     placed = ranked.mapInArrow(
