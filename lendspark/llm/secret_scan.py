@@ -35,6 +35,7 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 ORDINARY = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 KEYWORDS = (b"passw", b"secret", b"token", b"api")
 N_SYMBOLS, BORDER = 96, 95
+BACK_OFF = 10.0           # weight of the symbol frequencies in a transition row
 
 
 def pattern_spans(text: str) -> list[tuple[int, int, int]]:
@@ -110,7 +111,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         n[r["label"], r["pair"] // N_SYMBOLS, r["pair"] % N_SYMBOLS] = r["n"]
     if not n[0].sum() or not n[1].sum():
         return np.zeros((N_SYMBOLS, N_SYMBOLS))
-    p = (n + 0.5) / (n.sum(2, keepdims=True) + 0.5 * N_SYMBOLS)
+    seen = n.sum(1) + 0.5                               # how often each symbol follows any
+    q = (seen / seen.sum(1, keepdims=True))[:, None, :]
+    p = (n + BACK_OFF * q) / (n.sum(2, keepdims=True) + BACK_OFF)
     return np.log(p[1]) - np.log(p[0])
 
 
@@ -125,8 +128,8 @@ def markov_spans(text: str, spans, ratio: np.ndarray, per_char: float, total: fl
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 sample_docs: int = 4000, per_char: float = 0.8,
-                 total: float = 15.0, ratio: np.ndarray | None = None) -> DataFrame:
+                 sample_docs: int = 4000, per_char: float = 0.5,
+                 total: float = 10.0, ratio: np.ndarray | None = None) -> DataFrame:
     """One row per input row: (id, spans array<struct<start, end, kind>>),
     offsets in code points, end exclusive, sorted by start and kind.
 
@@ -176,7 +179,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
     there, is counted anew where a text changed. Columns and rows stay."""
     ensure_checkpoint_dir(docs.sparkSession)
     ratio = train(docs, **{k: v for k, v in options.items() if k in ("sample_docs",)})
-    per_char, total = options.get("per_char", 0.8), options.get("total", 15.0)
+    per_char, total = options.get("per_char", 0.5), options.get("total", 10.0)
     at = docs.columns.index("text")
 
     def clean(batches):
