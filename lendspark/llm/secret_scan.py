@@ -35,7 +35,7 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 ORDINARY = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 KEYWORDS = (b"passw", b"secret", b"token", b"api")
 N_SYMBOLS, BORDER = 96, 95
-BACK_OFF = 10.0           # weight of the symbol frequencies in a transition row
+BACK_OFF = 100.0          # weight of the symbol frequencies in a transition row
 
 
 def pattern_spans(text: str) -> list[tuple[int, int, int]]:
