@@ -5,11 +5,13 @@ A ``Window.orderBy`` with no partition moves every row into one task. Instead:
 1. collapse ties: ``groupBy(groups, value)`` with per-class counts (partial
    aggregation runs map-side, so a value holding a third of all rows is one
    row after the combine);
-2. split each group's value range into buckets at approximate quantiles
-   (literal boundaries, collected once: at most groups x buckets numbers);
+2. split each group's value range into buckets at approximate quantiles, as
+   many as the largest group's size asks for, kept in a boundary table;
 3. running counts inside ``Window.partitionBy(groups, bucket).orderBy(value)``;
-4. add per-bucket offsets from a tiny ``(group, bucket)`` totals table that is
-   broadcast (its size is bounded by groups x buckets, both checked).
+4. add per-bucket offsets from a ``(group, bucket)`` totals table.
+
+The plan is the same at every size; whether the small tables are broadcast is
+decided from their measured sizes.
 
 Everything downstream (exact AUC / KS / Mann-Whitney U, exact quantiles, mid
 ranks for Spearman) is a plain aggregate over this output.
@@ -23,61 +25,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendspark.functions.nulls import col_of
-
-DEFAULT_BUCKETS = 64
-MAX_LITERAL_GROUPS = 4096
-MAX_LITERALS = 100_000
-# Below this many values, exact quantiles order every distinct value (fewer
-# stages); above it, only the buckets holding the wanted ranks.
-SELECTIVE_MIN_ROWS = 50_000_000
-
-
-def _bucket_count(spark, n_buckets: int | None) -> int:
-    if n_buckets:
-        return int(n_buckets)
-    try:
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    except Exception:  # noqa: BLE001 - conf may be unset
-        parts = DEFAULT_BUCKETS
-    return max(8, min(1024, 2 * parts))
-
-
-def group_bounds(df: DataFrame, value: str, groups: Sequence[str], n_buckets: int,
-                 accuracy: int | None = None, extra_aggs: dict[str, Column] | None = None):
-    """One pass per group: approximate quantile boundaries of ``value`` (for
-    bucketing only, so a coarse ``accuracy`` suffices) plus any extra
-    aggregates. Returns (rows, table): ``rows`` are collected when there are at
-    most MAX_LITERAL_GROUPS groups (else None and the caller joins ``table``)."""
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    acc = accuracy or max(256, 8 * n_buckets)
-    aggs = [F.percentile_approx(F.col(value), probs, acc).alias("_bounds"),
+from lendspark.session import cut_lineage
+
+# Values (after nulls) of the largest group that one bucket should hold.
+BUCKET_VALUES = 500_000
+LEAST_BUCKETS = 8
+
+
+def group_bounds(df: DataFrame, value: str, groups: Sequence[str], n_buckets: int | None = None,
+                 extra_aggs: dict[str, Column] | None = None) -> DataFrame:
+    """Per group: ``_bounds`` (sorted approximate quantiles of ``value``, for
+    bucketing only, so a coarse accuracy suffices), ``_coarse`` (every
+    ``_step``-th of them), ``_cnt`` values and any extra aggregates.
+
+    The number of buckets follows the data: a first pass counts the largest
+    group. The table is checkpointed, since every step below joins it."""
+    if n_buckets is None:
+        largest = (df.groupBy(*groups).agg(F.count(F.col(value)).alias("_cnt"))
+                   .agg(F.max("_cnt")).first()[0] or 0)
+        n_buckets = max(LEAST_BUCKETS, -(-int(largest) // BUCKET_VALUES))
+    step = max(1, round(n_buckets ** 0.5))
+    probs = [i / n_buckets for i in range(1, n_buckets)] or [0.5]
+    aggs = [F.percentile_approx(F.col(value), probs, max(256, 8 * n_buckets)).alias("_bounds"),
             F.count(F.col(value)).alias("_cnt")]
     aggs += [c.alias(k) for k, c in (extra_aggs or {}).items()]
-    table = df.groupBy(*groups).agg(*aggs)
-    rows = table.limit(MAX_LITERAL_GROUPS + 1).collect()
-    return (rows if len(rows) <= MAX_LITERAL_GROUPS else None), table
-
-
-def _bucket_expr(value: str, groups: Sequence[str], rows) -> Column:
-    """Bucket = number of boundaries below value: monotone in value, equal
-    values share a bucket. Boundaries are literals (#groups x #buckets)."""
-    v = F.col(value).cast("double")
-
-    def arr_lit(vals):
-        vals = sorted(set(float(x) for x in (vals or []) if x is not None))
-        if not vals:
-            return F.array().cast("array<double>")
-        return F.array(*[F.lit(x) for x in vals])
-    if not groups:
-        arr = arr_lit(rows[0]["_bounds"] if rows else [])
-    else:
-        pairs = []
-        for r in rows:
-            pairs += [F.struct(*[F.lit(r[g]).alias(g) for g in groups]), arr_lit(r["_bounds"])]
-        if not pairs:
-            return F.lit(0)
-        arr = F.element_at(F.create_map(*pairs), F.struct(*[F.col(g) for g in groups]))
-    return _count_below(arr, v)
+    table = (df.groupBy(*groups).agg(*aggs)
+             .withColumn("_bounds", F.array_sort(F.array_distinct(F.coalesce(
+                 F.col("_bounds").cast("array<double>"), F.array().cast("array<double>")))))
+             .withColumn("_step", F.lit(step))
+             .withColumn("_coarse", F.expr("filter(_bounds, (x, i) -> (i + 1) % _step = 0)")))
+    return cut_lineage(table)
 
 
 def _count_below(arr: Column, v: Column) -> Column:
@@ -87,31 +64,24 @@ def _count_below(arr: Column, v: Column) -> Column:
     return (F.array_position(F.sort_array(F.concat(arr, F.array(v))), v) - 1).cast("int")
 
 
-def _with_buckets(collapsed: DataFrame, value_name: str, groups: Sequence[str], rows, table,
-                  nb: int) -> DataFrame:
-    """Add ``_b`` (value bucket within its group) from :func:`group_bounds`
-    output: literal boundaries when they are few, else a join with the
-    boundary table (broadcast when collected, i.e. at most
-    MAX_LITERAL_GROUPS rows; shuffled otherwise)."""
-    spark = collapsed.sparkSession
-    if rows is not None and len(rows) * nb <= MAX_LITERALS:
-        return collapsed.withColumn("_b", _bucket_expr(value_name, groups, rows))
-    if rows is not None:
-        bt = F.broadcast(spark.createDataFrame(
-            [tuple(r[g] for g in groups) + (r["_bounds"],) for r in rows],
-            table.select(*groups, "_bounds").schema))
-    else:
-        bt = table.select(*groups, "_bounds")
-    return (collapsed.join(bt, list(groups))
-            .withColumn("_b", _count_below(F.col("_bounds").cast("array<double>"),
-                                           F.col(value_name).cast("double")))
-            .drop("_bounds"))
+def _with_buckets(collapsed: DataFrame, value_name: str, groups: Sequence[str],
+                  bounds: DataFrame) -> DataFrame:
+    """Add ``_b``, the number of the group's boundaries below the value: monotone
+    in the value, equal values share a bucket. Two-level search: first among every
+    step-th boundary, then among the step boundaries of that block, so the cost
+    grows with the square root of the bucket count."""
+    bt = bounds.select(*groups, "_bounds", "_coarse", "_step")
+    v = F.col(value_name).cast("double")
+    joined = collapsed.join(bt, list(groups)) if groups else collapsed.crossJoin(F.broadcast(bt))  # one row
+    block = joined.withColumn("_c", _count_below(F.col("_coarse"), v))
+    fine = F.slice("_bounds", F.col("_c") * F.col("_step") + 1, F.col("_step"))
+    return (block.withColumn("_b", F.col("_c") * F.col("_step") + _count_below(fine, v))
+            .drop("_bounds", "_coarse", "_step", "_c"))
 
 
 def ordered_counts(df: DataFrame, value: str | Column, label: str | Column | None = None,
                    groups: Sequence[str] = (), n_buckets: int | None = None,
-                   accuracy: int | None = None, value_name: str = "value",
-                   bounds=None) -> DataFrame:
+                   value_name: str = "value", bounds: DataFrame | None = None) -> DataFrame:
     """One row per (groups, distinct value) with
 
     ``n`` rows at the value, ``before_n`` rows with a strictly smaller value,
@@ -121,8 +91,6 @@ def ordered_counts(df: DataFrame, value: str | Column, label: str | Column | Non
     the output of :func:`group_bounds` when the caller already computed it
     (so its pass can also carry other aggregates).
     """
-    spark = df.sparkSession
-    nb = _bucket_count(spark, n_buckets)
     groups = list(groups)
     cols = [F.col(g) for g in groups] + [col_of(value).alias(value_name)]
     if label is not None:
@@ -139,8 +107,9 @@ def ordered_counts(df: DataFrame, value: str | Column, label: str | Column | Non
         names += ["c0", "c1"]
     collapsed = base.groupBy(*groups, value_name).agg(*counts)
 
-    rows, table = bounds if bounds is not None else group_bounds(base, value_name, groups, nb, accuracy)
-    bucketed = _with_buckets(collapsed, value_name, groups, rows, table, nb)
+    if bounds is None:
+        bounds = group_bounds(base, value_name, groups, n_buckets)
+    bucketed = _with_buckets(collapsed, value_name, groups, bounds)
 
     w_in = (Window.partitionBy(*groups, "_b").orderBy(value_name)
             .rowsBetween(Window.unboundedPreceding, -1))
@@ -156,8 +125,8 @@ def ordered_counts(df: DataFrame, value: str | Column, label: str | Column | Non
         *[F.coalesce(F.sum(f"_bt_{k}").over(w_off), F.lit(0)).alias(f"_off_{k}") for k in names],
         *[F.sum(f"_bt_{k}").over(w_all).alias(f"_tot_{k}") for k in names])
 
-    # offsets has at most (#groups x n_buckets) rows, groups checked above.
-    out = within.join(F.broadcast(offsets), [*groups, "_b"])
+    # offsets has groups x buckets rows: how to join them is left to their measured size
+    out = within.join(offsets, [*groups, "_b"])
     suffix = {"n": "n", "c0": "0", "c1": "1"}
     return out.select(
         *groups, value_name, *names,
@@ -165,45 +134,24 @@ def ordered_counts(df: DataFrame, value: str | Column, label: str | Column | Non
         *[F.col(f"_tot_{k}").alias(f"total_{suffix[k]}") for k in names])
 
 
-def _quantile_parts_full(base: DataFrame, probs: Sequence[float], groups: Sequence[str],
-                         n_buckets: int | None, bounds) -> DataFrame:
-    """:func:`quantile_parts` from the ordered counts of every distinct value."""
-    oc = ordered_counts(base, "_v", groups=groups, n_buckets=n_buckets, value_name="_v", bounds=bounds)
-    cum = F.col("before_n") + F.col("n")
-    aggs = [F.first("total_n").alias("_N"), F.count(F.lit(1)).alias("_D")]
-    for i, p in enumerate(probs):
-        h = (F.col("total_n") - 1) * F.lit(float(p))
-        aggs += [F.min(F.when(cum >= F.floor(h) + 1, F.col("_v"))).alias(f"_lo{i}"),
-                 F.min(F.when(cum >= F.ceil(h) + 1, F.col("_v"))).alias(f"_hi{i}"),
-                 F.first(h - F.floor(h), ignorenulls=True).alias(f"_fr{i}")]
-    return oc.groupBy(*groups).agg(*aggs)
-
-
 def quantile_parts(df: DataFrame, value: str | Column, probs: Sequence[float],
                    groups: Sequence[str] = (), n_buckets: int | None = None,
-                   bounds=None, selective: bool | None = None) -> DataFrame:
+                   bounds: DataFrame | None = None) -> DataFrame:
     """Per group: ``_N`` non-null rows, ``_D`` distinct values and, for every
     probability i, the values at 0-based positions floor(h) and ceil(h),
     h = (N - 1) p (``_lo{i}``, ``_hi{i}``) with the fraction ``_fr{i}``.
 
     Only the buckets holding a wanted rank are ordered: per-bucket totals
     (a groups x buckets table) locate the bucket and the rank inside it, a
-    broadcast semi-join keeps that bucket's values (about 2 * len(probs) /
-    buckets of them) and a window inside it finds the value. Inputs below
-    SELECTIVE_MIN_ROWS values (counted by the bounds pass) take the shorter
-    plan over the full ordered counts; ``selective`` forces either way."""
-    spark = df.sparkSession
-    nb = _bucket_count(spark, n_buckets)
+    semi-join keeps that bucket's values (about 2 * len(probs) / buckets of
+    them) and a window inside it finds the value."""
     groups = list(groups)
     base = (df.select(*[F.col(g) for g in groups], col_of(value).alias("_v"))
               .where(F.col("_v").isNotNull()))
-    rows, table = bounds if bounds is not None else group_bounds(base, "_v", groups, nb)
-    if selective is None:
-        selective = rows is None or sum(int(r["_cnt"] or 0) for r in rows) > SELECTIVE_MIN_ROWS
-    if not selective:
-        return _quantile_parts_full(base, probs, groups, n_buckets, (rows, table))
+    if bounds is None:
+        bounds = group_bounds(base, "_v", groups, n_buckets)
     collapsed = base.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("n"))
-    bucketed = _with_buckets(collapsed, "_v", groups, rows, table, nb)
+    bucketed = _with_buckets(collapsed, "_v", groups, bounds)
 
     totals = bucketed.groupBy(*groups, "_b").agg(F.sum("n").alias("_bn"),
                                                  F.count(F.lit(1)).alias("_bd"))
@@ -224,13 +172,11 @@ def quantile_parts(df: DataFrame, value: str | Column, probs: Sequence[float],
                .where((F.col("t.r") > F.col("_off")) & (F.col("t.r") <= F.col("_off") + F.col("_bn")))
                .select(*groups, "_b", "_N", "_D", F.col("t.q").alias("q"), F.col("t.side").alias("side"),
                        F.col("t.fr").alias("fr"), (F.col("t.r") - F.col("_off")).alias("_rin")))
-    small = rows is not None  # groups were collected: need is bounded, broadcast it
-    need_j = F.broadcast(need) if small else need
     keys = need.select(*groups, "_b").distinct()
-    sel = bucketed.join(F.broadcast(keys) if small else keys, [*groups, "_b"], "left_semi")
+    sel = bucketed.join(keys, [*groups, "_b"], "left_semi")
     w_in = Window.partitionBy(*groups, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     cum = sel.select(*groups, "_b", "_v", F.sum("n").over(w_in).alias("_cum"))
-    hit = cum.join(need_j, [*groups, "_b"]).where(F.col("_cum") >= F.col("_rin"))
+    hit = cum.join(need, [*groups, "_b"]).where(F.col("_cum") >= F.col("_rin"))
     picked = hit.groupBy(*groups, "q", "side").agg(
         F.min("_v").alias("_x"), F.first("fr").alias("fr"),
         F.first("_N").alias("_N"), F.first("_D").alias("_D"))
@@ -244,12 +190,10 @@ def quantile_parts(df: DataFrame, value: str | Column, probs: Sequence[float],
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                     groups: Sequence[str] = (), names: Sequence[str] | None = None,
-                    n_buckets: int | None = None, bounds=None,
-                    selective: bool | None = None) -> DataFrame:
+                    n_buckets: int | None = None, bounds: DataFrame | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas / numpy default),
     one row per group. Distributed: no group's values pass through one task."""
-    g = quantile_parts(df, value, probs, groups=groups, n_buckets=n_buckets, bounds=bounds,
-                       selective=selective)
+    g = quantile_parts(df, value, probs, groups=groups, n_buckets=n_buckets, bounds=bounds)
     names = list(names) if names else [f"q{p}" for p in probs]
     groups = list(groups)
     return g.select(*groups, *[
@@ -286,12 +230,12 @@ def class_separation(df: DataFrame, score: str | Column, label: str | Column,
 
 def hashed_row_numbers(df: DataFrame, groups: Sequence[str], order_key: Column,
                        out: str = "_rn", bits: int = 16) -> DataFrame:
-    """0-based row number within ``groups`` in the order of a 64-bit hash key,
-    without a global window: the top ``bits`` of the (uniform) hash split each
+    """0-based row number within ``groups`` in the order of a hash key,
+    without a global window: the top ``bits`` of the (uniform, 60-bit) key split each
     group into 2^bits ordered buckets (a group of 10^12 rows gives ~1.5x10^7
     rows per window partition); offsets come from a bucket table of at most
     groups x 2^bits rows."""
-    shift = 64 - bits
+    shift = 60 - bits
     keyed = df.withColumn("_k", order_key).withColumn("_hb", F.shiftright(F.col("_k"), shift))
     w = Window.partitionBy(*groups, "_hb").orderBy("_k")
     local = keyed.withColumn("_lrn", F.row_number().over(w) - 1)
@@ -299,6 +243,5 @@ def hashed_row_numbers(df: DataFrame, groups: Sequence[str], order_key: Column,
     w_off = Window.partitionBy(*groups).orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*groups, "_hb", F.coalesce(F.sum("_bn").over(w_off), F.lit(0)).alias("_off"),
                      F.sum("_bn").over(Window.partitionBy(*groups)).alias("_group_n"))
-    # off: at most (#groups x 2^bits) rows.
-    res = local.join(F.broadcast(off), [*groups, "_hb"])
+    res = local.join(off, [*groups, "_hb"])
     return res.withColumn(out, F.col("_off") + F.col("_lrn")).drop("_k", "_hb", "_lrn", "_off")

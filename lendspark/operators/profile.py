@@ -14,10 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lendspark.functions.nulls import round_half_even
+from lendspark.functions.nulls import nan_to_null, round_half_even
 from lendspark.functions.scalar import right_closed_bin
-from lendspark.operators.ordered import (_bucket_count, exact_quantiles, group_bounds, ordered_counts,
-                                        quantile_parts)
+from lendspark.operators.ordered import exact_quantiles, group_bounds, quantile_parts
 
 TARGET = "TARGET"
 AGG_CHUNK = 100  # expressions per aggregate, below codegen limits
@@ -41,8 +40,8 @@ def _q(c: str) -> Column:
 def long_values(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (),
                 name: str = "column", value: str = "value") -> DataFrame:
     """Unpivot numeric columns to ``(keep..., column, value double)`` (an Expand,
-    no shuffle); null values are dropped."""
-    df2 = df.select(*[_q(k) for k in keep], *[_q(c).cast("double").alias(c) for c in columns])
+    no shuffle); null and NaN values are dropped."""
+    df2 = df.select(*[_q(k) for k in keep], *[nan_to_null(_q(c).cast("double")).alias(c) for c in columns])
     return (df2.unpivot(list(keep), list(columns), name, value)
                .where(F.col(value).isNotNull()))
 
@@ -82,16 +81,11 @@ def _long_pass(df: DataFrame, cols: Sequence[str], aggs: dict[str, Column]):
     counts plus ``aggs``. The aggregate has a fixed number of expressions
     whatever the column count. Returns (long values without nulls, bounds,
     per-column statistics as a small DataFrame)."""
-    spark = df.sparkSession
-    lv_all = (df.select(*[_q(c).cast("double").alias(c) for c in cols])
+    lv_all = (df.select(*[nan_to_null(_q(c).cast("double")).alias(c) for c in cols])
                 .unpivot([], list(cols), "column", "value"))
-    rows, table = group_bounds(lv_all, "value", ["column"], _bucket_count(spark, None), extra_aggs=aggs)
-    if rows is None:
-        stats = table.drop("_bounds")
-    else:  # one row per column
-        schema = T.StructType([f for f in table.schema.fields if f.name != "_bounds"])
-        stats = spark.createDataFrame([tuple(r[f.name] for f in schema.fields) for r in rows], schema)
-    return lv_all.where(F.col("value").isNotNull()), (rows, table), stats
+    bounds = group_bounds(lv_all, "value", ["column"], extra_aggs=aggs)
+    return (lv_all.where(F.col("value").isNotNull()), bounds,
+            bounds.drop("_bounds", "_coarse", "_step", "_cnt"))
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True,
@@ -140,6 +134,13 @@ def numeric_profile(df: DataFrame, target: str = TARGET, decimals: int = 4) -> D
         F.coalesce(F.col("n_unicos"), F.lit(0)).cast("long").alias("n_unicos"))
 
 
+def _missing(df: DataFrame, c: str) -> Column:
+    """Null, or NaN in a floating-point column."""
+    x = _q(c)
+    return x.isNull() | F.isnan(x) if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) \
+        else x.isNull()
+
+
 def null_profile(df: DataFrame) -> DataFrame:
     """``coluna, n_nulos, pct_nulos, dtype`` for columns with nulls,
     highest share first (ties by column name)."""
@@ -147,10 +148,7 @@ def null_profile(df: DataFrame) -> DataFrame:
     types = {f.name: f.dataType.simpleString() for f in fields}
 
     def per_col(c):
-        x = _q(c)
-        isnull = x.isNull() | (F.isnan(x) if isinstance(df.schema[c].dataType,
-                                                        (T.DoubleType, T.FloatType)) else F.lit(False))
-        return {"n_nulos": F.count_if(isnull), "_rows": F.count(F.lit(1)),
+        return {"n_nulos": F.count_if(_missing(df, c)), "_rows": F.count(F.lit(1)),
                 "dtype": F.lit(types[c])}
 
     long = _wide_to_long(df, [f.name for f in fields], per_col)
@@ -176,7 +174,7 @@ def null_share_gate(df: DataFrame, max_mean_pct: float = 5.0) -> DataFrame:
     """Mean of per-column null shares (%) and whether it exceeds the limit
     (the ETL warns, it does not stop)."""
     cols = [f.name for f in df.schema.fields]
-    shares = [F.avg(_q(c).isNull().cast("double")) for c in cols]
+    shares = [F.avg(_missing(df, c).cast("double")) for c in cols]
     mean = sum(shares[1:], shares[0]) / F.lit(len(cols)) * 100
     return df.agg(mean.alias("mean_null_pct")).withColumn(
         "warn", F.col("mean_null_pct") > F.lit(max_mean_pct))
@@ -186,7 +184,7 @@ def columns_below_null_share(df: DataFrame, max_share: float = 0.5) -> list[str]
     """Names of columns whose null share is below ``max_share`` (one job;
     the result is one number per column)."""
     cols = [f.name for f in df.schema.fields]
-    row = df.agg(*[F.avg(_q(c).isNull().cast("double")).alias(f"_{i}")
+    row = df.agg(*[F.avg(_missing(df, c).cast("double")).alias(f"_{i}")
                    for i, c in enumerate(cols)]).first()
     return [c for i, c in enumerate(cols) if row[f"_{i}"] is not None and row[f"_{i}"] < max_share]
 

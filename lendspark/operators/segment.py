@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lendspark.operators.ordered import exact_quantiles
-from lendspark.session import ship_package, spread
+from lendspark.session import ship_package
 
 N_CLUSTERS = 5
 RANDOM_STATE = 42
@@ -146,8 +146,8 @@ class IsolationForestModel:
         # one double column per feature: columnar Arrow batches, no per-row arrays
         arr = vector_to_array(features_col)
         xcols = [f"_x{i}" for i in range(self.n_features)]
-        src = spread(df.select(*[F.col(f"`{c}`") for c in names],
-                               *[arr[i].alias(c) for i, c in enumerate(xcols)]))
+        src = df.select(*[F.col(f"`{c}`") for c in names],
+                        *[arr[i].alias(c) for i, c in enumerate(xcols)])
         schema = T.StructType(keep + [T.StructField(out, T.DoubleType())])
 
         def run(batches):
@@ -177,8 +177,8 @@ def fit_isolation_forest(df: DataFrame, features_col: str = "features", n_trees:
                          seed: int = RANDOM_STATE, id_col: str | None = None,
                          with_threshold: bool = True) -> IsolationForestModel:
     """Grow ``n_trees`` trees on independent sub-samples of size
-    ~``max_samples`` (each row joins tree t when a seeded hash falls under
-    max_samples / n; no row expansion before the filter), then (unless
+    ~``max_samples`` (a row joins a tree with probability max_samples / n, by
+    seeded hashes; no row expansion before the filter), then (unless
     ``with_threshold`` is False) set the threshold at the (1 - contamination)
     quantile of the training scores."""
     ship_package(df.sparkSession)
@@ -186,19 +186,23 @@ def fit_isolation_forest(df: DataFrame, features_col: str = "features", n_trees:
     psi = min(max_samples, n)
     p = psi / max(n, 1)
     key = F.col(id_col) if id_col else F.monotonically_increasing_id()
-    if n >= n_trees * psi:
-        # Large input: one hash per row picks one of n // psi disjoint random
-        # chunks of ~psi rows; chunk t (< n_trees) trains tree t.
-        chunks = n // psi
-        tree_id = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(chunks)).cast("int")
-        sampled = (df.select(vector_to_array(features_col).alias("_x"), tree_id.alias("tree_id"))
-                     .where(F.col("tree_id") < n_trees))
-    else:
-        # Small input: row joins tree t when its (row, tree) hash is under psi / n.
-        u = lambda t: (F.pmod(F.xxhash64(key, t, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30)))
-        trees_of_row = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: u(t) < F.lit(p))
-        sampled = (df.select(vector_to_array(features_col).alias("_x"), trees_of_row.alias("_trees"))
-                     .select("_x", F.explode("_trees").alias("tree_id")))
+    # One hash per row decides how many trees it joins: the expected n_trees * p,
+    # rounded up or down by the hash; a second hash then draws that many different
+    # trees (a rotation of tree ids in steps coprime to n_trees).
+    uniform = lambda salt: (F.pmod(F.xxhash64(key, F.lit(seed), F.lit(salt)), F.lit(1 << 30))
+                            / F.lit(float(1 << 30)))
+    joins = F.floor(F.lit(n_trees * p) + uniform("count")).cast("int")
+    first = F.pmod(F.xxhash64(key, F.lit(seed), F.lit("tree")), F.lit(n_trees))
+    steps = [k for k in range(1, n_trees + 1) if math.gcd(k, n_trees) == 1]
+    step = F.element_at(F.array(*[F.lit(k) for k in steps]),
+                        (F.pmod(F.xxhash64(key, F.lit(seed), F.lit("step")), F.lit(len(steps))) + 1).cast("int"))
+    sampled = (df.select(vector_to_array(features_col).alias("_x"), joins.alias("_j"), first.alias("_f"),
+                         step.alias("_s"))
+                 .where(F.col("_j") > 0)
+                 .select("_x", "_f", "_s", F.explode(F.sequence(F.lit(0), F.least("_j", F.lit(n_trees)) - 1))
+                         .alias("_i"))
+                 .select("_x", F.pmod(F.col("_f") + F.col("_i") * F.col("_s"), F.lit(n_trees))
+                         .cast("int").alias("tree_id")))
     limit = int(math.ceil(math.log2(max(psi, 2))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -52,6 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     runs, tests) create a private scratch folder for it."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="lendspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -111,18 +113,3 @@ def ship_package(spark: SparkSession, base: str | None = None) -> None:
         out.close()
     sc.addPyFile(target)
     _SHIPPED.add(key)
-
-
-def spread(df: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Round-robin repartition when the input has fewer partitions than the
-    cluster has cores (a few large unsplittable files); inputs that are
-    already split are left alone. Use on scans or narrow plans: counting the
-    partitions of a plan with shuffles would run its stages."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if min_bytes:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        if size < min_bytes:
-            return df
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df

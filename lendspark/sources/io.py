@@ -64,8 +64,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """Parquet scan, pruned to ``columns``; float NaN becomes null."""
     df = spark.read.parquet(path)
-    return df.select(*columns) if columns else df
+    return nans_to_nulls(df.select(*columns) if columns else df)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:

@@ -18,17 +18,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendspark.session import spread
+from lendspark.functions.nulls import nans_to_nulls
 
 EPOCH = "1970-01-01"
 PART_SIZE_SENTINEL = 50
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet scan; a table stored as fewer splits than the cluster has
-    cores (e.g. one row group) is spread round-robin so the work before the
-    first shuffle is not serial. Many-split tables are read as they are."""
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"), min_bytes=1 << 20)
+    """Parquet scan with the ingest rule: NaN counts as missing."""
+    return nans_to_nulls(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def _days_since_epoch(c: str):
