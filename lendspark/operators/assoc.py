@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lendspark.functions import tails
-from lendspark.functions.nulls import round_half_even
+from lendspark.functions.nulls import nan_to_null, round_half_even
 from lendspark.operators.ordered import ordered_counts
 from lendspark.session import ship_package
 from lendspark.operators.profile import TARGET, _q, _wide_to_long, long_values, numeric_columns
@@ -32,20 +32,20 @@ def _pearson_long(df: DataFrame, columns: Sequence[str], target: str) -> DataFra
 
 
 def _spearman_long(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
-    """Pearson of average ranks over complete pairs, per column, from ordered
-    counts (label must be 0/1: its rank is the class mid-rank)."""
-    lv = long_values(df.where(_q(target).isNotNull()), columns, keep=[target])
-    oc = ordered_counts(lv, "value", F.col(target), groups=["column"], value_name="_v")
-    rx = F.col("before_n") + (F.col("n") + 1) / 2.0
-    n0, n1 = F.col("total_0").cast("double"), F.col("total_1").cast("double")
-    ry0 = (n0 + 1) / 2.0
-    ry1 = n0 + (n1 + 1) / 2.0
-    g = oc.groupBy("column").agg(
-        F.first(n0 + n1).alias("N"),
-        F.sum(F.col("n") * rx).alias("sx"), F.sum(F.col("n") * rx * rx).alias("sxx"),
-        F.sum(rx * (F.col("c0") * ry0 + F.col("c1") * ry1)).alias("sxy"),
-        F.first(n0 * ry0 + n1 * ry1).alias("sy"),
-        F.first(n0 * ry0 * ry0 + n1 * ry1 * ry1).alias("syy"))
+    """Pearson of average ranks over complete pairs, per column; the label is ranked
+    like the values, so it may be any numeric column. Ranks come from ordered counts;
+    pairs are collapsed to (column, value, label) counts before they meet their ranks."""
+    y = nan_to_null(_q(target).cast("double"))
+    lv = long_values(df.withColumn(target, y).where(_q(target).isNotNull()), columns, keep=[target]) \
+        .withColumnRenamed(target, "_y")
+    rank = lambda c, name: ordered_counts(lv, c, groups=["column"], value_name=c).select(
+        "column", c, (F.col("before_n") + (F.col("n") + 1) / 2.0).alias(name))
+    pairs = (lv.groupBy("column", "value", "_y").agg(F.count(F.lit(1)).cast("double").alias("k"))
+             .join(rank("value", "rx"), ["column", "value"]).join(rank("_y", "ry"), ["column", "_y"]))
+    k, rx, ry = F.col("k"), F.col("rx"), F.col("ry")
+    g = pairs.groupBy("column").agg(
+        F.sum(k).alias("N"), F.sum(k * rx).alias("sx"), F.sum(k * rx * rx).alias("sxx"),
+        F.sum(k * rx * ry).alias("sxy"), F.sum(k * ry).alias("sy"), F.sum(k * ry * ry).alias("syy"))
     N = F.col("N")
     num = N * F.col("sxy") - F.col("sx") * F.col("sy")
     den = F.sqrt((N * F.col("sxx") - F.col("sx") ** 2) * (N * F.col("syy") - F.col("sy") ** 2))

@@ -140,24 +140,6 @@ def ks_test(df: DataFrame, column: str, target: str = TARGET, alpha: float = ALP
     return ks_tests(df, [column], target, alpha)
 
 
-def continuous_candidates(df: DataFrame, target: str = TARGET) -> list[str]:
-    """Numeric columns other than the label with more than 2 distinct values
-    (one aggregate over all columns; approximate counts screen, exact confirm
-    only the borderline ones)."""
-    cols = numeric_columns(df, exclude=[target])
-    if not cols:
-        return []
-    row = df.agg(*[F.approx_count_distinct(_q(c)).alias(f"_{i}") for i, c in enumerate(cols)]).first()
-    sure = [c for i, c in enumerate(cols) if row[f"_{i}"] > 5]
-    border = [c for i, c in enumerate(cols) if 0 < row[f"_{i}"] <= 5]
-    if border:
-        # Exact count for few-valued columns; stop at 3 distinct values.
-        ex = df.agg(*[F.size(F.slice(F.collect_set(_q(c)), 1, 3)).alias(f"_{i}")
-                      for i, c in enumerate(border)]).first()
-        sure += [c for i, c in enumerate(border) if ex[f"_{i}"] > 2]
-    return [c for c in cols if c in set(sure)]
-
-
 def test_battery(df: DataFrame, continuous: Sequence[str] | None = None,
                  categorical: Sequence[str] | None = None, target: str = TARGET,
                  alpha: float = ALPHA) -> DataFrame:
