@@ -9,6 +9,7 @@ hash.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from lendspark.functions.nulls import round_half_even, stable_round_sql
 from lendspark.operators import features as feat
 from lendspark.operators import profile as prof
-from lendspark.session import cut_lineage
-from lendspark.sources import roles
+from lendspark.session import cut_lineage, shared_path
+from lendspark.sources import io, roles
 from lendspark.sources.roles import (APPLICATION_SQL, BUREAU_SQL, CREDIT_CARD_SQL,
                                      INSTALLMENTS_SQL, SCORES_SQL, with_sql)
 
@@ -293,6 +294,53 @@ def q_numeric_profile(spark, sf_dir):
     return prof.numeric_profile(e)
 
 
+def _nan_lineitem(spark, sf_dir):
+    """lineitem with NaN quantities and prices where l_tax is 0, staged as Parquet and
+    read back through the library's reader (ingest rule: NaN is missing)."""
+    li = roles.table(spark, sf_dir, "lineitem")
+    for c in ("l_quantity", "l_extendedprice"):
+        li = li.withColumn(c, F.when(F.col("l_tax") == 0, F.lit(float("nan"))).otherwise(F.col(c)))
+    path = shared_path(spark, f"nan-{uuid.uuid4().hex}")
+    return io.read_parquet(spark, io.write_parquet(li, path),
+                           ["l_orderkey", "l_quantity", "l_extendedprice", "l_discount"])
+
+
+_NAN_SQL = """WITH enriched AS (
+  SELECT l_orderkey, CASE WHEN l_tax = 0 THEN NULL ELSE l_quantity END AS l_quantity,
+         CASE WHEN l_tax = 0 THEN NULL ELSE l_extendedprice END AS l_extendedprice, l_discount FROM lineitem)
+"""
+_NAN_COLS = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+@register("numeric_profile_nan", _NAN_SQL + _profile_sql(_NAN_COLS)[len(ENRICHED_WITH):])
+def q_numeric_profile_nan(spark, sf_dir):
+    return prof.numeric_profile(_nan_lineitem(spark, sf_dir).select(*_NAN_COLS))
+
+
+@register("null_profile_nan", _NAN_SQL + "\nUNION ALL\n".join(f"""
+SELECT '{c}' AS coluna, count(*) FILTER (WHERE {c} IS NULL) AS n_nulos,
+  round_even(count(*) FILTER (WHERE {c} IS NULL) * 100.0 / count(*), 2) AS pct_nulos, 'double' AS dtype
+FROM enriched HAVING count(*) FILTER (WHERE {c} IS NULL) > 0""" for c in _NAN_COLS))
+def q_null_profile_nan(spark, sf_dir):
+    return prof.null_profile(_nan_lineitem(spark, sf_dir).select(*_NAN_COLS))
+
+
+@register("card_aggregates_nan", _NAN_SQL + """
+SELECT l_orderkey AS SK_ID_CURR,
+       round_even(avg(l_quantity / nullif(l_extendedprice, 0)), 6) AS cc_utilization_mean,
+       round_even(coalesce(sum(l_extendedprice), 0), 2) AS cc_drawings_total,
+       count(*) FILTER (WHERE l_quantity > 0) AS cc_months_with_balance
+FROM enriched GROUP BY l_orderkey""")
+def q_card_aggregates_nan(spark, sf_dir):
+    card = _nan_lineitem(spark, sf_dir).select(
+        F.col("l_orderkey").alias("SK_ID_CURR"), F.col("l_quantity").alias("AMT_BALANCE"),
+        F.col("l_extendedprice").alias("AMT_CREDIT_LIMIT_ACTUAL"),
+        F.col("l_extendedprice").alias("AMT_DRAWINGS_CURRENT"))
+    a = feat.card_aggregates(card)
+    return a.select("SK_ID_CURR", r6("cc_utilization_mean").alias("cc_utilization_mean"),
+                    r2("cc_drawings_total").alias("cc_drawings_total"), "cc_months_with_balance")
+
+
 _SKEW_TOP = 10  # the notebook's "top 10 most skewed features" report
 
 

@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from lendspark.operators import charts, models as mdl, prep, scoring, segment as seg
 from lendspark.operators import evaluate as ev
 from lendspark.operators import profile as prof
-from lendspark.plans.catalog import enriched, r4, r6, register
+from lendspark.functions import scalar
+from lendspark.plans.catalog import ORACLE, enriched, r4, r6, register
 from lendspark.sources import roles
-from lendspark.sources.roles import APPLICATION_SQL, with_sql
+from lendspark.sources.roles import APPLICATION_SQL, SCORES_SQL, with_sql
 from lendspark.session import cut_lineage, ensure_checkpoint_dir, shared_path
 from lendspark.sources import io
 
@@ -98,7 +99,34 @@ def q_stratified_split_sizes(spark, sf_dir):
     return s.groupBy("TARGET", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("sample_orders")
+def _order_key_sql(c: str) -> str:
+    return f"CAST('0x' || substr(md5(CAST({c} AS VARCHAR) || ':{prep.RANDOM_STATE}'), 1, 15) AS BIGINT)"
+
+
+_RANKED_SQL = with_sql(APPLICATION_SQL) + f""", r AS (
+  SELECT SK_ID_CURR, TARGET, row_number() OVER (PARTITION BY TARGET ORDER BY {_order_key_sql('SK_ID_CURR')}) - 1 AS rk,
+         count(*) OVER (PARTITION BY TARGET) AS n FROM application)
+"""
+
+
+@register("stratified_fold_members", _RANKED_SQL + """
+SELECT SK_ID_CURR, TARGET, CAST(rk % 5 AS INTEGER) AS fold FROM r""")
+def q_stratified_fold_members(spark, sf_dir):
+    """The fold of every application."""
+    app = roles.application(spark, sf_dir).select("SK_ID_CURR", "TARGET")
+    return prep.stratified_folds(app, "TARGET", "SK_ID_CURR", k=5)
+
+
+@register("stratified_split_members", _RANKED_SQL + """
+SELECT SK_ID_CURR, TARGET, CASE WHEN rk < floor(n * 0.2 + 0.5) THEN 'test' ELSE 'train' END AS split FROM r""")
+def q_stratified_split_members(spark, sf_dir):
+    """The side of every application."""
+    app = roles.application(spark, sf_dir).select("SK_ID_CURR", "TARGET")
+    return prep.stratified_split(app, "TARGET", "SK_ID_CURR", 0.2)
+
+
+@register("sample_orders", f"""
+SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY {_order_key_sql('o_orderkey')}, o_orderkey LIMIT 1000""")
 def q_sample_orders(spark, sf_dir):
     o = roles.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
     return prep.sample_rows(o, 1000, "o_orderkey")
@@ -143,23 +171,76 @@ def q_cross_validation_logistic(spark, sf_dir):
 def q_score_applications(spark, sf_dir):
     app = roles.application(spark, sf_dir)
     model = mdl.fit_final(app, prep.build_preprocessor(NUM, CAT))
-    preds, _ = scoring.score_applications(model, app, fields=_SCORING_FIELDS)
-    return preds
+    return scoring.score_all(model, app, fields=_SCORING_FIELDS)
+
+
+_SCORING_STATUS_SQL = ORACLE["validation_errors"].rsplit("SELECT SK_ID_CURR, errors", 1)[0] + """
+SELECT SK_ID_CURR, CASE WHEN errors = '' THEN 'scored' ELSE 'rejected' END AS status, errors,
+       true AS consistent FROM e"""
+
+
+def _consistent(scored):
+    """Status, errors, and whether probability, decision and band (on the rounded
+    probability, so off the edges) agree; a rejected row has none of them."""
+    p = F.col("probability_default")
+    edge = F.lit(False)
+    for x in (0.2, 0.4, 0.5, 0.6, 0.8):
+        edge = edge | (F.abs(p - F.lit(x)) < 1e-4)
+    agree = edge | ((F.col("decision") == scalar.decision(p)) & (F.col("score_band") == scalar.score_band(p)))
+    return scored.select("SK_ID_CURR", "status", "errors", F.when(
+        F.col("status") == scoring.SCORED, p.between(0, 1) & agree)
+        .otherwise(p.isNull() & F.col("decision").isNull() & F.col("score_band").isNull()).alias("consistent"))
+
+
+@register("scoring_status", _SCORING_STATUS_SQL)
+def q_scoring_status(spark, sf_dir):
+    """One row per application, scored or rejected."""
+    return _consistent(q_score_applications(spark, sf_dir))
+
+
+@register("stream_scoring_status", _SCORING_STATUS_SQL)
+def q_stream_scoring_status(spark, sf_dir):
+    """The same of the stream."""
+    return _consistent(q_stream_scoring_application(spark, sf_dir))
+
+
+@register("batch_total_by_status", ORACLE["validation_errors"].rsplit("SELECT SK_ID_CURR, errors", 1)[0] + """
+SELECT CASE WHEN errors = '' THEN 'scored' ELSE 'rejected' END AS status, count(*) AS total
+FROM e GROUP BY 1""")
+def q_batch_total_by_status(spark, sf_dir):
+    """Totals of a batch response."""
+    scored = q_score_applications(spark, sf_dir)
+    parts = [scoring.batch_total(scored.where(F.col("status") == s)).select(F.lit(s).alias("status"), "total")
+             for s in (scoring.SCORED, scoring.REJECTED)]
+    return parts[0].unionByName(parts[1]).where("total > 0")
+
+
+@register("score_bands", with_sql(SCORES_SQL) + """
+SELECT SK_ID_CURR, CASE TARGET WHEN 0 THEN 'Adimplente' WHEN 1 THEN 'Inadimplente' END AS classe,
+       CASE WHEN score < 0.2 THEN 'A' WHEN score < 0.4 THEN 'B' WHEN score < 0.6 THEN 'C'
+            WHEN score < 0.8 THEN 'D' ELSE 'E' END AS score_band,
+       CASE WHEN score >= 0.5 THEN '""" + scalar.DECISION_DENIED + """' ELSE '""" + scalar.DECISION_APPROVED + """' END AS decision
+FROM scores""")
+def q_score_bands(spark, sf_dir):
+    """I8 band, I10 decision, B18 label map over the deterministic scores."""
+    s = roles.scores(spark, sf_dir)
+    return s.select("SK_ID_CURR", scalar.label_map("TARGET", {0: "Adimplente", 1: "Inadimplente"}).alias("classe"),
+                    scalar.score_band("score").alias("score_band"), scalar.decision("score").alias("decision"))
 
 
 @register("stream_scoring_application")
 def q_stream_scoring_application(spark, sf_dir):
     """The application table lands as files; a stream scores them."""
-    from lendspark.streaming.scoring_stream import read_predictions, start_scoring_stream
+    from lendspark.streaming.scoring_stream import read_scored, start_scoring_stream
     base = os.path.join(ensure_checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
     app = roles.application(spark, sf_dir)
     model = mdl.fit_final(app, prep.build_preprocessor(NUM, CAT))
-    app.repartition(4).write.parquet(f"{base}/in")
+    app.write.parquet(f"{base}/in")
     q = start_scoring_stream(spark, model, f"{base}/in", f"{base}/out", schema=app.schema,
                              checkpoint_dir=f"{base}/ckpt", max_files_per_trigger=2,
                              fields=_SCORING_FIELDS)
     q.awaitTermination()
-    return read_predictions(spark, f"{base}/out").drop("batch_id")
+    return read_scored(spark, f"{base}/out").drop("batch_id")
 
 
 def _embedding_vectors(spark, sf_dir):
@@ -409,19 +490,7 @@ def q_saved_model_scores(spark, sf_dir):
     """A12 + N1: fit, save to the shared folder, load back and score every
     application with the loaded pipeline."""
     app, path = _saved_model(spark, sf_dir)
-    preds, _ = scoring.score_applications(io.load_model(path), app, fields=_SCORING_FIELDS)
-    return preds
-
-
-@register("model_metadata")
-def q_model_metadata(spark, sf_dir):
-    """Metadata / availability of the saved model, and of a path that
-    holds none (reported unavailable, not a crash)."""
-    _, path = _saved_model(spark, sf_dir)
-    missing = shared_path(spark, f"model-{uuid.uuid4().hex}")
-    return (scoring.model_info(spark, path, NUM, CAT)
-            .unionByName(scoring.model_info(spark, missing, NUM, CAT))
-            .drop("model_path"))
+    return scoring.score_all(io.load_model(path), app, fields=_SCORING_FIELDS)
 
 
 # ---------------------------------------------------------------------------

@@ -1,8 +1,8 @@
 """Continuous scoring of arriving application files.
 
 ``readStream`` with a fixed schema -> validation -> fitted pipeline ->
-predictions. Each micro-batch writes its valid predictions and its rejected
-rows under ``batch_id=<n>`` with overwrite, so a retried batch replaces its
+predictions. Each micro-batch is written once, by status (scored or rejected),
+under ``batch_id=<n>`` with overwrite, so a retried batch replaces its
 own output (idempotent sink); progress lives in the checkpoint folder.
 Stateless on purpose: no event time exists in the data.
 """
@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lendspark.functions.scalar import DEFAULT_THRESHOLD
-from lendspark.operators.scoring import predictions
+from lendspark.operators.scoring import REJECTED, SCORED, score_all
 from lendspark.session import ensure_checkpoint_dir
-from lendspark.sources.schemas import APPLICATION_FIELDS, APPLICATION_SCHEMA, validate
+from lendspark.sources.schemas import APPLICATION_FIELDS, APPLICATION_SCHEMA
 
 
 def start_scoring_stream(spark: SparkSession, model, input_dir: str, output_dir: str,
@@ -40,20 +40,23 @@ def start_scoring_stream(spark: SparkSession, model, input_dir: str, output_dir:
     keep = [k for k in keep if k in schema.fieldNames()]
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        valid, rejected = validate(batch, fields)
-        preds = predictions(model.transform(valid), threshold=threshold, keep=keep)
-        preds.write.mode("overwrite").parquet(f"{output_dir}/predictions/batch_id={batch_id}")
-        (rejected.select(*keep, "errors").write.mode("overwrite")
-                 .parquet(f"{output_dir}/rejected/batch_id={batch_id}"))
+        (score_all(model, batch, threshold, keep, fields).write.mode("overwrite")
+         .partitionBy("status").parquet(f"{output_dir}/batch_id={batch_id}"))
 
     writer = src.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
 
 
+def read_scored(spark: SparkSession, output_dir: str) -> DataFrame:
+    """Every application that arrived, with status, errors and prediction."""
+    return spark.read.parquet(output_dir)
+
+
 def read_predictions(spark: SparkSession, output_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{output_dir}/predictions")
+    return read_scored(spark, output_dir).where(F.col("status") == SCORED).drop("status", "errors")
 
 
 def read_rejected(spark: SparkSession, output_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{output_dir}/rejected").withColumn("n_errors", F.size("errors"))
+    rows = read_scored(spark, output_dir).where(F.col("status") == REJECTED)
+    return rows.withColumn("errors", F.split("errors", "; ")).withColumn("n_errors", F.size("errors"))

@@ -10,14 +10,20 @@ from lendspark.plans import catalog_ml as cml
 
 from conftest import SF_SMALL
 
+from lendspark.operators import scoring
+
 
 @pytest.fixture(scope="module")
 def qs():
     return entry.queries()
 
 
-def test_model_metadata_available_and_missing(spark, qs):
-    rows = {r["loaded"]: r for r in qs["model_metadata"](spark, SF_SMALL).collect()}
+def test_model_metadata_available_and_missing(spark, qs, tmp_path):
+    _, path = cml._saved_model(spark, SF_SMALL)
+    (tmp_path / "no-model").mkdir()          # a folder that holds no model
+    info = [scoring.model_info(spark, p, cml.NUM, cml.CAT).first() for p in (path, str(tmp_path / "no-model"))]
+    rows = {r["loaded"]: r for r in info}
+    assert rows[True]["model_name"] == "LogisticRegressionModel" and rows[False]["model_name"] == ""
     assert set(rows) == {True, False}
     assert rows[True]["status"] != rows[False]["status"]
     assert rows[True]["features_numeric"] == cml.NUM
