@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import frame
+from llm_corpus import docs, frame, no_docs, rows  # noqa: F401
 
 from lendspark.llm import decontaminate as D
 

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import frame
+from llm_corpus import docs, frame, no_docs, rows  # noqa: F401
 
 from lendspark.llm import ngram_join as J
 from lendspark.llm.components import components

@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
+from llm_corpus import docs, no_docs, rows  # noqa: F401
 
 from lendspark.llm import packing
 from lendspark.llm.queries import tokenizer_path

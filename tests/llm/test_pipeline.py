@@ -1,5 +1,5 @@
 import corpus_pipeline
-from conftest import frame
+from llm_corpus import frame, rows  # noqa: F401
 
 from lendspark.llm.common import staged
 

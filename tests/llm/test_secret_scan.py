@@ -1,8 +1,8 @@
 import hashlib
 import random
 import re
+from llm_corpus import docs, frame, no_docs, rows  # noqa: F401
 
-from conftest import frame
 
 from lendspark.llm import secret_scan as S
 

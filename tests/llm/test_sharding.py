@@ -1,7 +1,7 @@
 import zlib
 from collections import Counter, defaultdict
+from llm_corpus import docs, frame, no_docs, rows  # noqa: F401
 
-from conftest import frame
 
 from lendspark.llm.sharding import balanced_shards
 

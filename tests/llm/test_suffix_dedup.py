@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import frame
+from llm_corpus import docs, frame, no_docs, rows  # noqa: F401
 
 from lendspark.llm.suffix_dedup import remove_repeats
 from lendspark.llm.suffix_sort import suffix_order
