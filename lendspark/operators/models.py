@@ -140,7 +140,8 @@ def cross_validate(df: DataFrame, preprocessor: Pipeline, model_name: str = "log
     allp = scored[0]
     for s in scored[1:]:
         allp = allp.unionByName(s)
-    per_fold = ev.evaluate(allp, "label", "score", groups=["fold"]).cache()
+    allp = cut_lineage(allp)       # (fold, label, score): the metrics' passes must not score again
+    per_fold = cut_lineage(ev.evaluate(allp, "label", "score", groups=["fold"]))     # k rows
     summary = ev.aggregate_folds(per_fold)
     if runs_path:
         from lendspark.sources.io import log_run

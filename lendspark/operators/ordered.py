@@ -203,13 +203,14 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
 
 
 def class_separation(df: DataFrame, score: str | Column, label: str | Column,
-                     groups: Sequence[str] = (), n_buckets: int | None = None) -> DataFrame:
+                     groups: Sequence[str] = (), n_buckets: int | None = None,
+                     extra: dict[str, Column] | None = None) -> DataFrame:
     """Rank statistics of ``score`` between label 0 and label 1, per group:
 
     ``n0, n1``; ``u0`` (Mann-Whitney U of class 0: pairs with x0 > x1 plus half
     the ties); ``auc`` = P(score1 > score0) + ties/2; ``ks`` = max |F1 - F0|;
     ``tie_term`` = sum(t^3 - t) over tie groups; ``n_distinct`` distinct
-    values.
+    values; ``extra`` aggregates over the collapsed counts (``_v, n, c0, c1``).
     """
     oc = ordered_counts(df, score, label, groups=groups, n_buckets=n_buckets, value_name="_v")
     c0, c1 = F.col("c0").cast("double"), F.col("c1").cast("double")
@@ -222,8 +223,8 @@ def class_separation(df: DataFrame, score: str | Column, label: str | Column,
         F.sum(c1 * (b0 + c0 / 2)).alias("_u1"),
         F.max(F.abs(F.try_divide(b1 + c1, t1) - F.try_divide(b0 + c0, t0))).alias("ks"),
         F.sum(n * n * n - n).alias("tie_term"),
-        F.count(F.lit(1)).alias("n_distinct"))
-    return g.select(*groups, "n0", "n1", "u0", "n_distinct",
+        F.count(F.lit(1)).alias("n_distinct"), *[c.alias(k) for k, c in (extra or {}).items()])
+    return g.select(*groups, "n0", "n1", "u0", "n_distinct", *(extra or {}),
                     F.try_divide(F.col("_u1"), F.col("n0").cast("double") * F.col("n1")).alias("auc"),
                     "ks", "tie_term")
 

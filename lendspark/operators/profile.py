@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from lendspark.functions.nulls import nan_to_null, round_half_even
 from lendspark.functions.scalar import right_closed_bin
 from lendspark.operators.ordered import exact_quantiles, group_bounds, quantile_parts
+from lendspark.session import cut_lineage
 
 TARGET = "TARGET"
 AGG_CHUNK = 100  # expressions per aggregate, below codegen limits
@@ -233,8 +234,12 @@ def count_checks(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
 # Keyed statistics against the label
 # ---------------------------------------------------------------------------
 
-def _overall_pct(df: DataFrame, target: str) -> DataFrame:
-    return df.agg((F.avg(_q(target).cast("double")) * 100).alias("_overall"))
+def _counts_by(df: DataFrame, column: str, target: str) -> DataFrame:
+    """(categoria, n, s): labelled rows and sum of the label per category, the null
+    one included. Kept, so that the overall mean comes from it and not from a
+    second pass over the rows."""
+    return cut_lineage(df.groupBy(_q(column).alias("categoria")).agg(
+        F.count(_q(target)).alias("n"), F.coalesce(F.sum(_q(target)), F.lit(0)).cast("double").alias("s")))
 
 
 def default_rate_by_group(df: DataFrame, column: str, target: str = TARGET,
@@ -245,11 +250,12 @@ def default_rate_by_group(df: DataFrame, column: str, target: str = TARGET,
     for c in (target, column):
         if c not in df.columns:
             raise KeyError(f"Column '{c}' not found in the DataFrame.")
-    groups = (df.where(_q(column).isNotNull()).groupBy(_q(column).alias("categoria"))
-                .agg(F.count(_q(target)).alias("n_clientes"),
-                     F.coalesce(F.sum(_q(target)), F.lit(0)).cast("long").alias("n_inadimplentes")))
+    counts = _counts_by(df, column, target)
+    overall = counts.agg((F.sum("s") / F.sum("n") * 100).alias("_overall"))       # one row
+    groups = counts.where("categoria IS NOT NULL").select(
+        "categoria", F.col("n").alias("n_clientes"), F.col("s").cast("long").alias("n_inadimplentes"))
     rate = round_half_even(F.try_divide(F.col("n_inadimplentes") * 100.0, F.col("n_clientes")), 2)
-    out = (groups.crossJoin(F.broadcast(_overall_pct(df, target)))
+    out = (groups.crossJoin(F.broadcast(overall))
                  .withColumn("taxa_inadimplencia_pct", rate)
                  .withColumn("diferenca_media_pct",
                              round_half_even(F.col("taxa_inadimplencia_pct") - F.col("_overall"), 2))
@@ -262,9 +268,10 @@ def rate_by_category(df: DataFrame, column: str, target: str = TARGET,
                      min_samples: int = 0) -> DataFrame:
     """Unrounded label rate and count per category, lowest first, with
     the overall mean alongside (for the base line of the chart)."""
-    g = (df.where(_q(column).isNotNull()).groupBy(_q(column).alias("categoria"))
-           .agg(F.avg(_q(target).cast("double")).alias("taxa"), F.count(_q(target)).alias("n")))
-    overall = df.agg(F.avg(_q(target).cast("double")).alias("media_geral"))
+    counts = _counts_by(df, column, target)
+    overall = counts.agg((F.sum("s") / F.sum("n")).alias("media_geral"))          # one row
+    g = counts.where("categoria IS NOT NULL").select(
+        "categoria", F.try_divide(F.col("s"), F.col("n")).alias("taxa"), "n")
     return (g.where(F.col("n") >= min_samples).crossJoin(F.broadcast(overall))
              .orderBy("taxa", "categoria"))
 

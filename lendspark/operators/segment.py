@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lendspark.operators.ordered import exact_quantiles
-from lendspark.session import ship_package
+from lendspark.session import cut_lineage, ship_package
 
 N_CLUSTERS = 5
 RANDOM_STATE = 42
@@ -234,11 +234,10 @@ def detect_anomalies(df: DataFrame, features_col: str = "features",
                      contamination: float = CONTAMINATION, seed: int = RANDOM_STATE,
                      id_col: str | None = None) -> DataFrame:
     """L18 as one call: fit on ``df`` and flag its rows (1 normal, -1 anomaly).
-    Rows are scored once; the scored frame is persisted (memory and disk,
-    recomputable from lineage) for the threshold job and the output."""
-    from pyspark import StorageLevel
+    Rows are scored once; the scored frame is written to the shared folder for
+    the threshold job and the output."""
     model = fit_isolation_forest(df, features_col, contamination=contamination, seed=seed,
                                  id_col=id_col, with_threshold=False)
-    scored = model.score(df, features_col).persist(StorageLevel.MEMORY_AND_DISK)
+    scored = cut_lineage(model.score(df, features_col))
     fit_threshold(model, scored, contamination)
     return model.predict(df, features_col, scored=scored)
