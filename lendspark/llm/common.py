@@ -23,7 +23,7 @@ from lendspark.session import ensure_checkpoint_dir, shared_path
 U64 = np.uint64
 MIX = U64(0xD6E8FEB86659FD93)
 RADIX = 0x9E3779B97F4A7C15          # odd: invertible modulo 2^64
-SEGMENT = 1 << 20                    # bytes hashed at once
+SEGMENT = 1 << 18                    # bytes hashed at once
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -136,6 +136,19 @@ def text_groups(texts, limit: int = SEGMENT):
         yield _group(first, held)
 
 
+def row_slices(batch, column: int = 0, limit: int = 8 << 20):
+    """Slices of an Arrow batch that hold about ``limit`` bytes of text each, so that
+    what a task derives from them stays bounded (a longer text is a slice alone)."""
+    texts, start, size = batch.column(column), 0, 0
+    for i in range(batch.num_rows):
+        size += len(texts[i].as_buffer()) if texts[i].is_valid else 1
+        if size >= limit:
+            yield batch.slice(start, i + 1 - start)
+            start, size = i + 1, 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def _group(first: int, held: list) -> tuple[int, np.ndarray, np.ndarray]:
     bounds = np.zeros(len(held) + 1, np.int64)
     np.cumsum([len(v) + 1 for v in held], out=bounds[1:])
@@ -166,5 +179,7 @@ def split_parts(part: np.ndarray, n_parts: int, *columns: np.ndarray):
 
 
 def part_of(h: np.ndarray, n_parts: int) -> np.ndarray:
-    """Partition of a 64-bit hash, from its high bits."""
+    """Partition of a 64-bit hash; mixed anew, since callers select by hash order, so
+    that small hashes may be the common ones."""
+    h = mix(h ^ U64(0xA0761D6478BD642F))
     return ((h >> U64(32)) * U64(n_parts) >> U64(32)).astype(np.int64)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendspark.llm.common import (U64, ByteHash, mix, packed_parts, part_of, split_parts, staged,
+from lendspark.llm.common import (U64, ByteHash, mix, packed_parts, part_of, row_slices, split_parts, staged,
                                   text_groups, text_stats)
 from lendspark.llm.suffix_sort import suffix_order
 from lendspark.session import ensure_checkpoint_dir
@@ -91,7 +91,7 @@ def _find(length: int, gram: int, parts: int):
     """Packed anchor occurrences by anchor partition."""
     def find(batches):
         anchors = Anchors(length, gram)
-        for b in batches:
+        for b in (part for whole in batches for part in row_slices(whole, 1)):
             ref = b.column(0).to_numpy()
             cols = []
             for first, bounds, data in text_groups(b.column(1)):
