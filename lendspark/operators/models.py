@@ -180,7 +180,8 @@ def random_search(df: DataFrame, preprocessor: Pipeline, param_space: dict,
                   seed: int = RANDOM_STATE, parallelism: int = 2):
     """Seeded random search scored by exact AUC (``numBins=0``) with
     Spark's ``CrossValidator`` on the stratified folds; returns
-    (best params, best mean AUC, refitted PipelineModel)."""
+    (best params, best mean AUC, refitted PipelineModel). Class weights are those of
+    all rows: stratified folds have the same class shares up to one row."""
     est = get_model(model_name, label_col=label)
     pipe = Pipeline(stages=list(preprocessor.getStages()) + [est])
     draws = draw_params(param_space, n_iter, seed)
@@ -212,17 +213,20 @@ def fit_final(df: DataFrame, preprocessor: Pipeline, model_name: str = "logistic
 
 def budgeted_search(df: DataFrame, preprocessor: Pipeline, spaces: dict[str, dict],
                     label: str = "TARGET", id_col: str = "SK_ID_CURR",
-                    time_budget_s: float = SEARCH_BUDGET_S, seed: int = RANDOM_STATE,
+                    time_budget_s: float | None = SEARCH_BUDGET_S, seed: int = RANDOM_STATE,
                     max_trials: int | None = None):
     """Try (model, params) candidates round-robin until the time budget
-    ends; each is fitted on an 80 % stratified split and scored by exact AUC
+    ends or ``max_trials`` are done (one of them must be given; only the second
+    makes the work repeatable); each is fitted on an 80 % stratified split and scored by exact AUC
     on the other 20 %. Returns (best model name, params, AUC, PipelineModel)."""
     split = cut_lineage(stratified_split(df, label, id_col, 0.2, seed))
     train = add_balanced_weights(split.where(F.col("split") == "train"), label)
     val = split.where(F.col("split") == "test")
     draws = {m: draw_params(s, SEARCH_DRAWS, seed) for m, s in spaces.items()}
+    if time_budget_s is None and max_trials is None:
+        raise ValueError("budgeted_search needs a time budget or a number of trials.")
     start, best, trial = time.monotonic(), None, 0
-    while time.monotonic() - start < time_budget_s and (max_trials is None or trial < max_trials):
+    while (time_budget_s is None or time.monotonic() - start < time_budget_s) and (max_trials is None or trial < max_trials):
         names = list(spaces)
         m = names[trial % len(names)]
         params = draws[m][(trial // len(names)) % SEARCH_DRAWS]
