@@ -14,7 +14,8 @@ set's size, and a set near a power of two is indexed under both.
 
 Equal sets are one vertex. Candidates of a signature must have compatible sizes
 and parity sketches (the set bits of the difference are a lower bound of the sets'
-difference); the rest are verified on the full sets. First each signature's
+difference; 256 bits travel with a posting, pairs that pass are compared on sketches
+of as many bits as tokens); the rest are verified on the full sets. First each signature's
 members are compared with its best connected member only; then, with the
 components known, the pairs between different components, closest first, without
 any limit in the last round. So a group of near copies costs about its size, not
@@ -30,15 +31,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendspark.llm.common import (U64, WordHash, mix, packed_parts, part_of, split_parts, staged,
+from lendspark.llm.common import (U64, WordHash, mix, packed_parts, part_of, row_slices, split_parts, staged,
                                   text_groups)
 from lendspark.llm.components import components
 from lendspark.session import ensure_checkpoint_dir
 
 FREQUENT = 8192           # a token is frequent in 1 of so many sets, and in 8 at least
-SKETCH_WORDS = 16         # 1024 parity bits
+SKETCH_WORDS = 4          # 256 parity bits travel with every posting
+LOW = U64((1 << 40) - 1)  # bits by which tokens are counted: a mix-up only changes an order
 BITMAP_BITS = 1 << 23     # ids asked for, as a hashed bitmap of 1 MB
-ROUNDS = (2, 64, None)    # closest pairs tried for two components of a signature
+ROUNDS = (4, None)        # closest pairs tried for two components of a signature
 SHINGLE = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                             0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93,
                             0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -78,51 +80,76 @@ def set_key(s: np.ndarray, seed: int) -> int:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parity of the set's tokens over 1024 bits."""
-    bits = np.bincount((s & U64(64 * SKETCH_WORDS - 1)).astype(np.int64),
-                       minlength=64 * SKETCH_WORDS) & 1
+    """Parity of the set's tokens over a power of two of bits, as many as tokens."""
+    n_bits = max(64 * SKETCH_WORDS, 1 << (len(s) - 1).bit_length())
+    bits = np.bincount((s & U64(n_bits - 1)).astype(np.int64), minlength=n_bits) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def folded(mark: bytes, size: int) -> np.ndarray:
+    """A sketch folded to ``size`` bytes: the sketch over fewer bits."""
+    m = np.frombuffer(mark, np.uint8)
+    return np.bitwise_xor.reduce(m.reshape(-1, size), axis=0)
+
+
 def _scan_sets(n: int, seed: int):
-    """(kind 0: id, size, set key, check key, sketch) and (kind 1: token, number
-    of different sets of the batch that hold it, if more than one)."""
+    """(id, size, set key, check key, sketch) of every text."""
     def scan(batches):
         sets = ShingleSets(n)
-        for b in batches:
-            rows, sizes, keys, checks, marks, seen = [], [], [], [], [], {}
+        for b in (part for whole in batches for part in row_slices(whole, 1)):
+            rows, sizes, keys, checks, marks = [], [], [], [], []
             for i, s in sets(b.column(1)):
                 rows.append(i)
                 sizes.append(len(s))
                 keys.append(set_key(s, seed))
                 checks.append(set_key(s, seed + 1))
                 marks.append(sketch(s))
-                seen[keys[-1]] = s
             empty = np.setdiff1d(np.arange(b.num_rows), rows)
-            ids = b.column(0)
-            token, count = np.unique(np.concatenate([*seen.values(), np.zeros(0, U64)]),
-                                     return_counts=True)
-            token, count = token[count > 1], count[count > 1]
-            k = len(token)
-            n_out = len(rows) + len(empty)
+            none = [None] * len(empty)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * n_out + [1] * k, pa.int32()),
-                 pa.concat_arrays([ids.take(pa.array(np.concatenate([rows, empty]).astype(np.int64))),
-                                   pa.nulls(k, ids.type)]),
-                 pa.array(np.concatenate([sizes, np.zeros(len(empty)), count]).astype(np.int64)),
-                 pa.array([*keys, *[None] * len(empty), *token.astype(np.int64).tolist()], pa.int64()),
-                 pa.array([*checks, *[None] * (len(empty) + k)], pa.int64()),
-                 pa.array([*marks, *[None] * (len(empty) + k)], pa.binary())],
-                names=["kind", "id", "n", "key", "check", "sketch"])
+                [b.column(0).take(pa.array(np.concatenate([rows, empty]).astype(np.int64))),
+                 pa.array(np.concatenate([sizes, np.zeros(len(empty))]).astype(np.int64)),
+                 pa.array(keys + none, pa.int64()), pa.array(checks + none, pa.int64()),
+                 pa.array(marks + none, pa.binary())],
+                names=["id", "n", "key", "check", "sketch"])
     return scan
 
 
+def _tokens(n: int, seed: int, parts: int):
+    """Packed low 40 bits of all tokens, once for each different set of a slice."""
+    def tokens(batches):
+        sets = ShingleSets(n)
+        for b in (part for whole in batches for part in row_slices(whole)):
+            seen = {set_key(s, seed): s for _, s in sets(b.column(0))}
+            if not seen:
+                continue
+            t = np.concatenate(list(seen.values())) & LOW
+            out = [(p, c.view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
+                   for p, (c,) in split_parts(part_of(t, parts), parts, t)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()),
+                                              pa.array([r[1] for r in out], pa.binary())], names=["part", "token"])
+    return tokens
+
+
+def _heavy(least: int):
+    """Tokens of one partition in at least ``least`` sets, with their counts."""
+    def heavy(table: pa.Table) -> pa.Table:
+        raw = np.frombuffer(b"".join(v.as_py() for v in table.column("token")), np.uint8).reshape(-1, 5)
+        wide = np.zeros((len(raw), 8), np.uint8)
+        wide[:, :5] = raw
+        token, count = np.unique(wide.view(U64).ravel(), return_counts=True)
+        keep = count >= least
+        return pa.table({"token": token[keep].astype(np.int64), "f": count[keep]})
+    return heavy
+
+
 def prefix_signatures(s: np.ndarray, allowed: int, percent: int, freq: np.ndarray,
                       level_of: np.ndarray) -> np.ndarray:
     """Signatures of one set; ``allowed``: prefix tokens needed. ``freq``: sorted
-    frequent tokens, ``level_of`` their frequency levels."""
-    at = np.searchsorted(freq, s)
-    frequent = (freq[np.minimum(at, len(freq) - 1)] == s) if len(freq) else np.zeros(len(s), bool)
+    low bits of frequent tokens, ``level_of`` their frequency levels."""
+    low = s & LOW
+    at = np.searchsorted(freq, low)
+    frequent = (freq[np.minimum(at, len(freq) - 1)] == low) if len(freq) else np.zeros(len(s), bool)
     rare = s[~frequent]
     if len(rare) >= allowed:
         return rare[:allowed]
@@ -152,7 +179,7 @@ def _post(n: int, seed: int, percent: int, freq: np.ndarray, level_of: np.ndarra
     set of a batch. Sets too small to reach the threshold unless equal have none."""
     def post(batches):
         sets = ShingleSets(n)
-        for b in batches:
+        for b in (part for whole in batches for part in row_slices(whole)):
             sig, key, size, seen = [], [], [], set()
             for _, s in sets(b.column(0)):
                 k = set_key(s, seed)
@@ -260,6 +287,20 @@ def _candidates(percent: int, most: int | None, star: bool):
     return pairs
 
 
+def _refine(percent: int):
+    """Pairs that the full sketches, at the width of the shorter, still allow."""
+    def check(batches):
+        for b in batches:
+            ok = []
+            for n_a, n_b, x, y in zip(*(b.column(i).to_pylist() for i in range(2, 6))):
+                size = min(len(x), len(y))
+                d = int(POPCOUNT[folded(x, size) ^ folded(y, size)].sum())
+                ok.append((100 + percent) * d <= (100 - percent) * (n_a + n_b))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(
+                pa.array(ok, pa.bool_()))
+    return check
+
+
 def _bitmap(ids: DataFrame) -> bytes:
     """Hashed bitmap of an id column: fixed size, false hits only cost work."""
     pos = F.pmod(F.xxhash64("id"), F.lit(BITMAP_BITS))
@@ -307,10 +348,10 @@ def set_components(docs: DataFrame, words: int, percent: int, id_col: str,
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     kind = docs.schema[id_col].dataType.simpleString()
     for seed in range(0, 20, 2):        # a set key that names two sets: take the next hash
-        scan = staged(base.mapInArrow(_scan_sets(words, seed), f"kind int, id {kind}, n long, "
-                                      "key long, check long, sketch binary"), "join-sets")
-        rows = scan.where("kind = 0").select("id", "n", "key")
-        classes = staged(scan.where("kind = 0 AND key IS NOT NULL AND id IS NOT NULL").groupBy("key")
+        scan = staged(base.mapInArrow(_scan_sets(words, seed), f"id {kind}, n long, key long, "
+                                      "check long, sketch binary"), "join-sets")
+        rows = scan.select("id", "n", "key")
+        classes = staged(scan.where("key IS NOT NULL AND id IS NOT NULL").groupBy("key")
                          .agg(F.min("id").alias("id"), F.first("n").alias("n"),
                               F.first("sketch").alias("sketch"), F.min("check").alias("lo"),
                               F.max("check").alias("hi")), "join-classes")
@@ -318,14 +359,22 @@ def set_components(docs: DataFrame, words: int, percent: int, id_col: str,
                             F.count_if(F.col("lo") != F.col("hi")).alias("bad")).first()
         if not total["bad"]:
             break
+    classes = classes.drop("lo", "hi")
+
+    @F.pandas_udf("binary")
+    def fold(marks: pd.Series) -> pd.Series:
+        return pd.Series([folded(m, 8 * SKETCH_WORDS).tobytes() for m in marks], dtype=object)
+
     n_sets, n_tokens = int(total["n"]), int(total["t"] or 0)
 
     least = max(8, n_sets // FREQUENT)
-    heavy = (scan.where("kind = 1").groupBy("key").agg(F.sum("n").alias("f"))
-             .where(F.col("f") >= least).orderBy("key").toArrow())    # at most FREQUENT * mean size
+    n_all = int(rows.agg(F.sum("n")).first()[0] or 0)
+    parts = packed_parts(n_all, 5)
+    heavy = (base.where("id IS NOT NULL").select("t").mapInArrow(_tokens(words, seed, parts), "part int, token binary")
+             .groupBy("part").applyInArrow(_heavy(least), "token long, f long")
+             .orderBy("token").toArrow())           # at most FREQUENT * mean size rows
     freq = heavy.column(0).to_numpy().astype(np.int64).view(U64)
-    order = np.argsort(freq)
-    freq, level_of = freq[order], np.log2(heavy.column(1).to_numpy()[order] + 1.0).astype(np.int8)
+    level_of = np.log2(heavy.column(1).to_numpy() + 1.0).astype(np.int8)
 
     parts = packed_parts(n_tokens, 20 * (1.1 - percent / 100))
     sent = spark.sparkContext.broadcast((freq, level_of))
@@ -333,22 +382,33 @@ def set_components(docs: DataFrame, words: int, percent: int, id_col: str,
               .mapInArrow(_lazy(sent, words, seed, percent, parts), "part int, sig binary, key binary, n binary"))
     live = staged(posted.groupBy("part").applyInArrow(_live, "sig long, key long, n long"), "join-live")
     degree = live.groupBy("key").agg(F.count(F.lit(1)).alias("links"))
-    members = staged(classes.join(degree, "key").select("key", "id", "sketch", "links"), "join-members")
-    bins = packed_parts(live.count(), 200)
+    members = staged(classes.join(degree, "key").select(
+        "key", "id", "n", F.col("sketch").alias("full"), "links", fold(F.col("sketch")).alias("sketch")),
+        "join-members")
+    bins = packed_parts(live.count(), 100)
 
     edges, comp = None, members.select("key", F.col("key").alias("comp"))
+    settled = False
     for most, star in [(None, True), *[(m, False) for m in ROUNDS]]:
-        rounds = (live.join(members.drop("id"), "key").join(comp, "key", "left")
-                  .withColumn("comp", F.coalesce("comp", "key")))
+        if settled:
+            break
+        rounds = live.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
         if not star:             # only signatures that several components share
             cross = (rounds.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                      .where("lo != hi").select("sig"))
             rounds = rounds.join(cross, "sig", "left_semi")
+        rounds = rounds.join(members.select("key", "sketch", "links"), "key")
         found = (rounds.withColumn("bin", F.pmod(F.xxhash64("sig"), F.lit(bins)).cast("int"))
                  .groupBy("bin").applyInArrow(_candidates(percent, most, star),
                                               "a long, b long, more boolean"))
         found = staged(found.groupBy("a", "b").agg(F.max("more").alias("more")), "join-pairs")
         n_pairs = found.agg(F.count(F.lit(1)).alias("n"), F.max("more").alias("more")).first()
+        settled = not star and not n_pairs["more"]      # nothing was left out of this round
+        end = lambda k: members.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"),
+                                       F.col("full").alias(f"sketch_{k}"))
+        found = (found.join(end("a"), "a").join(end("b"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+                 .mapInArrow(_refine(percent), "a long, b long"))
+        found = staged(found, "join-close")
         if n_pairs["n"]:
             ends = found.select(F.explode(F.array("a", "b")).alias("key")).distinct()
             wanted = members.join(ends, "key", "left_semi").select("key", "id")
@@ -362,11 +422,11 @@ def set_components(docs: DataFrame, words: int, percent: int, id_col: str,
                     .join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b")
                     .select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"))
             good = staged(good, "join-links")
+            if not good.limit(1).count():
+                continue                        # components stay; the next round tries more
             edges = good if edges is None else edges.unionByName(good).distinct()
             comp = staged(components(edges).select(F.col("node").alias("key"), F.col("root").alias("comp")),
                           "join-comp")
-        if not star and not n_pairs["more"]:
-            break
     named = classes.select("key", "id").join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     lowest = named.groupBy("comp").agg(F.min("id").alias("component"))
     named = named.join(lowest, "comp").select("key", "component")
