@@ -54,7 +54,7 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.shingle_join(read_table(spark, sf_dir, "documents"))
+    return ngram_join.shingle_join(read_table(spark, sf_dir, "documents")).drop("n_links")
 
 
 def op7_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,5 +123,27 @@ SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 20
 """
 
 
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)]) END AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n FROM s),
+u AS (SELECT doc_id, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
+      FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+      WHERE 100 * k >= 85 * (x.n + y.n - k)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(doc_id, root) AS (
+  SELECT doc_id, doc_id FROM n
+  UNION SELECT b, root FROM reach JOIN both_ways ON a = reach.doc_id)
+SELECT doc_id, CAST(any_value(n) AS BIGINT) AS n_shingles, min(root) AS component_id
+FROM reach JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_verdicts": OP3_SQL, "op5_exact_topk": OP5_SQL}
+    return {"op3_url_verdicts": OP3_SQL, "op5_exact_topk": OP5_SQL, "op6_ngram_join": OP6_SQL}
