@@ -176,7 +176,8 @@ def prefix_signatures(s: np.ndarray, allowed: int, percent: int, freq: np.ndarra
 
 def _post(n: int, seed: int, percent: int, freq: np.ndarray, level_of: np.ndarray, parts: int):
     """Packed postings (part; signature, set key, size), once for each different
-    set of a batch. Sets too small to reach the threshold unless equal have none."""
+    set of a batch. Sets too small to reach the threshold unless equal have none: the
+    closest other set has one token more, m of m + 1 in common."""
     def post(batches):
         sets = ShingleSets(n)
         for b in (part for whole in batches for part in row_slices(whole)):
@@ -184,7 +185,7 @@ def _post(n: int, seed: int, percent: int, freq: np.ndarray, level_of: np.ndarra
             for _, s in sets(b.column(0)):
                 k = set_key(s, seed)
                 m = len(s)
-                if k in seen or 100 * (m - 1) < percent * m:
+                if k in seen or 100 * m < percent * (m + 1):
                     continue
                 seen.add(k)
                 x = prefix_signatures(s, m - (-(-percent * m // 100)) + 1, percent, freq, level_of)

@@ -67,6 +67,21 @@ def test_chains_and_frequent_tokens(spark, monkeypatch, percent, frequent):
     assert sorted(got, key=str) == brute(rows, 4, percent)
 
 
+@pytest.mark.parametrize("words,percent,frequent", [(4, 85, 8192), (5, 80, 8192), (4, 60, 8192), (4, 85, 2)])
+def test_short_texts_with_one_word_more(spark, monkeypatch, words, percent, frequent):
+    """A set of m tokens links with one of m + 1 that holds it."""
+    monkeypatch.setattr(J, "FREQUENT", frequent)
+    rows = []
+    for m in range(1, 14):
+        for side in range(2):
+            base = [f"m{m}s{side}x{j}" for j in range(m + words - 1)]
+            more = base + ["tail"] if side else ["head"] + base
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(more))]
+    got = [(r.doc_id, r.n_shingles, r.component_id)
+           for r in J.shingle_join(frame(spark, rows), words=words, percent=percent).collect()]
+    assert sorted(got, key=str) == brute(rows, words, percent)
+
+
 @pytest.mark.parametrize("frequent_share", [0.0, 0.5, 0.9, 1.0])
 def test_similar_sets_share_a_signature(frequent_share):
     rng = np.random.default_rng(4)
