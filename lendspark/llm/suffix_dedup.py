@@ -17,12 +17,18 @@ occurrence. Shuffling by anchor brings together all strings that can be equal:
    also agree on the x bytes are repeats.
 3. Starts of repeats become byte runs of their text, which is cut accordingly.
 
-A text is named by its 64-bit hash, and texts that are equal share their runs.
+A text is named by its 64-bit hash, and texts that are equal share their runs; a task
+sends the anchors of at most two copies. An anchor with ``HOT`` occurrences or more,
+counted beforehand, is no group of one task: its occurrences are dealt by context,
+those of a hot context, which are repeats for sure, by place; and its different
+contexts are not sorted, but the hashes of their strings are counted by Spark, whose
+sums and joins split a hot key.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +42,9 @@ from lendspark.session import ensure_checkpoint_dir
 
 GRAM = 64                 # bytes of an anchor
 BLOCK = 50                # bytes of one symbol of the sorted string
-STARTS = 30_000           # contexts whose starts are compared at once
+HOT = 8192                # occurrences from which an anchor or a context is split
+FEW = 8                   # fewer in a slice are not counted for that
+HASHES = 200_000          # string hashes sent at once
 
 
 def _sliding_min(key: np.ndarray, w: int) -> np.ndarray:
@@ -87,20 +95,55 @@ FIELDS = (("anchor", U64), ("context", U64), ("text", np.int64), ("pos", np.int3
           ("far", np.uint16), ("near", np.uint16))
 
 
-def _find(length: int, gram: int, parts: int):
-    """Packed anchor occurrences by anchor partition."""
-    def find(batches):
-        anchors = Anchors(length, gram)
-        for b in (part for whole in batches for part in row_slices(whole, 1)):
+def _occurrences(length: int, gram: int, batches):
+    """Anchor occurrences of each slice of a task's texts, at most two copies of a text."""
+    anchors, copies = Anchors(length, gram), Counter()
+    for b in (part for whole in batches for part in row_slices(whole, 1)):
+        ref = b.column(0).to_numpy()
+        copies.update(ref.tolist())
+        if any(copies[r] > 2 for r in ref.tolist()):
+            copies.subtract(ref.tolist())
+            keep = []
+            for r in ref.tolist():
+                copies[r] += 1
+                keep.append(copies[r] <= 2)
+            b = b.filter(pa.array(keep))
             ref = b.column(0).to_numpy()
-            cols = []
-            for first, bounds, data in text_groups(b.column(1)):
-                c = anchors(bounds, data)
-                c[2] = ref[first + c[2]]
-                cols.append(c)
-            cols = [np.concatenate([c[i] for c in cols]).astype(t) for i, (_, t) in enumerate(FIELDS)]
+        if not b.num_rows:
+            continue
+        cols = []
+        for first, bounds, data in text_groups(b.column(1)):
+            c = anchors(bounds, data)
+            c[2] = ref[first + c[2]]
+            cols.append(c)
+        yield [np.concatenate([c[i] for c in cols]).astype(t) for i, (_, t) in enumerate(FIELDS)]
+
+
+def _crowded(length: int, gram: int, few: int):
+    """(kind, hash, n) of the anchors (0) and contexts (1) that a slice has ``few``
+    times or more."""
+    def crowded(batches):
+        for cols in _occurrences(length, gram, batches):
+            for kind in range(2):
+                h, n = np.unique(cols[kind], return_counts=True)
+                h, n = h[n >= few], n[n >= few]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(h), kind, np.int32)), pa.array(h.view(np.int64)), pa.array(n)],
+                    names=["kind", "hash", "n"])
+    return crowded
+
+
+def _find(length: int, gram: int, parts: int, hot):
+    """Packed anchor occurrences by anchor partition; ``hot``: anchors dealt by
+    context, and contexts dealt by place."""
+    def find(batches):
+        for cols in _occurrences(length, gram, batches):
+            anchor, context, text, pos = cols[:4]
+            key = np.where(np.isin(anchor, hot[0]), context, anchor)
+            place = mix(text.view(U64) + pos.astype(U64) * U64(0x9E3779B97F4A7C15))
+            key = np.where(np.isin(context, hot[1]), place, key)
             out = [(p, *[c.tobytes() for c in part])
-                   for p, part in split_parts(part_of(cols[0], parts), parts, *cols)]
+                   for p, part in split_parts(part_of(key, parts), parts, *cols)]
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in out], pa.int32())] +
@@ -114,10 +157,10 @@ def _unpack(table: pa.Table) -> list[np.ndarray]:
             for f, t in FIELDS]
 
 
-def _decide(length: int):
+def _decide(length: int, hot):
     """Anchor occurrences of one partition: runs of string starts that are repeats
-    already (kind 0: from, to), and those to be compared (kind 1: anchor, context,
-    pos, far, near), one for each different context."""
+    already (kind 0: from, to), and those to be compared (kind 1, of a hot anchor 2:
+    anchor, context, pos, far, near), one for each different context."""
     def decide(table: pa.Table) -> pa.Table:
         anchor, context, text, pos, far, near = _unpack(table)
         order = np.lexsort((pos, text, context, anchor))
@@ -128,15 +171,17 @@ def _decide(length: int):
         ga, gc = np.cumsum(new_a) - 1, np.cumsum(new_c) - 1
         in_c = np.bincount(gc)[gc]                       # occurrences of the context
         contexts = np.bincount(ga[new_c])[ga]            # contexts of the anchor
+        crowd = np.isin(anchor, hot[0])                  # the others are in other partitions
+        in_c = np.where(np.isin(context, hot[1]), 2, in_c)
         once = np.ones(n, bool)                          # equal texts give equal rows
         once[1:] = new_c[1:] | (text[1:] != text[:-1]) | (pos[1:] != pos[:-1])
         full = (in_c > 1) & once
-        ask = (contexts > 1) & new_c
+        ask = ((contexts > 1) | crowd) & new_c
         pos, far, near = pos.astype(np.int64), far.astype(np.int64), near.astype(np.int64)
         k, m = int(full.sum()), int(ask.sum())
         null = pa.nulls(k, pa.int64())
         return pa.table({
-            "kind": pa.array([0] * k + [1] * m, pa.int32()),
+            "kind": np.concatenate((np.zeros(k, np.int32), 1 + crowd[ask].astype(np.int32))),
             "text": np.concatenate((text[full], text[ask])),
             "a": np.concatenate((pos[full] - far[full], pos[ask])),
             "b": np.concatenate((pos[full] - near[full], (far[ask] << 16) | near[ask])),
@@ -177,6 +222,32 @@ def _cut_contexts(length: int, parts: int):
     return cut
 
 
+def _strings(length: int):
+    """(hash, text, start) of all strings of the asked contexts."""
+    def strings(batches):
+        hashes, held, size = ByteHash(1 << 10, seed=29), [], 0
+
+        def sent():
+            cols = [np.concatenate([h[i] for h in held]) for i in range(3)]
+            return pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["h", "text", "start"])
+
+        for b in batches:
+            for v, asks in zip(b.column(0), b.column(1)):
+                data = np.frombuffer(v.as_buffer(), np.uint8)
+                for q in asks.as_py():
+                    p, far, near = q["a"], q["b"] >> 16, q["b"] & 0xFFFF
+                    at = np.arange(far - near + 1)
+                    h = hashes.spans(hashes.sums(data[p - far:p - near + length]), at, at + length)
+                    held.append((h.view(np.int64), np.full(len(at), q["text"], np.int64), p - far + at))
+                    size += len(at)
+                if size >= HASHES:
+                    yield sent()
+                    held, size = [], 0
+        if held:
+            yield sent()
+    return strings
+
+
 def _matrix(column, width: int, right: bool) -> tuple[np.ndarray, np.ndarray]:
     """Byte strings as rows of a zero-padded matrix, and their lengths."""
     rows = [v.as_buffer().to_pybytes() for v in column]
@@ -291,21 +362,37 @@ def repeated_starts(texts: DataFrame, length: int = 200) -> DataFrame:
     rows, size = text_stats(texts, "t")
     gram = min(GRAM, max(8, length // 3))
     parts = packed_parts(size, 30 / ((length - gram + 2) / 2))
+    crowd = (texts.select("text", "t").mapInArrow(_crowded(length, gram, FEW), "kind int, hash long, n long")
+             .groupBy("kind", "hash").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT)
+             .collect())                         # at most 1 in HOT occurrences, of either kind
+    hot = [np.array(sorted(r["hash"] for r in crowd if r["kind"] == k), np.int64).view(U64) for k in range(2)]
     found = texts.select("text", "t").mapInArrow(
-        _find(length, gram, parts), "part int, " + ", ".join(f"{f} binary" for f, _ in FIELDS))
+        _find(length, gram, parts, hot), "part int, " + ", ".join(f"{f} binary" for f, _ in FIELDS))
     decided = staged(found.groupBy("part").applyInArrow(
-        _decide(length), "kind int, text long, a long, b long, anchor long, context long, many boolean"),
+        _decide(length, hot), "kind int, text long, a long, b long, anchor long, context long, many boolean"),
         "suffix-decided")
     known = decided.where("kind = 0").select("text", "a", "b")
     asked = decided.where("kind = 1")
     n_asked = asked.count()
-    asks = asked.groupBy("text").agg(F.collect_list(F.struct("anchor", "context", "text", "a", "b", "many"))
-                                     .alias("asks"))         # at most the anchors of one text
+    once = texts.select("text", "t").dropDuplicates(["text"])
+
+    def with_text(asked: DataFrame) -> DataFrame:
+        asks = asked.groupBy("text").agg(F.collect_list(F.struct("anchor", "context", "text", "a", "b", "many"))
+                                         .alias("asks"))     # at most the anchors of one text
+        return once.join(asks, "text").select("t", "asks")
+
     parts = packed_parts(n_asked, 1.5 * length + 40)
-    contexts = (texts.select("text", "t").join(asks, "text").select("t", "asks")
+    contexts = (with_text(asked)
                 .mapInArrow(_cut_contexts(length, parts), "part int, anchor long, text long, pos long, "
                             "far int, near int, many boolean, left binary, right binary"))
     more = contexts.groupBy("part").applyInArrow(_compare(length, gram), "text long, a long, b long")
+    if len(hot[0]):
+        crowded = decided.where("kind = 2").dropDuplicates(["anchor", "context"])
+        strings = staged(with_text(crowded).mapInArrow(_strings(length), "h long, text long, start long"),
+                         "suffix-strings")
+        twice = strings.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+        more = more.unionByName(strings.join(twice, "h", "left_semi")
+                                .select("text", F.col("start").alias("a"), F.col("start").alias("b")))
     return (known.unionByName(more)
             .select("text", F.expr("shiftleft(a, 32) | b").alias("r"))
             .groupBy("text").agg(F.collect_set("r").alias("starts")))

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from llm_corpus import docs, frame, no_docs, rows  # noqa: F401
 
+from lendspark.llm import suffix_dedup as S
 from lendspark.llm.suffix_dedup import remove_repeats
 from lendspark.llm.suffix_sort import suffix_order
 
@@ -48,6 +49,41 @@ def test_random_repeats(spark, length):
     assert sorted(map(tuple, got), key=str) == brute(rows, length)
 
 
+@pytest.mark.parametrize("hot", [2, 20])
+def test_hot_passage(spark, monkeypatch, hot):
+    """Hot anchors and contexts are split: same result, and no group of contexts
+    grows with the documents that hold a passage."""
+    monkeypatch.setattr(S, "HOT", hot, raising=False)
+    monkeypatch.setattr(S, "FEW", 1, raising=False)
+    compare = S._compare
+
+    def bounded(length, gram):
+        run = compare(length, gram)
+
+        def check(table):
+            _, n = np.unique(table.column("anchor").to_numpy(), return_counts=True)
+            assert n.max() < hot, f"{n.max()} contexts of one anchor in a group"
+            return run(table)
+        return check
+
+    monkeypatch.setattr(S, "_compare", bounded)
+    rng = random.Random(hot)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage, copy = word(500), word(700)
+    rows = [(i, word(rng.randint(0, 300)) + passage + word(rng.randint(0, 300))) for i in range(60)]
+    rows += [(100 + i, copy) for i in range(40)] + [(200, copy[:450] + word(300)), (201, word(900))]
+    got = remove_repeats(frame(spark, rows).repartition(5)).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 200)
+
+
+def test_copies_of_a_text_send_two(spark):
+    import pyarrow as pa
+    text = "".join(random.Random(2).choice("abcdefgh") for _ in range(900))
+    one, many = ([pa.record_batch({"text": np.full(n, 7), "t": pa.array([text] * n)})] for n in (1, 500))
+    a, b = (sum(len(c[0]) for c in S._occurrences(200, 64, x)) for x in (one, many))
+    assert b == 2 * a > 0
+
+
 def test_empty(no_docs):
     assert remove_repeats(no_docs).collect() == []
 
