@@ -4,8 +4,8 @@ two character Markov models for random strings that no pattern names.
 The models are first-order chains over 96 symbols (printable ASCII and one
 symbol for the border of a string). "Random" is trained on the secret values
 that the patterns label, "ordinary" on the other identifier-like tokens, both
-from a bounded sample of documents (``sample_docs``); the transition counts are
-summed by Spark, so the driver sees two 96 x 96 tables. A token of at least
+from all documents; the transition counts are summed by Spark, so the driver
+sees two 96 x 96 tables. A token of at least
 ``min_length`` characters outside all pattern spans is reported as kind
 ``markov`` when the log-likelihood ratio per transition exceeds ``per_char``
 and its sum exceeds ``total``.
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lendspark.llm.common import SEGMENT
 from lendspark.session import ensure_checkpoint_dir
 
 # The pattern kinds, in their order.
@@ -76,36 +77,46 @@ def free_tokens(text: str, spans, pattern) -> list[tuple[int, int]]:
     return out
 
 
+def _transitions(tokens) -> np.ndarray:
+    """Counts (from * 96 + to) of the transitions of ASCII tokens, borders included."""
+    raw = "\x7f" + "\x7f".join(tokens) + "\x7f"          # symbol BORDER
+    c = np.frombuffer(raw.encode("ascii"), np.uint8).astype(np.int64) - 32
+    return np.bincount(c[:-1] * N_SYMBOLS + c[1:], minlength=N_SYMBOLS * N_SYMBOLS)
+
+
 def _counts(batches):
     """Transition counts of labelled strings: (label, from * 96 + to, n)."""
     total = np.zeros((2, N_SYMBOLS * N_SYMBOLS), np.int64)
     for b in batches:
+        held, size = ([], []), 0
         for v in b.column(0):
             text = v.as_py()
             if not text:
                 continue
             spans = pattern_spans(text)
-            free = {text[s:e] for s, e in free_tokens(text, spans, ORDINARY)}
-            for label, tokens in ((1, secret_values(text) if spans else ()), (0, free)):
-                for t in tokens:
-                    c = symbols(t)
-                    np.add.at(total[label], c[:-1] * N_SYMBOLS + c[1:], 1)
+            held[0].extend({text[s:e] for s, e in free_tokens(text, spans, ORDINARY)})
+            held[1].extend(secret_values(text) if spans else ())
+            size += len(text)
+            if size >= SEGMENT:
+                for label in range(2):
+                    if held[label]:
+                        total[label] += _transitions(held[label])
+                held, size = ([], []), 0
+        for label in range(2):
+            if held[label]:
+                total[label] += _transitions(held[label])
     label, pair = np.nonzero(total)
     yield pa.RecordBatch.from_arrays(
         [pa.array(label, pa.int32()), pa.array(pair, pa.int32()), pa.array(total[label, pair])],
         names=["label", "pair", "n"])
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          sample_docs: int = 4000) -> np.ndarray:
-    """Log-likelihood ratio table (96 x 96) from ``sample_docs`` documents, those
-    with the smallest id hashes. Without labelled strings it is all zero."""
-    pick = (docs.select(F.col(id_col).alias("i")).where("i IS NOT NULL").distinct()
-            .orderBy(F.xxhash64("i"), "i").limit(sample_docs))       # ids only, bounded
-    sample = (docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
-              .join(F.broadcast(pick), "i", "left_semi"))
-    rows = (sample.select("t").mapInArrow(_counts, "label int, pair int, n long")
-            .groupBy("label", "pair").agg(F.sum("n").alias("n")).collect())
+def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """Log-likelihood ratio table (96 x 96) from all documents. Without labelled
+    strings it is all zero."""
+    rows = (docs.select(F.col(text_col).cast("string"))
+            .mapInArrow(_counts, "label int, pair int, n long")
+            .groupBy("label", "pair").agg(F.sum("n").alias("n")).collect())   # two tables
     n = np.zeros((2, N_SYMBOLS, N_SYMBOLS))
     for r in rows:
         n[r["label"], r["pair"] // N_SYMBOLS, r["pair"] % N_SYMBOLS] = r["n"]
@@ -128,18 +139,17 @@ def markov_spans(text: str, spans, ratio: np.ndarray, per_char: float, total: fl
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 sample_docs: int = 4000, per_char: float = 0.5,
-                 total: float = 10.0, ratio: np.ndarray | None = None) -> DataFrame:
+                 per_char: float = 0.5, total: float = 10.0,
+                 ratio: np.ndarray | None = None) -> DataFrame:
     """One row per input row: (id, spans array<struct<start, end, kind>>),
     offsets in code points, end exclusive, sorted by start and kind.
 
-    Null and empty texts have no spans. Null ids and repeated rows are kept (a
-    null id is never in the training sample). Whole texts are scanned, of any
-    length. Other columns are not read. An empty table gives an empty result.
+    Null and empty texts have no spans. Null ids and repeated rows are kept, and
+    the models are trained on them too. Whole texts are scanned, of any length. Other columns are not read. An empty table gives an empty result.
     """
     ensure_checkpoint_dir(docs.sparkSession)
     if ratio is None:
-        ratio = train(docs, id_col, text_col, sample_docs)
+        ratio = train(docs, text_col)
     table = ratio          # 96 x 96 doubles
 
     def scan(batches):
@@ -178,7 +188,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
     """The documents, with every found span replaced by ``mark``; ``n_chars``, if
     there, is counted anew where a text changed. Columns and rows stay."""
     ensure_checkpoint_dir(docs.sparkSession)
-    ratio = train(docs, **{k: v for k, v in options.items() if k in ("sample_docs",)})
+    ratio = train(docs)
     per_char, total = options.get("per_char", 0.5), options.get("total", 10.0)
     at = docs.columns.index("text")
 

@@ -1,6 +1,9 @@
 import hashlib
 import random
 import re
+
+import numpy as np
+from pyspark.sql import functions as F
 from llm_corpus import docs, frame, no_docs, rows  # noqa: F401
 
 
@@ -64,3 +67,24 @@ def test_redact_and_empty(spark, docs, no_docs, rows):
         (1, "a [SECRET] b [SECRET]", 21), (2, None, 0), (3, "clean", 5)]
     assert out.columns == docs.columns
     assert S.find_secrets(no_docs).collect() == [] and S.redact(no_docs).collect() == []
+
+
+def test_models_learn_from_all_documents(spark):
+    """Labelled strings in a few documents only, those with the largest id hashes."""
+    rng = random.Random(5)
+    chars = "ABCDEFGHabcdefgh0123456789XYZxyzQq"
+    ids = [r.id for r in spark.range(6000).orderBy(F.xxhash64("id"), "id").collect()]
+    data = [(i, "erthonreing thantioned erthanting") for i in ids[:-300]]
+    data += [(i, "api_key: " + "".join(rng.choice(chars) for _ in range(40))) for i in ids[-300:]]
+    data += [(9000 + i, "erthon " + "".join(rng.choice(chars) for _ in range(36)) + " thanti") for i in range(5)]
+    found = S.find_secrets(frame(spark, data)).where("doc_id >= 9000").collect()
+    assert sum([(s.start, s.end, s.kind) for s in r.spans] == [(7, 43, "markov")] for r in found) >= 4
+
+
+def test_transitions_equal_token_by_token():
+    tokens = ["ab", "token-x_1", "A+/=", "a.b"]
+    want = np.zeros(S.N_SYMBOLS ** 2, int)
+    for t in tokens:
+        c = S.symbols(t)
+        np.add.at(want, c[:-1] * S.N_SYMBOLS + c[1:], 1)
+    assert (S._transitions(tokens) == want).all()
