@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendspark.llm import (decontaminate, exact_topk, gru_lm, ngram_join, packing, secret_scan, sharding, suffix_dedup,
+from lendspark.llm import (decontaminate, exact_topk, filter_audit, gru_lm, ngram_join, packing, secret_scan, sharding, suffix_dedup,
                            toxicity, url_filter)
 from lendspark.llm.common import read_table
 
@@ -76,10 +76,14 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "n_tokens", "n_known", "train_tokens", "base_score", "score"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_url_verdicts, op4_benchmark_leaks, op5_exact_topk, op6_ngram_join, op7_secret_spans,
-                                    op8_balanced_shards, op9_suffix_dedup,
-                                    op10_lm_scores)}
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_url_verdicts, op4_benchmark_leaks, op5_exact_topk,
+                                    op6_ngram_join, op7_secret_spans, op8_balanced_shards, op9_suffix_dedup,
+                                    op10_lm_scores, op12_filter_audit)}
 
 
 OP3_SQL = """
@@ -145,5 +149,47 @@ FROM reach JOIN n USING (doc_id) GROUP BY doc_id
 """
 
 
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+k AS (SELECT doc_id, max(CAST(coalesce(quality, 0) = 1 AS INTEGER)) AS good,
+             max(CAST(coalesce(toxic, 0) = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT doc_id, part, list_filter([
+           CASE WHEN len(w) < 50 THEN 'A' END,
+           CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' END,
+           CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t) THEN 'C' END,
+           CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END,
+           CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' END], lambda x: x IS NOT NULL) AS fails
+  FROM d),
+m AS (
+  SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM f LEFT JOIN k USING (doc_id) GROUP BY part, fails),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS x,
+         string_split(substr(filter_order, 1, step - 1), '') AS before
+  FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (
+  SELECT part, filter_order, step, x, n, good, toxic, len(fails) AS j, list_contains(fails, x) AS hit,
+         step > 1 AND list_has_any(fails, before) AS gone
+  FROM s, m)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step,
+       CAST(coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0) AS BIGINT) AS kept,
+       CAST(coalesce(sum(n) FILTER (hit AND NOT gone), 0) AS BIGINT) AS removed,
+       CAST(coalesce(sum(n) FILTER (hit AND gone), 0) AS BIGINT) AS redundant,
+       CAST(coalesce(sum(n) FILTER (hit AND j = 1), 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(sum(good) FILTER (hit AND NOT gone), 0) AS BIGINT) AS good_lost,
+       CAST(coalesce(sum(toxic) FILTER (hit AND NOT gone), 0) AS BIGINT) AS toxic_lost,
+       CAST(coalesce(sum(sum(n) FILTER (hit AND NOT gone)) OVER (PARTITION BY part, x), 0) AS BIGINT) AS shapley
+FROM r GROUP BY part, filter_order, step, x
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_verdicts": OP3_SQL, "op5_exact_topk": OP5_SQL, "op6_ngram_join": OP6_SQL}
+    return {"op3_url_verdicts": OP3_SQL, "op5_exact_topk": OP5_SQL, "op6_ngram_join": OP6_SQL,
+            "op12_filter_audit": OP12_SQL}
