@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendspark.llm import (decontaminate, exact_topk, filter_audit, gru_lm, ngram_join, packing, secret_scan, sharding, suffix_dedup,
+from lendspark.llm import (decontaminate, exact_topk, filter_audit, gru_lm, ngram_join, packing, secret_scan, sharding, spelling, suffix_dedup,
                            toxicity, url_filter)
 from lendspark.llm.common import read_table
 
@@ -76,6 +76,10 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "n_tokens", "n_known", "train_tokens", "base_score", "score"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -83,7 +87,7 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_url_verdicts, op4_benchmark_leaks, op5_exact_topk,
                                     op6_ngram_join, op7_secret_spans, op8_balanced_shards, op9_suffix_dedup,
-                                    op10_lm_scores, op12_filter_audit)}
+                                    op10_lm_scores, op11_spelling_variants, op12_filter_audit)}
 
 
 OP3_SQL = """
