@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendspark.llm import (decontaminate, exact_topk, filter_audit, gru_lm, ngram_join, packing, secret_scan, sharding, spelling, suffix_dedup,
-                           toxicity, url_filter)
+from lendspark.llm import (decontaminate, exact_topk, filter_audit, gru_lm, licences, ngram_join, packing, secret_scan,
+                           sharding, spelling, suffix_dedup, toxicity, url_filter)
 from lendspark.llm.common import read_table
 
 URL_RULES = [url_filter.site_rule("block", "net/"), url_filter.site_rule("allow", "example.net/en/"),
@@ -84,10 +84,14 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op13_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_digest(licences.find_licences(read_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_url_verdicts, op4_benchmark_leaks, op5_exact_topk,
                                     op6_ngram_join, op7_secret_spans, op8_balanced_shards, op9_suffix_dedup,
-                                    op10_lm_scores, op11_spelling_variants, op12_filter_audit)}
+                                    op10_lm_scores, op11_spelling_variants, op12_filter_audit, op13_licence_scan)}
 
 
 OP3_SQL = """
