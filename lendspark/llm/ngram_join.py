@@ -12,14 +12,17 @@ tokens are dealt to classes by hash, about a quarter as many classes as tokens,
 combinations stay linear in the set; the classes depend on the power of two in the
 set's size, and a set near a power of two is indexed under both.
 
-Equal sets are one vertex. Candidates of a signature must have compatible sizes
-and parity sketches (the set bits of the difference are a lower bound of the sets'
-difference; 256 bits travel with a posting, pairs that pass are compared on sketches
-of as many bits as tokens); the rest are verified on the full sets. First each signature's
-members are compared with its best connected member only; then, with the
-components known, the pairs between different components, closest first, without
-any limit in the last round. So a group of near copies costs about its size, not
-its square, and no link between different components is lost.
+Equal sets are one vertex. A posting carries the set's size and how many tokens the
+set has from this place of the order on: two sets that meet first here share no more
+than the smaller of these caps, so members of a signature that no other can link with
+by sizes and caps leave it before any pair is made (documents of a template that differ
+in words of their own meet nobody). Pairs must also have compatible parity sketches
+(the set bits of the difference are a lower bound of the sets' difference); pairs that
+pass are verified on the full sets. First each signature's members are compared with
+its best connected member only, on 256 bits; then, with the components known, the
+pairs between different components on sketches of as many bits as tokens (8,192 at
+most), closest first, without any limit in the last round. No link between different
+components is lost.
 """
 
 from __future__ import annotations
@@ -37,7 +40,8 @@ from lendspark.llm.components import components
 from lendspark.session import ensure_checkpoint_dir
 
 FREQUENT = 8192           # a token is frequent in 1 of so many sets, and in 8 at least
-SKETCH_WORDS = 4          # 256 parity bits travel with every posting
+SKETCH_WORDS = 4          # 256 parity bits travel with every posting of the first round
+WIDE_WORDS = 128          # as many bits as tokens, 8,192 at most, with those that are left after it
 LOW = U64((1 << 40) - 1)  # bits by which tokens are counted: a mix-up only changes an order
 BITMAP_BITS = 1 << 23     # ids asked for, as a hashed bitmap of 1 MB
 ROUNDS = (4, None)        # closest pairs tried for two components of a signature
@@ -144,15 +148,17 @@ def _heavy(least: int):
 
 
 def prefix_signatures(s: np.ndarray, allowed: int, percent: int, freq: np.ndarray,
-                      level_of: np.ndarray) -> np.ndarray:
-    """Signatures of one set; ``allowed``: prefix tokens needed. ``freq``: sorted
-    low bits of frequent tokens, ``level_of`` their frequency levels."""
+                      level_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of one set and, for each, the most tokens that it can share with a set
+    that has no token before this signature in common with it (all rare tokens come
+    before a combination). ``allowed``: prefix tokens needed. ``freq``: sorted low bits
+    of frequent tokens, ``level_of`` their frequency levels."""
     low = s & LOW
     at = np.searchsorted(freq, low)
     frequent = (freq[np.minimum(at, len(freq) - 1)] == low) if len(freq) else np.zeros(len(s), bool)
     rare = s[~frequent]
     if len(rare) >= allowed:
-        return rare[:allowed]
+        return rare[:allowed], len(s) - np.arange(allowed)
     tail = s[frequent]
     tail = tail[np.argsort(level_of[at[frequent]], kind="stable")]
     n, out = len(s), [rare]
@@ -171,67 +177,141 @@ def prefix_signatures(s: np.ndarray, allowed: int, percent: int, freq: np.ndarra
             if not same.any():
                 break
             out.append(mix(t[:-k][same] * SHINGLE[0] + t[k:][same] * SHINGLE[1] + U64(level)))
-    return np.concatenate(out)
+    out = np.concatenate(out)
+    return out, len(s) - np.minimum(np.arange(len(out)), len(rare))
 
 
 def _post(n: int, seed: int, percent: int, freq: np.ndarray, level_of: np.ndarray, parts: int):
-    """Packed postings (part; signature, set key, size), once for each different
+    """Packed postings (part; signature, set key, size, cap), once for each different
     set of a batch. Sets too small to reach the threshold unless equal have none: the
     closest other set has one token more, m of m + 1 in common."""
     def post(batches):
         sets = ShingleSets(n)
         for b in (part for whole in batches for part in row_slices(whole)):
-            sig, key, size, seen = [], [], [], set()
+            sig, key, size, cap, seen = [], [], [], [], set()
             for _, s in sets(b.column(0)):
                 k = set_key(s, seed)
                 m = len(s)
                 if k in seen or 100 * m < percent * (m + 1):
                     continue
                 seen.add(k)
-                x = prefix_signatures(s, m - (-(-percent * m // 100)) + 1, percent, freq, level_of)
+                x, c = prefix_signatures(s, m - (-(-percent * m // 100)) + 1, percent, freq, level_of)
                 sig.append(x)
+                cap.append(c.astype(np.int32))
                 key.append(np.full(len(x), k, np.int64))
                 size.append(np.full(len(x), m, np.int32))
             if not sig:
                 continue
-            sig, key, size = (np.concatenate(v) for v in (sig, key, size))
+            sig, key, size, cap = (np.concatenate(v) for v in (sig, key, size, cap))
             out = [(p, *[c.tobytes() for c in cols])
-                   for p, cols in split_parts(part_of(sig, parts), parts, sig, key, size)]
+                   for p, cols in split_parts(part_of(sig, parts), parts, sig, key, size, cap)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in out], pa.int32())] +
-                [pa.array([r[i] for r in out], pa.binary()) for i in (1, 2, 3)],
-                names=["part", "sig", "key", "n"])
+                [pa.array([r[i] for r in out], pa.binary()) for i in (1, 2, 3, 4)],
+                names=["part", "sig", "key", "n", "cap"])
     return post
 
 
-def _live(table: pa.Table) -> pa.Table:
-    """Postings of the signatures that several different sets share."""
-    get = lambda c, t: np.concatenate([np.frombuffer(v.as_buffer(), t)
-                                       for v in table.column(c)])
-    sig, key, n = get("sig", U64), get("key", np.int64), get("n", np.int32)
-    order = np.lexsort((key, sig))
-    sig, key, n = sig[order], key[order], n[order]
-    keep = np.ones(len(sig), bool)
-    keep[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
-    sig, key, n = sig[keep], key[keep], n[keep]
-    same = sig[1:] == sig[:-1]
-    live = np.concatenate((same, [False])) | np.concatenate(([False], same))
-    return pa.table({"sig": sig[live].astype(np.int64), "key": key[live], "n": n[live].astype(np.int64)})
+def _can_link(group: np.ndarray, n: np.ndarray, cap: np.ndarray, percent: int) -> np.ndarray:
+    """Members of each group (rows in group order) that another member may link with by
+    sizes and caps. Two sets of n and m tokens share at most the smaller cap, and link if
+    that is p / (100 + p) of n + m at least: m <= ``most`` of the one, n <= that of the
+    other. So a member needs one whose size is within its own bound and whose bound is
+    its size or more."""
+    most = cap.astype(np.int64) * (100 + percent) // percent - n
+    order = np.lexsort((n, group))
+    g, size, bound = group[order], n[order].astype(np.int64), most[order]
+    wide = int(max(bound.max(initial=0), 0)) + 2
+    code = np.cumsum(np.concatenate(([0], g[1:] != g[:-1]))[:len(g)]).astype(np.int64)
+    top = np.maximum.accumulate(code * wide + np.maximum(bound, 0))     # anew in each group, as code rises
+    widest = int(size.max(initial=0)) + 1
+    place = code * (widest + 1) + size
+    upto = np.searchsorted(place, code * (widest + 1) + np.clip(bound, -1, widest), side="right") - 1
+    first = np.searchsorted(code, code)
+    ok = upto >= first
+    ok &= np.where(ok, top[np.maximum(upto, 0)] - code * wide, -1) >= size
+    out = np.zeros(len(n), bool)
+    out[order] = ok
+    return out
+
+
+def _live(percent: int):
+    """Postings of the signatures that several different sets share, without those that
+    no other member can link with."""
+    def live(table: pa.Table) -> pa.Table:
+        get = lambda c, t: np.concatenate([np.frombuffer(v.as_buffer(), t)
+                                           for v in table.column(c)])
+        sig, key, n, cap = get("sig", U64), get("key", np.int64), get("n", np.int32), get("cap", np.int32)
+        order = np.lexsort((key, sig))
+        sig, key, n, cap = sig[order], key[order], n[order], cap[order]
+        keep = np.ones(len(sig), bool)
+        keep[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
+        sig, key, n, cap = sig[keep], key[keep], n[keep], cap[keep]
+        for able in (False, True):
+            if able:
+                ok = _can_link(sig, n, cap, percent)
+                sig, key, n, cap = sig[ok], key[ok], n[ok], cap[ok]
+            same = sig[1:] == sig[:-1]
+            ok = np.concatenate((same, [False])) | np.concatenate(([False], same))
+            ok = ok[:len(sig)]
+            sig, key, n, cap = sig[ok], key[ok], n[ok], cap[ok]
+        return pa.table({"sig": sig.astype(np.int64), "key": key, "n": n.astype(np.int64), "cap": cap.astype(np.int64)})
+    return live
 
 
 POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
-def _near(sk_a, n_a, sk_b, n_b, percent: int) -> np.ndarray:
+def _near(sk_a, n_a, cap_a, sk_b, n_b, cap_b, percent: int) -> np.ndarray:
     """Sketch distances of rows of a to rows of b; -1 where the pair cannot reach
-    the threshold."""
-    x = sk_a[:, None, :] ^ sk_b[None, :, :]
-    d = (np.bitwise_count(x) if hasattr(np, "bitwise_count") else POPCOUNT[x]).sum(2, dtype=np.int64)
+    the threshold by sizes, caps or sketches."""
     total = n_a[:, None] + n_b[None, :]
     # overlap >= p/(100+p) * total, so difference <= (100-p)/(100+p) * total
-    ok = ((100 + percent) * d <= (100 - percent) * total) \
-        & (100 * np.minimum(n_a[:, None], n_b[None, :]) >= percent * np.maximum(n_a[:, None], n_b[None, :]))
-    return np.where(ok, d, -1)
+    ok = (100 * np.minimum(n_a[:, None], n_b[None, :]) >= percent * np.maximum(n_a[:, None], n_b[None, :])) \
+        & ((100 + percent) * np.minimum(cap_a[:, None], cap_b[None, :]) >= percent * total)
+    i, j = np.nonzero(ok)
+    d = np.empty(len(i), np.int64)
+    step = max(1, (16 << 20) // (8 * sk_a.shape[1]))
+    for s in range(0, len(i), step):
+        d[s:s + step] = np.bitwise_count(sk_a[i[s:s + step]] ^ sk_b[j[s:s + step]]).sum(1, dtype=np.int64)
+    out = np.full(total.shape, -1, np.int64)
+    out[i, j] = np.where((100 + percent) * d <= (100 - percent) * total[i, j], d, -1)
+    return out
+
+
+def _pairs_of(marks: list[bytes], n: np.ndarray, cap: np.ndarray, comp: np.ndarray, percent: int, lead: int | None):
+    """(i, j, distance): members of one signature, of different components, that may
+    link, each two once and compared at the width of the narrower sketch; with ``lead``
+    only its pairs."""
+    width = np.array([len(m) for m in marks])
+    out = []
+    for w in np.unique(width).tolist():
+        wide = np.flatnonzero(width >= w)
+        sk = np.stack([np.frombuffer(marks[k], np.uint8) if width[k] == w else folded(marks[k], w)
+                       for k in wide]).view(U64)
+        own = np.flatnonzero(width[wide] == w)
+        if lead is not None:
+            at = np.flatnonzero(wide == lead)
+            if not len(at):                         # the lead is narrower: met at its own width
+                continue
+            if width[lead] > w:                     # the narrower members against the lead
+                own, wide, sk = own, np.concatenate((wide[own], [lead])), np.concatenate((sk[own], sk[at]))
+                own = np.array([len(wide) - 1])
+            else:
+                own = at
+        step = max(1, 1_000_000 // len(wide))
+        for q in range(0, len(own), step):
+            rows = own[q:q + step]
+            i, j = wide[rows], wide
+            d = _near(sk[rows], n[i], cap[i], sk, n[j], cap[j], percent)
+            d[comp[i][:, None] == comp[j][None, :]] = -1
+            if lead is None:
+                d[(width[j] == w)[None, :] & (i[:, None] <= j[None, :])] = -1
+            x, y = np.nonzero(d >= 0)
+            out.append((i[x], j[y], d[x, y]))
+    i, j, d = (np.concatenate([o[k] for o in out] + [np.zeros(0, np.int64)]).astype(np.int64) for k in range(3))
+    swap = comp[i] < comp[j]
+    return np.where(swap, j, i), np.where(swap, i, j), d
 
 
 def _candidates(percent: int, most: int | None, star: bool):
@@ -242,33 +322,23 @@ def _candidates(percent: int, most: int | None, star: bool):
         sig = table.column("sig").to_numpy()
         order = np.lexsort((table.column("key").to_numpy(), sig))
         sig = sig[order]
-        key, n, comp, rank = (table.column(c).to_numpy()[order] for c in ("key", "n", "comp", "links"))
-        sk = np.frombuffer(b"".join(v.as_py() for v in table.column("sketch")), U64).reshape(-1, SKETCH_WORDS)[order]
+        key, n, cap, comp, rank = (table.column(c).to_numpy()[order] for c in ("key", "n", "cap", "comp", "links"))
+        marks = table.column("sketch").take(pa.array(order))
         cut = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1], [True])))
         a, b, more = [], [], []
         for s, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            if star:
-                lead = s + int(np.argmax(rank[s:e]))
-                d = _near(sk[lead:lead + 1], n[lead:lead + 1], sk[s:e], n[s:e], percent)[0]
-                d[lead - s] = -1
-                hit = s + np.flatnonzero(d >= 0)
-                a.append(np.full(len(hit), key[lead]))
-                b.append(key[hit])
-                more.append(np.zeros(len(hit), bool))
+            if not star and (comp[s:e] == comp[s]).all():
                 continue
-            if (comp[s:e] == comp[s]).all():
+            group = [v.as_py() for v in marks[s:e]]
+            if star:                    # every member is a component of its own so far
+                lead = int(np.argmax(rank[s:e]))
+                i, j, _ = _pairs_of(group, n[s:e], cap[s:e], key[s:e], percent, lead)
+                a.append(key[s + i])
+                b.append(key[s + j])
+                more.append(np.zeros(len(i), bool))
                 continue
-            rows_a, rows_b, dist = [], [], []
-            step = max(1, 2_000_000 // ((e - s) * SKETCH_WORDS))
-            for q in range(s, e, step):
-                r = min(q + step, e)
-                d = _near(sk[q:r], n[q:r], sk[s:e], n[s:e], percent)
-                d[comp[q:r, None] <= comp[None, s:e]] = -1      # each two components once
-                i, j = np.nonzero(d >= 0)
-                rows_a.append(q + i)
-                rows_b.append(s + j)
-                dist.append(d[i, j])
-            i, j, d = (np.concatenate(v) for v in (rows_a, rows_b, dist))
+            i, j, d = _pairs_of(group, n[s:e], cap[s:e], comp[s:e], percent, None)
+            i, j = s + i, s + j
             left = np.zeros(len(i), bool)
             if most is not None and len(i):
                 o = np.lexsort((d, comp[j], comp[i]))
@@ -362,9 +432,11 @@ def set_components(docs: DataFrame, words: int, percent: int, id_col: str,
             break
     classes = classes.drop("lo", "hi")
 
-    @F.pandas_udf("binary")
-    def fold(marks: pd.Series) -> pd.Series:
-        return pd.Series([folded(m, 8 * SKETCH_WORDS).tobytes() for m in marks], dtype=object)
+    def fold(width: int):
+        @F.pandas_udf("binary")
+        def to_width(marks: pd.Series) -> pd.Series:
+            return pd.Series([folded(m, width).tobytes() if len(m) > width else m for m in marks], dtype=object)
+        return to_width(F.col("full"))
 
     n_sets, n_tokens = int(total["n"]), int(total["t"] or 0)
 
@@ -380,12 +452,11 @@ def set_components(docs: DataFrame, words: int, percent: int, id_col: str,
     parts = packed_parts(n_tokens, 20 * (1.1 - percent / 100))
     sent = spark.sparkContext.broadcast((freq, level_of))
     posted = (base.where("id IS NOT NULL").select("t")
-              .mapInArrow(_lazy(sent, words, seed, percent, parts), "part int, sig binary, key binary, n binary"))
-    live = staged(posted.groupBy("part").applyInArrow(_live, "sig long, key long, n long"), "join-live")
+              .mapInArrow(_lazy(sent, words, seed, percent, parts), "part int, sig binary, key binary, n binary, cap binary"))
+    live = staged(posted.groupBy("part").applyInArrow(_live(percent), "sig long, key long, n long, cap long"), "join-live")
     degree = live.groupBy("key").agg(F.count(F.lit(1)).alias("links"))
     members = staged(classes.join(degree, "key").select(
-        "key", "id", "n", F.col("sketch").alias("full"), "links", fold(F.col("sketch")).alias("sketch")),
-        "join-members")
+        "key", "id", "n", F.col("sketch").alias("full"), "links"), "join-members")
     bins = packed_parts(live.count(), 100)
 
     edges, comp = None, members.select("key", F.col("key").alias("comp"))
@@ -398,7 +469,8 @@ def set_components(docs: DataFrame, words: int, percent: int, id_col: str,
             cross = (rounds.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                      .where("lo != hi").select("sig"))
             rounds = rounds.join(cross, "sig", "left_semi")
-        rounds = rounds.join(members.select("key", "sketch", "links"), "key")
+        width = 8 * (SKETCH_WORDS if star else WIDE_WORDS)
+        rounds = rounds.join(members.select("key", fold(width).alias("sketch"), "links"), "key")
         found = (rounds.withColumn("bin", F.pmod(F.xxhash64("sig"), F.lit(bins)).cast("int"))
                  .groupBy("bin").applyInArrow(_candidates(percent, most, star),
                                               "a long, b long, more boolean"))

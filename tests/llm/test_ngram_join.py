@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_corpus import docs, frame, no_docs, rows  # noqa: F401
 
@@ -95,8 +96,63 @@ def test_similar_sets_share_a_signature(frequent_share):
         k = len(np.intersect1d(a, b))
         if 100 * k < 85 * (len(a) + len(b) - k):
             continue
-        x, y = (J.prefix_signatures(s, len(s) - (-(-85 * len(s) // 100)) + 1, 85, freq, level) for s in (a, b))
-        assert len(np.intersect1d(x, y)), (n, len(a), len(b))
+        (x, cap_x), (y, cap_y) = (J.prefix_signatures(s, len(s) - (-(-85 * len(s) // 100)) + 1, 85, freq, level)
+                                  for s in (a, b))
+        both, i, j = np.intersect1d(x, y, return_indices=True)
+        assert len(both), (n, len(a), len(b))
+        # some shared signature is left by the caps, and no member of it is dropped
+        fits = 185 * np.minimum(cap_x[i], cap_y[j]) >= 85 * (len(a) + len(b))
+        assert fits.any()
+        sig = np.concatenate((x[i][fits], y[j][fits]))
+        size = np.repeat([len(a), len(b)], fits.sum())
+        assert J._can_link(sig, size, np.concatenate((cap_x[i][fits], cap_y[j][fits])), 85).all()
+
+
+def test_members_without_a_partner(percent=85):
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        m = int(rng.integers(2, 30))
+        group = np.sort(rng.integers(0, 4, m)).astype(np.uint64)
+        n = rng.integers(50, 120, m)
+        cap = (n * rng.uniform(0.7, 1, m)).astype(np.int64)
+        got = J._can_link(group, n, cap, percent)
+        for x in range(m):
+            for y in range(m):
+                if x != y and group[x] == group[y] and 185 * min(cap[x], cap[y]) >= 85 * (n[x] + n[y]):
+                    assert got[x] and got[y]
+
+
+@pytest.mark.parametrize("own", [0.12, 0.2])
+def test_template_documents_that_do_not_link(own):
+    """Texts of 1,500 words that share most of a template and link with none: no postings
+    stay, whatever their number."""
+    for k in (100, 300):
+        rng = random.Random(k)
+        base = [f"t{i}" for i in range(1500)]
+        texts = [" ".join([*base[:int(1500 * (1 - own))], *(f"o{d}x{i}" for i in range(int(1500 * own)))])
+                 for d in range(k)]
+        rng.shuffle(texts)
+        batch = pa.record_batch([pa.array(texts)], names=["t"])
+        sets = dict(J.ShingleSets(4)(batch.column(0)))
+        token, count = np.unique(np.concatenate(list(sets.values())) & J.LOW, return_counts=True)
+        freq, level = token[count >= 8], np.log2(count[count >= 8] + 1.0).astype(np.int8)
+        posted = pa.Table.from_batches(list(J._post(4, 0, 85, freq, level, 1)([batch])))
+        assert posted.num_rows and J._live(85)(posted).num_rows == 0
+
+
+def test_wide_sketches_separate_members():
+    """Members of one signature with sizes and caps that fit, but other tokens."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2 ** 63, 1400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((base, rng.integers(0, 2 ** 63, 200, dtype=np.uint64)))) for _ in range(60)]
+    sets += [np.unique(np.concatenate((sets[0][:-4], rng.integers(0, 2 ** 63, 4, dtype=np.uint64))))]
+    n = np.array([len(s) for s in sets])
+    i, j, _ = J._pairs_of([J.sketch(s) for s in sets], n, n, np.arange(len(sets)), 85, None)
+    assert (60, 0) in set(zip(i.tolist(), j.tolist())) and len(i) < 10
+    mixed = [J.sketch(s) for s in sets] + [J.sketch(base[:100])]       # one small member widens nothing
+    n = np.append(n, 100)
+    i, j, _ = J._pairs_of(mixed, n, n, np.arange(len(n)), 85, None)
+    assert (60, 0) in set(zip(i.tolist(), j.tolist())) and len(i) < 10
 
 
 def test_drop_near_copies(spark, docs, rows):
