@@ -18,8 +18,10 @@ from pyspark.sql.types import DoubleType
 
 from lendspark.functions import tails
 from lendspark.functions.nulls import nan_to_null, round_half_even
+from lendspark.operators.concordance import tau_b
+from lendspark.operators.gram import pair_correlations
 from lendspark.operators.ordered import ordered_counts
-from lendspark.session import ship_package
+from lendspark.session import cut_lineage, ship_package
 from lendspark.operators.profile import TARGET, _q, _wide_to_long, long_values, numeric_columns
 
 
@@ -38,9 +40,14 @@ def _spearman_long(df: DataFrame, columns: Sequence[str], target: str) -> DataFr
     y = nan_to_null(_q(target).cast("double"))
     lv = long_values(df.withColumn(target, y).where(_q(target).isNotNull()), columns, keep=[target]) \
         .withColumnRenamed(target, "_y")
-    rank = lambda c, name: ordered_counts(lv, c, groups=["column"], value_name=c).select(
-        "column", c, (F.col("before_n") + (F.col("n") + 1) / 2.0).alias(name))
-    pairs = (lv.groupBy("column", "value", "_y").agg(F.count(F.lit(1)).cast("double").alias("k"))
+    pairs = cut_lineage(lv.groupBy("column", "value", "_y").agg(F.count(F.lit(1)).alias("k")))
+
+    def rank(c: str, name: str) -> DataFrame:
+        counts = cut_lineage(pairs.groupBy("column", c).agg(F.sum("k").alias("n")))
+        return ordered_counts(None, c, groups=["column"], value_name=c, collapsed=counts).select(
+            "column", c, (F.col("before_n") + (F.col("n") + 1) / 2.0).alias(name))
+
+    pairs = (pairs.withColumn("k", F.col("k").cast("double"))
              .join(rank("value", "rx"), ["column", "value"]).join(rank("_y", "ry"), ["column", "_y"]))
     k, rx, ry = F.col("k"), F.col("rx"), F.col("ry")
     g = pairs.groupBy("column").agg(
@@ -70,6 +77,14 @@ def _kendall_long(df: DataFrame, columns: Sequence[str], target: str) -> DataFra
     return g.select(F.col("column").alias("coluna"), tau.alias("corr"), N.cast("long").alias("n"))
 
 
+def _kendall_any(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
+    """Kendall tau-b against any numeric label, by distributed inversion counting."""
+    y = nan_to_null(_q(target).cast("double"))
+    lv = long_values(df.withColumn(target, y).where(_q(target).isNotNull()), columns, keep=[target])
+    points = lv.groupBy("column", F.col("value").alias("x"), _q(target).alias("y")).agg(F.count(F.lit(1)).alias("k"))
+    return tau_b(points).select(F.col("column").alias("coluna"), F.col("tau").alias("corr"), "n")
+
+
 def correlation_with_target(df: DataFrame, method: str = "pearson", top_n: int | None = None,
                             target: str = TARGET, columns: Sequence[str] | None = None) -> DataFrame:
     """``coluna, correlacao`` for every numeric column, ascending; null
@@ -83,8 +98,7 @@ def correlation_with_target(df: DataFrame, method: str = "pearson", top_n: int |
     elif method == "spearman":
         long = _spearman_long(df, cols, target)
     elif method == "kendall":
-        _require_binary(df, target)
-        long = _kendall_long(df, cols, target)
+        long = _kendall_long(df, cols, target) if _is_binary(df, target) else _kendall_any(df, cols, target)
     else:
         raise ValueError(f"Unknown method '{method}': use pearson, spearman or kendall.")
     res = (long.where(F.col("corr").isNotNull() & ~F.isnan("corr"))
@@ -96,38 +110,20 @@ def correlation_with_target(df: DataFrame, method: str = "pearson", top_n: int |
     return low.unionByName(high).orderBy("_pos", "correlacao", "coluna").drop("_pos")
 
 
-def _require_binary(df: DataFrame, target: str) -> None:
-    bad = df.where(_q(target).isNotNull() & ~_q(target).isin(0, 1)).limit(1).count()
-    if bad:
-        raise ValueError(f"Kendall from rank counts needs a 0/1 label; '{target}' has other values.")
+def _is_binary(df: DataFrame, target: str) -> bool:
+    return not df.where(_q(target).isNotNull() & ~_q(target).isin(0, 1)).limit(1).count()
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None,
                        max_null_share: float | None = 0.5) -> DataFrame:
     """pairwise-complete Pearson for every pair (lower triangle) in one
-    aggregate: ``col_a, col_b, corr`` with col_a after col_b in column order.
+    scan: ``col_a, col_b, corr`` with col_a after col_b in column order.
     Without ``columns``, numeric columns with null share below
-    ``max_null_share`` are used (B8)."""
-    if columns is None:
-        from lendspark.operators.profile import columns_below_null_share
-        num = numeric_columns(df)
-        keep = set(columns_below_null_share(df.select(*[_q(c) for c in num]), max_null_share))
-        columns = [c for c in num if c in keep]
-    cols = list(columns)
-    exprs, names = [], []
-    for i in range(len(cols)):
-        for j in range(i):
-            exprs.append(F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
-                                  F.corr(_q(cols[i]).cast("double"), _q(cols[j]).cast("double")).alias("corr")))
-    if not exprs:
+    ``max_null_share`` are used (B8), known from the same scan."""
+    cols = numeric_columns(df) if columns is None else list(columns)
+    if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
-    parts = []
-    for k in range(0, len(exprs), 200):
-        parts.append(df.agg(F.array(*exprs[k:k + 200]).alias("_a")).select(F.inline("_a")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return pair_correlations(df, cols, max_null_share if columns is None else None)
 
 
 def scalar_udf(spark, fn):

@@ -4,15 +4,16 @@ A ``Window.orderBy`` with no partition moves every row into one task. Instead:
 
 1. collapse ties: ``groupBy(groups, value)`` with per-class counts (partial
    aggregation runs map-side, so a value holding a third of all rows is one
-   row after the combine);
-2. split each group's value range into buckets at approximate quantiles, as
-   many as the largest group's size asks for, kept in a boundary table;
+   row after the combine). The table is kept, so the input is evaluated once;
+2. split each group's value range into buckets. Splitters are quantiles of a hash
+   sample of the collapsed values, found level by level: at most ``FAN`` blocks a
+   level, then the blocks of every block, until a block holds about
+   ``BUCKET_VALUES`` values. Every list and buffer has a fixed size at any input size,
+   and a splitter table is joined on (group, block), never on the group alone beyond
+   the first level;
 3. running counts inside ``Window.partitionBy(groups, bucket).orderBy(value)``;
 4. add per-bucket offsets from a ``(group, bucket)`` totals table.
 
-The plan is the same at every size; whether the small tables are broadcast is
-decided from their measured sizes.
-
 Everything downstream (exact AUC / KS / Mann-Whitney U, exact quantiles, mid
 ranks for Spearman) is a plain aggregate over this output.
 """
@@ -30,86 +31,81 @@ from lendspark.session import cut_lineage
 # Values (after nulls) of the largest group that one bucket should hold.
 BUCKET_VALUES = 500_000
 LEAST_BUCKETS = 8
-
-
-def group_bounds(df: DataFrame, value: str, groups: Sequence[str], n_buckets: int | None = None,
-                 extra_aggs: dict[str, Column] | None = None) -> DataFrame:
-    """Per group: ``_bounds`` (sorted approximate quantiles of ``value``, for
-    bucketing only, so a coarse accuracy suffices), ``_coarse`` (every
-    ``_step``-th of them), ``_cnt`` values and any extra aggregates.
-
-    The number of buckets follows the data: a first pass counts the largest
-    group. The table is checkpointed, since every step below joins it."""
-    if n_buckets is None:
-        largest = (df.groupBy(*groups).agg(F.count(F.col(value)).alias("_cnt"))
-                   .agg(F.max("_cnt")).first()[0] or 0)
-        n_buckets = max(LEAST_BUCKETS, -(-int(largest) // BUCKET_VALUES))
-    step = max(1, round(n_buckets ** 0.5))
-    probs = [i / n_buckets for i in range(1, n_buckets)] or [0.5]
-    aggs = [F.percentile_approx(F.col(value), probs, max(256, 8 * n_buckets)).alias("_bounds"),
-            F.count(F.col(value)).alias("_cnt")]
-    aggs += [c.alias(k) for k, c in (extra_aggs or {}).items()]
-    table = (df.groupBy(*groups).agg(*aggs)
-             .withColumn("_bounds", F.array_sort(F.array_distinct(F.coalesce(
-                 F.col("_bounds").cast("array<double>"), F.array().cast("array<double>")))))
-             .withColumn("_step", F.lit(step))
-             .withColumn("_coarse", F.expr("filter(_bounds, (x, i) -> (i + 1) % _step = 0)")))
-    return cut_lineage(table)
+FAN = 64                    # blocks that one level of splitters makes of a block
+SAMPLE_FROM = 4_000_000     # values of the largest group up to which all of them are the sample
+SAMPLE_ONE_IN = 1024        # beyond: FAN * BUCKET_VALUES / 1024 = 31,250 a block, about 500 a splitter
+SMALL_TABLE = 20_000        # splitter arrays (512 bytes each) that are sent to all tasks
+
+
+def collapse(df: DataFrame, value: str | Column, label: str | Column | None = None,
+             groups: Sequence[str] = (), value_name: str = "value") -> DataFrame:
+    """(groups, value, n[, c0, c1]): rows per distinct non-null value, kept in the shared
+    folder. With a label, rows without one are dropped, and c0 / c1 count labels 0 / 1."""
+    base = df.select(*[F.col(g) for g in groups], col_of(value).alias(value_name),
+                     *([] if label is None else [col_of(label).alias("_label")])).where(F.col(value_name).isNotNull())
+    counts = [F.count(F.lit(1)).alias("n")]
+    if label is not None:
+        base = base.where(F.col("_label").isNotNull())
+        counts += [F.count_if(F.col("_label") == 0).alias("c0"), F.count_if(F.col("_label") == 1).alias("c1")]
+    return cut_lineage(base.groupBy(*groups, value_name).agg(*counts))
 
 
 def _count_below(arr: Column, v: Column) -> Column:
     """Number of elements of ``arr`` strictly below ``v``: the first position
     of ``v`` once it is sorted in with them, minus one. No lambda function
     (a lambda's variable would keep one id across the self-joins below)."""
-    return (F.array_position(F.sort_array(F.concat(arr, F.array(v))), v) - 1).cast("int")
-
-
-def _with_buckets(collapsed: DataFrame, value_name: str, groups: Sequence[str],
-                  bounds: DataFrame) -> DataFrame:
-    """Add ``_b``, the number of the group's boundaries below the value: monotone
-    in the value, equal values share a bucket. Two-level search: first among every
-    step-th boundary, then among the step boundaries of that block, so the cost
-    grows with the square root of the bucket count."""
-    bt = bounds.select(*groups, "_bounds", "_coarse", "_step")
-    v = F.col(value_name).cast("double")
-    joined = collapsed.join(bt, list(groups)) if groups else collapsed.crossJoin(F.broadcast(bt))  # one row
-    block = joined.withColumn("_c", _count_below(F.col("_coarse"), v))
-    fine = F.slice("_bounds", F.col("_c") * F.col("_step") + 1, F.col("_step"))
-    return (block.withColumn("_b", F.col("_c") * F.col("_step") + _count_below(fine, v))
-            .drop("_bounds", "_coarse", "_step", "_c"))
+    return (F.array_position(F.sort_array(F.concat(arr, F.array(v))), v) - 1).cast("long")
 
 
-def ordered_counts(df: DataFrame, value: str | Column, label: str | Column | None = None,
+def with_buckets(collapsed: DataFrame, value_name: str, groups: Sequence[str] = (),
+                 n_buckets: int | None = None) -> DataFrame:
+    """Add ``_b``, a bucket number that rises with the value inside each group; equal
+    values share a bucket. ``n_buckets``: buckets wanted in the largest group (default:
+    as many as ``BUCKET_VALUES`` asks for)."""
+    groups = list(groups)
+    largest, n_groups = collapsed.groupBy(*groups).agg(F.count(F.lit(1)).alias("c")).agg(
+        F.max("c"), F.count(F.lit(1))).first()
+    wanted = n_buckets or max(LEAST_BUCKETS, -(-int(largest or 0) // BUCKET_VALUES))
+    out = collapsed.withColumn("_b", F.lit(0).cast("long"))
+    sample = out.select(*groups, value_name, "_b")
+    if int(largest or 0) > SAMPLE_FROM:
+        sample = cut_lineage(sample.where(F.pmod(F.xxhash64(*groups, value_name), F.lit(SAMPLE_ONE_IN)) == 0))
+    tables = n_groups
+    while True:
+        fan = min(FAN, wanted)
+        if fan > 1:
+            ranks = [i / fan for i in range(1, fan)]
+            cuts = (sample.groupBy(*groups, "_b")
+                    .agg(F.percentile_approx(F.col(value_name), ranks, 64 * FAN).alias("_cuts"))
+                    .withColumn("_cuts", F.array_distinct(F.col("_cuts").cast("array<double>"))))
+            if tables <= SMALL_TABLE:
+                cuts = F.broadcast(cuts)                # its number of rows is known
+            split = lambda t: t.join(cuts, [*groups, "_b"], "left").withColumn(      # noqa: E731
+                "_b", F.col("_b") * FAN + F.coalesce(_count_below(F.col("_cuts"), F.col(value_name).cast("double")),
+                                                     F.lit(0).cast("long"))).drop("_cuts")
+            out, sample = split(out), split(sample)
+        tables *= FAN
+        wanted = -(-wanted // FAN)
+        if wanted <= 1:
+            return out
+
+
+def ordered_counts(df: DataFrame | None, value: str | Column, label: str | Column | None = None,
                    groups: Sequence[str] = (), n_buckets: int | None = None,
-                   value_name: str = "value", bounds: DataFrame | None = None) -> DataFrame:
+                   value_name: str = "value", collapsed: DataFrame | None = None) -> DataFrame:
     """One row per (groups, distinct value) with
 
     ``n`` rows at the value, ``before_n`` rows with a strictly smaller value,
     ``total_n`` rows in the group; with a 0/1 ``label`` also ``c0, c1``,
     ``before0, before1``, ``total0, total1``. Rows with a null value (or a null
-    label) are dropped, as the reference drops null pairs. ``bounds`` takes
-    the output of :func:`group_bounds` when the caller already computed it
-    (so its pass can also carry other aggregates).
+    label) are dropped, as the reference drops null pairs. ``collapsed`` takes the
+    output of :func:`collapse` when the caller already has it.
     """
     groups = list(groups)
-    cols = [F.col(g) for g in groups] + [col_of(value).alias(value_name)]
-    if label is not None:
-        cols.append(col_of(label).alias("_label"))
-    base = df.select(*cols).where(F.col(value_name).isNotNull())
-    if label is not None:
-        base = base.where(F.col("_label").isNotNull())
-
-    counts = [F.count(F.lit(1)).alias("n")]
-    names = ["n"]
-    if label is not None:
-        counts += [F.count_if(F.col("_label") == 0).alias("c0"),
-                   F.count_if(F.col("_label") == 1).alias("c1")]
-        names += ["c0", "c1"]
-    collapsed = base.groupBy(*groups, value_name).agg(*counts)
-
-    if bounds is None:
-        bounds = group_bounds(base, value_name, groups, n_buckets)
-    bucketed = _with_buckets(collapsed, value_name, groups, bounds)
+    if collapsed is None:
+        collapsed = collapse(df, value, label, groups, value_name)
+    names = [c for c in ("n", "c0", "c1") if c in collapsed.columns]
+    bucketed = with_buckets(collapsed, value_name, groups, n_buckets)
 
     w_in = (Window.partitionBy(*groups, "_b").orderBy(value_name)
             .rowsBetween(Window.unboundedPreceding, -1))
@@ -136,7 +132,7 @@ def ordered_counts(df: DataFrame, value: str | Column, label: str | Column | Non
 
 def quantile_parts(df: DataFrame, value: str | Column, probs: Sequence[float],
                    groups: Sequence[str] = (), n_buckets: int | None = None,
-                   bounds: DataFrame | None = None) -> DataFrame:
+                   collapsed: DataFrame | None = None) -> DataFrame:
     """Per group: ``_N`` non-null rows, ``_D`` distinct values and, for every
     probability i, the values at 0-based positions floor(h) and ceil(h),
     h = (N - 1) p (``_lo{i}``, ``_hi{i}``) with the fraction ``_fr{i}``.
@@ -146,12 +142,11 @@ def quantile_parts(df: DataFrame, value: str | Column, probs: Sequence[float],
     semi-join keeps that bucket's values (about 2 * len(probs) / buckets of
     them) and a window inside it finds the value."""
     groups = list(groups)
-    base = (df.select(*[F.col(g) for g in groups], col_of(value).alias("_v"))
-              .where(F.col("_v").isNotNull()))
-    if bounds is None:
-        bounds = group_bounds(base, "_v", groups, n_buckets)
-    collapsed = base.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("n"))
-    bucketed = _with_buckets(collapsed, "_v", groups, bounds)
+    if collapsed is None:
+        collapsed = collapse(df, value, groups=groups, value_name="_v")
+    else:
+        collapsed = collapsed.withColumnRenamed(value, "_v")
+    bucketed = with_buckets(collapsed, "_v", groups, n_buckets)
 
     totals = bucketed.groupBy(*groups, "_b").agg(F.sum("n").alias("_bn"),
                                                  F.count(F.lit(1)).alias("_bd"))
@@ -190,10 +185,10 @@ def quantile_parts(df: DataFrame, value: str | Column, probs: Sequence[float],
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                     groups: Sequence[str] = (), names: Sequence[str] | None = None,
-                    n_buckets: int | None = None, bounds: DataFrame | None = None) -> DataFrame:
+                    n_buckets: int | None = None, collapsed: DataFrame | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas / numpy default),
     one row per group. Distributed: no group's values pass through one task."""
-    g = quantile_parts(df, value, probs, groups=groups, n_buckets=n_buckets, bounds=bounds)
+    g = quantile_parts(df, value, probs, groups=groups, n_buckets=n_buckets, collapsed=collapsed)
     names = list(names) if names else [f"q{p}" for p in probs]
     groups = list(groups)
     return g.select(*groups, *[

@@ -60,18 +60,18 @@ class NumericImputerScaler(Estimator, HasInputCols, HasOutputCols,
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _fit(self, df: DataFrame) -> NumericImputerScalerModel:
-        """Two passes: (1) per column non-null count, mean and population
-        variance, together with the bucket bounds of (2) the exact medians.
+        """Two passes: per column non-null count, mean and population variance;
+        the distinct values with their counts, for the exact medians.
         The imputed column's mean / variance then follow exactly from the
         parallel-variance combination (Chan, Golub & LeVeque) of the non-null
         values with n_null copies of the median, without a third pass."""
         cols = self.getInputCols()
         outs = self.getOutputCols() if self.isSet(self.outputCols) else cols
         x = F.col("value")
-        lv, bounds, stats = _long_pass(df, cols, {
+        values, stats = _long_pass(df, cols, {
             "_n": F.count(x), "_rows": F.count(F.lit(1)), "_mean": F.avg(x), "_var": F.var_pop(x)})
-        med_rows = exact_quantiles(lv, "value", [0.5], groups=["column"], names=["m"],
-                                   bounds=bounds).collect()          # one row per column
+        med_rows = exact_quantiles(None, "value", [0.5], groups=["column"], names=["m"],
+                                   collapsed=values).collect()          # one row per column
         med = {r["column"]: r["m"] for r in med_rows}
         st = {r["column"]: r for r in stats.collect()}              # one row per column
         medians, means, scales = [], [], []

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from lendspark.functions.nulls import nan_to_null, round_half_even
 from lendspark.functions.scalar import right_closed_bin
-from lendspark.operators.ordered import exact_quantiles, group_bounds, quantile_parts
+from lendspark.operators.ordered import collapse, exact_quantiles, quantile_parts
 from lendspark.session import cut_lineage
 
 TARGET = "TARGET"
@@ -77,16 +77,13 @@ def _wide_to_long(df: DataFrame, columns: Sequence[str], per_col) -> DataFrame:
 
 
 def _long_pass(df: DataFrame, cols: Sequence[str], aggs: dict[str, Column]):
-    """One ``groupBy(column)`` pass over the unpivoted numeric columns (nulls
-    kept, so row counts are right) computing bucket bounds for the ordered
-    counts plus ``aggs``. The aggregate has a fixed number of expressions
-    whatever the column count. Returns (long values without nulls, bounds,
-    per-column statistics as a small DataFrame)."""
+    """The unpivoted numeric columns collapsed to (column, value, n), for everything
+    ordered, and one ``groupBy(column)`` pass (nulls kept, so row counts are right) for
+    ``aggs``, a fixed number of expressions whatever the column count."""
     lv_all = (df.select(*[nan_to_null(_q(c).cast("double")).alias(c) for c in cols])
                 .unpivot([], list(cols), "column", "value"))
-    bounds = group_bounds(lv_all, "value", ["column"], extra_aggs=aggs)
-    return (lv_all.where(F.col("value").isNotNull()), bounds,
-            bounds.drop("_bounds", "_coarse", "_step", "_cnt"))
+    stats = lv_all.groupBy("column").agg(*[c.alias(k) for k, c in aggs.items()])
+    return collapse(lv_all, "value", groups=["column"]), stats
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True,
@@ -109,16 +106,16 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, exact:
 def numeric_profile(df: DataFrame, target: str = TARGET, decimals: int = 4) -> DataFrame:
     """``coluna, media, mediana, desvio_padrao, minimo, maximo, skewness,
     kurtosis, pct_nulos, n_unicos`` per numeric column except the label.
-    Two passes: moments + bucket bounds, then exact medians / distinct counts."""
+    Two passes: moments, and the distinct values with their counts."""
     cols = numeric_columns(df, exclude=[target])
     if not cols:
         raise ValueError("No numeric columns to profile.")
     x = F.col("value")
-    lv, bounds, moments = _long_pass(df, cols, {
+    values, moments = _long_pass(df, cols, {
         "_n": F.count(x).cast("double"), "_rows": F.count(F.lit(1)), "media": F.avg(x),
         "desvio_padrao": F.stddev_samp(x), "minimo": F.min(x), "maximo": F.max(x),
         "_g1": F.skewness(x), "_g2": F.kurtosis(x), "_var": F.var_pop(x)})
-    qp = quantile_parts(lv, "value", [0.5], groups=["column"], bounds=bounds)
+    qp = quantile_parts(None, "value", [0.5], groups=["column"], collapsed=values)
     med = qp.select("column", F.col("_D").alias("n_unicos"),
                     ((F.col("_lo0") + F.col("_hi0")) / 2).alias("mediana"))
     j = moments.join(med, "column", "left")
@@ -195,11 +192,11 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     (two passes, like :func:`numeric_profile`)."""
     cols = list(columns) if columns else numeric_columns(df)
     x = F.col("value")
-    lv, bounds, base = _long_pass(df, cols, {
+    values, base = _long_pass(df, cols, {
         "count": F.count(x), "mean": F.avg(x), "std": F.stddev_samp(x),
         "min": F.min(x), "max": F.max(x)})
-    q = exact_quantiles(lv, "value", [0.25, 0.5, 0.75], groups=["column"],
-                        names=["q25", "q50", "q75"], bounds=bounds)
+    q = exact_quantiles(None, "value", [0.25, 0.5, 0.75], groups=["column"],
+                        names=["q25", "q50", "q75"], collapsed=values)
     j = base.join(q, "column", "left")
     return j.select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 

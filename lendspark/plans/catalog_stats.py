@@ -95,6 +95,49 @@ def q_correlation_kendall(spark, sf_dir):
     return c.select("coluna", r6("correlacao").alias("correlacao"))
 
 
+_KENDALL_CLASS_SQL = """
+WITH o AS (
+  SELECT CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS y, o_totalprice, o_custkey, c_acctbal,
+         date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS o_day
+  FROM orders LEFT JOIN customer ON c_custkey = o_custkey),
+lv AS ({long}),
+k AS (SELECT cname, value, y, count(*) AS k FROM lv GROUP BY ALL),
+grid AS (
+  SELECT v.cname, v.value, c.y, coalesce(k.k, 0) AS k
+  FROM (SELECT DISTINCT cname, value FROM k) v JOIN (SELECT DISTINCT cname, y FROM k) c USING (cname)
+  LEFT JOIN k ON k.cname = v.cname AND k.value = v.value AND k.y = c.y),
+cum AS (
+  SELECT *, coalesce(sum(k) OVER (PARTITION BY cname, y ORDER BY value
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM grid),
+cd AS (
+  SELECT cname, sum(k * (less - more)) AS cd FROM (
+    SELECT cname, k,
+           coalesce(sum(b) OVER (PARTITION BY cname, value ORDER BY y
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS less,
+           coalesce(sum(b) OVER (PARTITION BY cname, value ORDER BY y DESC
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS more FROM cum)
+  GROUP BY cname),
+tx AS (SELECT cname, sum(n * (n - 1) / 2.0) AS tx, sum(n) AS n FROM (
+         SELECT cname, value, sum(k) AS n FROM k GROUP BY ALL) GROUP BY cname),
+ty AS (SELECT cname, sum(n * (n - 1) / 2.0) AS ty FROM (
+         SELECT cname, y, sum(k) AS n FROM k GROUP BY ALL) GROUP BY cname)
+SELECT cname AS coluna, round_even(cd / sqrt((n * (n - 1) / 2.0 - tx) * (n * (n - 1) / 2.0 - ty)), 6) AS correlacao
+FROM cd JOIN tx USING (cname) JOIN ty USING (cname)"""
+_KENDALL_CLASS_COLS = ["o_totalprice", "o_custkey", "o_day", "c_acctbal"]
+
+
+@register("correlation_kendall_five_classes", _KENDALL_CLASS_SQL.format(long=_long_sql("o", _KENDALL_CLASS_COLS, "y")))
+def q_correlation_kendall_five_classes(spark, sf_dir):
+    """F3 for a label of five ordered classes."""
+    o = roles.table(spark, sf_dir, "orders").join(
+        roles.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal"),
+        "o_custkey", "left")
+    o = o.select(F.substring("o_orderpriority", 1, 1).cast("double").alias("priority"), "o_totalprice", "o_custkey",
+                 "c_acctbal", F.datediff("o_orderdate", F.lit("1990-01-01").cast("date")).alias("o_day"))
+    c = assoc.correlation_with_target(o, "kendall", target="priority", columns=_KENDALL_CLASS_COLS)
+    return c.select("coluna", r6("correlacao").alias("correlacao"))
+
+
 _MATRIX_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
