@@ -96,7 +96,8 @@ def mann_whitney_tests(df: DataFrame, columns: Sequence[str], target: str = TARG
                        alpha: float = ALPHA, with_medians: bool = True,
                        min_distinct: int = 0) -> DataFrame:
     """G2 over many continuous columns in one job. U is that of class 0 (two
-    sided, normal approximation with tie and continuity correction). Columns
+    sided; exact for a class of up to 8 rows without ties, else the normal
+    approximation with tie and continuity correction). Columns
     where one class is empty are skipped (the reference's test raises)."""
     sep = _separation(df, columns, target).where(
         (F.col("n0") > 0) & (F.col("n1") > 0) & (F.col("n_distinct") > min_distinct))
@@ -126,7 +127,8 @@ def mann_whitney_test(df: DataFrame, column: str, target: str = TARGET, alpha: f
 
 def ks_tests(df: DataFrame, columns: Sequence[str], target: str = TARGET,
              alpha: float = ALPHA) -> DataFrame:
-    """Two-sample KS D = max |F0 - F1| per column; asymptotic p."""
+    """Two-sample KS D = max |F0 - F1| per column; p exact for classes of up to
+    10,000 rows, else asymptotic."""
     sep = (_separation(df, columns, target).where((F.col("n0") > 0) & (F.col("n1") > 0))
            .withColumnRenamed("column", "coluna"))
     sep = sep.withColumn("_p", scalar_udf(df.sparkSession, _ks_p)("ks", "n0", "n1"))

@@ -1,11 +1,14 @@
 """Registered association, hypothesis-test and evaluation queries.
 
-Statistics are oracle-checked; p-values (which need special functions DuckDB
-lacks) are in separate rows-only queries and covered by unit tests.
+The SQL gets tail probabilities, for which DuckDB has no functions, by Simpson's rule
+over the density's upper tail; exact KS p-values by walking all lattice paths diagonal
+by diagonal, exact p-values of small classes by listing all orders.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from lendspark.operators import assoc, evaluate as ev, hypothesis as hyp
@@ -159,7 +162,27 @@ def q_correlation_matrix_auto_orders(spark, sf_dir):
     return m.select("col_a", "col_b", r6("corr").alias("corr"))
 
 
-@register("point_biserial")
+def _simpson_sql(f: str, start: str, width: str, steps: int = 2000) -> str:
+    """Integral of ``f`` (an expression in x) from ``start`` over ``width``."""
+    at = re.sub(r"\bx\b", f"(({start}) + i * ({width}) / {steps}.0)", f)
+    return (f"(list_sum([(CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * ({at}) "
+            f"FOR i IN range(0, {steps + 1})]) * ({width}) / {steps}.0 / 3)")
+
+
+def _t_two_sided_sql(r: str, n: str) -> str:
+    """p of a correlation r over n pairs: with t = sqrt(dof) tan(x)."""
+    dof = f"({n} - 2)"
+    start = f"atan(abs({r}) / sqrt(1 - {r} * {r}))"
+    width = f"least(pi() / 2 - {start}, 14.0 / sqrt({dof}))"
+    tail = _simpson_sql(f"exp(({dof} - 1) * ln(greatest(cos(x), 1e-300)))", start, width)
+    return f"least(1.0, 2 * exp(lgamma(({dof} + 1) / 2.0) - lgamma({dof} / 2.0)) / sqrt(pi()) * {tail})"
+
+
+@register("point_biserial", ENRICHED_WITH + ", lv AS (" + _long_sql("enriched", ENRICHED_NUMERIC) + """),
+c AS (SELECT cname, corr(value, y) AS r, count(*) AS n FROM lv GROUP BY cname HAVING count(DISTINCT value) > 2),
+t AS (SELECT cname, r, """ + _t_two_sided_sql("r", "n") + """ AS p FROM c)
+SELECT cname AS coluna, round_even(r, 6) AS correlacao, round_even(p, 6) AS p_valor, p < 0.05 AS significativo
+FROM t""")
 def q_point_biserial(spark, sf_dir):
     pb = assoc.point_biserial(enriched(spark, sf_dir, materialize=True))
     return pb.select("coluna", r6("correlacao").alias("correlacao"),
@@ -267,13 +290,111 @@ def q_ks_two_sample_statistic(spark, sf_dir):
     return sep.select(F.col("column").alias("variavel"), r6("ks").alias("estatistica"))
 
 
-@register("hypothesis_battery")
+# -- p-values in SQL ----------------------------------------------------------
+
+def _normal_sf_sql(z: str) -> str:
+    return _simpson_sql("exp(-0.5 * x * x) / sqrt(2 * pi())", z, "10.0")
+
+
+def _chi2_sf_sql(chi: str, dof: str) -> str:
+    """With x = s^2, so that the density is smooth at one degree of freedom."""
+    density = (f"exp((1 - {dof} / 2.0) * ln(2) - lgamma({dof} / 2.0) - x * x / 2 + "
+               f"CASE WHEN {dof} = 1 THEN 0 ELSE ({dof} - 1) * ln(x) END)")
+    tail = _simpson_sql(density, f"sqrt({chi})", f"(12.0 + sqrt({dof}))")
+    return f"(CASE WHEN {dof} = 0 OR {chi} <= 0 THEN 1.0 ELSE least(1.0, {tail}) END)"
+
+
+_MWU_P_SQL = """,
+ties AS (SELECT cname, sum((c0 + c1) * (c0 + c1) * (c0 + c1) - (c0 + c1)) AS tie_term, count(*) AS n_distinct
+         FROM cnt GROUP BY cname),
+mwu_z AS (
+  SELECT cname, n_distinct, r0 - n0 * (n0 + 1) / 2.0 AS u0, n0, n1,
+         (greatest(r0 - n0 * (n0 + 1) / 2.0, n0 * n1 - (r0 - n0 * (n0 + 1) / 2.0)) - n0 * n1 / 2.0 - 0.5)
+         / sqrt(n0 * n1 / 12.0 * ((n0 + n1 + 1) - tie_term * 1.0 / ((n0 + n1) * (n0 + n1 - 1)))) AS z
+  FROM u JOIN ties USING (cname) WHERE n0 > 0 AND n1 > 0),
+mwu AS (SELECT cname, n_distinct, u0, least(1.0, 2 * """ + _normal_sf_sql("z") + """) AS p FROM mwu_z)"""
+
+_CHI2_P_SQL = """,
+chi AS (SELECT cname, CASE WHEN max(dof) = 0 THEN 0.0 ELSE sum((a - e) * (a - e) / e) END AS chi2, max(dof) AS dof
+        FROM adj GROUP BY cname),
+chi_p AS (SELECT cname, chi2, """ + _chi2_sf_sql("chi2", "dof") + """ AS p FROM chi)"""
+
+# exact for classes of up to 10,000 rows (the band of the diagonal s holds the i with
+# |i (n0 + n1) - s n0| < lim), else Stephens' form
+_KS_P_SQL = """,
+ks_n AS (SELECT cname, d, n0, n1, n0 + n1 AS nn, CAST(round(d * n0 * n1) AS BIGINT) AS lim FROM ks JOIN u USING (cname)
+         WHERE n0 > 0 AND n1 > 0),
+walk(cname, n0, n1, nn, lim, s, lo, q, gone) AS (
+  SELECT cname, n0, n1, nn, lim, CAST(0 AS BIGINT), CAST(0 AS BIGINT), [CAST(1 AS DOUBLE)], CAST(0 AS DOUBLE)
+  FROM ks_n WHERE greatest(n0, n1) <= 10000 AND lim > 0
+  UNION ALL
+  SELECT cname, n0, n1, nn, lim, s + 1, new_lo,
+         list_slice(v, new_lo - lo + 1, new_hi - lo + 1),
+         gone + list_sum(v) - coalesce(list_sum(list_slice(v, new_lo - lo + 1, new_hi - lo + 1)), 0)
+  FROM (
+    SELECT *, [coalesce(q[i - lo + 1], 0) * (n1 - (s - i)) / (nn - s)
+               + CASE WHEN i > lo THEN q[i - lo] * (n0 - i + 1) / (nn - s) ELSE 0 END
+               FOR i IN range(lo, lo + len(q) + 1)] AS v,
+           greatest(lo, CAST(floor(((s + 1) * n0 - lim) / nn) AS BIGINT) + 1) AS new_lo,
+           least(lo + len(q), CAST(ceil(((s + 1) * n0 + lim) / nn) AS BIGINT) - 1) AS new_hi
+    FROM walk WHERE s < nn)),
+ks_exact AS (SELECT cname, max(gone) AS p FROM walk GROUP BY cname),
+ks_p AS (
+  SELECT cname, d, coalesce(p, least(1.0, greatest(0.0, 2 * list_sum([
+           (CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * j * j * lambda_ * lambda_) FOR j IN range(1, 100)])))) AS p
+  FROM (SELECT *, (sqrt(n0 * n1 * 1.0 / nn) + 0.12 + 0.11 / sqrt(n0 * n1 * 1.0 / nn)) * d AS lambda_ FROM ks_n)
+  LEFT JOIN ks_exact USING (cname))"""
+
+
+def _tests_sql(numeric) -> str:
+    """CTEs with the statistics and p-values of the enriched table."""
+    sep = re.sub(r"\blv\b", "num", _SEP_SQL.format(long=_long_sql("enriched", numeric)))
+    return (re.sub(r"^\s*WITH\b", "WITH RECURSIVE", _chi2_sql(ENRICHED_WITH, "enriched", CATEGORICAL).rstrip())
+            + _CHI2_P_SQL + sep + _MWU_P_SQL)
+
+
+_BATTERY_SQL = _tests_sql(ENRICHED_NUMERIC) + """,
+battery AS (
+  SELECT cname AS variavel, 'Mann-Whitney U' AS teste, round_even(u0, 4) AS estatistica,
+         round_even(p, 6) AS p_valor, p < 0.05 AS rejeita_h0 FROM mwu WHERE n_distinct > 2
+  UNION ALL
+  SELECT cname, 'Qui-Quadrado', round_even(chi2, 4), round_even(p, 6), p < 0.05 FROM chi_p)
+"""
+
+
+@register("hypothesis_battery", _BATTERY_SQL + "SELECT * FROM battery")
 def q_hypothesis_battery(spark, sf_dir):
     e = enriched(spark, sf_dir, materialize=True)
     return hyp.test_battery(e)
 
 
-@register("hypothesis_records_rendered")
+def _text_sql(yes: str, no: str, *values: str) -> str:
+    """A conclusion text: its %s are the column, the values, p and alpha."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"                          # noqa: E731
+    yes, no = (re.sub("%s([^%]*)$", lambda m: "0.05" + m.group(1), t) for t in (yes, no))
+    return (f"CASE WHEN p < 0.05 THEN printf({quoted(yes)}, {', '.join(['cname', *values, 'p'])}) "
+            f"ELSE printf({quoted(no)}, cname, p) END")
+
+
+_RECORDS_SQL = _tests_sql(_MWU_COLS) + _KS_P_SQL + f""",
+med AS (SELECT cname, median(value) FILTER (WHERE y = 0) AS m0, median(value) FILTER (WHERE y = 1) AS m1
+        FROM num GROUP BY cname),
+rec AS (
+  SELECT '{hyp.TEST_MWU}' AS nome_teste, cname AS variavel, u0 AS stat, p,
+         {_text_sql(hyp.MWU_YES, hyp.MWU_NO, 'round(m0, 2)', 'round(m1, 2)')} AS conclusao FROM mwu JOIN med USING (cname)
+  UNION ALL
+  SELECT '{hyp.TEST_KS}', cname, d, p, {_text_sql(hyp.KS_YES, hyp.KS_NO, 'd')} FROM ks_p
+  UNION ALL
+  SELECT '{hyp.TEST_CHI2}', cname, chi2, p, {_text_sql(hyp.CHI2_YES, hyp.CHI2_NO)} FROM chi_p),
+shown AS (SELECT nome_teste, variavel, round_even(stat, 4) AS estatistica, round_even(p, 6) AS p_valor,
+                 CAST(0.05 AS DOUBLE) AS alpha, p < 0.05 AS rejeita_h0, conclusao FROM rec)
+SELECT *, printf('[%s] %s' || chr(10) || '  Estatística = %.4f | p-valor = %.4e' || chr(10) || '  %s (alpha=0.05) → %s',
+                 nome_teste, variavel, estatistica, p_valor * (1 + 1e-12),
+                 CASE WHEN rejeita_h0 THEN '{hyp.STATUS_REJECT}' ELSE '{hyp.STATUS_KEEP}' END, conclusao) AS texto
+FROM shown"""
+
+
+@register("hypothesis_records_rendered", _RECORDS_SQL)
 def q_hypothesis_records_rendered(spark, sf_dir):
     e = enriched(spark, sf_dir, materialize=True)
     recs = (hyp.mann_whitney_tests(e, _MWU_COLS)
@@ -282,11 +403,65 @@ def q_hypothesis_records_rendered(spark, sf_dir):
     return hyp.render(recs)
 
 
-@register("significance_summary")
+@register("significance_summary", _BATTERY_SQL + """
+SELECT count(*) AS n_testes, count(*) FILTER (WHERE rejeita_h0) AS n_significativos,
+       count(*) FILTER (WHERE NOT rejeita_h0) AS n_nao_significativos,
+       count(*) FILTER (WHERE rejeita_h0) / count(*) AS pct_significativos FROM battery""")
 def q_significance_summary(spark, sf_dir):
     return hyp.significance_summary(hyp.test_battery(enriched(spark, sf_dir, materialize=True)))
 
 
+# Means per nation (25 rows), Asia against the rest: small classes without ties.
+_NATION_COLS = ["mean_balance", "mean_price", "supplier_balance"]
+_SMALL_SQL = """
+WITH RECURSIVE t AS (
+  SELECT n_nationkey, CAST(r_name = 'ASIA' AS INTEGER) AS y, mean_balance, mean_price, supplier_balance
+  FROM nation JOIN region ON r_regionkey = n_regionkey
+  LEFT JOIN (SELECT c_nationkey AS n_nationkey, avg(c_acctbal) AS mean_balance FROM customer GROUP BY 1) USING (n_nationkey)
+  LEFT JOIN (SELECT c_nationkey AS n_nationkey, avg(o_totalprice) AS mean_price
+             FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1) USING (n_nationkey)
+  LEFT JOIN (SELECT s_nationkey AS n_nationkey, avg(s_acctbal) AS supplier_balance
+             FROM supplier GROUP BY 1) USING (n_nationkey))
+""" + _SEP_SQL.format(long=_long_sql("t", _NATION_COLS, "y")).lstrip() + """,
+n AS (SELECT DISTINCT n0, n1 FROM u WHERE n0 > 0 AND n1 > 0),
+walk(n0, n1, i, j, uu, dd) AS (
+  SELECT n0, n1, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM n
+  UNION ALL
+  SELECT n0, n1, i + step, j + 1 - step, uu + step * j,
+         greatest(dd, abs((i + step) * n1 - (j + 1 - step) * n0))
+  FROM walk, (SELECT unnest([CAST(0 AS BIGINT), CAST(1 AS BIGINT)]) AS step)
+  WHERE (step = 1 AND i < n0) OR (step = 0 AND j < n1)),
+every AS (SELECT n0, n1, uu, dd, count(*) AS k FROM walk WHERE i = n0 AND j = n1 GROUP BY ALL),
+stat AS (
+  SELECT '""" + hyp.TEST_MWU + """' AS nome_teste, cname, n0, n1, r0 - n0 * (n0 + 1) / 2.0 AS stat
+  FROM u WHERE n0 > 0 AND n1 > 0
+  UNION ALL
+  SELECT '""" + hyp.TEST_KS + """', cname, n0, n1, d FROM ks JOIN u USING (cname) WHERE n0 > 0 AND n1 > 0),
+tests AS (
+  SELECT nome_teste, cname, stat, CASE WHEN nome_teste = '""" + hyp.TEST_MWU + """'
+           THEN least(1.0, 2.0 * coalesce(sum(k) FILTER (WHERE uu >= greatest(stat, n0 * n1 - stat)), 0) / sum(k))
+           ELSE 1.0 * coalesce(sum(k) FILTER (WHERE dd >= round(stat * n0 * n1)), 0) / sum(k) END AS p
+  FROM stat JOIN every USING (n0, n1) GROUP BY nome_teste, cname, stat)
+SELECT nome_teste, cname AS variavel, round_even(stat, 4) AS estatistica, round_even(p, 6) AS p_valor,
+       p < 0.05 AS rejeita_h0 FROM tests"""
+
+
+@register("hypothesis_small_classes", _SMALL_SQL)
+def q_hypothesis_small_classes(spark, sf_dir):
+    """G2 / G3 where exact p-values apply: whole tables as means per nation."""
+    t = lambda name: roles.table(spark, sf_dir, name)                       # noqa: E731
+    customer = t("customer").withColumnRenamed("c_nationkey", "n_nationkey")
+    per = (t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+           .select("n_nationkey", (F.col("r_name") == "ASIA").cast("int").alias("TARGET"))
+           .join(customer.groupBy("n_nationkey").agg(F.avg("c_acctbal").alias("mean_balance")), "n_nationkey", "left")
+           .join(t("orders").join(customer, F.col("c_custkey") == F.col("o_custkey"))
+                 .groupBy("n_nationkey").agg(F.avg("o_totalprice").alias("mean_price")), "n_nationkey", "left")
+           .join(t("supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(
+               F.avg("s_acctbal").alias("supplier_balance")), "n_nationkey", "left"))
+    records = hyp.mann_whitney_tests(per, _NATION_COLS).unionByName(hyp.ks_tests(per, _NATION_COLS))
+    return records.select("nome_teste", "variavel", "estatistica", "p_valor", "rejeita_h0")
+
+
 # ---------------------------------------------------------------------------
 # K1-K4 evaluation on the deterministic score
 # ---------------------------------------------------------------------------
