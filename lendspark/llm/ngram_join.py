@@ -262,99 +262,105 @@ def _live(percent: int):
 POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
-def _near(sk_a, n_a, cap_a, sk_b, n_b, cap_b, percent: int) -> np.ndarray:
-    """Sketch distances of rows of a to rows of b; -1 where the pair cannot reach
-    the threshold by sizes, caps or sketches."""
-    total = n_a[:, None] + n_b[None, :]
-    # overlap >= p/(100+p) * total, so difference <= (100-p)/(100+p) * total
-    ok = (100 * np.minimum(n_a[:, None], n_b[None, :]) >= percent * np.maximum(n_a[:, None], n_b[None, :])) \
-        & ((100 + percent) * np.minimum(cap_a[:, None], cap_b[None, :]) >= percent * total)
-    i, j = np.nonzero(ok)
-    d = np.empty(len(i), np.int64)
-    step = max(1, (16 << 20) // (8 * sk_a.shape[1]))
-    for s in range(0, len(i), step):
-        d[s:s + step] = np.bitwise_count(sk_a[i[s:s + step]] ^ sk_b[j[s:s + step]]).sum(1, dtype=np.int64)
-    out = np.full(total.shape, -1, np.int64)
-    out[i, j] = np.where((100 + percent) * d <= (100 - percent) * total[i, j], d, -1)
-    return out
-
-
-def _pairs_of(marks: list[bytes], n: np.ndarray, cap: np.ndarray, comp: np.ndarray, percent: int, lead: int | None):
-    """(i, j, distance): members of one signature, of different components, that may
-    link, each two once and compared at the width of the narrower sketch; with ``lead``
-    only its pairs."""
-    width = np.array([len(m) for m in marks])
-    out = []
-    for w in np.unique(width).tolist():
-        wide = np.flatnonzero(width >= w)
-        sk = np.stack([np.frombuffer(marks[k], np.uint8) if width[k] == w else folded(marks[k], w)
-                       for k in wide]).view(U64)
-        own = np.flatnonzero(width[wide] == w)
-        if lead is not None:
-            at = np.flatnonzero(wide == lead)
-            if not len(at):                         # the lead is narrower: met at its own width
-                continue
-            if width[lead] > w:                     # the narrower members against the lead
-                own, wide, sk = own, np.concatenate((wide[own], [lead])), np.concatenate((sk[own], sk[at]))
-                own = np.array([len(wide) - 1])
-            else:
-                own = at
-        step = max(1, 1_000_000 // len(wide))
-        for q in range(0, len(own), step):
-            rows = own[q:q + step]
-            i, j = wide[rows], wide
-            d = _near(sk[rows], n[i], cap[i], sk, n[j], cap[j], percent)
-            d[comp[i][:, None] == comp[j][None, :]] = -1
-            if lead is None:
-                d[(width[j] == w)[None, :] & (i[:, None] <= j[None, :])] = -1
-            x, y = np.nonzero(d >= 0)
-            out.append((i[x], j[y], d[x, y]))
-    i, j, d = (np.concatenate([o[k] for o in out] + [np.zeros(0, np.int64)]).astype(np.int64) for k in range(3))
-    swap = comp[i] < comp[j]
-    return np.where(swap, j, i), np.where(swap, i, j), d
+class Sketches:
+    """Parity sketches of a bin's sets, each as wide as it is; two are compared at the
+    width of the narrower."""
+
+    def __init__(self, marks: list[bytes]) -> None:
+        self.width = np.array([len(m) for m in marks], np.int64)
+        self.row = np.zeros(len(marks), np.int64)
+        self.own: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == w)
+            self.row[at] = np.arange(len(at))
+            self.own[w] = np.frombuffer(b"".join(marks[k] for k in at.tolist()), np.uint8).reshape(len(at), w)
+
+    def distance(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Bits by which the sketches of the sets i and j differ."""
+        out = np.zeros(len(i), np.int64)
+        narrow = np.minimum(self.width[i], self.width[j])
+        wide = np.maximum(self.width[i], self.width[j])
+        for w, v in set(zip(narrow.tolist(), wide.tolist())):
+            at = np.flatnonzero((narrow == w) & (wide == v))
+            step = max(1, (8 << 20) // v)
+            for q in range(0, len(at), step):
+                k = at[q:q + step]
+                swap = self.width[i[k]] > w
+                x, y = np.where(swap, j[k], i[k]), np.where(swap, i[k], j[k])
+                b = self.own[v][self.row[y]]
+                if v > w:
+                    b = np.bitwise_xor.reduce(b.reshape(len(k), v // w, w), axis=1)
+                out[k] = np.bitwise_count(self.own[w][self.row[x]] ^ b).sum(1, dtype=np.int64)
+        return out
+
+
+def _group_pairs(cut: np.ndarray, at_once: int = 1_000_000):
+    """All pairs i > j of rows of one group, in blocks of about ``at_once`` pairs; group g
+    has the rows from cut[g] to cut[g + 1]."""
+    start, size = cut[:-1], np.diff(cut)
+    for m in np.unique(size[size > 1]).tolist():
+        first = start[size == m]
+        if m * (m - 1) // 2 <= at_once:
+            a, b = np.tril_indices(m, -1)
+            step = max(1, at_once // len(a))
+            for q in range(0, len(first), step):
+                f = first[q:q + step, None]
+                yield (f + a).ravel(), (f + b).ravel()
+        else:
+            step = max(1, at_once // m)
+            for f in first.tolist():
+                for q in range(1, m, step):
+                    a, b = np.indices((min(step, m - q), min(m, q + step)))
+                    a, b = a.ravel() + q, b.ravel()
+                    yield f + a[b < a], f + b[b < a]
 
 
 def _candidates(percent: int, most: int | None, star: bool):
-    """Pairs of each signature worth verifying (a, b, more): with its best
-    connected member (star), or between components, the ``most`` closest of each two;
+    """Pairs worth verifying (a, b, more) of the signatures of a bin: with a signature's
+    best connected member (star), or between components, the ``most`` closest of each two;
     ``more``: further pairs of these two components were left for a later round."""
     def pairs(table: pa.Table) -> pa.Table:
-        sig = table.column("sig").to_numpy()
-        order = np.lexsort((table.column("key").to_numpy(), sig))
-        sig = sig[order]
-        key, n, cap, comp, rank = (table.column(c).to_numpy()[order] for c in ("key", "n", "cap", "comp", "links"))
-        marks = table.column("sketch").take(pa.array(order))
+        get = lambda c: table.column(c).to_numpy()                                  # noqa: E731
+        order = np.lexsort((get("key"), -get("links"), get("sig")))     # a group's best connected member first
+        sig, cap = get("sig")[order], get("cap")[order]
+        keys, first, row = np.unique(get("key"), return_index=True, return_inverse=True)
+        row = row[order]
+        n, comp = get("n")[first], get("comp")[first]
         cut = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1], [True])))
-        a, b, more = [], [], []
-        for s, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            if not star and (comp[s:e] == comp[s]).all():
-                continue
-            group = [v.as_py() for v in marks[s:e]]
-            if star:                    # every member is a component of its own so far
-                lead = int(np.argmax(rank[s:e]))
-                i, j, _ = _pairs_of(group, n[s:e], cap[s:e], key[s:e], percent, lead)
-                a.append(key[s + i])
-                b.append(key[s + j])
-                more.append(np.zeros(len(i), bool))
-                continue
-            i, j, d = _pairs_of(group, n[s:e], cap[s:e], comp[s:e], percent, None)
-            i, j = s + i, s + j
-            left = np.zeros(len(i), bool)
-            if most is not None and len(i):
-                o = np.lexsort((d, comp[j], comp[i]))
-                i, j = i[o], j[o]
-                new = np.concatenate(([True], (comp[i][1:] != comp[i][:-1]) | (comp[j][1:] != comp[j][:-1])))
-                nth = np.arange(len(i)) - np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))
-                over = nth >= most
-                left = np.zeros(len(i), bool)
-                left[np.flatnonzero(over) - 1] = True
-                i, j, left = i[~over], j[~over], left[~over]
-            a.append(key[i])
-            b.append(key[j])
-            more.append(left)
-        cat = lambda v, t: np.concatenate([*v, np.zeros(0, t)]).astype(t)
-        a, b, more = cat(a, np.int64), cat(b, np.int64), cat(more, bool)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "more": more})
+        if star:
+            lead = np.repeat(cut[:-1], np.diff(cut))
+            blocks = [(lead, np.arange(len(sig)))]
+        else:
+            blocks = _group_pairs(cut)
+        met = [np.zeros(0, np.int64)]
+        for i, j in blocks:
+            x, y = row[i], row[j]
+            total = n[x] + n[y]
+            ok = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) \
+                & ((100 + percent) * np.minimum(cap[i], cap[j]) >= percent * total)
+            x, y = x[ok], y[ok]
+            met.append(np.unique(np.maximum(x, y) * len(keys) + np.minimum(x, y)))
+            if sum(map(len, met)) > 4_000_000:
+                met = [np.unique(np.concatenate(met))]
+        met = np.unique(np.concatenate(met))
+        i, j = met // max(1, len(keys)), met % max(1, len(keys))
+        marks = table.column("sketch").take(pa.array(first)).to_pylist()
+        d = Sketches(marks).distance(i, j)
+        # overlap >= p/(100+p) * total, so difference <= (100-p)/(100+p) * total
+        ok = (100 + percent) * d <= (100 - percent) * (n[i] + n[j])
+        i, j, d = i[ok], j[ok], d[ok]
+        swap = comp[i] < comp[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        left = np.zeros(len(i), bool)
+        if most is not None and not star and len(i):
+            o = np.lexsort((d, comp[j], comp[i]))
+            i, j = i[o], j[o]
+            new = np.concatenate(([True], (comp[i][1:] != comp[i][:-1]) | (comp[j][1:] != comp[j][:-1])))
+            nth = np.arange(len(i)) - np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))
+            over = nth >= most
+            left[np.flatnonzero(over) - 1] = True
+            i, j, left = i[~over], j[~over], left[~over]
+        return pa.table({"a": np.minimum(keys[i], keys[j]), "b": np.maximum(keys[i], keys[j]), "more": left})
     return pairs
 
 
@@ -457,7 +463,7 @@ def set_components(docs: DataFrame, words: int, percent: int, id_col: str,
     degree = live.groupBy("key").agg(F.count(F.lit(1)).alias("links"))
     members = staged(classes.join(degree, "key").select(
         "key", "id", "n", F.col("sketch").alias("full"), "links"), "join-members")
-    bins = packed_parts(live.count(), 100)
+    n_live = live.count()
 
     edges, comp = None, members.select("key", F.col("key").alias("comp"))
     settled = False
@@ -471,6 +477,7 @@ def set_components(docs: DataFrame, words: int, percent: int, id_col: str,
             rounds = rounds.join(cross, "sig", "left_semi")
         width = 8 * (SKETCH_WORDS if star else WIDE_WORDS)
         rounds = rounds.join(members.select("key", fold(width).alias("sketch"), "links"), "key")
+        bins = packed_parts(n_live, 60 + width if star else 400)
         found = (rounds.withColumn("bin", F.pmod(F.xxhash64("sig"), F.lit(bins)).cast("int"))
                  .groupBy("bin").applyInArrow(_candidates(percent, most, star),
                                               "a long, b long, more boolean"))

@@ -146,13 +146,34 @@ def test_wide_sketches_separate_members():
     base = rng.integers(0, 2 ** 63, 1400, dtype=np.uint64)
     sets = [np.unique(np.concatenate((base, rng.integers(0, 2 ** 63, 200, dtype=np.uint64)))) for _ in range(60)]
     sets += [np.unique(np.concatenate((sets[0][:-4], rng.integers(0, 2 ** 63, 4, dtype=np.uint64))))]
+    sets += [base[:100]]                                               # one small member widens nothing
     n = np.array([len(s) for s in sets])
-    i, j, _ = J._pairs_of([J.sketch(s) for s in sets], n, n, np.arange(len(sets)), 85, None)
-    assert (60, 0) in set(zip(i.tolist(), j.tolist())) and len(i) < 10
-    mixed = [J.sketch(s) for s in sets] + [J.sketch(base[:100])]       # one small member widens nothing
-    n = np.append(n, 100)
-    i, j, _ = J._pairs_of(mixed, n, n, np.arange(len(n)), 85, None)
-    assert (60, 0) in set(zip(i.tolist(), j.tolist())) and len(i) < 10
+    for m in (61, 62):
+        table = pa.table({"sig": np.zeros(m, np.int64), "key": np.arange(m), "n": n[:m], "cap": n[:m],
+                          "comp": np.arange(m), "links": np.ones(m, np.int64),
+                          "sketch": pa.array([J.sketch(s) for s in sets[:m]], pa.binary())})
+        got = J._candidates(85, None, False)(table)
+        pairs = set(zip(got.column("a").to_pylist(), got.column("b").to_pylist()))
+        assert (0, 60) in pairs and len(pairs) < 10
+        few = J._candidates(85, 1, False)(table)
+        assert few.num_rows == len(pairs) and not any(few.column("more").to_pylist())
+
+
+def test_pairs_of_groups():
+    for sizes, at_once in [([1, 2, 2, 5, 40, 3], 50), ([30], 7), ([1, 1], 10), ([], 10)]:
+        cut = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+        got = sorted(p for i, j in J._group_pairs(cut, at_once) for p in zip(i.tolist(), j.tolist()))
+        assert got == sorted((i, j) for s, e in zip(cut, cut[1:]) for i in range(s, e) for j in range(s, i))
+
+
+def test_sketch_distances_of_different_widths():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 2 ** 63, int(k), dtype=np.uint64)) for k in rng.integers(1, 3000, 40)]
+    marks = [J.sketch(s) for s in sets]
+    i, j = rng.integers(0, 40, 300), rng.integers(0, 40, 300)
+    want = [int(J.POPCOUNT[J.folded(marks[a], w) ^ J.folded(marks[b], w)].sum())
+            for a, b in zip(i, j) for w in [min(len(marks[a]), len(marks[b]))]]
+    assert J.Sketches(marks).distance(i, j).tolist() == want
 
 
 def test_drop_near_copies(spark, docs, rows):
