@@ -3,6 +3,9 @@ import random
 
 from pyspark.sql import functions as F
 
+import numpy as np
+import pytest
+
 from lendspark.llm import exact_topk
 
 
@@ -38,3 +41,43 @@ def test_few_candidates_large_weights_and_empty(spark):
     assert [tuple(r) for r in got] == [(0, 1, 1, 64_000_000 * (64_000_000 - 128))]
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert exact_topk.top_k(empty, F.col("vec_id") % 20 == 0).collect() == []
+
+
+@pytest.mark.parametrize("size", [1.2e6, 5e6, 1.6e7])
+def test_large_components(spark, size):
+    """1,200 vectors whose scores take up to the whole of a long, some beyond 2^53."""
+    rng = random.Random(int(size))
+    wide = 64 if size < 1e7 else 8
+    rows = [(i, [rng.choice([-1, 1]) * size * rng.uniform(0.9, 1) for _ in range(wide)])
+            for i in range(1, 1200)]
+    rows += [(0, [size] * wide), (1200, rows[5][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = exact_topk.top_k(df, F.col("vec_id") % 20 == 0, k=20)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 20)
+
+
+def test_clear_order_beyond_the_old_limit(spark):
+    df = spark.createDataFrame([(0, [5e6]), (1, [5e6]), (2, [6e6])], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in exact_topk.top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(0, 1, 2, 122_880_000_000_000_000), (0, 2, 1, 102_400_000_000_000_000)]
+
+
+def test_scores_beyond_a_long(spark):
+    """Refused where they belong to the result, of no matter where they do not."""
+    rows = [(0, [1e12, 0.0]), (1, [1e12, 1.0]), (2, [-1e12, 1.0]), (3, [1.0, 1e30]), (4, [2.0, 0.0])]
+    low = spark.createDataFrame([r for r in rows if r[0] != 1], "vec_id long, embedding array<double>")
+    got = exact_topk.top_k(low, F.col("vec_id") == 0, k=2).collect()
+    assert [tuple(r) for r in got] == [(0, 1, 4, 64 * 10 ** 12 * 128), (0, 2, 3, 64 * 10 ** 12 * 64)]
+    with pytest.raises(Exception, match="does not fit a long"):
+        exact_topk.top_k(low, F.col("vec_id") == 0, k=3).collect()
+    with pytest.raises(Exception, match="does not fit a long"):
+        exact_topk.top_k(spark.createDataFrame(rows, low.schema), F.col("vec_id") == 0, k=1).collect()
+
+
+def test_selection():
+    rng = np.random.default_rng(1)
+    score = rng.integers(-3, 4, (50, 30))
+    s, at = exact_topk.select(score, 7)
+    for r in range(50):
+        want = sorted(range(30), key=lambda c: (-score[r, c], c))[:7]
+        assert sorted(at[r].tolist()) == sorted(want) and (s[r] == score[r][at[r]]).all()
