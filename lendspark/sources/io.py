@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
 from lendspark.functions.nulls import nans_to_nulls
+from lendspark.session import cut_lineage
 
 log = logging.getLogger("lendspark.io")
 
@@ -63,6 +64,34 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     return nans_to_nulls(df)
 
 
+CORRUPT = "_corrupt_record"
+
+
+def read_csv_quarantined(spark: SparkSession, path: str, schema: T.StructType,
+                         strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Header CSV scan that keeps malformed rows apart: (rows of ``schema``, rows (file,
+    text) of the lines that do not fit it: a value of another type, or too few or too many
+    fields). The scan is kept in the shared folder, so both come from one reading and all
+    columns are judged. ``strict`` raises :class:`DataLoadError` if there are such lines,
+    with their number, one line and its file."""
+    if not path_exists(spark, path):
+        raise DataLoadError(f"File not found: {path}")
+    whole = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    try:
+        rows = cut_lineage(spark.read.option("header", True).option("mode", "PERMISSIVE")
+                           .option("columnNameOfCorruptRecord", CORRUPT).schema(whole).csv(path)
+                           .select("*", F.col("_metadata.file_path").alias("_file")))
+    except Exception as exc:  # noqa: BLE001 - an unreadable file ends the read with many types
+        raise DataLoadError(f"Error reading {path}: {exc}") from exc
+    bad = rows.where(F.col(CORRUPT).isNotNull()).select(F.col("_file").alias("file"), F.col(CORRUPT).alias("text"))
+    if strict:
+        first = bad.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("file", "text")).alias("one")).first()
+        if first["n"]:
+            raise DataLoadError(f"{first['n']} malformed rows in {path}; one in {first['one']['file']}: "
+                                f"{first['one']['text']}")
+    return nans_to_nulls(rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT, "_file")), bad
+
+
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """Parquet scan, pruned to ``columns``; float NaN becomes null."""
     df = spark.read.parquet(path)
@@ -147,17 +176,36 @@ def ensure_database(spark: SparkSession, name: str, location: str | None = None)
 def write_table(df: DataFrame, name: str, database: str | None = None,
                 fmt: str = "parquet", path: str | None = None,
                 database_location: str | None = None) -> str:
-    """Replace semantics, the table is rewritten on each run. With
-    ``path`` the table is external (its files live at ``path``)."""
+    """Replace semantics, the table is rewritten on each run. The rows go to a new
+    version folder (below ``path``, or the database's location) first; only when that
+    write has ended does one catalog update point the table to it. A failing write leaves
+    the old table whole. The version before stays for readers that began with it, older
+    ones are removed."""
     spark = df.sparkSession
-    full = name
     if database:
         ensure_database(spark, database, database_location)
-        full = f"`{database}`.`{name}`"
-    w = df.write.mode("overwrite").format(fmt)
-    if path:
-        w = w.option("path", path)
-    w.saveAsTable(full)
+    database = database or spark.catalog.currentDatabase()
+    full = f"`{database}`.`{name}`"
+    root = path or f"{spark.catalog.getDatabase(database).locationUri.rstrip('/')}/{name}.versions"
+    location = f"{root.rstrip('/')}/v-{_dt.datetime.now(_dt.timezone.utc):%Y%m%d%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+    df.write.format(fmt).save(location)
+    new = spark.read.format(fmt).load(location).schema
+    same = spark.catalog.tableExists(full) and spark.table(full).schema == new
+    if same:
+        spark.sql(f"ALTER TABLE {full} SET LOCATION '{location}'")
+        spark.catalog.refreshTable(full)
+    elif spark.catalog.tableExists(full):     # other columns: build the table beside it, then take its name
+        staged = f"`{database}`.`{name}_{uuid.uuid4().hex[:8]}`"
+        spark.sql(f"CREATE TABLE {staged} USING {fmt} LOCATION '{location}'")
+        spark.sql(f"DROP TABLE {full}")
+        spark.sql(f"ALTER TABLE {staged} RENAME TO {full}")
+    else:
+        spark.sql(f"CREATE TABLE {full} USING {fmt} LOCATION '{location}'")
+    fs, folder = _fs_path(spark, root)
+    versions = sorted((s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("v-")),
+                      key=lambda p: p.getName())
+    for old in versions[:-2]:
+        fs.delete(old, True)
     return full
 
 

@@ -2,9 +2,9 @@
 
 ``readStream`` with a fixed schema -> validation -> fitted pipeline ->
 predictions. Each micro-batch is written once, by status (scored or rejected),
-under ``batch_id=<n>`` with overwrite, so a retried batch replaces its
-own output (idempotent sink); progress lives in the checkpoint folder.
-Stateless on purpose: no event time exists in the data.
+to a folder of its own, and committed last: readers follow the commit log, so a
+half-written batch is invisible and a batch that runs again counts once. Progress
+lives in the checkpoint folder. Stateless on purpose: no event time exists in the data.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql.types import StructType
 from lendspark.functions.scalar import DEFAULT_THRESHOLD
 from lendspark.operators.scoring import REJECTED, SCORED, score_all
 from lendspark.session import ensure_checkpoint_dir
+from lendspark.sources import commits
 from lendspark.sources.schemas import APPLICATION_FIELDS, APPLICATION_SCHEMA
 
 
@@ -40,8 +41,7 @@ def start_scoring_stream(spark: SparkSession, model, input_dir: str, output_dir:
     keep = [k for k in keep if k in schema.fieldNames()]
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        (score_all(model, batch, threshold, keep, fields).write.mode("overwrite")
-         .partitionBy("status").parquet(f"{output_dir}/batch_id={batch_id}"))
+        commits.write_batch(score_all(model, batch, threshold, keep, fields), output_dir, batch_id, "status")
 
     writer = src.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
@@ -49,8 +49,8 @@ def start_scoring_stream(spark: SparkSession, model, input_dir: str, output_dir:
 
 
 def read_scored(spark: SparkSession, output_dir: str) -> DataFrame:
-    """Every application that arrived, with status, errors and prediction."""
-    return spark.read.parquet(output_dir)
+    """Every application of the committed batches, with status, errors and prediction."""
+    return commits.read_committed(spark, output_dir)
 
 
 def read_predictions(spark: SparkSession, output_dir: str) -> DataFrame:
