@@ -1,8 +1,10 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from llm_corpus import docs, frame, no_docs, rows  # noqa: F401
 
@@ -88,3 +90,56 @@ def test_transitions_equal_token_by_token():
         c = S.symbols(t)
         np.add.at(want, c[:-1] * S.N_SYMBOLS + c[1:], 1)
     assert (S._transitions(tokens) == want).all()
+
+
+@pytest.mark.parametrize("where", ["words", "numbers too"])
+def test_recall_of_planted_alphabets(spark, where):
+    """Labels are hexadecimal only; random strings of other alphabets are found all the same."""
+    rng = random.Random(11)
+    syll = ["ti", "on", "er", "re", "th", "an", "ed", "ing", "ou", "ha", "ment", "ble"]
+    word = lambda n: "".join(rng.choice(syll) for _ in range(n))                        # noqa: E731
+    data = []
+    for i in range(600):
+        w = [word(rng.randint(1, 9)) for _ in range(60)] + ["Snake_case_" + word(4), word(3) + "-" + word(5)]
+        if where == "numbers too":
+            w.append("".join(rng.choice("0123456789") for _ in range(16)))
+        if i % 3 == 0:
+            w.append("token=" + "".join(rng.choice("0123456789abcdef") for _ in range(40)))
+        rng.shuffle(w)
+        data.append((i, " ".join(w)))
+    models = S.train(frame(spark, data))
+    planted = {}
+    letters = {"base62": (S.ALPHABETS["base62"], (20, 32)), "base64": (S.ALPHABETS["base64"], (24, 40)),
+               "base36": (S.ALPHABETS["base36"], (32,))}
+    for name, (chars, sizes) in letters.items():
+        for size in sizes:
+            for _ in range(100):
+                k = 10_000 + len(planted)
+                planted[k] = (name, size, "".join(rng.choice(chars) for _ in range(size)))
+                data.append((k, f"erthon reing {planted[k][2]} thanti"))
+    found = {r.doc_id: [s for s in r.spans if s.kind == "markov"] for r in
+             S.find_secrets(frame(spark, data), models=models).collect()}
+    hit = {}
+    for k, (name, size, _) in planted.items():
+        hit.setdefault((name, size), []).append([(s.start, s.end) for s in found[k]] == [(13, 13 + size)])
+    assert all(np.mean(v) >= 0.9 for v in hit.values()), {k: np.mean(v) for k, v in hit.items()}
+    assert sum(bool(found[i]) for i in range(600)) <= 6
+
+
+def test_calibration_report(spark):
+    models = S.train(frame(spark, secret_rows() + [(900 + i, "token=" + hashlib.md5(b"%d" % i).hexdigest())
+                                                   for i in range(300)]))
+    assert models.threshold >= 0 and models.report["ordinary"] <= 0.02
+    assert models.report["labelled"] > 0.8 and models.report["base62"] > 0.9 and models.report["base64"] > 0.9
+
+
+def test_tokens_beside_many_spans():
+    text = " ".join(f"tok{i:020d} {'%032x' % i}" for i in range(4000)) + " z" + "q" * 20
+    spans = S.pattern_spans(text) + [(0, 0, 5), (0, 1, 3), (40, 0, 60)]
+    t0 = time.time()
+    got = S.free_tokens(text, spans, S.TOKEN)
+    assert time.time() - t0 < 1
+    taken = np.zeros(len(text), bool)
+    for s, _, e in spans:
+        taken[s:e] = True
+    assert got == [(m.start(), m.end()) for m in S.TOKEN.finditer(text) if not taken[m.start():m.end()].any()]
