@@ -5,12 +5,15 @@ Documents are linked when their group key is equal (the query: equal texts). A
 document starts in a shard drawn from its hash. Each round counts the members of
 every (group, shard) cell, makes the fullest cell's shard the group's wanted
 one, and lets the members elsewhere move there as far as the shard's quota goes:
-capacity minus load. When more bytes want in than fit, groups are admitted by a
-hash of the round; a group larger than a quarter of a shard is admitted member by
-member, so even a third of all rows in one group spreads over shards. A last
-step moves documents, unlinked ones first, from shards above the mean to those
-below it. Positions there and slots come from two-level prefix sums (hash
-buckets, then inside a bucket), never from one ordered task.
+capacity minus load, and half of the room that leaving members make. When more bytes
+want in than fit, whole groups are admitted by the prefix sum of their bytes in the order
+of a hash of the round; a group larger than a quarter of a shard is admitted member by
+member, so even a third of all rows in one group spreads over shards. In the last round the
+groups that are still cut follow their wanted shard without a quota. Then shards above
+the mean give to those below it: unlinked documents first, then whole groups, laid on
+one line, so that only groups at a border of a shard are cut. Positions there and slots come
+from two-level prefix sums (hash buckets, then inside a bucket), never from one
+ordered task.
 """
 
 from __future__ import annotations
@@ -51,7 +54,7 @@ def _running(df: DataFrame, keys: list[str], bucket: Column, order: list, value:
             .withColumn(out, F.col("_o") + F.col("_i")).drop("_b", "_i", "_o"))
 
 
-def balanced_shards(docs: DataFrame, n_shards: int = 16, rounds: int = 3, slack: float = 0.02,
+def balanced_shards(docs: DataFrame, n_shards: int = 16, rounds: int = 4, slack: float = 0.02,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: (id, size, text_crc32, law, shard, slot, grown_shard).
 
@@ -68,8 +71,8 @@ def balanced_shards(docs: DataFrame, n_shards: int = 16, rounds: int = 3, slack:
                        (F.octet_length(t) + 1).cast("long").alias("size"),
                        F.crc32(t.cast("binary")).alias("crc"),
                        F.xxhash64(t).alias("g"))
-    groups = (base.where("size > 1").groupBy("g", "crc", "size")
-              .agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
+    groups = staged(base.where("size > 1").groupBy("g", "crc", "size")
+                    .agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shard-groups")
     rows = (base.join(groups, ["g", "crc", "size"], "left")
             .withColumn("members", F.coalesce("members", F.lit(1)).cast("long"))
             .withColumn("shard", F.pmod(F.xxhash64("id", "g"), F.lit(n_shards)).cast("int")))
@@ -78,6 +81,7 @@ def balanced_shards(docs: DataFrame, n_shards: int = 16, rounds: int = 3, slack:
     total_bytes, n_rows = float(total["b"] or 0), int(total["n"])
     capacity = total_bytes / n_shards
     linked = rows.where("members > 1")
+    n_groups = groups.count()
 
     key = ["g", "crc", "size"]
     for r in range(rounds):
@@ -89,30 +93,36 @@ def balanced_shards(docs: DataFrame, n_shards: int = 16, rounds: int = 3, slack:
         want = cells.groupBy(*key).agg(
             F.max_by("shard", F.struct("n", F.xxhash64("g", "shard", F.lit(r)))).alias("want"))
         asked = staged(linked.join(want, key), f"shard-round{r}")
-        desire = {x["want"]: float(x["b"]) for x in
-                  asked.where("shard != want").groupBy("want").agg(F.sum("size").alias("b")).collect()}
         leaving = {x["shard"]: float(x["b"]) for x in
                    asked.where("shard != want").groupBy("shard").agg(F.sum("size").alias("b")).collect()}
-        # quota: free room, and the room that leaving members are sure to make
-        share = {s: min(1.0, max(0.0, capacity * (1 + slack) - load.get(s, 0.0)
-                                 + 0.5 * leaving.get(s, 0.0)) / d)
-                 for s, d in desire.items() if d > 0}
+        # quota: free room, and some of the room that leaving members are sure to make
+        quota = {s: math.inf if r == rounds - 1 else
+                 max(0.0, capacity * (1 + slack) - load.get(s, 0.0) + 0.5 * leaving.get(s, 0.0)) for s in range(n_shards)}
         big = F.col("members") * F.col("size") > F.lit(capacity / 4)
-        draw = F.when(big, _hash01("id", "g", F.lit(r))).otherwise(_hash01("g", "want", F.lit(r)))
-        linked = asked.withColumn("shard", F.when(draw < _by_shard(share, n_shards), F.col("want"))
-                                  .otherwise(F.col("shard"))).drop("want")
+        moving = asked.where("shard != want").groupBy(*key, "want", "members").agg(F.sum("size").alias("bytes"))
+        buckets = max(4, math.ceil(n_groups / n_shards / BUCKET_ROWS))
+        queue = _running(moving, ["want"], F.pmod(F.xxhash64("g", F.lit(r)), F.lit(buckets)).cast("int"),
+                         [F.xxhash64("g", F.lit(r)), "g", "crc", "size"], F.col("bytes"), "ahead")
+        fits = (_by_shard(quota, n_shards) - F.col("ahead")) / F.col("bytes")
+        share = F.when(big, F.least(F.lit(1.0), F.greatest(F.lit(0.0), fits if r < rounds - 1 else F.lit(0.0)))) \
+            .otherwise((fits >= 1).cast("double"))
+        linked = (asked.join(queue.select(*key, share.alias("share")), key, "left")
+                  .withColumn("shard", F.when(_hash01("id", "g", F.lit(r)) < F.col("share"), F.col("want"))
+                              .otherwise(F.col("shard"))).drop("want", "share"))
     placed = staged(rows.where("members = 1").unionByName(linked), "shard-placed")
 
-    # Last step: exact evening. Unlinked documents leave first.
+    # Last step: exact evening. Unlinked documents leave first, then whole groups.
     load = {x["shard"]: float(x["b"]) for x in
             placed.groupBy("shard").agg(F.sum("size").alias("b")).collect()}
     over = {s: load.get(s, 0.0) - capacity for s in range(n_shards)}
     n_buckets = max(4, math.ceil(n_rows / n_shards / BUCKET_ROWS))
-    leave_order = F.when(F.col("members") == 1, 0).otherwise(n_buckets) + F.pmod(
-        F.xxhash64("g", "id"), F.lit(n_buckets)).cast("int")
+    big = F.col("members") * F.col("size") > F.lit(capacity / 4)
+    leave_order = (F.when(F.col("members") == 1, 0).when(big, n_buckets).otherwise(2 * n_buckets)
+                   + F.pmod(F.when(big | (F.col("members") == 1), F.xxhash64("g", "id")).otherwise(F.xxhash64("g")),
+                            F.lit(n_buckets)).cast("int"))
     placed = placed.withColumn("want", F.col("shard"))
     out_limit = _by_shard({s: max(0.0, v) for s, v in over.items()}, n_shards)
-    ranked = _running(placed, ["shard"], leave_order, ["g", "id", "size"], F.col("size"), "pos")
+    ranked = _running(placed, ["shard"], leave_order, ["g", "crc", "size", "id"], F.col("size"), "pos")
     # givers' surplus is laid on one line, takers' room on the same line
     starts, at = {}, 0.0
     for s in range(n_shards):

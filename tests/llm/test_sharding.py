@@ -35,7 +35,27 @@ def test_even_bytes_and_few_cut_groups(spark):
     for r in got:
         if 10_000 <= r.doc_id < 50_000:
             where[r.text_crc32].add(r.shard)
-    assert sum(len(v) > 1 for v in where.values()) < 0.2 * len(where)
+    assert sum(len(v) > 1 for v in where.values()) <= 16
+
+
+def test_all_documents_linked(spark):
+    """3,000 groups of all sizes and nothing else: only groups at a border are cut."""
+    rows = [(i * 10 + k, f"group {i} " + "z" * (i * 131 % 900)) for i in range(3000) for k in range(2 + i % 7)]
+    got = balanced_shards(frame(spark, rows).repartition(4)).collect()
+    load = check(got, rows)
+    mean = sum(load.values()) / 16
+    assert max(abs(v - mean) for v in load.values()) < 2000
+    where = defaultdict(set)
+    for r in got:
+        where[r.doc_id // 10].add(r.shard)
+    assert sum(len(v) > 1 for v in where.values()) < 50
+
+
+def test_rows_of_a_null_id_and_hot_group_alone(spark):
+    rows = [(None, "same text " * 5)] * 40 + [(i, "same text " * 5) for i in range(500)]
+    load = check(balanced_shards(frame(spark, rows).repartition(3)).collect(), rows)
+    mean = sum(load.values()) / 16
+    assert max(abs(v - mean) for v in load.values()) <= 2 * 51
 
 
 def test_empty(no_docs):
