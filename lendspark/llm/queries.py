@@ -3,6 +3,7 @@ whole tables, and their DuckDB SQL where SQL can express them."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,7 +42,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.url_verdicts(read_table(spark, sf_dir, "pages"), URL_RULES)
+    return url_filter.url_verdicts(read_table(spark, sf_dir, "pages"), URL_RULES, unwanted=url_filter.UNWANTED)
 
 
 def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +95,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
                                     op10_lm_scores, op11_spelling_variants, op12_filter_audit, op13_licence_scan)}
 
 
+def _glob_sql(glob: str) -> str:
+    """A glob over ``.`` + host + path as a condition."""
+    text = "".join(".*" if p == "**" else "[^/]*" if p == "*" else re.escape(p) for p in re.findall(r"\*\*|\*|[^*]", glob))
+    return f"regexp_full_match('.' || host || path, '{text}', 's')"
+
+
 OP3_SQL = """
 WITH u AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0
@@ -114,8 +121,10 @@ m AS (
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/'
   END AS rule FROM s)
 SELECT page_id, host, path, rule,
-       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
-FROM m
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NULL AND unwanted IS NOT NULL THEN 'block'
+            ELSE 'allow' END AS verdict, unwanted
+FROM (SELECT *, CASE """ + " ".join(f"WHEN {_glob_sql(g)} THEN '{g}'" for g in url_filter.UNWANTED) + """ END AS unwanted
+      FROM m)
 """
 
 OP5_SQL = """

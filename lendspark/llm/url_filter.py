@@ -21,6 +21,13 @@ from lendspark.session import ensure_checkpoint_dir
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+# fixed values: kinds of hosts and paths that a text corpus leaves out
+UNWANTED = ["*.ads-*/**", "*.ad-*/**", "*.adult-*/**", "*-adult.*/**", "*.casino*/**", "*-casino.*/**", "*.poker*/**",
+            "*.free-bets.*/**", "*.betting*/**", "*.xxx/**", "*.torrent*/**", "*.tracker*/**", "**/wp-admin/**",
+            "**/wp-login*", "**/login/**", "**/signup/**", "**/cart/**", "**/checkout/**", "**/tag/*/page/*", "**/feed/*.xml",
+            "**.exe", "**.apk", "**.torrent", "**/cgi-bin/**"]
+
+
 def site_rule(verdict: str, rule: str) -> tuple[str, str, str]:
     """(verdict, name, glob) of a rule ``host/path``: its host and all
     subdomains, every path that begins with the rule's."""
@@ -109,12 +116,14 @@ class WildcardAutomaton:
 
 
 def url_verdicts(df: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id",
-                 url_col: str = "url", default: str = "allow") -> DataFrame:
-    """One row per input row: (id, host, path, rule, verdict).
+                 url_col: str = "url", default: str = "allow", unwanted: list[str] | None = None) -> DataFrame:
+    """One row per input row: (id, host, path, rule, verdict, unwanted).
 
     ``rules``: (verdict, name, glob). The matching rule with the longest name
     decides; of equally long ones ``block`` before others, then the earlier.
-    No rule: ``default`` and a null rule. Host: after the first ``://`` up to
+    No rule: ``block`` if one of the globs ``unwanted`` matches, else ``default``, and a
+    null rule. ``unwanted`` names the first of its globs that matches, else null, with or
+    without a rule. All globs, of rules and of the list, are one automaton. Host: after the first ``://`` up to
     ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: then up to ``?``,
     ``#`` or the end. A null url, an empty one and one without ``://`` have an
     empty host and path; so no site rule fits. Repeated rows and null ids are
@@ -131,7 +140,8 @@ def url_verdicts(df: DataFrame, rules: list[tuple[str, str, str]], id_col: str =
     order = sorted(range(len(rules)), key=lambda i: (len(rules[i][1]), rules[i][0] == "block", -i))
     names = [r[1] for r in rules]
     verdicts = [r[0] for r in rules] + [default]
-    globs = [r[2] for r in rules]
+    unwanted = list(unwanted or [])
+    globs = [r[2] for r in rules] + unwanted
 
     def decide(batches):
         auto = WildcardAutomaton(globs)
@@ -142,11 +152,14 @@ def url_verdicts(df: DataFrame, rules: list[tuple[str, str, str]], id_col: str =
             for i in order:
                 best[hit[:, i]] = i
             best = best.tolist()
+            listed = hit[:, len(names):]
+            first = np.where(listed.any(axis=1), listed.argmax(axis=1), -1).tolist() if unwanted else [-1] * len(hosts)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), b.column(2),
                  pa.array([names[i] if i < len(names) else None for i in best], pa.string()),
-                 pa.array([verdicts[i] for i in best], pa.string())],
-                names=[id_col, "host", "path", "rule", "verdict"])
+                 pa.array(["block" if i == len(names) and f >= 0 else verdicts[i] for i, f in zip(best, first)], pa.string()),
+                 pa.array([unwanted[f] if f >= 0 else None for f in first], pa.string())],
+                names=[id_col, "host", "path", "rule", "verdict", "unwanted"])
 
     return pages.mapInArrow(decide, f"`{id_col}` {kind}, host string, path string, "
-                                    "rule string, verdict string")
+                                    "rule string, verdict string, unwanted string")

@@ -28,7 +28,7 @@ def test_verdicts_against_brute_force(spark):
     data = [(i % 300, u, "r") for i, u in enumerate(urls)] + [(None, "http://a.net/", "r")]
     df = spark.createDataFrame(data, "page_id long, url string, rule string")
     got = U.url_verdicts(df, URL_RULES).collect()
-    want = [(i, *brute(u)) for i, u, _ in data]
+    want = [(i, *brute(u), None) for i, u, _ in data]
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
 
 
@@ -57,3 +57,17 @@ def test_equally_long_rules_block_first(spark):
     assert U.url_verdicts(df, rules).first()["rule"] == "*.b/"
     rules = [("allow", "a.b/", "*.a.b/**"), ("block", "a.b/", "*.a.b/**")]
     assert U.url_verdicts(df, rules).first()["verdict"] == "block"
+
+
+def test_unwanted_globs_decide_without_a_rule(spark):
+    urls = ["http://a.ads-track.example.org/en/1", "http://ads-track.example.net/en/1", "http://x.org/en/wp-admin/a?b",
+            "http://x.org/en/file.exe", "http://x.org/fr/file.exe", "http://x.org/tag/a/page/2", "http://x.org/tag/a/b/page/2",
+            "http://my-casino.com/", "http://my.casinos.com", "http://x.org/ads-/", "http://clean.example.org/en/1", None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict, r.unwanted) for r in U.url_verdicts(df, URL_RULES, unwanted=U.UNWANTED).collect()}
+    assert got[0] == (None, "block", "*.ads-*/**") and got[1] == ("example.net/en/", "allow", "*.ads-*/**")
+    assert got[2] == (None, "block", "**/wp-admin/**") and got[3] == (None, "block", "**.exe")
+    assert got[4] == ("org/fr/", "allow", "**.exe") and got[5] == (None, "block", "**/tag/*/page/*")
+    assert got[6] == (None, "allow", None) and got[7] == (None, "block", "*-casino.*/**")
+    assert got[8] == got[9] == got[10] == got[11] == (None, "allow", None)
+    assert U.WildcardAutomaton([r[2] for r in URL_RULES] + U.UNWANTED).words >= 4
