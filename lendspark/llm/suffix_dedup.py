@@ -18,16 +18,20 @@ occurrence. Shuffling by anchor brings together all strings that can be equal:
 3. Starts of repeats become byte runs of their text, which is cut accordingly.
 
 A text is named by its 64-bit hash, and texts that are equal share their runs; a task
-sends the anchors of at most two copies. An anchor with ``HOT`` occurrences or more,
-counted beforehand, is no group of one task: its occurrences are dealt by context,
-those of a hot context, which are repeats for sure, by place; and its different
-contexts are not sorted, but the hashes of their strings are counted by Spark, whose
-sums and joins split a hot key.
+sends the anchors of at most two copies. An anchor with ``HOT`` occurrences or more is no
+group of one task. Occurrences are counted beforehand: slices send the counts of
+``FEW`` and more, and a hash sample of the smaller ones with weights, so that an anchor
+thinly spread over many slices is found as well. The limit rises with the corpus so
+slowly (``HOT_MOST``) that the hot hashes, sent to all tasks, have a bounded size. A hot
+anchor's occurrences are dealt by context, those of a hot context, which are repeats for
+sure, by place; and its different contexts are not sorted, but the hashes of their
+strings are counted by Spark, whose sums and joins split a hot key.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import Counter
 
 import numpy as np
@@ -43,7 +47,9 @@ from lendspark.session import ensure_checkpoint_dir
 GRAM = 64                 # bytes of an anchor
 BLOCK = 50                # bytes of one symbol of the sorted string
 HOT = 8192                # occurrences from which an anchor or a context is split
-FEW = 8                   # fewer in a slice are not counted for that
+FEW = 8                   # smaller counts of a slice are sampled
+SEEN = 32                 # samples expected of an anchor at the limit
+HOT_MOST = 1 << 20        # hot anchors, and contexts, at most (8 MB of hashes)
 HASHES = 200_000          # string hashes sent at once
 
 
@@ -119,24 +125,42 @@ def _occurrences(length: int, gram: int, batches):
         yield [np.concatenate([c[i] for c in cols]).astype(t) for i, (_, t) in enumerate(FIELDS)]
 
 
-def _crowded(length: int, gram: int, few: int):
-    """(kind, hash, n) of the anchors (0) and contexts (1) that a slice has ``few``
-    times or more."""
+def _crowded(length: int, gram: int, least: int, one_in: int):
+    """(kind, hash, n) of the anchors (0) and contexts (1) of a slice: counts of ``least`` and
+    more, and of the others one in ``one_in``, that many times its count."""
     def crowded(batches):
         for cols in _occurrences(length, gram, batches):
+            salt = mix(np.bitwise_xor.reduce(cols[2]).astype(np.int64).reshape(1).view(U64).copy()) if len(cols[2]) else U64(0)
             for kind in range(2):
                 h, n = np.unique(cols[kind], return_counts=True)
-                h, n = h[n >= few], n[n >= few]
+                few = n < least
+                drawn = mix(h ^ salt) % U64(one_in) == 0
+                n = np.where(few, n * one_in, n)
+                keep = drawn | ~few
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(h), kind, np.int32)), pa.array(h.view(np.int64)), pa.array(n)],
+                    [pa.array(np.full(int(keep.sum()), kind, np.int32)), pa.array(h[keep].view(np.int64)), pa.array(n[keep])],
                     names=["kind", "hash", "n"])
     return crowded
 
 
-def _find(length: int, gram: int, parts: int, hot):
-    """Packed anchor occurrences by anchor partition; ``hot``: anchors dealt by
+def hot_hashes(texts: DataFrame, length: int, gram: int, size: int) -> list[np.ndarray]:
+    """Hashes of the anchors, and of the contexts, with about the limit of occurrences or
+    more: sorted, ``HOT_MOST`` of each at most (in expectation; estimates of half the limit
+    count, so that few of those at the limit are missed)."""
+    limit = max(HOT, 2 * math.ceil(size / ((length - gram + 2) / 2)) // HOT_MOST)
+    one_in = max(1, limit // FEW // SEEN)
+    rows = (texts.select("text", "t").mapInArrow(_crowded(length, gram, FEW, one_in), "kind int, hash long, n long")
+            .groupBy("kind", "hash").agg(F.sum("n").alias("n"))
+            .where(F.col("n") >= (limit if one_in == 1 else limit // 2)).select("kind", "hash").toArrow())
+    kind, value = rows.column("kind").to_numpy(), rows.column("hash").to_numpy()
+    return [np.sort(value[kind == k].astype(np.int64).view(U64)) for k in range(2)]
+
+
+def _find(length: int, gram: int, parts: int, sent):
+    """Packed anchor occurrences by anchor partition; ``hot`` (sent): anchors dealt by
     context, and contexts dealt by place."""
     def find(batches):
+        hot = sent.value
         for cols in _occurrences(length, gram, batches):
             anchor, context, text, pos = cols[:4]
             key = np.where(np.isin(anchor, hot[0]), context, anchor)
@@ -157,11 +181,12 @@ def _unpack(table: pa.Table) -> list[np.ndarray]:
             for f, t in FIELDS]
 
 
-def _decide(length: int, hot):
+def _decide(length: int, sent):
     """Anchor occurrences of one partition: runs of string starts that are repeats
     already (kind 0: from, to), and those to be compared (kind 1, of a hot anchor 2:
     anchor, context, pos, far, near), one for each different context."""
     def decide(table: pa.Table) -> pa.Table:
+        hot = sent.value
         anchor, context, text, pos, far, near = _unpack(table)
         order = np.lexsort((pos, text, context, anchor))
         anchor, context, text, pos, far, near = (x[order] for x in (anchor, context, text, pos, far, near))
@@ -362,14 +387,12 @@ def repeated_starts(texts: DataFrame, length: int = 200) -> DataFrame:
     rows, size = text_stats(texts, "t")
     gram = min(GRAM, max(8, length // 3))
     parts = packed_parts(size, 30 / ((length - gram + 2) / 2))
-    crowd = (texts.select("text", "t").mapInArrow(_crowded(length, gram, FEW), "kind int, hash long, n long")
-             .groupBy("kind", "hash").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT)
-             .collect())                         # at most 1 in HOT occurrences, of either kind
-    hot = [np.array(sorted(r["hash"] for r in crowd if r["kind"] == k), np.int64).view(U64) for k in range(2)]
+    hot = hot_hashes(texts, length, gram, size)
+    sent = spark.sparkContext.broadcast(hot)      # 2 * HOT_MOST hashes at most
     found = texts.select("text", "t").mapInArrow(
-        _find(length, gram, parts, hot), "part int, " + ", ".join(f"{f} binary" for f, _ in FIELDS))
+        _find(length, gram, parts, sent), "part int, " + ", ".join(f"{f} binary" for f, _ in FIELDS))
     decided = staged(found.groupBy("part").applyInArrow(
-        _decide(length, hot), "kind int, text long, a long, b long, anchor long, context long, many boolean"),
+        _decide(length, sent), "kind int, text long, a long, b long, anchor long, context long, many boolean"),
         "suffix-decided")
     known = decided.where("kind = 0").select("text", "a", "b")
     asked = decided.where("kind = 1")

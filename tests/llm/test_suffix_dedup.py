@@ -76,6 +76,47 @@ def test_hot_passage(spark, monkeypatch, hot):
     assert sorted(map(tuple, got), key=str) == brute(rows, 200)
 
 
+def test_passage_spread_thinly_over_many_slices(spark, monkeypatch):
+    """Seven texts a slice hold a passage, in 80 slices: its anchors are found hot, and no
+    group of contexts has more than the limit."""
+    monkeypatch.setattr(S, "HOT", 50)
+    compare = S._compare
+
+    def bounded(length, gram):
+        run = compare(length, gram)
+
+        def check(table):
+            _, n = np.unique(table.column("anchor").to_numpy(), return_counts=True)
+            assert n.max() < 50, f"{n.max()} contexts of one anchor in a group"
+            return run(table)
+        return check
+
+    monkeypatch.setattr(S, "_compare", bounded)
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage = word(400)
+    rows = [(i, word(rng.randint(0, 120)) + passage + word(rng.randint(0, 120))) for i in range(560)]
+    got = remove_repeats(frame(spark, rows).repartition(80)).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 200)
+
+
+def test_counts_by_samples():
+    """Anchors that every slice has a few times are estimated from one in 7 slices."""
+    import pyarrow as pa
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage, total = word(400), {}
+    for i in range(400):
+        batch = pa.record_batch({"text": np.array([rng.getrandbits(62) for _ in range(6)]),
+                                 "t": pa.array([word(80) + passage + word(80) for _ in range(6)])})
+        for out in S._crowded(200, 64, 8, 7)([batch]):
+            for kind, h, n in zip(*(c.to_pylist() for c in out.columns)):
+                if kind == 0:
+                    total[h] = total.get(h, 0) + n
+    top = sorted(total.values(), reverse=True)
+    assert 1200 < top[0] < 4800 and top[1] > 1200 and sum(v > 1000 for v in total.values()) < 12
+
+
 def test_copies_of_a_text_send_two(spark):
     import pyarrow as pa
     text = "".join(random.Random(2).choice("abcdefgh") for _ in range(900))
