@@ -294,25 +294,32 @@ class Sketches:
         return out
 
 
-def _group_pairs(cut: np.ndarray, at_once: int = 1_000_000):
-    """All pairs i > j of rows of one group, in blocks of about ``at_once`` pairs; group g
-    has the rows from cut[g] to cut[g + 1]."""
-    start, size = cut[:-1], np.diff(cut)
-    for m in np.unique(size[size > 1]).tolist():
-        first = start[size == m]
-        if m * (m - 1) // 2 <= at_once:
-            a, b = np.tril_indices(m, -1)
-            step = max(1, at_once // len(a))
-            for q in range(0, len(first), step):
-                f = first[q:q + step, None]
-                yield (f + a).ravel(), (f + b).ravel()
-        else:
-            step = max(1, at_once // m)
-            for f in first.tolist():
-                for q in range(1, m, step):
-                    a, b = np.indices((min(step, m - q), min(m, q + step)))
-                    a, b = a.ravel() + q, b.ravel()
-                    yield f + a[b < a], f + b[b < a]
+def _cross_pairs(group: np.ndarray, comp: np.ndarray, at_once: int = 1_000_000):
+    """All pairs of rows of one group that are of different components, each once, in
+    blocks of about ``at_once`` pairs. A group's largest component comes first, and a row
+    meets the rows before its own component, so members that are connected already are
+    never enumerated with one another."""
+    order = np.lexsort((comp, group))
+    new_group = np.concatenate(([True], group[order][1:] != group[order][:-1]))[:len(order)]
+    run = np.cumsum(new_group | np.concatenate(([True], comp[order][1:] != comp[order][:-1]))[:len(order)]) - 1
+    size = np.zeros(len(order), np.int64)
+    size[order] = np.bincount(run, minlength=1)[run]
+    order = np.lexsort((comp, -size, group))
+    here = np.arange(len(order))
+    new_group = np.concatenate(([True], group[order][1:] != group[order][:-1]))[:len(order)]
+    new_run = new_group | np.concatenate(([True], comp[order][1:] != comp[order][:-1]))[:len(order)]
+    start = np.maximum.accumulate(np.where(new_group, here, 0))
+    count = np.maximum.accumulate(np.where(new_run, here, 0)) - start
+    upto = np.cumsum(count)
+    r = 0
+    while r < len(order):
+        end = max(r + 1, int(np.searchsorted(upto, (upto[r - 1] if r else 0) + at_once, side="right")))
+        c = count[r:end]
+        i = np.repeat(here[r:end], c)
+        j = np.repeat(start[r:end], c) + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+        if len(i):
+            yield order[i], order[j]
+        r = end
 
 
 def _candidates(percent: int, most: int | None, star: bool):
@@ -331,7 +338,7 @@ def _candidates(percent: int, most: int | None, star: bool):
             lead = np.repeat(cut[:-1], np.diff(cut))
             blocks = [(lead, np.arange(len(sig)))]
         else:
-            blocks = _group_pairs(cut)
+            blocks = _cross_pairs(np.repeat(np.arange(len(cut) - 1), np.diff(cut)), comp[row])
         met = [np.zeros(0, np.int64)]
         for i, j in blocks:
             x, y = row[i], row[j]

@@ -159,11 +159,19 @@ def test_wide_sketches_separate_members():
         assert few.num_rows == len(pairs) and not any(few.column("more").to_pylist())
 
 
-def test_pairs_of_groups():
-    for sizes, at_once in [([1, 2, 2, 5, 40, 3], 50), ([30], 7), ([1, 1], 10), ([], 10)]:
-        cut = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
-        got = sorted(p for i, j in J._group_pairs(cut, at_once) for p in zip(i.tolist(), j.tolist()))
-        assert got == sorted((i, j) for s, e in zip(cut, cut[1:]) for i in range(s, e) for j in range(s, i))
+@pytest.mark.parametrize("n,at_once", [(0, 5), (1, 5), (60, 7), (60, 10_000)])
+def test_pairs_between_components(n, at_once):
+    rng = np.random.default_rng(n)
+    group, comp = np.sort(rng.integers(0, 4, n)), rng.integers(0, 5, n)
+    got = [tuple(sorted(p)) for i, j in J._cross_pairs(group, comp, at_once) for p in zip(i.tolist(), j.tolist())]
+    want = [(a, b) for b in range(n) for a in range(b) if group[a] == group[b] and comp[a] != comp[b]]
+    assert sorted(got) == sorted(want)
+
+
+def test_connected_members_are_not_enumerated():
+    comp = np.zeros(200_000, np.int64)
+    comp[:3] = [1, 2, 3]
+    assert sum(len(i) for i, _ in J._cross_pairs(np.zeros(200_000, np.int64), comp)) == 3 * 199_997 + 3
 
 
 def test_sketch_distances_of_different_widths():
