@@ -122,5 +122,39 @@ def test_lm_probabilities_sum_to_one_in_each_class():
     assert abs((10 ** gru_lm.log10_in_class(n, np.zeros(4, int), totals)).sum() - 1) < 1e-12
 
 
+def test_lm_shards_go_on_and_are_averaged(spark):
+    """As many shards as the corpus asks for; the averaged weights predict texts that no
+    task saw better than those they began with."""
+    rng = random.Random(4)
+    follow = {a: [rng.choice("uvwxyz") * 2 for _ in range(2)] for a in "abcdefgh"}
+
+    def text():
+        out = []
+        for _ in range(40):
+            a = rng.choice("abcdefgh")
+            out += [a * 3, rng.choice(follow[a])]
+        return " ".join(out)
+    data = [(i, text()) for i in range(400)] + [(None, text()), (1000, None), (1001, "")]
+    docs = frame(spark, data).repartition(3)
+    start = gru_lm.train(docs, F.lit(True), "doc_id", "text", 30, 2_000)
+    size = sum(len(t or "") for i, t in data if i is not None)
+    learn = gru_lm._learn_shard
+    done = gru_lm.refine(start, docs, F.lit(True), "doc_id", "text", one_in=1, shard_bytes=size // 5)
+    again = gru_lm.refine(start, docs, F.lit(True), "doc_id", "text", one_in=1, shard_bytes=size // 5)
+    assert np.allclose(done.wx, again.wx)
+    held = gru_lm.sequences(start, [text() for _ in range(50)])
+    cls, inp = np.concatenate([c[:-1] for c, _ in held]), np.concatenate([x[1:] for _, x in held])
+    cut = np.concatenate(([0], np.cumsum([len(c) - 1 for c, _ in held])))
+    before, after = (gru_lm.sequence_scores(m, inp, cls, cut).sum() for m in (start, done))
+    assert after > before
+    # the weights are the mean of the shards', by tokens
+    import pyarrow as pa
+    parts = [learn(start.to_bytes(), 0.002)(pa.table({"t": [text() for _ in range(k)], "o": list(range(k)),
+                                                      "shard": [k] * k})) for k in (3, 5)]
+    total = gru_lm._add_weights(pa.concat_tables(parts))
+    assert total.column("tokens")[0].as_py() == sum(p.column("tokens")[0].as_py() for p in parts)
+    assert gru_lm.refine(start, frame(spark, []), F.lit(True), "doc_id", "text") is start
+
+
 def test_lm_empty(spark, no_docs):
     assert gru_lm.score_documents(no_docs, in_training()).collect() == []
