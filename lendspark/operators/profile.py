@@ -58,22 +58,12 @@ def _sample_kurt(g2: Column, n: Column, var: Column) -> Column:
 
 
 def _wide_to_long(df: DataFrame, columns: Sequence[str], per_col) -> DataFrame:
-    """Run ``per_col(c) -> dict[name, agg Column]`` for every column in chunked
-    single-pass aggregates and return one row per column."""
-    parts = []
-    for i in range(0, len(columns), AGG_CHUNK):
-        chunk = columns[i:i + AGG_CHUNK]
-        structs = []
-        for c in chunk:
-            fields = per_col(c)
-            structs.append(F.struct(F.lit(c).alias("coluna"),
-                                    *[v.alias(k) for k, v in fields.items()]))
-        row = df.agg(F.array(*structs).alias("_a"))
-        parts.append(row.select(F.inline("_a")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Run ``per_col(c) -> dict[name, agg Column]`` for every column in one scan and
+    return one row per column."""
+    structs = [F.struct(F.lit(c).alias("coluna"), *[v.alias(k) for k, v in per_col(c).items()]) for c in columns]
+    chunks = [F.array(*structs[i:i + AGG_CHUNK]).alias(f"_a{i}") for i in range(0, len(structs), AGG_CHUNK)]
+    row = df.agg(*chunks)
+    return row.select(F.inline(F.flatten(F.array(*row.columns))))
 
 
 def _long_pass(df: DataFrame, cols: Sequence[str], aggs: dict[str, Column]):

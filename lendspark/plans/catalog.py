@@ -569,4 +569,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load_all() -> None:
     """Import the modules that register further queries."""
-    from lendspark.plans import catalog_jobs, catalog_ml, catalog_stats  # noqa: F401
+    from lendspark.plans import catalog_checks, catalog_jobs, catalog_ml, catalog_stats  # noqa: F401
