@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendspark.operators.features import AnomalyHandler, DomainFeatureBuilder
-from lendspark.operators.ordered import exact_quantiles, hashed_row_numbers
+from lendspark.operators.ordered import exact_quantiles, hashed_row_numbers, ordered_counts
 from lendspark.operators.profile import _long_pass, _q, long_values
 
 RANDOM_STATE = 42
@@ -217,12 +217,16 @@ def sample_rows(df: DataFrame, n: int, id_col: str, seed: int = RANDOM_STATE) ->
 def stratified_split(df: DataFrame, label: str, id_col: str, test_size: float = 0.2,
                      seed: int = RANDOM_STATE, out: str = "split") -> DataFrame:
     """Per class, the first round(test_size * n_class) rows in hash order
-    are ``test``, the rest ``train``."""
-    ranked = hashed_row_numbers(df, [label], _hash_key(id_col, seed), out="_rk")
-    # _group_n is the class size, attached by hashed_row_numbers
-    n_test = F.floor(F.col("_group_n") * F.lit(test_size) + F.lit(0.5))
-    return ranked.withColumn(out, F.when(F.col("_rk") < n_test, F.lit("test")).otherwise(F.lit("train"))) \
-                 .drop("_rk", "_group_n")
+    are ``test``, the rest ``train``; rows without a label are dropped. Only (label,
+    hash) is ordered, to find each class's last test hash; the rows themselves are
+    compared with it where they are. Rows of one id fall on the same side."""
+    key = _hash_key(id_col, seed)
+    order = ordered_counts(df.select(F.col(label).alias("_class"), key.alias("_k")).where(F.col(label).isNotNull()),
+                           "_k", groups=["_class"], value_name="_k")
+    n_test = F.floor(F.col("total_n") * F.lit(test_size) + F.lit(0.5))
+    last = order.groupBy("_class").agg(F.max(F.when(F.col("before_n") < n_test, F.col("_k"))).alias("_last"))
+    side = F.when(key <= F.col("_last"), F.lit("test")).otherwise(F.lit("train"))
+    return df.join(last, F.col(label) == F.col("_class")).withColumn(out, side).drop("_class", "_last")
 
 
 def stratified_folds(df: DataFrame, label: str, id_col: str, k: int = 5,
