@@ -260,14 +260,17 @@ def model_spark(model) -> SparkSession:
 
 
 def load_model(path: str):
-    """Load a saved ``PipelineModel``; a missing model is reported as
+    """Load a saved ``PipelineModel``; a missing or unreadable model is reported as
     :class:`ModelUnavailable` (the caller decides, it is not a crash)."""
     from pyspark.ml import PipelineModel
 
     spark = SparkSession.getActiveSession()
     if spark is None or not path_exists(spark, path):
         raise ModelUnavailable(f"Model not available at {path}")
-    return PipelineModel.load(path)
+    try:
+        return PipelineModel.load(path)
+    except Exception as exc:  # noqa: BLE001 - damaged files end the load with many types
+        raise ModelUnavailable(f"Model at {path} cannot be read: {exc}") from exc
 
 
 RUNS_SCHEMA = T.StructType([

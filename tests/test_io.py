@@ -84,6 +84,10 @@ def test_runs_table(spark, tmp_path):
 def test_model_unavailable(spark, tmp_path):
     with pytest.raises(io.ModelUnavailable):
         io.load_model(str(tmp_path / "nope"))
+    (tmp_path / "broken" / "metadata").mkdir(parents=True)
+    (tmp_path / "broken" / "metadata" / "part-00000").write_text("no model")
+    with pytest.raises(io.ModelUnavailable, match="cannot be read"):
+        io.load_model(str(tmp_path / "broken"))
 
 
 def test_loader_reads_spark_written_csv_folder(spark, tmp_path):
