@@ -294,32 +294,58 @@ class Sketches:
         return out
 
 
-def _cross_pairs(group: np.ndarray, comp: np.ndarray, at_once: int = 1_000_000):
-    """All pairs of rows of one group that are of different components, each once, in
-    blocks of about ``at_once`` pairs. A group's largest component comes first, and a row
-    meets the rows before its own component, so members that are connected already are
-    never enumerated with one another."""
-    order = np.lexsort((comp, group))
-    new_group = np.concatenate(([True], group[order][1:] != group[order][:-1]))[:len(order)]
-    run = np.cumsum(new_group | np.concatenate(([True], comp[order][1:] != comp[order][:-1]))[:len(order)]) - 1
-    size = np.zeros(len(order), np.int64)
-    size[order] = np.bincount(run, minlength=1)[run]
-    order = np.lexsort((comp, -size, group))
-    here = np.arange(len(order))
-    new_group = np.concatenate(([True], group[order][1:] != group[order][:-1]))[:len(order)]
-    new_run = new_group | np.concatenate(([True], comp[order][1:] != comp[order][:-1]))[:len(order)]
-    start = np.maximum.accumulate(np.where(new_group, here, 0))
-    count = np.maximum.accumulate(np.where(new_run, here, 0)) - start
-    upto = np.cumsum(count)
-    r = 0
-    while r < len(order):
-        end = max(r + 1, int(np.searchsorted(upto, (upto[r - 1] if r else 0) + at_once, side="right")))
-        c = count[r:end]
-        i = np.repeat(here[r:end], c)
-        j = np.repeat(start[r:end], c) + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
-        if len(i):
-            yield order[i], order[j]
-        r = end
+def _cross_pairs(cut: np.ndarray, row: np.ndarray, n: np.ndarray, cap: np.ndarray, comp: np.ndarray, percent: int):
+    """Blocks of pairs of different sets (indices) that meet in a group, are of different
+    components, and may link by sizes and caps. Group g has the postings from cut[g] to
+    cut[g + 1]; ``row``, ``cap``: their sets and caps; ``n``, ``comp``: by set. In a group
+    the largest component comes first, and a member meets those before its own
+    component, so members that are connected already are never held against each other."""
+    for s, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        _, code, size = np.unique(comp[row[s:e]], return_inverse=True, return_counts=True)
+        if len(size) < 2:
+            continue
+        order = np.lexsort((code, -size[code]))
+        code = code[order]
+        x = row[s:e][order]
+        m, c = n[x].astype(np.int32), cap[s:e][order].astype(np.int32)
+        before = np.maximum.accumulate(np.where(np.concatenate(([True], code[1:] != code[:-1])), np.arange(e - s), 0))
+        # the sets' own bounds: largest partner by the cap, smallest and largest by sizes
+        most = np.minimum(c.astype(np.int64) * (100 + percent) // percent - m, 100 * m.astype(np.int64) // percent)
+        least = -(-percent * m.astype(np.int64) // 100)
+        most, least = most.astype(np.int32), least.astype(np.int32)
+        q = int(size.max())                             # rows of the largest component meet nobody before them
+        while q < e - s:
+            r = min(e - s, q + max(1, 1_000_000 // (q + 1)))
+            w = int(before[r - 1])
+            ok = (m[None, :w] <= most[q:r, None]) & (m[None, :w] >= least[q:r, None]) & (m[q:r, None] <= most[None, :w])
+            ok &= np.arange(w, dtype=np.int32)[None, :] < before[q:r, None].astype(np.int32)
+            i, j = np.nonzero(ok)
+            if len(i):
+                yield x[q + i], x[j]
+            q = r
+
+
+class PairSet:
+    """Distinct pairs of at most ``n`` sets, as a table of marks while that is small."""
+
+    def __init__(self, n: int, table: int = 100_000_000) -> None:
+        self.n, self.held, self.size = n, [np.zeros(0, np.int64)], 0
+        self.marks = np.zeros(n * n, bool) if n * n <= table else None
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        code = np.maximum(x, y).astype(np.int64) * self.n + np.minimum(x, y)
+        if self.marks is not None:
+            self.marks[code] = True
+            return
+        self.held.append(code)
+        self.size += len(code)
+        if self.size > 4_000_000:
+            self.held = [np.unique(np.concatenate(self.held))]
+            self.size = 0
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        code = np.flatnonzero(self.marks) if self.marks is not None else np.unique(np.concatenate(self.held))
+        return code // max(1, self.n), code % max(1, self.n)
 
 
 def _candidates(percent: int, most: int | None, star: bool):
@@ -334,23 +360,17 @@ def _candidates(percent: int, most: int | None, star: bool):
         row = row[order]
         n, comp = get("n")[first], get("comp")[first]
         cut = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1], [True])))
+        met = PairSet(len(keys))
         if star:
             lead = np.repeat(cut[:-1], np.diff(cut))
-            blocks = [(lead, np.arange(len(sig)))]
-        else:
-            blocks = _cross_pairs(np.repeat(np.arange(len(cut) - 1), np.diff(cut)), comp[row])
-        met = [np.zeros(0, np.int64)]
-        for i, j in blocks:
-            x, y = row[i], row[j]
-            total = n[x] + n[y]
+            x, y = row[lead], row
             ok = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) \
-                & ((100 + percent) * np.minimum(cap[i], cap[j]) >= percent * total)
-            x, y = x[ok], y[ok]
-            met.append(np.unique(np.maximum(x, y) * len(keys) + np.minimum(x, y)))
-            if sum(map(len, met)) > 4_000_000:
-                met = [np.unique(np.concatenate(met))]
-        met = np.unique(np.concatenate(met))
-        i, j = met // max(1, len(keys)), met % max(1, len(keys))
+                & ((100 + percent) * np.minimum(cap[lead], cap) >= percent * (n[x] + n[y]))
+            met.add(x[ok], y[ok])
+        else:
+            for x, y in _cross_pairs(cut, row, n, cap, comp, percent):
+                met.add(x, y)
+        i, j = met.pairs()
         marks = table.column("sketch").take(pa.array(first)).to_pylist()
         d = Sketches(marks).distance(i, j)
         # overlap >= p/(100+p) * total, so difference <= (100-p)/(100+p) * total

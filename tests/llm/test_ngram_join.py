@@ -159,19 +159,31 @@ def test_wide_sketches_separate_members():
         assert few.num_rows == len(pairs) and not any(few.column("more").to_pylist())
 
 
-@pytest.mark.parametrize("n,at_once", [(0, 5), (1, 5), (60, 7), (60, 10_000)])
-def test_pairs_between_components(n, at_once):
-    rng = np.random.default_rng(n)
-    group, comp = np.sort(rng.integers(0, 4, n)), rng.integers(0, 5, n)
-    got = [tuple(sorted(p)) for i, j in J._cross_pairs(group, comp, at_once) for p in zip(i.tolist(), j.tolist())]
-    want = [(a, b) for b in range(n) for a in range(b) if group[a] == group[b] and comp[a] != comp[b]]
-    assert sorted(got) == sorted(want)
-
-
-def test_connected_members_are_not_enumerated():
+@pytest.mark.parametrize("postings,table", [(0, 10 ** 8), (1, 10 ** 8), (300, 10 ** 8), (300, 5)])
+def test_pairs_between_components(postings, table):
+    rng = np.random.default_rng(postings)
+    sets = 40
+    n, comp = rng.integers(60, 110, sets), rng.integers(0, 6, sets)
+    seen = np.unique(np.stack((rng.integers(0, 12, postings), rng.integers(0, sets, postings)), 1), axis=0)
+    group, row = seen[:, 0], seen[:, 1]
+    cap = (n[row] * rng.uniform(0.85, 1, len(row))).astype(np.int64)
+    cut = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True]))) if len(group) else np.zeros(1, np.int64)
+    found = J.PairSet(sets, table)
+    for x, y in J._cross_pairs(cut, row, n, cap, comp, 85):
+        found.add(x, y)
+    want = {(max(row[a], row[b]), min(row[a], row[b])) for a in range(len(row)) for b in range(a)
+            if group[a] == group[b] and comp[row[a]] != comp[row[b]]
+            and 100 * min(n[row[a]], n[row[b]]) >= 85 * max(n[row[a]], n[row[b]])
+            and 185 * min(cap[a], cap[b]) >= 85 * (n[row[a]] + n[row[b]])}
+    assert set(zip(*(v.tolist() for v in found.pairs()))) == want
+
+
+def test_connected_members_are_not_held_against_each_other():
     comp = np.zeros(200_000, np.int64)
     comp[:3] = [1, 2, 3]
-    assert sum(len(i) for i, _ in J._cross_pairs(np.zeros(200_000, np.int64), comp)) == 3 * 199_997 + 3
+    n = np.full(200_000, 50)
+    pairs = J._cross_pairs(np.array([0, 200_000]), np.arange(200_000), n, n, comp, 85)
+    assert sum(len(x) for x, _ in pairs) == 3 * 199_997 + 3
 
 
 def test_sketch_distances_of_different_widths():
