@@ -145,13 +145,12 @@ def _crowded(length: int, gram: int, least: int, one_in: int):
 
 def hot_hashes(texts: DataFrame, length: int, gram: int, size: int) -> list[np.ndarray]:
     """Hashes of the anchors, and of the contexts, with about the limit of occurrences or
-    more: sorted, ``HOT_MOST`` of each at most (in expectation; estimates of half the limit
-    count, so that few of those at the limit are missed)."""
+    more, by estimate: sorted, ``HOT_MOST`` of each at most in expectation."""
     limit = max(HOT, 2 * math.ceil(size / ((length - gram + 2) / 2)) // HOT_MOST)
     one_in = max(1, limit // FEW // SEEN)
     rows = (texts.select("text", "t").mapInArrow(_crowded(length, gram, FEW, one_in), "kind int, hash long, n long")
             .groupBy("kind", "hash").agg(F.sum("n").alias("n"))
-            .where(F.col("n") >= (limit if one_in == 1 else limit // 2)).select("kind", "hash").toArrow())
+            .where(F.col("n") >= limit).select("kind", "hash").toArrow())
     kind, value = rows.column("kind").to_numpy(), rows.column("hash").to_numpy()
     return [np.sort(value[kind == k].astype(np.int64).view(U64)) for k in range(2)]
 
