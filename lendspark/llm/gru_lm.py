@@ -7,11 +7,10 @@ gates (GRU) reads the words so far and gives a softmax over classes; inside a cl
 the softmax has one free logit a word, fitted in closed form: the smoothed log count
 over all training documents. The network is trained in numpy by truncated
 backpropagation through time, in two steps. It starts on one task (``sample_docs`` documents,
-``max_tokens`` tokens). Then one in ``ONE_IN`` of all training documents, by hash of the id,
-is dealt to shards of about equal size, as many as the corpus asks for; every shard goes
-on from the same weights over its documents, and the shards' weights are averaged,
-weighted by their tokens. So what the network learns from grows with the corpus, and
-no task's share does.
+``max_tokens`` tokens). Then all training documents are dealt, by hash of the id, to shards
+of about equal size, as many as the corpus asks for; every shard goes on from the same
+weights over all words of its documents, and the shards' weights are averaged, weighted
+by their tokens. So the network learns from the whole corpus, and no task's share grows.
 
 Scoring steps all texts of an Arrow batch at once, longest first, and carries the
 state to the very end of each, so the result is the whole document's log
@@ -42,9 +41,8 @@ CLASSES = 2 * KINDS + 1            # the last is the end of a text
 END = CLASSES - 1
 FREQUENT = 1000                    # words with an input row of their own
 HIDDEN = 16
-ONE_IN = 24                        # training documents that the shards learn from
-SHARD_BYTES = 64 << 20             # training text that one shard stands for
-SHARD_TOKENS = 1_000_000           # a shard reads its documents up to here (over twice its share)
+SHARD_BYTES = 16 << 20             # training text of one shard
+STREAM_TOKENS = 4_096              # of a shard's stream, from 64 streams to 512
 MERGE = 64                         # weights averaged by one task
 HEAD = 65_536                      # word counts sent to every task
 LN10 = np.log(10.0)
@@ -183,7 +181,7 @@ def sequences(m: Model, texts: list[str]):
     return seqs
 
 
-def _train(m: Model, seqs, max_tokens: int, epochs: int, streams: int, window: int,
+def _train(m: Model, seqs, max_tokens: int | None, epochs: int, streams: int, window: int,
            rate: float, seed: int, start: bool = True) -> None:
     """Truncated backpropagation: ``streams`` texts' words side by side, the state
     carried from window to window and cleared where a text begins."""
@@ -268,8 +266,8 @@ def _learn_shard(model: bytes, rate: float):
         order = np.argsort(table.column("o").to_numpy(), kind="stable")
         seqs = sequences(m, table.column("t").take(pa.array(order)).to_pylist())
         shard = table.column("shard")[0].as_py()
-        tokens = min(SHARD_TOKENS, sum(len(c) for c, _ in seqs))
-        _train(m, seqs, SHARD_TOKENS, 1, 64, 32, rate, 3 + shard, start=False)
+        tokens = sum(len(c) for c, _ in seqs)
+        _train(m, seqs, None, 1, min(512, max(64, tokens // STREAM_TOKENS)), 32, rate, 3 + shard, start=False)
         w = np.concatenate([getattr(m, k).ravel() for k in Model.FIELDS[2:]]).astype(np.float64) * tokens
         return pa.table({"shard": pa.array([shard], pa.int64()),
                          "tokens": pa.array([tokens], pa.int64()), "w": pa.array([w.tobytes()], pa.binary())})
@@ -284,10 +282,11 @@ def _add_weights(table: pa.Table) -> pa.Table:
 
 
 def refine(model: Model, docs: DataFrame, in_training: Column, id_col: str, text_col: str,
-           one_in: int | None = None, shard_bytes: int | None = None, rate: float = 0.002) -> Model:
+           one_in: int = 1, shard_bytes: int | None = None, rate: float = 0.002) -> Model:
     """The model after a pass of all shards, their weights averaged. The number of shards
-    follows the bytes of the training texts. Null ids take no part."""
-    one_in, shard_bytes = one_in or ONE_IN, shard_bytes or SHARD_BYTES
+    follows the bytes of the training texts. ``one_in`` over 1 learns from one in so many
+    documents, by hash of the id. Null ids take no part."""
+    shard_bytes = shard_bytes or SHARD_BYTES
     base = docs.where(in_training).select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).where(
         "i IS NOT NULL AND t IS NOT NULL")
     size = int(base.agg(F.sum(F.octet_length("t"))).first()[0] or 0)
