@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lendspark.operators import evaluate as ev
 from lendspark.operators.models import add_balanced_weights, draw_params, get_model, with_probability
 from lendspark.operators.prep import RANDOM_STATE, stratified_split
-from lendspark.session import cut_lineage
+from lendspark.session import cut_spread
 
 HISTORY = "rung int, candidate int, model string, n_train long, auc_roc double, promoted boolean"
 
@@ -49,7 +49,8 @@ def successive_halving(df: DataFrame, preprocessor: Pipeline, candidates: Sequen
     if not candidates or eta < 2 or rungs < 1:
         raise ValueError("successive_halving needs candidates, eta of 2 or more and a rung.")
     spark = df.sparkSession
-    split = cut_lineage(stratified_split(df.where(F.col(label).isNotNull()), label, id_col, test_size, seed))
+    n_rows = df.count()
+    split = cut_spread(stratified_split(df.where(F.col(label).isNotNull()), label, id_col, test_size, seed), n_rows)
     train, val = (split.where(F.col("split") == s).drop("split") for s in ("train", "test"))
     alive, history, fitted = list(range(len(candidates))), [], {}
     for rung, (n, share) in enumerate(rung_sizes(len(candidates), eta, rungs)):
@@ -58,7 +59,7 @@ def successive_halving(df: DataFrame, preprocessor: Pipeline, candidates: Sequen
         if share < 1:
             part = stratified_split(train, label, id_col, share, seed + 1, out="_part")
             rows = part.where(F.col("_part") == "test").drop("_part")
-        rows = cut_lineage(add_balanced_weights(rows, label))
+        rows = cut_spread(add_balanced_weights(rows, label), n_rows)
         n_train = rows.count()
         scored = None
         for k in alive:

@@ -37,8 +37,11 @@ def largest(df):
 
 def test_rows_of_a_table_are_dealt_evenly_and_kept(spark, monkeypatch):
     df = spark.range(2_000).coalesce(1).select((F.col("id") % 1_999).alias("a b"), F.lit(None).cast("string").alias("c"))
-    assert session.cut_spread(df, 4_000).rdd.getNumPartitions() == 1
-    got = session.cut_spread(df, 200)
+    monkeypatch.setattr(session, "PART_ROWS", 4_000)
+    assert session.cut_spread(df).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(session, "PART_ROWS", 200)
+    assert session.cut_spread(df, 600).rdd.getNumPartitions() == 3
+    got = session.cut_spread(df)
     assert largest(got) < 300
     assert sorted(r[0] for r in got.collect()) == sorted(r[0] for r in df.collect())
     assert session.cut_spread(df.limit(0)).count() == 0
