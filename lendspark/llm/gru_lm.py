@@ -211,6 +211,7 @@ def _train(m: Model, seqs, max_tokens: int | None, epochs: int, streams: int, wi
             grad = {k: np.zeros_like(getattr(m, k)) for k in names}
             dh = np.zeros_like(h)
             scale = np.float32(1.0 / (len(tape) * width))
+            rows, parts = [], []
             for h_t, (h_in, x_in, z, r, n, u), logp, y, first in reversed(tape):
                 dy = np.exp(logp)
                 dy[np.arange(width), y] -= 1
@@ -223,9 +224,14 @@ def _train(m: Model, seqs, max_tokens: int | None, epochs: int, streams: int, wi
                 dr = dn * u[:, 2 * HIDDEN:] * r * (1 - r)
                 dx = np.concatenate((dz, dr, dn), 1)
                 du = np.concatenate((dz, dr, dn * r), 1)
-                np.add.at(grad["wx"], x_in, dx)
+                rows.append(x_in)
+                parts.append(dx)
                 grad["wh"] += h_in.T @ du
                 dh = (dh * z + du @ m.wh.T) * (~first)[:, None]
+            at = np.concatenate(rows)
+            order = np.argsort(at, kind="stable")
+            used, first = np.unique(at[order], return_index=True)
+            grad["wx"][used] = np.add.reduceat(np.concatenate(parts)[order], first)
             norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
             lr = rate * min(1.0, 1.0 / (norm + 1e-9)) / (1 + step / 400)
             for k in names:
