@@ -9,9 +9,12 @@ Arrow-batched pandas UDF on the per-column scalars.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -20,10 +23,13 @@ from lendspark.functions import tails
 from lendspark.functions.nulls import nan_to_null, round_half_even
 from lendspark.operators.concordance import tau_b
 from lendspark.operators.gram import pair_correlations
-from lendspark.operators.ordered import ordered_counts
+from lendspark.operators.ordered import SMALL_TABLE, ordered_counts
 from lendspark.session import cut_lineage, ship_package
 from lendspark.operators.profile import TARGET, _q, _wide_to_long, long_values, numeric_columns
 
+# Distinct values of one slice of the value order that one task ranks
+SLICE_VALUES = 500_000
+
 
 def _pearson_long(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     def per_col(c):
@@ -33,31 +39,54 @@ def _pearson_long(df: DataFrame, columns: Sequence[str], target: str) -> DataFra
     return _wide_to_long(df, list(columns), per_col)
 
 
+def _slice_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each column's values in one slice: the lowest, the rows ``k``, and about the mean of
+    their ranks within the slice the squares of those ranks and their products with the label's."""
+    table = [b for b in batches if b.num_rows]
+    if not table:
+        return
+    table = pa.Table.from_batches(table)
+    for column in pc.unique(table["column"]).to_pylist():
+        t = table.filter(pc.equal(table["column"], column))
+        v, n, sy = (t[c].to_numpy() for c in ("value", "n", "sy"))
+        order = np.argsort(v)
+        n, sy = n[order].astype(np.float64), sy[order]
+        k = n.sum()
+        d = np.cumsum(n) - (n - 1) / 2 - (k + 1) / 2
+        yield pa.RecordBatch.from_pydict({"column": [column], "low": [float(v[order[0]])], "k": [k], "sy": [float(sy.sum())],
+                                          "dd": [float(np.sum(n * d * d))], "dy": [float(np.sum(d * sy))]})
+
+
 def _spearman_long(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     """Pearson of average ranks over complete pairs, per column; the label is ranked
-    like the values, so it may be any numeric column. Ranks come from ordered counts;
-    pairs are collapsed to (column, value, label) counts before they meet their ranks."""
+    like the values, so it may be any numeric column. The label's ranks (about their mean)
+    are summed for every distinct value; the values are then ranked in slices of the value
+    order, which meet as a few sums each."""
+    ship_package(df.sparkSession)
     y = nan_to_null(_q(target).cast("double"))
     lv = long_values(df.withColumn(target, y).where(_q(target).isNotNull()), columns, keep=[target]) \
         .withColumnRenamed(target, "_y")
-    pairs = cut_lineage(lv.groupBy("column", "value", "_y").agg(F.count(F.lit(1)).alias("k")))
-
-    def rank(c: str, name: str) -> DataFrame:
-        counts = cut_lineage(pairs.groupBy("column", c).agg(F.sum("k").alias("n")))
-        return ordered_counts(None, c, groups=["column"], value_name=c, collapsed=counts).select(
-            "column", c, (F.col("before_n") + (F.col("n") + 1) / 2.0).alias(name))
-
-    pairs = (pairs.withColumn("k", F.col("k").cast("double"))
-             .join(rank("value", "rx"), ["column", "value"]).join(rank("_y", "ry"), ["column", "_y"]))
-    k, rx, ry = F.col("k"), F.col("rx"), F.col("ry")
-    g = pairs.groupBy("column").agg(
-        F.sum(k).alias("N"), F.sum(k * rx).alias("sx"), F.sum(k * rx * rx).alias("sxx"),
-        F.sum(k * rx * ry).alias("sxy"), F.sum(k * ry).alias("sy"), F.sum(k * ry * ry).alias("syy"))
-    N = F.col("N")
-    num = N * F.col("sxy") - F.col("sx") * F.col("sy")
-    den = F.sqrt((N * F.col("sxx") - F.col("sx") ** 2) * (N * F.col("syy") - F.col("sy") ** 2))
-    return g.select(F.col("column").alias("coluna"), F.try_divide(num, den).alias("corr"),
-                    N.cast("long").alias("n"))
+    labels = cut_lineage(lv.groupBy("column", "_y").agg(F.count(F.lit(1)).alias("n")))
+    labels = cut_lineage(ordered_counts(None, "_y", groups=["column"], value_name="_y", collapsed=labels).select(
+        "column", "_y", "n", "total_n", (F.col("before_n") + (F.col("n") - F.col("total_n")) / 2.0).alias("ry")))
+    ry = labels.select("column", "_y", "ry")
+    if ry.count() <= SMALL_TABLE:
+        ry = F.broadcast(ry)                # its number of rows is known
+    values = cut_lineage(lv.join(ry, ["column", "_y"]).groupBy("column", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("ry").alias("sy")))
+    slices = values.repartitionByRange(max(1, -(-values.count() // SLICE_VALUES)), "column", "value").mapInArrow(
+        _slice_moments, "column string, low double, k double, sy double, dd double, dy double")
+    of_y = labels.groupBy("column").agg(F.first("total_n").alias("N"), F.sum(F.col("n") * F.col("ry") ** 2).alias("syy"))
+    # one row per column and slice; "c": the slice's mean rank about the column's
+    before = F.coalesce(F.sum("k").over(Window.partitionBy("column").orderBy("low").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0.0))
+    g = (slices.withColumn("_before", before).join(of_y, "column")
+         .withColumn("c", F.col("_before") + (F.col("k") - F.col("N")) / 2.0)
+         .groupBy("column", "N", "syy").agg(F.sum(F.col("dd") + F.col("k") * F.col("c") ** 2).alias("sxx"),
+                                            F.sum(F.col("dy") + F.col("c") * F.col("sy")).alias("sxy")))
+    return g.select(F.col("column").alias("coluna"),
+                    F.try_divide(F.col("sxy"), F.sqrt(F.col("sxx") * F.col("syy"))).alias("corr"),
+                    F.col("N").cast("long").alias("n"))
 
 
 def _kendall_long(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
