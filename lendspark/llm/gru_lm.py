@@ -12,8 +12,9 @@ of about equal size, as many as the corpus asks for; every shard goes on from th
 weights over all words of its documents, and the shards' weights are averaged, weighted
 by their tokens. So the network learns from the whole corpus, and no task's share grows.
 
-Scoring steps all texts of an Arrow batch at once, longest first, and carries the
-state to the very end of each, so the result is the whole document's log
+The network's arrays hold one column a text, so that sums over classes and slices of the
+gates run along whole rows. Scoring steps all texts of an Arrow batch at once, longest
+first, and carries the state to the very end of each, so the result is the whole document's log
 likelihood. Word counts come from all training documents by one shuffle; the most
 frequent words' counts (``HEAD`` of them) travel with the task, all others are
 looked up where they were counted: (word, document, times) goes there, packed, and
@@ -45,11 +46,14 @@ SHARD_BYTES = 16 << 20             # training text of one shard
 STREAM_TOKENS = 4_096              # of a shard's stream, from 64 streams to 512
 MERGE = 64                         # weights averaged by one task
 HEAD = 65_536                      # word counts sent to every task
+SLOT_BITS = 18                     # words whose classes a task remembers, by hash
 LN10 = np.log(10.0)
 
 
 class WordTable:
-    """Hashes, classes and input rows of all words of a group of texts."""
+    """Hashes, classes and input rows of all words of a group of texts. A word's class
+    follows from its letters, so it is found once and kept in the slot of the word's hash,
+    until another word takes the slot."""
 
     def __init__(self, trigram: np.ndarray, frequent: np.ndarray) -> None:
         self.hash, self.trigram, self.frequent = WordHash(), trigram, frequent
@@ -62,6 +66,9 @@ class WordTable:
         ending[[c for c in range(128) if chr(c).isalnum()]] = 0
         ending[ord(".")], ending[ord(",")] = 1, 2
         self.ending = ending
+        self.seen = np.zeros(1 << SLOT_BITS, U64)
+        self.seen[0] = ~U64(0)                 # of another slot: no slot holds its own word yet
+        self.seen_cls, self.seen_inp = np.zeros((2, 1 << SLOT_BITS), np.int16)
 
     def trigrams(self, data: np.ndarray) -> np.ndarray:
         b = np.concatenate(([32], self.lower[data]))
@@ -72,18 +79,32 @@ class WordTable:
         h, row, start, end = self.hash(bounds, data)
         if not len(h):
             return h, row, row, row
-        sums = np.zeros((len(data), CLUSTERS), np.int64)
-        np.cumsum(self.trigram[self.trigrams(data)], axis=0, out=sums[1:len(data)])
-        score = sums[end] - sums[start]      # trigrams from the space before to the one after
-        cls = score.argmax(1) * ENDINGS + self.ending[data[end - 1]]
+        slot = (h >> U64(64 - SLOT_BITS)).astype(np.int64)
+        cls, inp = self.seen_cls[slot], self.seen_inp[slot]
+        new = np.flatnonzero(self.seen[slot] != h)
+        if len(new):
+            cls[new], inp[new] = self.classes(h[new], start[new], end[new], data)
+            slot = slot[new]
+            self.seen[slot], self.seen_cls[slot], self.seen_inp[slot] = h[new], cls[new], inp[new]
+        return h, row, cls, inp
+
+    def classes(self, h: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray):
+        """(class, input row) of the words at [start, end) of ``data``."""
+        size = end - start
+        first = np.cumsum(size) - size
+        at = np.repeat(start - first, size) + np.arange(size.sum())
+        before, own, after = self.lower[data[at - 1]], self.lower[data[at]], self.lower[data[at + 1]]
+        tri = (before * 961 + own * 31 + after) & (TRIGRAMS - 1)
+        # trigrams from the space before to the one after
+        score = np.stack([np.add.reduceat(column[tri], first) for column in self.trigram.T])
+        cls = score.argmax(0) * ENDINGS + self.ending[data[end - 1]]
         if len(self.frequent):
             at = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
             known = self.frequent[at] == h
         else:
             at, known = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
         cls = cls + KINDS * known
-        inp = np.where(known, CLASSES + at, cls)
-        return h, row, cls, inp
+        return cls, np.where(known, CLASSES + at, cls)
 
 
 class Model:
@@ -113,18 +134,43 @@ class Model:
             setattr(m, k, got[k])
         return m
 
+    def gates(self, h: np.ndarray, x: np.ndarray):
+        """New state, a column a text, from a state and the words' input, a row a text, and
+        what backpropagation needs."""
+        u = h.T @ self.wh
+        g = np.empty((2 * HIDDEN, len(u)), np.float32)
+        np.add(u[:, :2 * HIDDEN].T, x[:, :2 * HIDDEN].T, out=g)
+        g *= np.float32(0.5)
+        np.tanh(g, out=g)
+        g *= np.float32(0.5)
+        g += np.float32(0.5)
+        z, r, un = g[:HIDDEN], g[HIDDEN:], np.ascontiguousarray(u[:, 2 * HIDDEN:].T)
+        n = r * un
+        n += x[:, 2 * HIDDEN:].T
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, (z, r, n, un)
+
+    def logits(self, h: np.ndarray):
+        """Class scores less their maximum, a column a text, and the log of their
+        exponentials' sum (eight sums side by side, as numpy sums a row)."""
+        y = np.empty((CLASSES, h.shape[1]), np.float32)
+        np.add((h.T @ self.out).T, self.bias[:, None], out=y)
+        y -= y.max(0)
+        e = np.exp(y)
+        s = e[:2 * KINDS].reshape(-1, 8, e.shape[1]).sum(0)
+        return y, np.log(((s[0] + s[1]) + (s[2] + s[3])) + ((s[4] + s[5]) + (s[6] + s[7])) + e[END])
+
     def step(self, h: np.ndarray, inp: np.ndarray):
-        """New state, and what backpropagation needs."""
-        x, u = self.wx[inp], h @ self.wh
-        g = np.tanh(0.5 * (x[:, :2 * HIDDEN] + u[:, :2 * HIDDEN])) * 0.5 + 0.5
-        z, r = g[:, :HIDDEN], g[:, HIDDEN:]
-        n = np.tanh(x[:, 2 * HIDDEN:] + r * u[:, 2 * HIDDEN:])
-        return n + z * (h - n), (h, inp, z, r, n, u)
+        """``gates`` with a row a text."""
+        new, kept = self.gates(h.T, self.wx.take(inp, 0))
+        return new.T, kept
 
     def log_softmax(self, h: np.ndarray) -> np.ndarray:
-        y = h @ self.out + self.bias
-        y -= y.max(1, keepdims=True)
-        return y - np.log(np.exp(y).sum(1, keepdims=True))
+        y, log_sum = self.logits(h.T)
+        return (y - log_sum).T
 
 
 def kmeans_trigrams(counts: np.ndarray, seed: int = 3) -> np.ndarray:
@@ -172,12 +218,13 @@ def fit(texts: list[str], max_tokens: int = 400_000, epochs: int = 2, streams: i
 
 def sequences(m: Model, texts: list[str]):
     """(classes to predict, input rows) of each text, its end included."""
-    table, seqs = WordTable(m.trigram, m.frequent), []
+    table, seqs, end = WordTable(m.trigram, m.frequent), [], np.array([END], np.int16)
     for _, bounds, data in text_groups(pa.array(texts, pa.string())):
         _, row, cls, inp = table(bounds, data)
         cut = np.searchsorted(row, np.arange(len(bounds)))
+        cls, inp = cls.astype(np.int16), inp.astype(np.int16)
         for a, b in zip(cut, cut[1:]):
-            seqs.append((np.concatenate((cls[a:b], [END])), np.concatenate(([END], inp[a:b]))))
+            seqs.append((np.concatenate((cls[a:b], end)), np.concatenate((end, inp[a:b]))))
     return seqs
 
 
@@ -198,40 +245,46 @@ def _train(m: Model, seqs, max_tokens: int | None, epochs: int, streams: int, wi
         inp = np.concatenate([seqs[i][1] for i in order])[:max_tokens]
         length = max(1, len(tgt) // streams)
         width = min(streams, len(tgt) // length)
-        tgt, inp = (v[:width * length].reshape(width, length) for v in (tgt, inp))
-        state = np.zeros((width, HIDDEN), np.float32)
+        tgt, inp = (np.ascontiguousarray(v[:width * length].reshape(width, length).T) for v in (tgt, inp))
+        column = np.arange(width)
+        state = np.zeros((HIDDEN, width), np.float32)
         for t0 in range(0, length, window):
             step += 1
             h, tape = state, []
-            for t in range(t0, min(t0 + window, length)):
-                h = h * (inp[:, t] != END)[:, None]
-                h, kept = m.step(h, inp[:, t])
-                tape.append((h, kept, m.log_softmax(h), tgt[:, t], inp[:, t] == END))
-            state = h
+            rows = inp[t0:t0 + window]
+            scale = np.float32(1.0 / rows.size)
             grad = {k: np.zeros_like(getattr(m, k)) for k in names}
-            dh = np.zeros_like(h)
-            scale = np.float32(1.0 / (len(tape) * width))
-            rows, parts = [], []
-            for h_t, (h_in, x_in, z, r, n, u), logp, y, first in reversed(tape):
-                dy = np.exp(logp)
-                dy[np.arange(width), y] -= 1
+            for t, row in enumerate(rows):
+                keep = row != END
+                h_in = h * keep
+                h, kept = m.gates(h_in, m.wx.take(row, 0))
+                dy, log_sum = m.logits(h)
+                dy -= log_sum
+                np.exp(dy, out=dy)
+                dy[tgt[t0 + t], column] -= 1
                 dy *= scale
-                grad["out"] += h_t.T @ dy
+                tape.append((h_in, kept, h, np.ascontiguousarray(dy.T), keep))
+            state = h
+            dh = np.zeros_like(h)
+            dx = np.empty((3 * HIDDEN, len(rows), width), np.float32)      # last step first
+            for back, (h_in, (z, r, n, un), h_t, dy, keep) in enumerate(reversed(tape)):
+                grad["out"] += h_t @ dy
                 grad["bias"] += dy.sum(0)
-                dh = dh + dy @ m.out.T
+                dh += (dy @ m.out.T).T
                 dn = dh * (1 - z) * (1 - n * n)
-                dz = dh * (h_in - n) * z * (1 - z)
-                dr = dn * u[:, 2 * HIDDEN:] * r * (1 - r)
-                dx = np.concatenate((dz, dr, dn), 1)
-                du = np.concatenate((dz, dr, dn * r), 1)
-                rows.append(x_in)
-                parts.append(dx)
-                grad["wh"] += h_in.T @ du
-                dh = (dh * z + du @ m.wh.T) * (~first)[:, None]
-            at = np.concatenate(rows)
-            order = np.argsort(at, kind="stable")
-            used, first = np.unique(at[order], return_index=True)
-            grad["wx"][used] = np.add.reduceat(np.concatenate(parts)[order], first)
+                du = np.empty((3 * HIDDEN, width), np.float32)
+                np.multiply(dh * (h_in - n) * z, 1 - z, out=du[:HIDDEN])
+                np.multiply(dn * un * r, 1 - r, out=du[HIDDEN:2 * HIDDEN])
+                dx[:2 * HIDDEN, back], dx[2 * HIDDEN:, back] = du[:2 * HIDDEN], dn
+                np.multiply(dn, r, out=du[2 * HIDDEN:])
+                grad["wh"] += h_in @ du.T
+                dh *= z
+                dh += (du.T @ m.wh.T).T
+                dh *= keep
+            at = rows[::-1].ravel()
+            by_row = np.argsort(at, kind="stable")
+            used, first = np.unique(at[by_row], return_index=True)
+            grad["wx"][used] = np.add.reduceat(dx.reshape(3 * HIDDEN, -1).take(by_row, 1, mode="clip"), first, axis=1).T
             norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
             lr = rate * min(1.0, 1.0 / (norm + 1e-9)) / (1 + step / 400)
             for k in names:
@@ -375,24 +428,31 @@ def log10_in_class(n, cls, totals: dict) -> np.ndarray:
 def sequence_scores(m: Model, inp: np.ndarray, cls: np.ndarray, cut: np.ndarray) -> np.ndarray:
     """Natural log probability of the class sequence of every text; text i holds
     words [cut[i], cut[i + 1]), then the end."""
-    length = np.diff(cut) + 1
+    length = np.diff(cut).astype(np.int32) + 1
+    if not len(length):
+        return np.zeros(0)
     order = np.argsort(-length, kind="stable")
-    total = np.zeros(len(length))
-    h = np.zeros((len(order), HIDDEN), np.float32)
-    row_in = np.full(len(order), END, np.int64)
-    begin = cut[:-1][order]
-    length = length[order]
-    t, active = 0, len(order)
-    while active:
-        h, _ = m.step(h[:active], row_in[:active])
-        logp = m.log_softmax(h)
-        last = length[:active] == t + 1
-        at = np.minimum(begin[:active] + t, max(len(cls) - 1, 0))
-        tgt = np.where(last, END, cls[at]) if len(cls) else np.full(active, END)
-        total[order[:active]] += logp[np.arange(active), tgt]
-        row_in = inp[at] if len(inp) else row_in[:active]
-        t += 1
-        active = int(np.searchsorted(-length, -t, side="left"))
+    begin, length = cut[:-1][order].astype(np.int32), length[order]
+    # tokens are dealt to steps: a step holds the next token of each text that has one
+    texts, n = len(length), int(length.sum())
+    text = np.repeat(np.arange(texts, dtype=np.int32), length)
+    t = np.arange(n, dtype=np.int32) - np.repeat(np.cumsum(length, dtype=np.int32) - length, length)
+    active = np.searchsorted(-length, -np.arange(length[0]), side="left").astype(np.int32)
+    step = np.concatenate(([0], np.cumsum(active))).astype(np.int32)
+    at = step[t] + text
+    end = t == length[text] - 1
+    word = (begin[text] + t)[~end]
+    tgt, row_in = np.full((2, n), END, np.int16)
+    tgt[at[~end]], row_in[(at + active[t])[~end]] = cls[word], inp[word]
+    odds = np.empty(n, np.float32)
+    h = np.zeros((HIDDEN, texts), np.float32)
+    column = np.arange(texts)
+    for a, b in zip(step, step[1:]):
+        h, _ = m.gates(h[:, :b - a], m.wx.take(row_in[a:b], 0))
+        y, log_sum = m.logits(h)
+        odds[a:b] = y[tgt[a:b], column[:b - a]] - log_sum
+    total = np.empty(texts)
+    total[order] = np.bincount(text, odds[at], texts)
     return total
 
 
