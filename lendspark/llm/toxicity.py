@@ -18,13 +18,14 @@ from __future__ import annotations
 import io
 import string
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lendspark.llm.common import row_slices
 from lendspark.session import ensure_checkpoint_dir
 
 ROWS = 1 << 15            # hashed embedding rows
@@ -32,7 +33,8 @@ DIM = 16
 WIDTHS = (1, 2, 3)
 FILTERS = 8               # of each width
 SLICE = 20_000            # words convolved at once
-CACHE_WORDS = 300_000     # words whose filter products a worker keeps
+CACHE_WORDS = 50_000      # words whose filter products a task keeps
+TEXT_BYTES = 2 << 20      # text held as Python strings at once
 FEATURES = FILTERS * len(WIDTHS)
 TRIM = string.punctuation
 #: Columns of the word-by-filter products: (first column, filter block, shift).
@@ -106,7 +108,8 @@ class Scorer:
     """Scores texts; products of words seen before are kept."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.index, self.pending = model, _Index(self), []
+        self.model, self.pending = model, []
+        self.index = _Index(self.pending)
         self.table = np.zeros((1024, PRODUCTS), np.float32)     # row 0: padding
 
     def _flush(self) -> None:
@@ -115,11 +118,11 @@ class Scorer:
         rows = np.array([word_rows(w) for w in self.pending])
         need = len(self.index) + 1
         if need > len(self.table):
-            grown = np.zeros((2 * need, PRODUCTS), np.float32)
+            grown = np.zeros((max(need, min(2 * need, CACHE_WORDS + 2 * SLICE)), PRODUCTS), np.float32)
             grown[:len(self.table)] = self.table
             self.table = grown
         self.table[need - len(rows):need] = self.model.emb[rows].sum(1) @ self.model.conv
-        self.pending = []
+        self.pending.clear()
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         """Probabilities of lower-cased or mixed texts; "" counts as no word."""
@@ -157,14 +160,15 @@ class Scorer:
 
 
 class _Index(dict):
-    """Row of each known word; new words wait in the scorer's list."""
+    """Row of each known word; new words wait in the scorer's list (not the scorer: in
+    a cycle with it, the table would outlive its task)."""
 
-    def __init__(self, scorer: Scorer) -> None:
+    def __init__(self, pending: list[str]) -> None:
         super().__init__()
-        self.scorer = scorer
+        self.pending = pending
 
     def __missing__(self, word):
-        self.scorer.pending.append(word)
+        self.pending.append(word)
         row = self[word] = len(self) + 1
         return row
 
@@ -315,18 +319,21 @@ def score_column(model: Model, text: Column) -> Column:
     """Score of a text column (null counts as empty), 0 to 1."""
     sent = model.to_bytes()        # about 2 MB
 
-    @F.pandas_udf("double")
-    def score(series: pd.Series) -> pd.Series:
-        state = _SCORERS.get(sent)
-        if state is None:
-            _SCORERS.clear()
-            state = _SCORERS[sent] = Scorer(Model.from_bytes(sent))
-        return pd.Series(state([t or "" for t in series]))
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        # of this task alone: a worker that is used again would hold it through later stages
+        scorer = Scorer(Model.from_bytes(sent))
+        for texts in batches:
+            yield pa.array(_score_batch(scorer, texts), pa.float64())
 
     return score(F.coalesce(text.cast("string"), F.lit("")))
 
 
-_SCORERS: dict[bytes, Scorer] = {}       # one scorer per worker and model
+def _score_batch(scorer: Scorer, texts: pa.Array) -> np.ndarray:
+    """Scores of an Arrow string column, of which ``TEXT_BYTES`` at a time become
+    Python strings."""
+    parts = row_slices(pa.RecordBatch.from_arrays([texts], names=["t"]), limit=TEXT_BYTES)
+    return np.concatenate([np.zeros(0), *(scorer([t or "" for t in p.column(0).to_pylist()]) for p in parts)])
 
 
 def threshold_column(model: Model, lang: Column | None) -> Column:
