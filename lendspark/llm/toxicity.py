@@ -18,14 +18,13 @@ from __future__ import annotations
 import io
 import string
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendspark.llm.common import row_slices
 from lendspark.session import ensure_checkpoint_dir
 
 ROWS = 1 << 15            # hashed embedding rows
@@ -33,8 +32,7 @@ DIM = 16
 WIDTHS = (1, 2, 3)
 FILTERS = 8               # of each width
 SLICE = 20_000            # words convolved at once
-CACHE_WORDS = 50_000      # words whose filter products a task keeps
-TEXT_BYTES = 2 << 20      # text held as Python strings at once
+CACHE_WORDS = 100_000     # words whose filter products a task keeps
 FEATURES = FILTERS * len(WIDTHS)
 TRIM = string.punctuation
 #: Columns of the word-by-filter products: (first column, filter block, shift).
@@ -124,9 +122,10 @@ class Scorer:
         self.table[need - len(rows):need] = self.model.emb[rows].sum(1) @ self.model.conv
         self.pending.clear()
 
-    def __call__(self, texts: list[str]) -> np.ndarray:
-        """Probabilities of lower-cased or mixed texts; "" counts as no word."""
-        best = np.full((len(texts), FEATURES), -np.inf, np.float32)
+    def __call__(self, texts: Iterable[str], n: int | None = None) -> np.ndarray:
+        """Probabilities of lower-cased or mixed texts; "" counts as no word. ``n``:
+        how many there are, if ``texts`` has no length."""
+        best = np.full((len(texts) if n is None else n, FEATURES), -np.inf, np.float32)
         held: list[tuple[int, list[str], int | None]] = []
         size = 0
         for i, text in enumerate(texts):
@@ -324,18 +323,11 @@ def score_column(model: Model, text: Column) -> Column:
         # of this task alone: a worker that is used again would hold it through later stages
         scorer = Scorer(Model.from_bytes(sent))
         for texts in batches:
-            yield pa.array(_score_batch(scorer, texts), pa.float64())
+            yield pa.array(scorer((t.as_py() or "" for t in texts), len(texts)), pa.float64())
 
     return score(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def _score_batch(scorer: Scorer, texts: pa.Array) -> np.ndarray:
-    """Scores of an Arrow string column, of which ``TEXT_BYTES`` at a time become
-    Python strings."""
-    parts = row_slices(pa.RecordBatch.from_arrays([texts], names=["t"]), limit=TEXT_BYTES)
-    return np.concatenate([np.zeros(0), *(scorer([t or "" for t in p.column(0).to_pylist()]) for p in parts)])
-
-
 def threshold_column(model: Model, lang: Column | None) -> Column:
     """The language's threshold; other languages and null: the general one."""
     out = F.lit(model.thresholds[None])

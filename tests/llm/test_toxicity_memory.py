@@ -46,17 +46,14 @@ def test_scorer_keeps_a_bounded_table(monkeypatch):
     assert np.allclose(scorer(texts), whole, rtol=1e-6)
 
 
-def test_batch_becomes_strings_in_pieces(monkeypatch):
-    monkeypatch.setattr(toxicity, "TEXT_BYTES", 100)
-    texts = [f"word{i} and so on" for i in range(60)] + [None, "", "x " * 300]
-    seen = []
-
-    class Watched(toxicity.Scorer):
-        def __call__(self, part):
-            seen.append(sum(map(len, part[:-1])))
-            return super().__call__(part)
-
-    got = toxicity._score_batch(Watched(toxicity.Model()), pa.array(texts, pa.string()))
-    assert max(seen) < 100 and len(got) == len(texts)
-    assert np.allclose(got, toxicity.Scorer(toxicity.Model())([t or "" for t in texts]), rtol=1e-6)
-    assert len(toxicity._score_batch(toxicity.Scorer(toxicity.Model()), pa.array([], pa.string()))) == 0
+def test_texts_are_taken_one_at_a_time(monkeypatch):
+    monkeypatch.setattr(toxicity, "SLICE", 50)
+    texts = [f"word{i} and so on" for i in range(60)] + ["", "x " * 300]
+    scorer, held = toxicity.Scorer(toxicity.Model()), []
+    pool = scorer._pool
+    monkeypatch.setattr(scorer, "_pool", lambda parts, best: (held.append(given[-1]), pool(parts, best)))
+    given = []
+    got = scorer((given.append(i) or t for i, t in enumerate(texts)), len(texts))
+    assert held[0] < 10 and len(got) == len(texts)       # pooled before the later texts are there
+    assert np.allclose(got, toxicity.Scorer(toxicity.Model())(texts), rtol=1e-6)
+    assert len(toxicity.Scorer(toxicity.Model())(iter(()), 0)) == 0
