@@ -320,7 +320,7 @@ def score_column(model: Model, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        # of this task alone: a worker that is used again would hold it through later stages
+        # of this task alone
         scorer = Scorer(Model.from_bytes(sent))
         for texts in batches:
             yield pa.array(scorer((t.as_py() or "" for t in texts), len(texts)), pa.float64())
