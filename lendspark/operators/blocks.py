@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -89,29 +90,39 @@ def each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]
         yield from zip(batch.column("part").to_pylist(), (b.as_py() for b in batch.column("block")))
 
 
-def _add(table: pa.Table) -> pa.Table:
-    order = np.argsort(table.column("part").to_numpy(), kind="stable")
-    sums = table.column("sums")
-    total = sum(np.frombuffer(sums[int(k)].as_buffer(), np.float64) for k in order)
-    return pa.table({"part": pa.array([table.column("part")[0].as_py() // MERGE], pa.int32()),
-                     "sums": pa.array([total.tobytes()], pa.binary())})
+def block_sums(blocks: DataFrame, of_block: Callable[..., np.ndarray],
+               combine: Callable[[np.ndarray, np.ndarray], np.ndarray] = np.add) -> np.ndarray | None:
+    """``of_block`` of every block (its lines, further columns, constants), added up or
+    otherwise combined; None without blocks."""
+    schema = "part int, sums binary"
 
+    def row(part: int, total: np.ndarray) -> dict:
+        return {"part": pa.array([part], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())}
 
-def block_sums(blocks: DataFrame, of_block: Callable[..., np.ndarray]) -> np.ndarray | None:
-    """``of_block`` of every block (its lines, further columns, constants), added up; None
-    without blocks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, part = None, 0
         for part, block in each_block(batches):
             one = of_block(*unpack(block))
-            total = one if total is None else total + one
+            total = one if total is None else combine(total, one)
         if total is not None:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()),
-                                              "sums": pa.array([total.tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict(row(part, total))
 
-    out, left = blocks.mapInArrow(run, "part int, sums binary"), blocks.rdd.getNumPartitions()
+    def merge(table: pa.Table) -> pa.Table:
+        order, sums = np.argsort(table.column("part").to_numpy(), kind="stable"), table.column("sums")
+        total = reduce(combine, (np.frombuffer(sums[int(k)].as_buffer(), np.float64) for k in order))
+        return pa.table(row(table.column("part")[0].as_py() // MERGE, total))
+
+    out, left = blocks.mapInArrow(run, schema), blocks.rdd.getNumPartitions()
     while left > MERGE:
-        out = out.groupBy(F.floor(F.col("part") / MERGE).alias("g")).applyInArrow(_add, "part int, sums binary")
+        out = out.groupBy(F.floor(F.col("part") / MERGE).alias("g")).applyInArrow(merge, schema)
         left = -(-left // MERGE)
     rows = sorted(out.collect(), key=lambda r: r["part"])       # MERGE rows at most
-    return sum(np.frombuffer(bytes(r["sums"]), np.float64) for r in rows) if rows else None
+    return reduce(combine, (np.frombuffer(bytes(r["sums"]), np.float64) for r in rows)) if rows else None
+
+
+def java_doubles(spark, values: np.ndarray):
+    """A Java array, sent as bytes in one piece."""
+    buffer = spark._jvm.java.nio.ByteBuffer.wrap(bytearray(np.ascontiguousarray(values, ">f8").tobytes())).asDoubleBuffer()
+    out = spark.sparkContext._gateway.new_array(spark._jvm.double, len(values))
+    buffer.get(out)
+    return out

@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendspark.operators.blocks import block_sums, make_blocks, matrix, pack
+from lendspark.operators.blocks import block_sums, java_doubles, make_blocks, matrix, pack
 from lendspark.operators.lbfgs import minimize_all
 
 CHUNK = 2048              # rows multiplied at once
@@ -129,14 +129,6 @@ def fit_perceptron(df: DataFrame, mlp: MultilayerPerceptronClassifier,
 
     [(w, history)] = minimize_all([start], losses, mlp.getMaxIter(), mlp.getTol())
     java = jvm.org.apache.spark.ml.classification.MultilayerPerceptronClassificationModel(
-        mlp.uid, jvm.org.apache.spark.ml.linalg.DenseVector(_doubles(df.sparkSession, w)))
+        mlp.uid, jvm.org.apache.spark.ml.linalg.DenseVector(java_doubles(df.sparkSession, w)))
     java.set(java.layers(), widths)
     return mlp._copyValues(MultilayerPerceptronClassificationModel(java)), history
-
-
-def _doubles(spark, values: np.ndarray):
-    """A Java array, sent as bytes in one piece."""
-    buffer = spark._jvm.java.nio.ByteBuffer.wrap(bytearray(np.ascontiguousarray(values, ">f8").tobytes())).asDoubleBuffer()
-    out = spark.sparkContext._gateway.new_array(spark._jvm.double, len(values))
-    buffer.get(out)
-    return out
