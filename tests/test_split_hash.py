@@ -1,0 +1,30 @@
+"""The split's limits come from counts and a few rows, and are those of an ordering of all rows."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from lendspark.operators import prep
+
+
+@pytest.mark.parametrize("share", [0.0, 0.2, 0.37, 1.0])
+def test_split_is_that_of_the_whole_order(spark, share):
+    rows = [(None if i % 50 == 7 else i // 2, [0, 1, 1, 2, None][i % 5]) for i in range(400)] + [(9000, 3)]
+    df = spark.createDataFrame(rows, "id long, y int")
+    got = prep.stratified_split(df, "y", "id", share)
+    keys = {r.id: r.k for r in df.select("id", prep._hash_key("id", prep.RANDOM_STATE).alias("k")).collect()}
+    want = []
+    for y in (0, 1, 2, 3):
+        mine = [i for i, c in rows if c == y]
+        order = sorted(keys[i] for i in mine if i is not None)
+        n = int(len(order) * share + 0.5)
+        want += [(i, y, "test" if n and i is not None and keys[i] <= order[n - 1] else "train") for i in mine]
+    null_last = lambda r: (r[1], r[0] is None, r[0] or 0, r[2])
+    assert sorted(map(tuple, got.select("id", "y", "split").collect()), key=null_last) == sorted(want, key=null_last)
+
+
+def test_only_rows_about_the_limit_are_ordered(spark):
+    df = spark.range(20_000).select("id", (F.col("id") % 2).alias("y"))
+    split = prep.stratified_split(df, "y", "id", 0.2)
+    plan = split._jdf.queryExecution().toString()
+    assert "Window" not in plan and "Sort [_k" not in plan       # limits are found before, in tables of their own
+    assert [(r.y, r["count"]) for r in split.where("split = 'test'").groupBy("y").count().orderBy("y").collect()] == [(0, 2000), (1, 2000)]
